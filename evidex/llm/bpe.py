@@ -24,16 +24,17 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, per_process
 
-STATES, MEMO, PAIRS = 200_000, 400_000, 2_000_000
+STATES, MEMO, PAIRS = 200_000, 700_000, 1_000_000
 NEVER = 1 << 62
+SHIFT, NODE, SEARCHED, HEAD = 20, (1 << 20) - 1, 64, 6
 
 
 def ranks(name: str) -> dict[bytes, int]:
@@ -84,7 +85,11 @@ def history(table: dict[bytes, int], word: bytes) -> tuple[bool, list[tuple[int,
 
 
 class Transducer:
-    """Bytes in, token ids out."""
+    """Bytes in, token ids out.
+
+    A path is a number: what it has read, ``history << SHIFT | node`` of the trie. A history is the tokens
+    that wait to be emitted and the last token, which stays known when it has been emitted.
+    """
 
     def __init__(self, table: dict[bytes, int]):
         self.table, self.bytes = table, {v: k for k, v in table.items()}
@@ -101,21 +106,31 @@ class Transducer:
                 node = to
             self.token[node] = rank
         self.histories: dict[int, tuple[bool, list]] = {}
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[int, bool] = {}  # by last token << SHIFT | token
+        self.alive: dict[int, bool] = {}  # by last token << SHIFT | node
         self.clear()
 
     def clear(self) -> None:
-        self.paths: list[tuple] = []  # a state's paths: (tokens that wait, the last token, node)
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        self.waits, self.named = [((), -1)], {((), -1): 0}  # histories
+        self.paths: list[tuple[int, ...]] = []  # a state's paths, the oldest first
+        self.moves: dict[int, int] = {}  # state and byte to twice the next state, odd if tokens are emitted
+        self.emits: dict[int, tuple] = {}
         self.known: dict[tuple, int] = {}
-        self.start = self._state((((), -1, 0),))
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}  # states and emitted tokens behind the first bytes
+        self.start = self._state((0,))
 
     def _state(self, paths: tuple) -> int:
         at = self.known.get(paths)
         if at is None:
             at = self.known[paths] = len(self.paths)
             self.paths.append(paths)
-            self.moves.append({})
+        return at
+
+    def _named(self, history: tuple) -> int:
+        at = self.named.get(history)
+        if at is None:
+            at = self.named[history] = len(self.waits)
+            self.waits.append(history)
         return at
 
     def _history(self, token: int):
@@ -128,11 +143,12 @@ class Transducer:
         """Whether ``token`` is what the merges make of its bytes, and no merge crosses from ``last`` into it."""
         if last < 0:
             return self._history(token)[0]
-        ok = self.allowed.get((last, token))
+        key = last << SHIFT | token
+        ok = self.allowed.get(key)
         if ok is None:
             if len(self.allowed) >= PAIRS:
                 self.allowed.clear()
-            ok = self.allowed[last, token] = self._history(token)[0] and self._apart(last, token)
+            ok = self.allowed[key] = self._history(token)[0] and self._apart(last, token)
         return ok
 
     def _apart(self, last: int, token: int) -> bool:
@@ -151,24 +167,56 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        paths = []
-        for wait, last, node in self.paths[state]:
-            to = self.next[node].get(byte)
+    def _lives(self, last: int, node: int) -> bool:
+        """Whether some token below a node may follow ``last``; not searched where many are below."""
+        key = last << SHIFT | node
+        ok = self.alive.get(key)
+        if ok is None:
+            if len(self.alive) >= PAIRS:
+                self.alive.clear()
+            ok, todo, seen = False, list(self.next[node].values()), 0
+            while todo and not ok:
+                to = todo.pop()
+                token = self.token[to]
+                seen += 1
+                ok = seen > SEARCHED or (token >= 0 and self.fits(last, token))
+                todo += self.next[to].values()
+            self.alive[key] = ok
+        return ok
+
+    def _move(self, state: int, byte: int) -> int:
+        paths, done = [], None
+        following, token_at, waits, alive = self.next, self.token, self.waits, self.alive
+        for path in self.paths[state]:
+            history, node = path >> SHIFT, path & NODE
+            to = following[node].get(byte)
             if to is None:
                 continue
-            if self.next[to]:
-                paths.append((wait, last, to))
-            token = self.token[to]
-            if token >= 0 and self.fits(last, token):
-                paths.append(((*wait, token), token, 0))
-        shared = 0
-        first = paths[0][0]
-        while all(len(p[0]) > shared and p[0][shared] == first[shared] for p in paths) and shared < len(first):
-            shared += 1
-        out = self._state(tuple(sorted((w[shared:], last, node) for w, last, node in paths))), first[:shared]
-        self.moves[state][byte] = out
-        return out
+            wait, last = waits[history]
+            if following[to]:
+                ok = alive.get(last << SHIFT | to)
+                if self._lives(last, to) if ok is None else ok:
+                    paths.append(history << SHIFT | to)
+            token = token_at[to]
+            # a text has one coding, so at most one path may finish a token here
+            if token >= 0 and done is None and self.fits(last, token):
+                done = (*wait, token), token
+        if done:
+            paths.append(self._named(done) << SHIFT)
+        first, shared = waits[paths[0] >> SHIFT][0], 0
+        if first:
+            all_waits = [waits[p >> SHIFT][0] for p in paths]
+            while shared < len(first) and all(len(w) > shared and w[shared] == first[shared] for w in all_waits):
+                shared += 1
+            if shared:
+                paths = [self._named((w[shared:], waits[p >> SHIFT][1])) << SHIFT | p & NODE for w, p in zip(all_waits, paths)]
+        to = self._state(tuple(paths)) << 1
+        key = state << 8 | byte
+        if shared:
+            self.emits[key] = first[:shared]
+            to += 1
+        self.moves[key] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern; a match that is a token itself is that token."""
@@ -177,19 +225,38 @@ class Transducer:
             return [whole]
         if len(self.paths) > STATES:
             self.clear()
-        moves, state, out = self.moves, self.start, []
-        for b in piece:
-            move = moves[state].get(b)
-            if move is None:
-                move = self._move(state, b)
+        head = self.heads.get(piece[:HEAD])
+        if head is None:
+            state, out = self._run(self.start, piece[:HEAD])
+            self.heads[piece[:HEAD]] = state, out
+        else:
+            state, out = head
+        if len(piece) > HEAD:
+            state, more = self._run(state, piece[HEAD:])
+            out = out + more
+        path = self.paths[state][-1]
+        if path & NODE == 0:
+            return [*out, *self.waits[path >> SHIFT][0]]
+        raise ValueError("a byte is not in the vocabulary")
+
+    def _run(self, state: int, part: bytes) -> tuple[int, list[int]]:
+        move, emits, out = self.moves.get, self.emits, []
+        for b in part:
+            key = state << 8 | b
+            to = move(key)
+            if to is None:
+                to = self._move(state, b)
                 if len(self.paths) > 2 * STATES:  # a long match made them: go on from this state alone
-                    paths = self.paths[move[0]]
+                    if to & 1:
+                        out += emits[key]
+                    held = [(self.waits[p >> SHIFT], p & NODE) for p in self.paths[to >> 1]]
                     self.clear()
-                    moves, move = self.moves, (self._state(paths), move[1])
-            state, more = move
-            if more:
-                out += more
-        return out + next(list(wait) for wait, _, node in self.paths[state] if node == 0)
+                    move, emits = self.moves.get, self.emits
+                    to = self._state(tuple(self._named(h) << SHIFT | n for h, n in held)) << 1
+            if to & 1:
+                out += emits[key]
+            state = to >> 1
+        return state, out
 
 
 class Encoder:
@@ -197,15 +264,19 @@ class Encoder:
         self.transducer, self.split, self.memo = Transducer(table), compiled_pattern().findall, {}
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for piece in self.split(text):
-            ids = memo.get(piece)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[piece] = self.transducer.encode(piece.encode())
-            out += ids
-        return out
+        memo, pieces = self.memo, self.split(text)
+        found = list(map(memo.get, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = memo.get(piece)
+                    if ids is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        ids = memo[piece] = tuple(self.transducer.encode(piece.encode()))
+                    found[i] = ids
+        return list(chain.from_iterable(found))
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -270,8 +341,11 @@ def coded(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for. ``tokenizer``: a rank file."""
 
     def start():
-        table = ranks(tokenizer)
-        encoder, decoder = Encoder(table), Decoder(table)
+        def make():
+            table = ranks(tokenizer)
+            return Encoder(table), Decoder(table)
+
+        encoder, decoder = per_process(("bpe", tokenizer), make)
 
         def step(docs, texts):
             rows = []

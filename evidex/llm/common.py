@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,15 @@ def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.Str
     return df.select(*columns).mapInArrow(run, fields)
 
 
+def per_process(key: tuple, make: Callable):
+    """What ``make()`` gave the first time in this Python process: tables outlive tasks, whose workers Spark reuses."""
+    held = sys.modules.setdefault("_evidex_held", types.ModuleType("_evidex_held")).__dict__
+    name = repr(key)
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
