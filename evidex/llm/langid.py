@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, per_process
 
 BUCKETS, ORDERS = 8192, 3
 PER_LANGUAGE, LANGUAGES = 600, 256
@@ -133,7 +133,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = usable.filter(draw < F.element_at(rate, F.col(lang_col)))
 
     def start():
-        fold = folding()
+        fold = per_process(("folding",), folding)
 
         def step(keys, langs, texts):
             rows = [(k, lang, c) for k, lang, t in zip(keys, langs, texts) if (c := counts(t, fold)) is not None]
@@ -168,7 +168,7 @@ def identified(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def judging(model: Model):
     """A function from a text to its language and score."""
-    fold = folding()
+    fold = per_process(("folding",), folding)
 
     def judge(text):
         c = counts(text, fold) if text and model.languages else None

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep
+from .common import arrow_map, keep, per_process
 
 LIMIT = 2048
 END = 0
@@ -166,8 +166,10 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         import public_tokenizers
         import tiktoken
 
-        table = ranks(tokenizer)
-        coder = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        def make():
+            return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(tokenizer), special_tokens={})
+
+        coder = per_process(("pieces", tokenizer), make)
 
         def step(ids, texts):
             rows = []

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, per_process
 from .langid import fold_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -153,7 +153,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     joined = df.select(key.alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
 
     def start():
-        of = classes()
+        of = per_process(("classes",), classes)
 
         def step(ids, ys, texts):
             return ids, ys, [features(t, of) for t in texts]
@@ -169,7 +169,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted."""
 
     def start():
-        of = classes()
+        of = per_process(("classes",), classes)
 
         def step(ids, held, texts):
             s = model.scores(np.array([features(t, of) for t in texts]))
@@ -185,7 +185,7 @@ def good(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text"
     """The rows of ``df`` that score ``least`` or more; columns as they are."""
 
     def start():
-        of = classes()
+        of = per_process(("classes",), classes)
 
         def step(*lists):
             s = model.scores(np.array([features(t, of) for t in lists[at]]))
