@@ -1,0 +1,89 @@
+import base64
+import bz2
+import gzip
+import hashlib
+import lzma
+import random
+import re
+import urllib.parse
+import zlib
+
+from evidex.llm import secret_scan as s
+
+SECRET = "token = 'abcdef123456'"
+
+
+def base_by_definition(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_spans_by_definition():
+    rng = random.Random(0)
+    parts = ["password", "TOKEN", "apikey", "api_key", "ſecret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "abc", "0123456789abcdef" * 2, "é", "\n", "token=token"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert s.scan(text)[0] == base_by_definition(text)
+
+
+def covered(text):
+    _, spans, layers, cut = s.scan(text)
+    return [text[a:b] for a, _, b in spans], layers, cut
+
+
+def test_every_layer_is_unwrapped():
+    raw = SECRET.encode()
+    wraps = {
+        "percent": "".join(f"%{c:02X}" for c in raw),
+        "unicode": "".join(f"\\u{c:04x}" for c in raw),
+        "html": "".join(f"&#x{c:x};" for c in raw),
+        "hex escapes": "".join(f"\\x{c:02x}" for c in raw),
+        "base64": base64.b64encode(raw).decode(),
+        "url base64": base64.urlsafe_b64encode(b"\xc3\xbf\xc3\xbe" + raw).decode().rstrip("="),
+        "gzip": base64.b64encode(gzip.compress(raw)).decode(),
+        "zlib": base64.b64encode(zlib.compress(raw)).decode(),
+        "bzip2": base64.b64encode(bz2.compress(raw)).decode(),
+        "xz": base64.b64encode(lzma.compress(raw)).decode(),
+        "twice": base64.b64encode(gzip.compress(zlib.compress(raw))).decode(),
+        "nested": urllib.parse.quote(base64.b64encode(urllib.parse.quote(SECRET).encode()).decode()),
+    }
+    for name, code in wraps.items():
+        text = f"before é {code} behind"
+        found, layers, _ = covered(text)
+        assert found and layers, name
+        assert all(f in code for f in found), name
+
+
+def test_spans_are_those_of_the_encoding():
+    text = "é pass%77ord: hunter22 x"
+    assert covered(text)[0] == ["pass%77ord: hunter22"]
+    code = base64.b64encode(("x" * 9 + SECRET).encode()).decode()
+    (found,) = covered(code)[0]
+    assert b"token" in base64.b64decode(code[code.index(found) // 4 * 4 :] + "==")
+
+
+def test_cycles_and_bombs_end():
+    bomb = base64.b64encode(zlib.compress(b"a" * (s.MAX_LAYER + 10))).decode()
+    assert s.scan(bomb)[3] == 1
+    deep = SECRET
+    for _ in range(12):
+        deep = base64.b64encode(deep.encode()).decode()
+    assert covered(deep)[0]
+
+
+def test_masking():
+    assert s.masked("a token=abcdefgh b", s.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
+    assert s.masked(None, []) is None and s.masked("x", []) == "x"
+
+
+def test_query_on_edge_rows(docs, no_docs):
+    rows = s.secrets(docs).collect()
+    assert len(rows) == docs.count()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {r["base_sha256"] for r in rows if r["doc_id"] in (3, 4, 5)} == {empty}
+    assert s.secrets(no_docs).count() == 0
+    same = s.mask_secrets(docs)
+    assert same.schema == docs.schema and sorted(map(str, same.collect())) == sorted(map(str, docs.collect()))
