@@ -1,4 +1,4 @@
 """All queries by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import metric_queries, ops_queries, retrieval_queries, text_queries  # noqa: F401  each registers its own
+from .registry import ORACLES, QUERIES  # noqa: F401
