@@ -2,7 +2,8 @@
 
 Equality takes a missing field for null; $ne and $nin keep rows where it is missing; ordered comparisons
 with a missing field, comparisons of unlike kinds and unknown operators are false. Everything is resolved
-when the plan is made, so the conditions reach the scan as ordinary predicates.
+when the plan is made, so the conditions reach the scan as ordinary predicates. In a filter a null counts as
+false, so only a negation has to say so.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def compiled(where: dict | None, column: Callable[[str], tuple[Column, str | Non
                 some = some | compiled(item, column)
             out = out & some
         elif name == "$not":
-            out = out & ~compiled(condition, column)
+            out = out & ~F.coalesce(compiled(condition, column), F.lit(False))
         else:
             actual, kind = column(name)
             for operator, value in (condition if isinstance(condition, dict) else {"$eq": condition}).items():
@@ -65,12 +66,12 @@ def _one(actual: Column, kind: str | None, operator: str, value) -> Column:
     if operator in ("$in", "$nin"):
         some = F.lit(False)
         if typed := [v for v in value if v is not None and _like(kind, v)]:
-            some = F.coalesce(actual.isin(typed), F.lit(False))
+            some = actual.isin(typed)
         if None in value:
             some = some | actual.isNull()
-        return some if operator == "$in" else ~some
+        return some if operator == "$in" else ~F.coalesce(some, F.lit(False))
     if operator in ORDERED and value is not None and _like(kind, value):
-        return F.coalesce(ORDERED[operator](actual, F.lit(value)), F.lit(False))
+        return ORDERED[operator](actual, F.lit(value))
     return F.lit(False)
 
 

@@ -76,7 +76,7 @@ def faq(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.csv(path, header=True, schema="question string, answer string, similar string", multiLine=True, escape='"').withColumn("line", F.monotonically_increasing_id())
     reason = F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "no question").when(F.trim(F.coalesce("answer", F.lit(""))) == "", "no answer")
     both = raw.withColumn("reason", reason)
-    similar = F.filter(F.transform(F.split(F.coalesce("similar", F.lit("")), "[;；,，\\n]"), F.trim), lambda s: s != "")
+    similar = F.filter(F.transform(F.split(F.coalesce("similar", F.lit("")), "[;；,，\\n]"), lambda s: F.trim(s)), lambda s: s != "")
     good = both.filter("reason IS NULL").select(F.trim("question").alias("question"), F.trim("answer").alias("answer"), F.array_distinct(similar).alias("similar"))
     return good, both.filter("reason IS NOT NULL").select("line", "reason")
 
