@@ -162,7 +162,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = arrow_map(joined, ["id", "y", "text"], start, "id long, y int, x array<double>").dropDuplicates(["id", "y"]).collect()
     rows = sorted((r["id"], r["y"], r["x"]) for r in rows)
-    return fit(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([float(r[1]) for r in rows]))
+    return fit(np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r[1]) for r in rows]))
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
