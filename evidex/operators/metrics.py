@@ -145,3 +145,25 @@ def company_markdown(rows: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric", line.alias("line")))), lambda x: x["line"]), "\n")
     head = "| metric | value | before | change | rate | note |\n| --- | --- | --- | --- | --- | --- |\n"
     return rows.groupBy("entity", "period_year").agg(F.concat(F.lit(head), lines).alias("markdown"))
+
+
+def company_brief(compared_rows: DataFrame, related: DataFrame, pending: DataFrame) -> DataFrame:
+    """A fixed Markdown brief of each entity and year: its metrics, profit against cash flow, findings."""
+    value = F.coalesce(F.col("value").cast("string"), F.lit("—"))
+    line = F.concat(F.lit("- **"), F.col("metric"), F.lit("**: "), value, F.lit(" ("), F.col("note"), F.lit(")"))
+    lines = compared_rows.groupBy("entity", "period_year").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("metrics"))
+    todo = pending.groupBy("entity", "period_year").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("metric"), F.lit(": "), F.col("code")))), "\n").alias("todo"))
+    both = lines.join(related.select("entity", "period_year", "relation"), ["entity", "period_year"], "left").join(todo, ["entity", "period_year"], "left")
+    text = F.concat(
+        F.lit("# Company brief\n\n## "), F.col("entity"), F.lit(" "), F.col("period_year").cast("string"), F.lit("\n\n"), F.col("metrics"), F.lit("\n\n## Profit and cash flow\n\n- "),
+        F.coalesce("relation", F.lit("unavailable")), F.lit("\n\n## To be checked\n\n"), F.coalesce("todo", F.lit("- none")), F.lit("\n"),
+    )
+    return both.select("entity", "period_year", text.alias("brief"))
+
+
+def peer_brief(rows: DataFrame) -> DataFrame:
+    """A fixed line per group, year and metric: who leads whom by how much, ties and all, or why it cannot be compared."""
+    names = {side: F.array_join(F.array_sort(F.collect_list(F.when(F.col(side), F.col("entity")))), ", ") for side in ("leader", "laggard")}
+    sums = rows.groupBy("grp", "period_year", "metric").agg(F.first("comparable").alias("comparable"), F.first("note").alias("note"), names["leader"].alias("high"), names["laggard"].alias("low"), F.first("spread").alias("spread"))
+    said = F.when(~F.col("comparable"), F.concat(F.lit("not comparable: "), F.col("note"))).when(F.col("spread") == 0, F.concat(F.col("high"), F.lit(": equal"))).otherwise(F.concat(F.col("high"), F.lit(" above "), F.col("low"), F.lit(" by "), F.col("spread").cast("string")))
+    return sums.select("grp", "period_year", "metric", said.alias("line"))

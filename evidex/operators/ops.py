@@ -219,3 +219,42 @@ def unread(messages: DataFrame) -> DataFrame:
     sums = messages.groupBy("conv_id").agg(last.alias("last"), F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_response"))
     behind = messages.join(sums, "conv_id").groupBy("conv_id").agg(F.count_if((F.col("role") == "user") & (F.col("turn") > F.coalesce("last", F.lit(-1)))).alias("unread"), F.first("first_response").alias("first_response"))
     return behind
+
+
+def agent_queue(waiting: DataFrame, human: DataFrame, agent: str, kbs: list[str], everyone: bool = False, text: str = "") -> DataFrame:
+    """Waiting conversations and an agent's own (or all) of some knowledge bases that hold a text, unread first, then the newest."""
+    own = human if everyone else human.filter(F.col("agent") == agent)
+    both = waiting.unionByName(own).filter(F.col("kb_id").isin(kbs))
+    held = F.lit(False)
+    for c in ("title", "customer", "last_text"):
+        held = held | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return (both.filter(held) if text else both).orderBy(F.desc("unread"), F.desc("updated_at"))
+
+
+def remembered(memory: DataFrame, new: DataFrame, consent: DataFrame, as_of: str) -> DataFrame:
+    """Memories (owner, key, value, expires_at) after new ones: only of owners who consent, none that has expired."""
+    live = upserted(memory, new, ("owner", "key")).filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.to_timestamp(F.lit(as_of))))
+    return live.join(consent.filter("enabled").select("owner"), "owner", "left_semi")
+
+
+def authenticated(tokens: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
+    """(token, user_id, role) of tokens whose hash a user has and that have not expired."""
+    hashed = tokens.select("token", F.sha2(F.col("token").cast("binary"), 256).alias("token_hash"))
+    good = users.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.to_timestamp(F.lit(as_of))))
+    return hashed.join(good, "token_hash").select("token", "user_id", "role")
+
+
+def dashboard(**rows: DataFrame) -> DataFrame:
+    """One row of several one-row aggregates, each a struct."""
+    out = None
+    for name, df in rows.items():
+        one = df.select(F.struct(*df.columns).alias(name))
+        out = one if out is None else out.join(F.broadcast(one), how="cross")
+    return out
+
+
+def changed_sources(sources: DataFrame, contents: DataFrame) -> DataFrame:
+    """(id, sha256, state): new, unchanged or changed by the last known hash."""
+    both = sources.join(contents.select("id", F.sha2("content", 256).alias("sha256")), "id")
+    state = F.when(F.col("last_hash").isNull(), "new").when(F.col("last_hash") == F.col("sha256"), "unchanged").otherwise("changed")
+    return both.select("id", "sha256", state.alias("state"))

@@ -159,3 +159,14 @@ def metric_revisions(spark, sf_dir):
 @query()
 def company_export(spark, sf_dir):
     return metrics.company_markdown(metrics.compared(records(spark, sf_dir)))
+
+
+@query()
+def company_briefs(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return metrics.company_brief(metrics.compared(rows), metrics.relation(metrics.pivoted(metrics.latest(rows))), metrics.findings(rows))
+
+
+@query()
+def peer_briefs(spark, sf_dir):
+    return metrics.peer_brief(peer_comparison(spark, sf_dir))

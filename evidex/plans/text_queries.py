@@ -90,3 +90,25 @@ def claims_vs_facts(spark, sf_dir):
 def question_profiles(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.inline(F.array(retrieval.profile(F.col("text")))))
+
+
+@query()
+def table_blocks(spark, sf_dir):
+    """Blocks of all documents with the context that tables carry on, and the chunks that they make."""
+    from ..operators import blocks
+
+    rows = chunking.sections(documents(spark, sf_dir))
+    return blocks.flat_chunks(blocks.annotated(rows.select(F.col("doc"), "block_no", F.lit(None).cast("int").alias("page"), "section_path", "text", F.lit("").alias("doc_period"))))
+
+
+@query("""SELECT conv_id, turn, lower(text) LIKE '%2024%' AS dated, length(text) n FROM conversations WHERE role = 'user'""")
+def question_scan(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return c.select("conv_id", "turn", F.lower("text").contains("2024").alias("dated"), F.length("text").cast("long").alias("n"))
+
+
+@query()
+def numeric_claims(spark, sf_dir):
+    from ..operators import verify
+
+    return documents(spark, sf_dir).select("doc_id", F.inline(verify.numeric_claims("text")))
