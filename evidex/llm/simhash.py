@@ -29,6 +29,8 @@ WIDTH, SEED, RADIUS = 4, 42, 4
 BLOCK, TILE = 131_072, 256
 #: Hashes whose bits are counted at a time, and pairs of links held before they are merged.
 HASHES, PAIRS = 65_536, 1_000_000
+#: Parts that the rows of a large group are dealt to.
+SALTS = 32
 
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -155,16 +157,16 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # kept, so that adaptive execution can split a hot node's rows: both sides of the join are plain exchanges
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = keep(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         after = keep(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
         before, state = state, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(large)
-        release(now)
+        for old in (least, large, now):
+            release(old)
         now = after
         if state == before or not state[0]:
             break
@@ -177,9 +179,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = keep(with_fingerprints(df, id_col, text_col), "prints")
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     labels = components(fingerprint_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    known = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("grp"))
-    groups = known.groupBy("grp").agg(F.min("least").alias("component"))
-    named = known.select("fp", "grp").join(groups, "grp").select("fp", "grp", "component")
+    labels = keep(labels, "labels")
+    # a group of many fingerprints is one key here, so its rows are salted
+    salted = labels.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    groups = labels.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    grouped = salted.join(groups, ["root", "salt"]).select("fp", "root", "component", F.lit(True).alias("linked"))
+    named = nodes.join(grouped, "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
     return prints.join(named, "fp").select("id", "fp", "grp", "component")
 
 
