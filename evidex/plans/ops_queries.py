@@ -325,3 +325,11 @@ def version_numbers(spark, sf_dir):
 def presence_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     return c.join(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) n FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    """The windows that the stream counts, over the whole table."""
+    from ..streaming import jobs
+
+    return jobs.windowed(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

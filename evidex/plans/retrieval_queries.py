@@ -192,3 +192,10 @@ def recall_rank_buckets(spark, sf_dir):
 def fusion_trace(spark, sf_dir):
     both = F.count_if(F.col("vec_rank").isNotNull() & F.col("bm25_rank").isNotNull())
     return fused(spark, sf_dir).groupBy("query").agg(F.count("vec_rank").alias("n_vector"), F.count("bm25_rank").alias("n_lexical"), both.alias("n_both"))
+
+
+@query()
+def evidence_integrity(spark, sf_dir):
+    from ..operators import gates
+
+    return gates.integrity(questions(spark, sf_dir).select(F.col("query").alias("item"), F.col("text").alias("excerpt")), corpus(spark, sf_dir))
