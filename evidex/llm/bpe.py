@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, per_process
 
-STATES, MEMO, PAIRS = 200_000, 700_000, 1_000_000
+STATES, MEMO, PAIRS = 400_000, 1_000_000, 1_000_000
 NEVER = 1 << 62
 SHIFT, NODE, SEARCHED, HEAD = 20, (1 << 20) - 1, 64, 6
 
@@ -57,7 +57,9 @@ def compiled_pattern() -> re.Pattern:
             runs.append([c, c])
     odd = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in runs)
     space = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_{odd}]+| ?[\d{odd}]+| ?(?:[^{space}\w{odd}]|_)+|[{space}]+(?![^{space}])|[{space}]+")
+    # words of Latin letters, most of all, are found first by a small class
+    latin = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    return re.compile(rf" ?[{latin}]++(?!\w)| ?[^\W\d_{odd}]+|'(?:[stmd]|re|ve|ll)| ?[\d{odd}]+| ?(?:[^{space}\w{odd}]|_)+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 def merged(table: dict[bytes, int], piece: bytes) -> list[int]:
