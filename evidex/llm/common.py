@@ -9,14 +9,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Executors get the functions themselves, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["evidex"])
-
 #: Rows handled at a time inside a task: only so many texts are Python objects at once.
 SLICE = 128
 
@@ -43,6 +39,34 @@ def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.Str
     return df.select(*columns).mapInArrow(run, fields)
 
 
+def arrow_filter(df: DataFrame, column: str, start: Callable) -> DataFrame:
+    """The rows of ``df`` for which ``start()``'s function of a list of ``column`` gives true; other columns stay as they are, of any type."""
+    at, schema = df.columns.index(column), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = start()
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                yield part.filter(pa.array(wanted(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, schema)
+
+
+def arrow_replace(df: DataFrame, column: str, start: Callable) -> DataFrame:
+    """``df`` with ``column`` (a string) replaced by what ``start()``'s function makes of lists of it; other columns stay as they are."""
+    at, schema = df.columns.index(column), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = start()
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                yield part.set_column(at, part.schema.field(at), pa.array(change(part.column(at).to_pylist()), part.schema.field(at).type))
+
+    return df.mapInArrow(run, schema)
+
+
 def per_process(key: tuple, make: Callable):
     """What ``make()`` gave the first time in this Python process: tables outlive tasks, whose workers Spark reuses."""
     held = sys.modules.setdefault("_evidex_held", types.ModuleType("_evidex_held")).__dict__

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, per_process
+from .common import arrow_filter, arrow_map, per_process
 
 BUCKETS, ORDERS = 8192, 3
 PER_LANGUAGE, LANGUAGES = 600, 256
@@ -186,11 +186,10 @@ def with_language(df: DataFrame, model: Model, least: float, text_col: str = "te
     def start():
         judge = judging(model)
 
-        def step(*lists):
-            keep = [i for i, t in enumerate(lists[at]) if (r := judge(t))[0] != UNDETERMINED and r[1] >= least]
-            return [[x[i] for i in keep] for x in lists]
+        def wanted(texts):
+            found = map(judge, texts)
+            return [lang != UNDETERMINED and score >= least for lang, score in found]
 
-        return step
+        return wanted
 
-    at = df.columns.index(text_col)
-    return arrow_map(df, [F.col(f"`{c}`") for c in df.columns], start, df.schema)
+    return arrow_filter(df, text_col, start)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, per_process
+from .common import arrow_filter, arrow_map, per_process
 from .langid import fold_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -186,12 +186,6 @@ def good(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text"
 
     def start():
         of = per_process(("classes",), classes)
+        return lambda texts: model.scores(np.array([features(t, of) for t in texts])) >= least
 
-        def step(*lists):
-            s = model.scores(np.array([features(t, of) for t in lists[at]]))
-            return [[x[i] for i in np.nonzero(s >= least)[0]] for x in lists]
-
-        return step
-
-    at = df.columns.index(text_col)
-    return arrow_map(df, [F.col(f"`{c}`") for c in df.columns], start, df.schema)
+    return arrow_filter(df, text_col, start)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, arrow_replace
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 16 << 20
@@ -232,12 +232,6 @@ def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with each secret in ``text_col`` replaced by a mask; all other columns as they are."""
 
     def start():
-        def step(*lists):
-            lists = list(lists)
-            lists[at] = [masked(t, scan(t)[1]) for t in lists[at]]
-            return lists
+        return lambda texts: [masked(t, scan(t)[1]) for t in texts]
 
-        return step
-
-    at = df.columns.index(text_col)
-    return arrow_map(df, [F.col(f"`{c}`") for c in df.columns], start, df.schema)
+    return arrow_replace(df, text_col, start)

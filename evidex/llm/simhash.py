@@ -20,9 +20,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import arrow_map, keep, parallelism, release
+from .common import arrow_map, arrow_replace, keep, parallelism, release
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block, and in a tile.
@@ -51,6 +50,10 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(ends), bitorder="little").view(np.uint64)[0])
 
 
+def as_signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp as a signed long."""
 
@@ -202,12 +205,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     named = df.join(stay, id_col, "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     # rows without an id cannot be told apart by it: those of groups where none has one are found by fingerprint
     whole = df.filter(F.col(id_col).isNull())
-    at = df.columns.index(text_col)
-
-    def start():
-        return lambda *lists: [*lists, np.array([fingerprint(t) for t in lists[at]], np.uint64).view(np.int64).tolist()]
-
-    printed = arrow_map(whole, [F.col(f"`{c}`") for c in df.columns], start, T.StructType([*df.schema.fields, T.StructField("_fp", T.LongType())]))
+    printed = whole.withColumn("_fp", F.col(text_col)).transform(lambda d: arrow_replace(d, "_fp", lambda: lambda texts: [str(as_signed(fingerprint(t))) for t in texts]))
+    printed = printed.withColumn("_fp", F.col("_fp").cast("long"))
     bare = groups.filter("component IS NULL").groupBy("fp").agg(F.min("grp").alias("_grp")).withColumnRenamed("fp", "_fp")
     any_of = Window.partitionBy("_grp").orderBy("_fp")
     unnamed = printed.join(bare, "_fp").withColumn("_n", F.row_number().over(any_of)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -26,7 +26,8 @@ def docs(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     for name in ("id", "fp", "grp", "component", "length", "bucket", "n", "b", "v", "score", "rank"):
         df = df.withColumn(name, F.lit("clash"))
-    return df
+    # columns of any type pass through
+    return df.withColumn("extra", F.expr("named_struct('m', map('k', timestamp'2024-01-01 00:00:00'), 'd', CAST(1.5 AS DECIMAL(9,2)))"))
 
 
 @pytest.fixture(scope="session")
