@@ -190,7 +190,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = salted.join(groups, ["root", "salt"]).select("fp", "root", "component", F.lit(True).alias("linked"))
     named = nodes.join(grouped, "fp", "left")
     named = named.select("fp", F.coalesce("root", "fp").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "grp", "component")
+    # kept, so that both sides are plain exchanges and the rows of a hot fingerprint can be split
+    return prints.join(keep(named, "named"), "fp").select("id", "fp", "grp", "component")
 
 
 def as_hex(fp) -> F.Column:
