@@ -5,8 +5,9 @@ characters are hashed to ``BUCKETS``, and counts become log(1 + count) * idf, of
 learned by follow-the-regularised-leader with L1 and L2 penalties, document by document; a temperature is
 then fitted on a fifth of the sample that the weights never saw.
 
-The sample is bounded: about ``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, drawn
-by a hash of the id at a rate that follows each language's count, so nothing is shuffled or sorted for it.
+The sample is bounded: about ``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, and about
+``SAMPLE`` in all, drawn by a hash of the id at a rate that follows each language's count, so nothing is
+shuffled or sorted for it.
 Its feature vectors are made on executors and only these reach the driver; the model is
 ``BUCKETS`` x languages numbers. Scoring is a map over all whole texts.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_filter, arrow_map, per_process
 
 BUCKETS, ORDERS = 8192, 3
-PER_LANGUAGE, LANGUAGES = 600, 256
+PER_LANGUAGE, LANGUAGES, SAMPLE = 600, 256, 6000
 FOLDS, HELD_OUT = 4, 2
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
 UNDETERMINED = "und"
@@ -71,13 +72,14 @@ class Model:
     weights: np.ndarray  # languages x (buckets and 1)
     temperature: float = 1.0
 
-    def vector(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.nonzero(c)[0]
-        x = np.log1p(c[at]) * self.idf[at]
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a text with n n-grams in each bucket ``at``: buckets and values, and the constant."""
+        x = np.log1p(n) * self.idf[at]
         return np.append(at, BUCKETS), np.append(x / max(np.linalg.norm(x), 1e-12), 1.0)
 
     def chances(self, c: np.ndarray) -> np.ndarray:
-        at, x = self.vector(c)
+        at = np.nonzero(c)[0]
+        at, x = self.vector(at, c[at])
         return _softmax(self.weights[:, at] @ x / self.temperature)
 
 
@@ -86,15 +88,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[int, str, np.ndarray]]) -> Model:
-    """rows: (a hash that orders and splits them, language, counts)."""
+def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]]) -> Model:
+    """rows: (a hash that orders and splits them, language, buckets, counts)."""
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     names = sorted({r[1] for r in rows})
-    seen = sum((r[2] > 0).astype(np.int64) for r in rows) if rows else np.zeros(BUCKETS)
+    seen = np.bincount(np.concatenate([r[2] for r in rows]), minlength=BUCKETS) if rows else np.zeros(BUCKETS)
     model = Model(names, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((len(names), BUCKETS + 1)))
     if not rows:
         return model
-    data = [(names.index(r[1]), *model.vector(r[2])) for r in rows]
+    data = [(names.index(r[1]), *model.vector(r[2], r[3])) for r in rows]
     learn = [d for i, d in enumerate(data) if i % 5] or data
     z, n, w = (np.zeros_like(model.weights) for _ in range(3))
     for _ in range(EPOCHS):
@@ -129,7 +131,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return fit([])
     draw = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1, PER_LANGUAGE / r["count"]) * (1 << 40)))])
+    each = min(PER_LANGUAGE, SAMPLE // len(sizes))
+    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1, each / r["count"]) * (1 << 40)))])
     some = usable.filter(draw < F.element_at(rate, F.col(lang_col)))
 
     def start():
@@ -143,12 +146,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return step
 
     made = arrow_map(some, [draw.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")], start, "k long, lang string, at array<int>, n array<long>")
-    rows = []
-    for r in made.dropDuplicates(["k", "lang"]).toLocalIterator():  # of rows that share an id, one; the sample is bounded
-        c = np.zeros(BUCKETS, np.int64)
-        c[r["at"]] = r["n"]
-        rows.append((r["k"], r["lang"], c.astype(np.int32)))
-    return fit(rows)
+    rows = made.dropDuplicates(["k", "lang"]).collect()  # of rows that share an id, one; the sample is bounded
+    return fit([(r["k"], r["lang"], np.array(r["at"], np.int32), np.array(r["n"], np.int64)) for r in rows])
 
 
 def identified(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
