@@ -12,13 +12,16 @@ HAN = "[\\u4e00-\\u9fff]"
 
 def tokens(text: Column) -> Column:
     """Search terms in order, repeats included: runs of a-z and 0-9; each two neighbours of a Han run, then the run."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({HAN}+|[0-9a-z]+)"), 1)
+    low = F.lower(F.coalesce(text, F.lit("")))
 
     def parts(run):
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
-        return F.when(run.rlike(f"^{HAN}{{2,}}$"), F.concat(pairs, F.array(run))).otherwise(F.array(run))
+        return F.when(run.rlike(f"^{HAN}"), F.concat(pairs, F.array(run))).otherwise(F.array(run))
 
-    return F.filter(F.flatten(F.transform(runs, parts)), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    runs = F.regexp_extract_all(low, F.lit(f"({HAN}{{2,}}|[0-9a-z]{{2,}})"), 1)
+    mixed = F.filter(F.flatten(F.transform(runs, parts)), lambda t: ~t.isin(STOP_WORDS))
+    # no stop word is without Han characters, so other texts need no look at each term
+    return F.when(low.rlike(HAN), mixed).otherwise(F.regexp_extract_all(low, F.lit("([0-9a-z]{2,})"), 1))
 
 
 # What is hidden, in this order, and what stands in its place.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, tokens
+from ..tables import keep, spread
 
 RRF_K, BM25_WEIGHT = 60, 0.5
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,7 +21,7 @@ GATE, FAQ = 0.5, 0.8
 
 def term_counts(corpus: DataFrame) -> DataFrame:
     """(chunk, term, tf, length): length in terms, repeats included."""
-    t = corpus.select("chunk", tokens(F.col("text")).alias("terms"))
+    t = spread(corpus.select("chunk", "text")).select("chunk", tokens(F.col("text")).alias("terms"))
     return t.select("chunk", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -28,10 +29,12 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, counts: DataFrame | None
     """(query, chunk, score, rank from 0): the k best chunks of each query with a score above zero.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes EPSILON times the mean over all terms.
-    Query terms count as often as they occur.
+    Query terms count as often as they occur. ``counts``: an index kept from before; without one it is
+    made and kept here, since the statistics and the scores both read it.
     """
-    counts = term_counts(corpus) if counts is None else counts
-    size = corpus.select("chunk", F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avgdl"))
+    counts = keep(term_counts(corpus), "terms") if counts is None else counts
+    docs, terms = corpus.agg(F.count("*").alias("n_docs")), counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_terms"))
+    size = docs.join(F.broadcast(terms), how="cross").select("n_docs", F.try_divide("n_terms", "n_docs").alias("avgdl"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size), how="cross")
     idf = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
@@ -215,4 +218,4 @@ def containing(corpus: DataFrame, targets: DataFrame) -> DataFrame:
     looked for in it.
     """
     t = F.broadcast(targets.select("item", squeezed(F.col("text")).alias("needle")).filter("needle <> ''"))
-    return corpus.select("doc", squeezed(F.col("text")).alias("hay")).join(t, F.col("hay").contains(F.col("needle"))).select("item", "doc")
+    return spread(corpus.select("doc", "text")).select("doc", squeezed(F.col("text")).alias("hay")).join(t, F.col("hay").contains(F.col("needle"))).select("item", "doc")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, ops, retrieval
+from ..tables import spread
 from .registry import query, table
 
 
@@ -21,7 +22,7 @@ def chunk_fixed_windows(spark, sf_dir):
 @query()
 def chunk_greedy(spark, sf_dir):
     """Whole lines packed greedily: these documents have no blank lines, so a line is the unit."""
-    return chunking.chunks(documents(spark, sf_dir), chunking.packed(F.col("text"), separator="\\n")).select("doc", "chunk_index", "text", "previous_chunk", "next_chunk")
+    return chunking.chunks(spread(documents(spark, sf_dir)), chunking.packed(F.col("text"), separator="\\n")).select("doc", "chunk_index", "text", "previous_chunk", "next_chunk")
 
 
 @query()
@@ -47,13 +48,13 @@ def email_redaction(spark, sf_dir):
 
 @query()
 def pii_redaction(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.redacted(F.col("text")).alias("text"))
+    return spread(documents(spark, sf_dir)).select("doc_id", text.redacted(F.col("text")).alias("text"))
 
 
 @query("""WITH t AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(text), '[0-9a-z]+'), lambda t: length(t) > 1)) term FROM documents)
           SELECT lang, term, count(*) n FROM t GROUP BY ALL""")
 def term_frequencies(spark, sf_dir):
-    return documents(spark, sf_dir).select("lang", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return spread(documents(spark, sf_dir)).select("lang", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(20,6)) v FROM orders)
