@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.llm import langid, packing, quality, secret_scan, simhash
-from evidex.llm.common import keep
+from evidex.llm.common import keep, spread
 
 #: The least score of a language, and of quality, with which a document stays.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -1,11 +1,9 @@
-"""Shared plumbing: Arrow row maps with bounded memory, and tables kept in the shared folder."""
+"""Shared plumbing: Arrow row maps with bounded memory, tables of a process, tables kept in the shared folder."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..tables import keep, release, shared_dir, spread  # noqa: F401  for the operators here
+
 #: Rows handled at a time inside a task: only so many texts are Python objects at once.
 SLICE = 128
 
@@ -76,37 +76,5 @@ def per_process(key: tuple, make: Callable):
     return held[name]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidex-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts the lineage and outlives any executor. The files go when the JVM ends, or earlier
-    by :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._evidex_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a kept table that no later step reads."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df._evidex_path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
