@@ -2,7 +2,8 @@
 
 Records: entity, period_year int, period_type, scope, metric, value decimal(20,6), status, updated_at, id.
 Every step is an aggregation or a join on (entity, metric): partial aggregation before the shuffle, no
-ordering beyond a key.
+ordering beyond a key. Latest records that a comparison reads more than once are kept, so that what they are
+made from is scanned once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
+from ..tables import keep
 
 #: The five metrics in their order.
 METRICS = ("revenue", "net_profit_parent", "operating_cash_flow", "total_assets", "total_liabilities")
@@ -31,8 +33,8 @@ def pivoted(records: DataFrame, metrics=METRICS) -> DataFrame:
 
 def compared(records: DataFrame) -> DataFrame:
     """Each latest record with that of the year before: comparable, change_amount, change_rate, note."""
-    cur, prev = latest(records), latest(records)
-    prev = prev.select("entity", (F.col("period_year") + 1).alias("period_year"), "metric", *[F.col(c).alias(f"prev_{c}") for c in ("value", "period_type", "scope")], F.lit(True).alias("found"))
+    cur = keep(latest(records), "latest")  # read twice, and small beside the records
+    prev = cur.select("entity", (F.col("period_year") + 1).alias("period_year"), "metric", *[F.col(c).alias(f"prev_{c}") for c in ("value", "period_type", "scope")], F.lit(True).alias("found"))
     both = cur.join(prev, ["entity", "period_year", "metric"], "left")
     note = (
         F.when(F.col("found").isNull(), "no comparison record")
@@ -64,7 +66,7 @@ def peers(records: DataFrame, groups: DataFrame) -> DataFrame:
     none of its peers lacks it, no record is in conflict or failed, and period types and scopes agree, in
     that order of precedence. A bar is the share of the largest magnitude.
     """
-    best = latest(records)
+    best = keep(latest(records), "latest")
     wanted = groups.join(best.select("entity", "period_year").distinct(), "entity")
     wanted = wanted.select("grp", "period_year").distinct().join(groups, "grp")
     names = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
@@ -90,7 +92,7 @@ def peers(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def findings(records: DataFrame) -> DataFrame:
     """Coded findings of each entity and year, one row each: duplicates, missing or empty current and comparison metrics, mismatches, zero bases."""
-    best = latest(records)
+    best = keep(latest(records), "latest")
     names = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
     grid = best.select("entity", "period_year").distinct().select("entity", "period_year", names)
     own = best.select("entity", "period_year", "metric", "value", "period_type", "scope", "duplicate", F.lit(True).alias("found"))

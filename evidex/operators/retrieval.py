@@ -52,10 +52,11 @@ def ranked(scores: DataFrame, k: int, tie: str = "chunk") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
 
+def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -64,8 +65,11 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | No
 
     ``queries`` (query, vec) is a small, stated set: it is what is sent to every partition.
     """
-    pairs = vectors.select("chunk", F.col("vec").alias("v")).join(F.broadcast(queries.select("query", "vec")), how="cross")
-    scores = pairs.select("query", "chunk", F.round(cosine(F.col("v"), F.col("vec")), 6).alias("score"))
+    # lengths are taken once a vector, not once a pair
+    own = spread(vectors.select("chunk", F.col("vec").alias("v"))).withColumn("length", F.sqrt(dot(F.col("v"), F.col("v"))))
+    asked = queries.select("query", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("q_length"))
+    pairs = own.join(F.broadcast(asked), how="cross")
+    scores = pairs.select("query", "chunk", F.round(dot(F.col("v"), F.col("vec")) / (F.col("length") * F.col("q_length")), 6).alias("score"))
     return ranked(scores.filter(F.col("score") >= least) if least is not None else scores, k)
 
 
