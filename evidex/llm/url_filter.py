@@ -29,7 +29,7 @@ MAX_LISTED = 1_000_000
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Domains that are blocked where no rule fits.
-BLOCKED = ("casino-win.example.com", "casino-win.example.net", "casino-win.example.org")
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
 def host_of(url: Column) -> Column:
