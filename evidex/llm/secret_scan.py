@@ -1,25 +1,28 @@
 """Secret scans by a worklist of decoded layers.
 
 A text is the first layer. Each layer is scanned, then searched for percent escapes, Unicode escapes and
-base64 runs; what these hold (after any compression is undone) becomes a further layer, until none is
-left. A layer met before at the same place is not searched again, which ends cycles such as archives that
-hold themselves. A layer carries the place in the text of each of its characters, so a span found
-anywhere is reported as the part of the text that encodes it.
-
+base64 runs; what these hold becomes a further layer, and so does what any compressed part of a decoded
+layer holds, until none is left. A layer met before at the same place is not searched again, which ends
+cycles such as archives that hold themselves. A layer carries the place in the text of each of its
+characters, so a span found anywhere is reported as the part of the text that encodes it. Patterns are
+ASCII, so layers are bytes: one for each character of the text, any other than Latin-1 being a "?".
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty
-table gives an empty table; other columns are not read. A compressed layer is unpacked up to
-``MAX_LAYER`` bytes; one that is longer is counted in ``cut_layers``, so nothing is dropped in silence.
-All work is local to a row: no shuffle, and memory is bounded by the longest text and ``MAX_LAYER``.
+table gives an empty table; other columns are not read. Every byte of every layer is scanned. One of
+more than ``MAX_LAYER`` bytes is unpacked to a temporary file and scanned there; ``cut_layers`` counts these.
+All work is local to a row: no shuffle. Memory is bounded by the longest text and ``MAX_LAYER``, the time
+and the temporary file by what the layers of a text unpack to.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -29,81 +32,127 @@ from pyspark.sql import functions as F
 from .common import arrow_map, arrow_replace
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 16 << 20
+#: Bytes of a layer held in memory, and bytes handled at a time.
+MAX_LAYER, CHUNK = 16 << 20, 1 << 20
 MASK = "[SECRET]"
 
 _WORDS = "password passwd secret token api_?key".split()
 _EITHER = "|".join(re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", w) for w in _WORDS)
-ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(rf"""({_EITHER})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".encode())
 #: A match of AKIA[A-Z0-9]+ or [0-9a-f]+ is a whole run, so the least length can stand in the pattern.
-ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
-HEX = re.compile(r"[0-9a-f]{24,}")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(rb"[0-9a-f]{24,}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(
-    r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
+    rb"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_BINARY = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+_URL = bytes.maketrans(b"-_", b"+/")
+#: First bytes of gzip, zlib, bzip2 and xz.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+_BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
+def base_spans(text: bytes):
     """(start, kind's number, end) of each kind's leftmost matches that do not overlap."""
-    out = []
-    low = text.lower()
-    if "passw" in low or "secret" in low or "token" in low or "api" in low:
-        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    if "AKIA" in text:
-        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    return out
+    low = text.lower() if isinstance(text, bytes) else None
+    if low is None or b"passw" in low or b"secret" in low or b"token" in low or b"api" in low:
+        yield from ((m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6)
+    yield from ((m.start(), 1, m.end()) for m in ACCESS.finditer(text))
+    yield from ((m.start(), 2, m.end()) for m in HEX.finditer(text))
+
+
+class Spool:
+    """Bytes put together: in memory up to MAX_LAYER, else in a temporary file."""
+
+    def __init__(self):
+        self.parts, self.size, self.file = [], 0, None
 
+    def add(self, part: bytes) -> None:
+        self.size += len(part)
+        if self.file is None and self.size > MAX_LAYER:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(b"".join(self.parts))
+            self.parts = []
+        self.file.write(part) if self.file else self.parts.append(part)
 
-def _unescape(match: str) -> str | None:
+    def done(self) -> bytes | mmap.mmap:
+        if self.file is None:
+            return b"".join(self.parts)
+        with self.file as f:
+            f.flush()
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _unescape(match: str) -> bytes | None:
     """The characters of one Unicode escape, None if there are none such."""
     if match[0] == "&":
         code = int(match[3:-1], 16) if match[2] in "xX" else int(match[2:-1])
     elif len(match) == 12 and match[6:8] == "\\u":
-        return (bytes.fromhex(match[2:6]) + bytes.fromhex(match[8:])).decode("utf-16-be")
+        return b"?"
     else:
         code = int(match[2:].strip("{}"), 16)
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    return chr(code).encode("latin-1", "replace") if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _escapes(text: str, percent: bool):
+def _escapes(text: bytes, percent: bool):
     """(start, end, decoded, places): places are each decoded character's start and end in the text."""
     if not percent:
         for m in UNICODE.finditer(text):
-            if (c := _unescape(m[0])) is not None:
+            if (c := _unescape(m[0].decode())) is not None:
                 yield m.start(), m.end(), c, [m.span()]
         return
     for m in PERCENT.finditer(text):
         try:
-            s = bytes.fromhex(m[0].replace("%", "")).decode()
+            s = bytes.fromhex(m[0].replace(b"%", b"").decode())
+            s.decode()
         except UnicodeDecodeError:
             continue
-        at, places = m.start(), []
-        for c in s:
-            places.append((at, at := at + 3 * len(c.encode())))
-        yield *m.span(), s, places
+        yield *m.span(), s, [(k, k + 3) for k in range(m.start(), m.end(), 3)]
 
 
 class Layer:
     """A text with, for each character, the start and end of what encodes it in the first text.
 
-    ``own`` marks the characters that decoding made; None: all of them.
+    ``own`` marks the characters that decoding made; None: all of them. ``flat`` is the place of every
+    character if it is the same for all, as in what was compressed.
     """
 
-    __slots__ = ("ends", "own", "starts", "text")
+    __slots__ = ("close", "ends", "flat", "own", "starts", "text")
 
-    def __init__(self, text, starts=None, ends=None, own=None):
-        self.text, self.starts, self.ends, self.own = text, starts, ends, own
+    def __init__(self, text, starts=None, ends=None, own=None, flat=None, close=None):
+        self.text, self.starts, self.ends, self.own, self.flat, self.close = text, starts, ends, own, flat, close
 
     def place(self, start: int, end: int) -> tuple[int, int]:
+        if self.flat is not None:
+            return self.flat
         return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
+    def spans(self):
+        """(start, kind's number, end) in the first text of what decoding brought to light."""
+        if self.flat is not None:  # one of each kind is all that can differ
+            return {(self.flat[0], k, self.flat[1]) for k, found in enumerate(self.kinds()) if found}
+        return {(p[0], k, p[1]) for s, k, e in base_spans(self.text) if (self.own is None or self.own[s:e].any()) and (p := self.place(s, e))}
+
+    def kinds(self):
+        t = self.text
+        return any(m.end(2) - m.start(2) >= 6 for m in ASSIGN.finditer(t)), ACCESS.search(t), HEX.search(t)
+
     def unescaped(self, percent: bool) -> Layer | None:
         """The whole layer with its escapes undone."""
+        if self.flat is not None:
+            out, at = Spool(), 0
+            for lo, hi, decoded, _ in _escapes(self.text, percent):
+                for k in range(at, lo, CHUNK):
+                    out.add(self.text[k : min(lo, k + CHUNK)])
+                out.add(decoded)
+                at = hi
+            if not at:
+                return None
+            for k in range(at, len(self.text), CHUNK):
+                out.add(self.text[k : k + CHUNK])
+            return Layer(out.done(), flat=self.flat)
         parts, starts, ends, own, at = [], [], [], [], 0
         s, e = (self.starts, self.ends) if self.starts is not None else (np.arange(len(self.text)), np.arange(1, len(self.text) + 1))
         for lo, hi, decoded, places in _escapes(self.text, percent):
@@ -115,83 +164,121 @@ class Layer:
         if not parts:
             return None
         tail = len(self.text) - at
-        return Layer("".join([*parts, self.text[at:]]), np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]), np.concatenate([*own, np.zeros(tail, bool)]))
+        return Layer(b"".join([*parts, self.text[at:]]), np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]), np.concatenate([*own, np.zeros(tail, bool)]))
 
-    def packed(self, cut: list[int]):
+    def nested(self):
+        """What the layer's escapes, base64 runs and compressed parts hold."""
+        for percent, sign in ((True, rb"%"), (False, rb"\\|&#")):
+            if re.search(sign, self.text) and (new := self.unescaped(percent)) is not None:
+                yield new
+        yield from self.decoded()
+
+    def decoded(self):
         """A layer for each base64 run that holds text, compressed or not."""
         for m in BASE64.finditer(self.text):
-            run = m[0].rstrip("=")
-            if len(run) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-            except binascii.Error:
+            start, end = m.span()
+            size = end - start - (self.text[end - 1] == 61) - (self.text[end - 2] == 61)
+            if size % 4 == 1:
                 continue
-            plain, seen = data, {data}
-            while (more := inflate(plain, cut)) is not None and more not in seen:
-                seen.add(plain := more)
-            try:
-                text = plain.decode()
-            except UnicodeDecodeError:
+            data = _digits(self.text, start, start + size, 0)
+            plain, seen = data, {hashlib.sha256(data).digest()}
+            while (more := inflate(plain)) is not None and (key := hashlib.sha256(more).digest()) not in seen:
+                seen.add(key)
+                plain = more
+            if not is_text(plain):
                 continue
-            if not text or _BINARY.search(text):
-                continue
-            if plain is data:  # a byte lies in known base64 digits
-                sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-                last = np.cumsum(sizes)
-                lo, hi = m.start() + (last - sizes) * 4 // 3, m.start() + np.minimum(-(-last * 4 // 3), len(run))
+            if plain is data and self.flat is None:  # a byte lies in known base64 digits
+                last = np.arange(1, len(data) + 1)
+                lo, hi = start + (last - 1) * 4 // 3, start + np.minimum(-(-last * 4 // 3), size)
+                yield Layer(plain, lo, hi) if self.starts is None else Layer(plain, self.starts[lo], self.ends[hi - 1])
             else:
-                lo, hi = np.full(len(text), m.start()), np.full(len(text), m.end())
-            if self.starts is not None:
-                lo, hi = self.starts[lo], self.ends[hi - 1]
-            yield Layer(text, lo, hi)
-
-
-def inflate(data: bytes, cut: list[int]) -> bytes | None:
-    """What one compression holds: gzip, zlib, bzip2 or xz; None if it is none of these."""
-    if data[:2] == b"\x1f\x8b":
-        made = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-        made = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        made = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        made = lzma.LZMADecompressor()
+                yield Layer(plain, flat=self.place(start, end))
+
+
+def is_text(data) -> bool:
+    """Whether all is UTF-8 without control characters."""
+    if not len(data) or _BINARY.search(data):
+        return False
+    read = codecs.getincrementaldecoder("utf-8")()
+    try:
+        for k in range(0, len(data), CHUNK):
+            read.decode(data[k : k + CHUNK])
+        read.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _digits(text, lo: int, hi: int, skip: int) -> bytes | mmap.mmap:
+    """The bytes of the base64 digits of text[lo:hi], in either alphabet, behind the first ``skip``."""
+    out, rest = Spool(), b""
+    for k in range(lo, hi, CHUNK):
+        rest += text[k : min(hi, k + CHUNK)].translate(_URL, b" \t\r\n=")[skip if k == lo else 0 :]
+        whole = len(rest) // 4 * 4
+        out.add(binascii.a2b_base64(rest[:whole]))
+        rest = rest[whole:]
+    if len(rest) > 1:
+        out.add(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
+    return out.done()
+
+
+def _member(data, at: int, sign: bytes, end: list[int]):
+    """The bytes of the compression that starts at ``at`` with ``sign``, a chunk at a time; its end goes to ``end`` if it has one."""
+    if sign[:1] in b"\x1f\x78":
+        made, fed = zlib.decompressobj(31 if sign[0] == 0x1F else 15), b""
+        while not made.eof:
+            if not fed:
+                fed = data[at : at + CHUNK]
+                at += len(fed)
+                if not fed:
+                    yield made.flush()
+                    return
+            part, fed = made.decompress(fed, CHUNK), made.unconsumed_tail
+            yield part
     else:
+        made = bz2.BZ2Decompressor() if sign[:1] == b"B" else lzma.LZMADecompressor()
+        while not made.eof:
+            fed = data[at : at + CHUNK] if made.needs_input else b""
+            at += len(fed)
+            if made.needs_input and not fed:
+                return
+            yield made.decompress(fed, CHUNK)
+    end.append(at - len(made.unused_data))
+
+
+def inflate(data) -> bytes | mmap.mmap | None:
+    """All that one compression holds: gzip, zlib, bzip2 or xz; None if it is none of these."""
+    if not (m := PACKED.match(data)):
         return None
+    out = Spool()
     try:
-        out = made.decompress(data, MAX_LAYER)
+        for part in _member(data, 0, m[0], []):
+            out.add(part)
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
         return None
-    cut[0] += not made.eof and len(out) >= MAX_LAYER
-    return out
+    return out.done()
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base spans and all spans, sorted, as (start, kind's number, end); decoded layers; layers cut short."""
-    text = text or ""
+    """Base spans and all spans, sorted, as (start, kind's number, end); decoded layers; layers of more than MAX_LAYER bytes."""
+    text = (text or "").encode("latin-1", "replace")
     base = sorted(base_spans(text))
-    found, cut, work, layers = set(base), [0], [Layer(text)], 0
-    met = {(text, 0, len(text))}
+    found, work, layers, large = set(base), [Layer(text)], 0, 0
+    met = {(text, (0, len(text)))}
     while work:
         layer = work.pop()
-        t, nested = layer.text, []
-        if "%" in t:
-            nested.append(layer.unescaped(True))
-        if "\\" in t or "&#" in t:
-            nested.append(layer.unescaped(False))
-        nested += layer.packed(cut)
-        for new in nested:
-            if new is None or not new.text or (key := (new.text, int(new.starts[0]), int(new.ends[-1]))) in met:
+        for new in layer.nested():
+            if not new.text:
+                continue
+            key = (new.text if isinstance(new.text, bytes) else hashlib.sha256(new.text).digest(), new.place(0, len(new.text)))
+            if key in met:
                 continue
             met.add(key)
             layers += 1
-            for s, kind, e in base_spans(new.text):
-                if new.own is None or new.own[s:e].any():
-                    lo, hi = new.place(s, e)
-                    found.add((lo, kind, hi))
+            large += len(new.text) > MAX_LAYER
+            found |= new.spans()
             work.append(new)
-    return base, sorted(found), layers, cut[0]
+    return base, sorted(found), layers, large
 
 
 def written(spans) -> str:
@@ -211,7 +298,7 @@ def masked(text: str | None, spans, mask: str = MASK) -> str | None:
 
 
 def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex (of base spans), base_sha256, spans (all), n_layers, cut_layers."""
+    """doc_id, n_assign, n_access, n_hex (of base spans), base_sha256, spans (all), n_layers, cut_layers (layers kept in a file)."""
 
     def start():
         def step(ids, texts):

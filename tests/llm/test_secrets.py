@@ -74,6 +74,14 @@ def test_cycles_and_bombs_end():
     assert covered(deep)[0]
 
 
+def test_layers_are_read_whole_however_long():
+    for filler in (b"x y ", "é, ".encode()):
+        code = base64.b64encode(zlib.compress(filler * (s.MAX_LAYER // len(filler) + 1) + b" token=abcdef123456")).decode()
+        assert covered(f"a {code} b") == ([code], covered(f"a {code} b")[1], 1)
+        assert s.masked(f"a {code} b", s.scan(f"a {code} b")[1]) == "a [SECRET] b"
+
+
+
 def test_masking():
     assert s.masked("a token=abcdefgh b", s.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
     assert s.masked(None, []) is None and s.masked("x", []) == "x"
