@@ -6,6 +6,7 @@ layer holds, until none is left. A layer met before at the same place is not sea
 cycles such as archives that hold themselves. A layer carries the place in the text of each of its
 characters, so a span found anywhere is reported as the part of the text that encodes it. Patterns are
 ASCII, so layers are bytes: one for each character of the text, any other than Latin-1 being a "?".
+A layer need not be text, and compressed parts are found anywhere in it, one behind the other being read as one.
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty table; other columns are not read. Every byte of every layer is scanned. One of
 more than ``MAX_LAYER`` bytes is unpacked to a temporary file and scanned there; ``cut_layers`` counts these.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import binascii
 import bz2
-import codecs
 import hashlib
 import lzma
 import mmap
@@ -51,7 +51,6 @@ BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URL = bytes.maketrans(b"-_", b"+/")
 #: First bytes of gzip, zlib, bzip2 and xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
-_BINARY = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 def base_spans(text: bytes):
@@ -104,12 +103,7 @@ def _escapes(text: bytes, percent: bool):
                 yield m.start(), m.end(), c, [m.span()]
         return
     for m in PERCENT.finditer(text):
-        try:
-            s = bytes.fromhex(m[0].replace(b"%", b"").decode())
-            s.decode()
-        except UnicodeDecodeError:
-            continue
-        yield *m.span(), s, [(k, k + 3) for k in range(m.start(), m.end(), 3)]
+        yield *m.span(), bytes.fromhex(m[0].replace(b"%", b"").decode()), [(k, k + 3) for k in range(m.start(), m.end(), 3)]
 
 
 class Layer:
@@ -172,41 +166,30 @@ class Layer:
             if re.search(sign, self.text) and (new := self.unescaped(percent)) is not None:
                 yield new
         yield from self.decoded()
+        past = 0
+        for m in () if self.starts is self.flat is None else PACKED.finditer(self.text):  # not in the text itself
+            if m.start() >= past:
+                inner, end = unpacked(self.text, m.start())
+                past = end or 0
+                lo, hi = self.place(m.start(), end or len(self.text))
+                yield Layer(inner, flat=(lo, self.close if self.close and past in (0, len(self.text)) else hi))
 
     def decoded(self):
-        """A layer for each base64 run that holds text, compressed or not."""
+        """A layer for each base64 run, of text or not."""
         for m in BASE64.finditer(self.text):
             start, end = m.span()
             size = end - start - (self.text[end - 1] == 61) - (self.text[end - 2] == 61)
             if size % 4 == 1:
                 continue
             data = _digits(self.text, start, start + size, 0)
-            plain, seen = data, {hashlib.sha256(data).digest()}
-            while (more := inflate(plain)) is not None and (key := hashlib.sha256(more).digest()) not in seen:
-                seen.add(key)
-                plain = more
-            if not is_text(plain):
+            if self.flat is not None:
+                yield Layer(data, flat=self.flat)
                 continue
-            if plain is data and self.flat is None:  # a byte lies in known base64 digits
-                last = np.arange(1, len(data) + 1)
-                lo, hi = start + (last - 1) * 4 // 3, start + np.minimum(-(-last * 4 // 3), size)
-                yield Layer(plain, lo, hi) if self.starts is None else Layer(plain, self.starts[lo], self.ends[hi - 1])
-            else:
-                yield Layer(plain, flat=self.place(start, end))
-
-
-def is_text(data) -> bool:
-    """Whether all is UTF-8 without control characters."""
-    if not len(data) or _BINARY.search(data):
-        return False
-    read = codecs.getincrementaldecoder("utf-8")()
-    try:
-        for k in range(0, len(data), CHUNK):
-            read.decode(data[k : k + CHUNK])
-        read.decode(b"", True)
-    except UnicodeDecodeError:
-        return False
-    return True
+            # a byte lies in known base64 digits
+            last = np.arange(1, len(data) + 1)
+            lo, hi = start + (last - 1) * 4 // 3, start + np.minimum(-(-last * 4 // 3), size)
+            close = self.place(start, end)[1]
+            yield Layer(data, lo, hi, close=close) if self.starts is None else Layer(data, self.starts[lo], self.ends[hi - 1], close=close)
 
 
 def _digits(text, lo: int, hi: int, skip: int) -> bytes | mmap.mmap:
@@ -246,17 +229,20 @@ def _member(data, at: int, sign: bytes, end: list[int]):
     end.append(at - len(made.unused_data))
 
 
-def inflate(data) -> bytes | mmap.mmap | None:
-    """All that one compression holds: gzip, zlib, bzip2 or xz; None if it is none of these."""
-    if not (m := PACKED.match(data)):
-        return None
-    out = Spool()
+def unpacked(data, at: int) -> tuple[bytes | mmap.mmap, int | None]:
+    """What the compression at ``at`` and those joined to it hold, as far as they can be read, and the end of the last whole one."""
+    out, whole = Spool(), None
     try:
-        for part in _member(data, 0, m[0], []):
-            out.add(part)
+        while m := PACKED.match(data, at):
+            end = []
+            for part in _member(data, at, m[0], end):
+                out.add(part)
+            if not end:
+                break
+            whole = at = end[0]
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return out.done()
+        pass
+    return out.done(), whole
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:

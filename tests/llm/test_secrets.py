@@ -2,9 +2,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -81,6 +83,21 @@ def test_layers_are_read_whole_however_long():
         assert s.masked(f"a {code} b", s.scan(f"a {code} b")[1]) == "a [SECRET] b"
 
 
+def test_layers_need_not_be_text():
+    raw = b"token=abcdef123456"
+    env = io.BytesIO()
+    with tarfile.open(fileobj=env, mode="w:gz") as tar:
+        info = tarfile.TarInfo(".env")
+        info.size = len(raw)
+        tar.addfile(info, io.BytesIO(raw))
+    for data in (env.getvalue(), b"\0user\0" + raw, raw + b"\xe9", gzip.compress(b"a") + gzip.compress(raw), gzip.compress(b"tok") + gzip.compress(raw[3:]), bz2.compress(b"a") + bz2.compress(raw), b"\0\1" + zlib.compress(raw) + b"\0"):
+        code = base64.b64encode(data).decode()
+        found, layers, _ = covered(f"a {code} b")
+        assert found and layers and all(f in code for f in found)
+    code = "%FF" + "".join(f"%{c:02X}" for c in raw)
+    assert covered(f"a {code} b")[0] == [code[3:]]
+
+
 
 def test_masking():
     assert s.masked("a token=abcdefgh b", s.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
