@@ -7,6 +7,7 @@ cycles such as archives that hold themselves. A layer carries the place in the t
 characters, so a span found anywhere is reported as the part of the text that encodes it. Patterns are
 ASCII, so layers are bytes: one for each character of the text, any other than Latin-1 being a "?".
 A layer need not be text, and compressed parts are found anywhere in it, one behind the other being read as one.
+Base64 is read over line ends, and from each of four digits on, so that what is glued before it does no harm.
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty table; other columns are not read. Every byte of every layer is scanned. One of
 more than ``MAX_LAYER`` bytes is unpacked to a temporary file and scanned there; ``cut_layers`` counts these.
@@ -47,10 +48,15 @@ PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(
     rb"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 digits, or several with line ends between them.
+BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*[\r\n][ \t\r\n]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{16,}+)={0,2}")
 _URL = bytes.maketrans(b"-_", b"+/")
 #: First bytes of gzip, zlib, bzip2 and xz.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+#: What a decoded layer must have for anything to be found in it, now or further in.
+HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|" + PACKED.pattern)
+_DIGIT = np.zeros(256, bool)
+_DIGIT[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
 
 
 def base_spans(text: bytes):
@@ -175,21 +181,29 @@ class Layer:
                 yield Layer(inner, flat=(lo, self.close if self.close and past in (0, len(self.text)) else hi))
 
     def decoded(self):
-        """A layer for each base64 run, of text or not."""
+        """A layer for each base64 run and each of the four ways to part its digits, unless it holds nothing to find.
+
+        A code glued to what stands before it starts at some digit, so one of the four ways is its own.
+        """
         for m in BASE64.finditer(self.text):
             start, end = m.span()
-            size = end - start - (self.text[end - 1] == 61) - (self.text[end - 2] == 61)
-            if size % 4 == 1:
-                continue
-            data = _digits(self.text, start, start + size, 0)
-            if self.flat is not None:
-                yield Layer(data, flat=self.flat)
+            if end - start < 16:
                 continue
-            # a byte lies in known base64 digits
-            last = np.arange(1, len(data) + 1)
-            lo, hi = start + (last - 1) * 4 // 3, start + np.minimum(-(-last * 4 // 3), size)
-            close = self.place(start, end)[1]
-            yield Layer(data, lo, hi, close=close) if self.starts is None else Layer(data, self.starts[lo], self.ends[hi - 1], close=close)
+            where = None
+            for skip in range(4):
+                data = _digits(self.text, start, end, skip)
+                if not HINT.search(data):
+                    continue
+                if self.flat is not None:
+                    yield Layer(data, flat=self.flat)
+                    continue
+                if where is None:
+                    where = start + np.flatnonzero(_DIGIT[np.frombuffer(self.text[start:end], np.uint8)])
+                # a byte lies in known base64 digits
+                last = np.arange(1, len(data) + 1)
+                lo, hi = where[skip + (last - 1) * 4 // 3], where[np.minimum(skip - (-last * 4 // 3), len(where)) - 1] + 1
+                close = self.place(start, end)[1]
+                yield Layer(data, lo, hi, close=close) if self.starts is None else Layer(data, self.starts[lo], self.ends[hi - 1], close=close)
 
 
 def _digits(text, lo: int, hi: int, skip: int) -> bytes | mmap.mmap:

@@ -98,6 +98,22 @@ def test_layers_need_not_be_text():
     assert covered(f"a {code} b")[0] == [code[3:]]
 
 
+def test_wrapped_and_glued_codes():
+    raw = b"here is, among other words, token=abcdef123456, which is no longer than this"
+    for data in (raw, gzip.compress(raw)):
+        code = base64.b64encode(data).decode()
+        for width in (16, 19, 64, 76):
+            for end in ("\n", "\r\n", "\n  "):
+                lines = end.join(code[k : k + width] for k in range(0, len(code), width))
+                found = covered(f"see below\n{lines}\nthanks")[0]
+                assert found and all(f in lines for f in found), (width, end)
+        for before in ("https://h.example/cb/", "id-", "k_", "/", "--", "ab_", "abcd-e/"):
+            for kind in (base64.b64encode, base64.urlsafe_b64encode):
+                code = kind(data).decode().rstrip("=")
+                found = covered(f"a {before}{code} b")[0]
+                assert found and all(f in code for f in found), (before, kind)
+
+
 
 def test_masking():
     assert s.masked("a token=abcdefgh b", s.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
