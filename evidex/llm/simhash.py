@@ -18,10 +18,10 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_replace, keep, parallelism, release
+from .common import arrow_map, keep, parallelism, release
 
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block, and in a tile.
@@ -54,16 +54,16 @@ def as_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp as a signed long."""
+def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, fp) and the long columns ``more``: fp as a signed long."""
 
     def start():
-        def step(ids, texts):
-            return ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()
+        def step(ids, texts, *rest):
+            return ids, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist(), *rest
 
         return step
 
-    return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], start, "id long, fp long")
+    return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more], start, ", ".join(["id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def _settle(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -177,10 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``df``: (id, fp signed, grp, component). grp is a fingerprint that names the group."""
-    prints = keep(with_fingerprints(df, id_col, text_col), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
+def fingerprint_groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``nodes`` (fp, distinct, and the least id that has it) as a kept table (fp, grp, component)."""
     labels = components(fingerprint_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     labels = keep(labels, "labels")
     # a group of many fingerprints is one key here, so its rows are salted
@@ -190,8 +188,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = salted.join(groups, ["root", "salt"]).select("fp", "root", "component", F.lit(True).alias("linked"))
     named = nodes.join(grouped, "fp", "left")
     named = named.select("fp", F.coalesce("root", "fp").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
+    return keep(named, "named")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``df``: (id, fp signed, grp, component). grp is a fingerprint that names the group."""
+    prints = keep(with_fingerprints(df, id_col, text_col), "prints")
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     # kept, so that both sides are plain exchanges and the rows of a hot fingerprint can be split
-    return prints.join(keep(named, "named"), "fp").select("id", "fp", "grp", "component")
+    return prints.join(fingerprint_groups(nodes, radius), "fp").select("id", "fp", "grp", "component")
 
 
 def as_hex(fp) -> F.Column:
@@ -199,16 +204,16 @@ def as_hex(fp) -> F.Column:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row of each group of near duplicates: that of the smallest id, any one if no row has an id."""
-    groups = keep(near_duplicates(df, id_col, text_col, radius), "groups")
-    stay = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    first = Window.partitionBy(id_col).orderBy(id_col)
-    named = df.join(stay, id_col, "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    # rows without an id cannot be told apart by it: those of groups where none has one are found by fingerprint
-    whole = df.filter(F.col(id_col).isNull())
-    printed = whole.withColumn("_fp", F.col(text_col)).transform(lambda d: arrow_replace(d, "_fp", lambda: lambda texts: [str(as_signed(fingerprint(t))) for t in texts]))
-    printed = printed.withColumn("_fp", F.col("_fp").cast("long"))
-    bare = groups.filter("component IS NULL").groupBy("fp").agg(F.min("grp").alias("_grp")).withColumnRenamed("fp", "_fp")
-    any_of = Window.partitionBy("_grp").orderBy("_fp")
-    unnamed = printed.join(bare, "_fp").withColumn("_n", F.row_number().over(any_of)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
-    return named.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(unnamed)
+    """``df`` with one row of each group of near duplicates: that of the smallest id, any one if no row has an id.
+
+    An id does not tell rows apart, so rows are numbered where they are kept, and the row that wins its group stays.
+    """
+    rows = keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = keep(with_fingerprints(rows, id_col, text_col, "_row"), "prints")
+    # of equal ids that of the smallest fingerprint; a null id comes last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "_row"))
+    best = prints.groupBy("fp").agg(first.alias("first"))
+    best = keep(best, "best")
+    groups = fingerprint_groups(best.select("fp", F.col("first.id").alias("least")), radius)
+    stay = best.join(groups, "fp").groupBy("grp").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

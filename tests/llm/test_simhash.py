@@ -102,3 +102,15 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in left.collect()) == [-1, 1, 3, 6, 7, 9]
     assert simhash.one_of_each(no_docs).count() == 0
+
+
+def test_one_of_each_chooses_rows_not_ids(spark):
+    a, b = "one two three four five six seven eight nine ten", "wholly other words that stand in no text but this one here"
+
+    def left(*rows):
+        got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return sorted(map(tuple, got), key=str)
+
+    assert left((5, a), (5, b)) == [(5, a), (5, b)]
+    assert left((5, a), (5, b), (3, b.upper())) == [(3, b.upper()), (5, a)]
+    assert left((5, a), (5, a), (5, b), (None, b), (None, "x y")) == [(5, a), (5, b), (None, "x y")]
