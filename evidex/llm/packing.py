@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -40,6 +41,12 @@ def ranks(name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def added(name: str) -> dict[str, int]:
+    """The tokens that the JSON file beside the rank file adds to its vocabulary."""
+    with open(f"{name.removesuffix('.tiktoken')}.json", encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Non-negative x that minimises |a x - b|, by the active set method of Lawson and Hanson."""
     n = a.shape[1]
@@ -158,8 +165,8 @@ def plan(counts: np.ndarray, limit: int = LIMIT, bins: int = BINS, depth: int =
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32.
 
-    ``tokenizer``: the rank file of the byte-level vocabulary, whose ids are those of its JSON file; the
-    tests hold both libraries' ids against each other.
+    ``tokenizer``: the rank file of the byte-level vocabulary, whose ids are those of the JSON file beside
+    it, added tokens included; the tests hold both libraries' ids against each other.
     """
 
     def start():
@@ -167,14 +174,14 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         import tiktoken
 
         def make():
-            return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(tokenizer), special_tokens={})
+            return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(tokenizer), special_tokens=added(tokenizer))
 
         coder = per_process(("pieces", tokenizer), make)
 
         def step(ids, texts):
             rows = []
             for i, t in zip(ids, texts):
-                n = np.array([*coder.encode_ordinary(t or ""), end], "<u4")
+                n = np.array([*coder.encode(t or "", allowed_special="all"), end], "<u4")
                 cuts = [0, *range(len(n) % limit or limit, len(n), limit), len(n)]
                 for k, (s, e) in enumerate(itertools.pairwise(cuts)):
                     rows.append((i, k, s, e - s, zlib.crc32(n[s:e])))

@@ -51,6 +51,16 @@ def test_pieces_are_the_tokenizers_own(spark, docs, tokenizer):
     assert [r["start"] for r in long[1:]] == list(np.cumsum([r["length"] for r in long[:-1]]))
 
 
+def test_added_tokens_are_the_files_own(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "one<|endoftext|>two <|endoftext|> three", "<|endoftext|><|endoftext|>\n", "<|endoftext|", "a <|endoftext |> b"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS).collect()
+    for r in rows:
+        ids = np.array([*own.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids))
+    assert len(rows) == len(texts)
+
+
 def test_nnls_against_its_conditions():
     rng = np.random.default_rng(0)
     for _ in range(20):
