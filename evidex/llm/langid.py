@@ -5,9 +5,10 @@ characters are hashed to ``BUCKETS``, and counts become log(1 + count) * idf, of
 learned by follow-the-regularised-leader with L1 and L2 penalties, document by document; a temperature is
 then fitted on a fifth of the sample that the weights never saw.
 
-The sample is bounded: about ``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, and about
-``SAMPLE`` in all, drawn by a hash of the id at a rate that follows each language's count, so nothing is
-shuffled or sorted for it.
+Document frequencies are those of all documents that may be learned from, added up in each task and then
+by bucket. Only the weights come from a sample: about ``PER_LANGUAGE`` documents of each language, and about
+``SAMPLE`` in all, but one of each language at least, drawn by a hash of the id at a rate that follows each
+language's count, so nothing is shuffled or sorted for it.
 Its feature vectors are made on executors and only these reach the driver; the model is
 ``BUCKETS`` x languages numbers. Scoring is a map over all whole texts.
 
@@ -23,13 +24,14 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_filter, arrow_map, per_process
+from .common import SLICE, arrow_filter, arrow_map, per_process
 
 BUCKETS, ORDERS = 8192, 3
-PER_LANGUAGE, LANGUAGES, SAMPLE = 600, 256, 6000
+PER_LANGUAGE, SAMPLE = 600, 6000
 FOLDS, HELD_OUT = 4, 2
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
 UNDETERMINED = "und"
@@ -88,12 +90,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]]) -> Model:
-    """rows: (a hash that orders and splits them, language, buckets, counts)."""
+def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]], seen: np.ndarray) -> Model:
+    """rows: (a hash that orders and splits them, language, buckets, counts). seen: documents by bucket, and of all."""
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     names = sorted({r[1] for r in rows})
-    seen = np.bincount(np.concatenate([r[2] for r in rows]), minlength=BUCKETS) if rows else np.zeros(BUCKETS)
-    model = Model(names, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((len(names), BUCKETS + 1)))
+    model = Model(names, np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1, np.zeros((len(names), BUCKETS + 1)))
     if not rows:
         return model
     data = [(names.index(r[1]), *model.vector(r[2], r[3])) for r in rows]
@@ -124,15 +125,36 @@ def fold_of(id_col, folds: int) -> F.Column:
     return F.crc32(id_col.cast("string")) % folds
 
 
+def frequencies(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How many documents of ``df`` have n-grams in each bucket, and, last, how many have a letter."""
+
+    def run(batches):
+        fold, seen = per_process(("folding",), folding), np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                for t in batch.slice(k, SLICE).column(0).to_pylist():
+                    if (c := counts(t, fold)) is not None:
+                        seen[:BUCKETS] += c > 0
+                        seen[BUCKETS] += 1
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["at", "n"])
+
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for r in df.select(text_col).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     key = F.col(id_col)
     usable = df.filter((fold_of(key, FOLDS) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return fit([])
     draw = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40))
+    # every language that occurs has a share: one that no draw would reach, its least
+    sizes = usable.filter(F.col(text_col).rlike(r"\p{L}")).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy("lang").collect()
+    if not sizes:
+        return fit([], np.zeros(BUCKETS + 1, np.int64))
     each = min(PER_LANGUAGE, SAMPLE // len(sizes))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1, each / r["count"]) * (1 << 40)))])
+    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(r["least"] + 1, int(min(1, each / r["n"]) * (1 << 40))))])
     some = usable.filter(draw < F.element_at(rate, F.col(lang_col)))
 
     def start():
@@ -147,7 +169,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     made = arrow_map(some, [draw.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")], start, "k long, lang string, at array<int>, n array<long>")
     rows = made.dropDuplicates(["k", "lang"]).collect()  # of rows that share an id, one; the sample is bounded
-    return fit([(r["k"], r["lang"], np.array(r["at"], np.int32), np.array(r["n"], np.int64)) for r in rows])
+    return fit([(r["k"], r["lang"], np.array(r["at"], np.int32), np.array(r["n"], np.int64)) for r in rows], frequencies(usable, text_col))
 
 
 def identified(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,3 +96,17 @@ def test_scores_are_sums_of_table_entries():
     order = rng.permutation(500)
     again = quality.fit(x[order], y[order])
     assert np.allclose(again.scores(x), model.scores(x))
+
+
+def test_document_frequencies_and_languages_are_the_whole_inputs(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 2)
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    # 300 languages, of which the first has many documents
+    rows = [(i, f"word{'abcdefghij'[i % 10]} and {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", f"l{max(0, i - 700)}") for i in range(1000)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % langid.FOLDS != langid.HELD_OUT]
+    assert model.languages == sorted({r[2] for r in used})
+    fold = langid.folding()
+    seen = sum((langid.counts(r[1], fold) > 0).astype(int) for r in used)
+    assert np.allclose(model.idf, np.log((1 + len(used)) / (1 + seen)) + 1)
+    assert len(langid.learn(spark.createDataFrame([(i, "some words", f"l{i}") for i in range(600)], "doc_id long, text string, lang string")).languages) > 256
