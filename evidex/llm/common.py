@@ -17,8 +17,8 @@ from ..tables import keep, release, shared_dir, spread  # noqa: F401  for the op
 SLICE = 128
 
 
-def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.StructType) -> DataFrame:
-    """Map ``columns`` of ``df`` through Python, a slice of rows at a time.
+def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.StructType, rows: int = SLICE) -> DataFrame:
+    """Map ``columns`` of ``df`` through Python, a slice of ``rows`` at a time.
 
     ``start()`` runs once a task and returns ``step(*lists)``, which takes one list for each
     column and returns one list or Arrow array for each field of ``schema``. Rows may become
@@ -30,8 +30,8 @@ def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.Str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = step(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

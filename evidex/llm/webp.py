@@ -1,23 +1,26 @@
-"""Media columns: lossless WebP, written and read.
+"""Media columns: lossless WebP, read.
 
 The reader takes the whole lossless format: prefix codes (simple and normal) by groups, back-references,
 the colour cache, and the inverse of the predictor, cross-colour, subtract-green and palette transforms.
-The writer stores bytes as the four 8-bit samples (red, green, blue, alpha) of pixels, with literals of
-fixed length and no transform, so that whole arrays are written and read at once; the reader recognises
-such codes and takes all pixels in one step. Bytes beyond what one image can hold go on in a further
-image behind it; each image's header tells its length.
+Headers are read one by one; the pixels of many images are then decoded in lockstep, one pixel of each
+image at a step, so that arrays and not single symbols pass through Python. Files come from
+:mod:`.webp_writer`, which stores bytes as the four 8-bit samples (red, green, blue, alpha) of pixels,
+as several images one behind the other where one does not hold them; each image's header tells its length.
 
 Defined results: a null text is empty and is stored as 64 zero bytes; repeated rows give repeated results;
 an empty table gives an empty table; other columns are not read. Work is local to a row, with memory in
-proportion to the longest text.
+proportion to the longest text; equal texts give equal values, whatever stands beside them.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-UNIT, WIDTH, MOST_ROWS = 64, 16, 16_384
+UNIT = 64
+#: Images that are decoded in lockstep, and texts handled at a time.
+LANES, TEXTS = 1024, 512
 
 # Fixed values of the format: the order of code length codes, and the near places of short distances.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -39,75 +44,91 @@ NEAR = (
 )
 GREEN, LENGTHS, DISTANCES, HASH = 256, 24, 40, 0x1E35A7BD
 
-REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1), axis=1, bitorder="little").ravel()
-
-
 class Bits:
     """Bits of bytes, the lowest first."""
 
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
-    def read(self, n: int) -> int:
+    def peek(self, n: int) -> int:
         lo, hi = self.at >> 3, (self.at + n + 7) >> 3
-        out = int.from_bytes(self.data[lo:hi], "little") >> (self.at & 7) & ((1 << n) - 1)
+        return int.from_bytes(self.data[lo:hi], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+    def read(self, n: int) -> int:
+        out = self.peek(n)
         self.at += n
         return out
 
 
-class Prefix:
-    """A canonical prefix code, read bit by bit from the front of each code."""
-
-    def __init__(self, lengths: list[int]):
-        self.flat = len(lengths) >= 256 and all(x == 8 for x in lengths[:256]) and not any(lengths[256:])
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        self.only = used[0][1] if len(used) == 1 else 0 if not used else None
-        code, last, self.codes = 0, 0, {}
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.codes[n, code] = s
-            code += 1
-
-    def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = n = 0
-        while n < 16:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (s := self.codes.get((n, code))) is not None:
-                return s
-        raise ValueError("no such prefix code")
-
-
-def _prefix(bits: Bits, size: int) -> Prefix:
+@functools.cache
+def mirrored(n: int) -> np.ndarray:
+    """The numbers below 2 ** n with their n bits reversed."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+def table_of(lengths) -> np.ndarray:
+    """A canonical prefix code as a table over the next bits: symbol << 4 | length. One symbol alone takes no bit."""
+    lengths = np.array(lengths)
+    used = lengths.nonzero()[0]
+    if len(used) < 2:
+        return np.array([int(used[0]) << 4 if len(used) else 0])
+    own = lengths[used]
+    order = own.argsort(kind="stable")
+    own = own[order]
+    deep = int(own[-1])
+    table = (used[order] << 4 | own).repeat(1 << (deep - own))
+    if len(table) != 1 << deep:
+        raise ValueError("a prefix code that is not complete")
+    return table[mirrored(deep)]
+
+
+def _prefix(bits: Bits, size: int) -> np.ndarray:
     lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Prefix(lengths)
-    own = [0] * len(LENGTH_ORDER)
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        own[k] = bits.read(3)
-    code, left = Prefix(own), size
+        return table_of(lengths)
+    own, n = [0] * len(LENGTH_ORDER), 4 + bits.read(4)
+    near = bits.read(3 * n)
+    for k in LENGTH_ORDER[:n]:
+        own[k] = near & 7
+        near >>= 3
+    code, left = table_of(own).tolist(), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    # bits ahead as one number that is used up from below
+    near, mask, gone, ahead = 0, len(code) - 1, 0, 0
     at, last = 0, 8
     while at < size and left:
         left -= 1
-        k = code.read(bits)
-        if k < 16:
-            lengths[at] = k
-            last, at = k or last, at + 1
+        if gone >= ahead:
+            bits.at += gone
+            near, gone, ahead = bits.peek(256 + 16), 0, 256
+        e = code[near & mask]
+        n = e & 15
+        near >>= n
+        gone += n
+        if e < 256:
+            if k := e >> 4:
+                lengths[at] = last = k
+            at += 1
             continue
-        value, times = (last, 3 + bits.read(2)) if k == 16 else (0, 3 + bits.read(3)) if k == 17 else (0, 11 + bits.read(7))
-        lengths[at : at + times] = [value] * times
+        n, value, least = ((2, last, 3), (3, 0, 3), (7, 0, 11))[(e >> 4) - 16]
+        times = least + (near & (1 << n) - 1)
+        near >>= n
+        gone += n
+        if value:
+            lengths[at : at + times] = [value] * times
         at += times
-    if len(lengths) != size:
+    bits.at += gone
+    if at > size:
         raise ValueError("more code lengths than symbols")
-    return Prefix(lengths)
+    return table_of(lengths)
 
 
 def _extended(bits: Bits, k: int) -> int:
@@ -121,35 +142,62 @@ def _ceil(a: int, bits: int) -> int:
     return (a + (1 << bits) - 1) >> bits
 
 
-def _pixels(bits: Bits, width: int, height: int, outer: bool) -> np.ndarray:
-    """The ARGB values of an image as it is coded, flat."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, group_bits, groups_of = 1, 0, None
+@dataclass
+class Coded:
+    """An image whose header is read: its codes, and where its pixels begin."""
+
+    data: bytes
+    width: int
+    height: int
+    at: int = 0
+    cache_bits: int = 0
+    group_bits: int = 0
+    groups_of: list[int] | None = None
+    codes: list[list[np.ndarray]] = field(default_factory=list)
+    undo: list[tuple[str, Callable]] = field(default_factory=list)
+
+    @property
+    def n(self) -> int:
+        return self.width * self.height
+
+
+def _codes(bits: Bits, width: int, height: int, outer: bool) -> Coded:
+    out = Coded(bits.data, width, height, cache_bits=bits.read(4) if bits.read(1) else 0)
+    groups = 1
     if outer and bits.read(1):
-        group_bits = bits.read(3) + 2
-        groups_of = (_pixels(bits, _ceil(width, group_bits), _ceil(height, group_bits), False) >> 8 & 0xFFFF).tolist()
-        groups = max(groups_of) + 1
-    sizes = (GREEN + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [[_prefix(bits, n) for n in sizes] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and all(c.flat for c in codes[0][:4]):
-        return _flat(bits, n)
-    out, cache, across = [], [0] * (1 << cache_bits), _ceil(width, group_bits)
+        out.group_bits = bits.read(3) + 2
+        out.groups_of = (_small(bits, _ceil(width, out.group_bits), _ceil(height, out.group_bits)) >> 8 & 0xFFFF).tolist()
+        groups = max(out.groups_of) + 1
+    sizes = (GREEN + LENGTHS + (1 << out.cache_bits if out.cache_bits else 0), 256, 256, 256, DISTANCES)
+    out.codes = [[_prefix(bits, n) for n in sizes] for _ in range(groups)]
+    out.at = bits.at
+    return out
+
+
+def _small(bits: Bits, width: int, height: int) -> np.ndarray:
+    """The ARGB values of an image inside a header, flat: read pixel by pixel."""
+    coded = _codes(bits, width, height, False)
+    own, n = [t.tolist() for t in coded.codes[0]], coded.n
+    out, cache = [], [0] * (1 << coded.cache_bits)
+
+    def read(k: int) -> int:
+        e = own[k][bits.peek(15) & (len(own[k]) - 1)]
+        bits.at += e & 15
+        return e >> 4
 
     def put(pixel: int) -> None:
         out.append(pixel)
-        if cache_bits:
-            cache[(HASH * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+        if coded.cache_bits:
+            cache[(HASH * pixel & 0xFFFFFFFF) >> (32 - coded.cache_bits)] = pixel
 
     while (at := len(out)) < n:
-        own = codes[groups_of[(at // width >> group_bits) * across + (at % width >> group_bits)] if groups_of else 0]
-        green = own[0].read(bits)
+        green = read(0)
         if green < GREEN:
-            red, blue, alpha = (own[k].read(bits) for k in (1, 2, 3))
+            red, blue, alpha = read(1), read(2), read(3)
             put(alpha << 24 | red << 16 | green << 8 | blue)
         elif green < GREEN + LENGTHS:
             times = _extended(bits, green - GREEN)
-            back = _extended(bits, own[4].read(bits))
+            back = _extended(bits, read(4))
             if back > len(NEAR):
                 back -= len(NEAR)
             else:
@@ -164,15 +212,105 @@ def _pixels(bits: Bits, width: int, height: int, outer: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _flat(bits: Bits, n: int) -> np.ndarray:
-    """n pixels whose samples all have eight bits: each is a byte, its bits reversed."""
-    lo, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, 4 * n + (shift > 0), lo)
-    bits.at += 32 * n
-    if shift:
-        raw = raw[:-1] >> shift | raw[1:] << (8 - shift)
-    s = REVERSED[raw].reshape(n, 4).astype(np.uint32)
-    return s[:, 3] << 24 | s[:, 1] << 16 | s[:, 0] << 8 | s[:, 2]
+class Lanes:
+    """Images decoded in lockstep, the largest first, so that those with pixels left are always in front."""
+
+    def __init__(self, images: list[Coded]):
+        self.images, self.met = images, Counter()
+        self.n = np.array([x.n for x in images])
+        self.width = np.array([x.width for x in images])
+        sizes = [len(x.data) + 8 for x in images]
+        base = 8 * np.cumsum([0, *sizes])
+        data = np.frombuffer(b"".join(b for x in images for b in (x.data, b"\0" * 8)) + b"\0" * 16, np.uint8)
+        #: The 64 bits that begin at each byte; 57 of them are sure to be there from any bit of it on.
+        self.words = np.ndarray((len(data) - 8,), "<i8", data, strides=(1,))
+        self.at = base[:-1] + [x.at for x in images]
+        self.end = base[:-1] + [8 * len(x.data) for x in images]
+        sets = [s for x in images for s in x.codes]
+        tables = [t for s in sets for t in s]
+        starts = np.cumsum([0, *map(len, tables)])[:-1].reshape(-1, 5).T
+        masks = np.array([len(t) - 1 for t in tables]).reshape(-1, 5).T
+        self.flat = np.concatenate(tables)
+        first = np.cumsum([0, *(len(x.codes) for x in images)])[:-1]
+        self.starts, self.masks = np.ascontiguousarray(starts[:, first]), np.ascontiguousarray(masks[:, first])
+        self.grouped = [(i, x, starts[:, first[i] :], masks[:, first[i] :]) for i, x in enumerate(images) if x.groups_of]
+        self.shift = np.array([32 - x.cache_bits for x in images])
+        self.cached = np.flatnonzero(self.shift < 32)
+        self.cache = np.zeros((len(images), 1 << max(x.cache_bits for x in images)), np.int64)
+        self.left, self.back = np.zeros(len(images), np.int64), np.zeros(len(images), np.int64)
+
+    def _word(self, lane):
+        at = self.at[lane]
+        return self.words[at >> 3] >> (at & 7)
+
+    def _symbols(self, lane, word, k: int):
+        """The next symbols of code k, and the words behind them."""
+        e = self.flat[self.starts[k][lane] + (word & self.masks[k][lane])]
+        n = e & 15
+        self.at[lane] += n
+        return e >> 4, word >> n
+
+    def _extended(self, lane, k):
+        extra = np.maximum(0, (k - 2) >> 1)
+        low = self._word(lane) & ((1 << extra) - 1)
+        self.at[lane] += extra
+        return np.where(k < 4, k + 1, ((2 + (k & 1)) << extra) + low + 1)
+
+    def _copies(self, lane, k, at: int) -> None:
+        times = self._extended(lane, k)
+        symbol, _ = self._symbols(lane, self._word(lane), 4)
+        back = self._extended(lane, symbol)
+        x, y = _NEAR[:, np.minimum(back, len(NEAR)) - 1]
+        back = np.where(back > len(NEAR), back - len(NEAR), np.maximum(1, x + y * self.width[lane]))
+        if (back > at).any() or (at + times > self.n[lane]).any():
+            raise ValueError("a back-reference leaves the image")
+        self.left[lane], self.back[lane] = times, back
+        self.met["copies"] += len(lane)
+
+    def _literals(self, lane, green, word):
+        red, word = self._symbols(lane, word, 1)
+        blue, _ = self._symbols(lane, word, 2)
+        alpha, _ = self._symbols(lane, self._word(lane), 3)
+        return alpha << 24 | red << 16 | green << 8 | blue
+
+    def run(self) -> list[np.ndarray]:
+        """The ARGB values of each image."""
+        out, k = np.zeros((int(self.n[0]), len(self.n)), np.int64), len(self.n)
+        copying = 0
+        for t in range(len(out)):
+            while self.n[k - 1] <= t:
+                k -= 1
+            for i, x, starts, masks in self.grouped:
+                if t < x.n:
+                    g = x.groups_of[(t // x.width >> x.group_bits) * _ceil(x.width, x.group_bits) + (t % x.width >> x.group_bits)]
+                    self.starts[:, i], self.masks[:, i] = starts[:, g], masks[:, g]
+            now, lane = out[t], np.flatnonzero(self.left[:k] == 0) if copying else slice(0, k)
+            green, word = self._symbols(lane, self._word(lane), 0)
+            if (plain := green < GREEN).all():
+                now[lane] = self._literals(lane, green, word)
+            else:
+                lane = np.arange(k) if isinstance(lane, slice) else lane
+                now[lane[plain]] = self._literals(lane[plain], green[plain], word[plain])
+                held = green >= GREEN + LENGTHS
+                now[lane[held]] = self.cache[lane[held], green[held] - GREEN - LENGTHS]
+                self.met["cached"] += int(held.sum())
+                if (new := ~plain & ~held).any():
+                    self._copies(lane[new], green[new] - GREEN, t)
+                    copying = 1
+            if copying:
+                lane = np.flatnonzero(self.left[:k])
+                now[lane] = out[t - self.back[lane], lane]
+                self.left[lane] -= 1
+                copying = int(self.left[:k].any())
+            if len(self.cached):
+                lane = self.cached[: np.searchsorted(self.cached, k)]
+                self.cache[lane, (HASH * now[lane] & 0xFFFFFFFF) >> self.shift[lane]] = now[lane]
+        if (self.at > self.end).any():
+            raise ValueError("the data end before the pixels do")
+        return [out[: x.n, i].astype(np.uint32) for i, x in enumerate(self.images)]
+
+
+_NEAR = np.array(NEAR).T
 
 
 def _split(argb: np.ndarray) -> list[np.ndarray]:
@@ -218,6 +356,13 @@ def _predict(mode: int, left, top, right, corner):
 
 
 def undo_predictor(argb, width, height, modes):
+    if (only := modes.flat[0] >> 8 & 0xF) in (1, 2) and (modes == modes.flat[0]).all():
+        # all from the left, or all from above: sums along rows or columns, but for the first column or row
+        x = np.stack(_split(argb)).reshape(4, height, width)
+        x[0, 0, 0] += 255
+        edge = np.s_[:, :, 0] if only == 1 else np.s_[:, 0]
+        x[edge] = np.cumsum(x[edge], axis=1)
+        return _join(*np.cumsum(x, axis=2 if only == 1 else 1).reshape(4, -1))
     out = []
     for i, (rest, mode) in enumerate(zip(zip(*(x.tolist() for x in _split(argb))), (modes >> 8 & 0xF).ravel().tolist())):
         y, x = divmod(i, width)
@@ -257,8 +402,8 @@ def undo_palette(argb, width, height, table, packed):
     return full[index].ravel()
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """An image as an array (height, width, 4) of red, green, blue, alpha; and the bytes it takes."""
+def parse(data: bytes) -> tuple[Coded, int]:
+    """An image's header, and the bytes that the image takes."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("no lossless WebP image")
     end = 8 + struct.unpack_from("<I", data, 4)[0]
@@ -273,83 +418,62 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
         kind = bits.read(2)
         if kind < 2:
             size = bits.read(3) + 2
-            blocks = _blocks(_pixels(bits, _ceil(coded, size), _ceil(height, size), False), coded, height, size)
-            undo.append((lambda p, w=coded, b=blocks: undo_predictor(p, w, height, b)) if kind == 0 else (lambda p, b=blocks: undo_cross_colour(p, b)))
+            blocks = _blocks(_small(bits, _ceil(coded, size), _ceil(height, size)), coded, height, size)
+            if kind == 0:
+                undo.append(("predictor", lambda p, w=coded, b=blocks: undo_predictor(p, w, height, b)))
+            else:
+                undo.append(("cross_colour", lambda p, b=blocks: undo_cross_colour(p, b)))
         elif kind == 2:
-            undo.append(undo_green)
+            undo.append(("subtract_green", undo_green))
         else:
             n = bits.read(8) + 1
-            table = _join(*(np.cumsum(x) for x in _split(_pixels(bits, n, 1, False))))
+            table = _join(*(np.cumsum(x) for x in _split(_small(bits, n, 1))))
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            undo.append(lambda p, w=coded, t=table, k=packed: undo_palette(p, w, height, t, k))
+            undo.append(("palette", lambda p, w=coded, t=table, k=packed: undo_palette(p, w, height, t, k)))
             coded = _ceil(coded, packed)
-    pixels = _pixels(bits, coded, height, True)
-    for f in reversed(undo):
-        pixels = f(pixels)
-    a, r, g, b = _split(pixels)
-    return np.stack([r, g, b, a], axis=-1).astype(np.uint8).reshape(height, width, 4), end + (end & 1)
-
-
-def _front() -> tuple[int, int]:
-    """Bits between the sizes and the pixels: no transform, cache or groups; four codes of 256 lengths 8; one distance."""
-    bits = n = 0
-
-    def put(value: int, count: int) -> None:
-        nonlocal bits, n
-        bits |= value << n
-        n += count
-
-    put(1, 1)  # alpha is used
-    put(0, 3)
-    put(0, 3)
-    for zeros in (LENGTHS, 0, 0, 0):
-        put(0, 1)
-        put(len(LENGTH_ORDER) - 4, 4)
-        for k in LENGTH_ORDER:
-            put(int(k in (16, 18)), 3)
-        put(0, 1)
-        for times in [6] * 42 + [4]:  # the last length, which begins as 8, again
-            put(0, 1)
-            put(times - 3, 2)
-        if zeros:
-            put(1, 1)
-            put(zeros - 11, 7)
-    put(1, 1)
-    put(0, 3)
-    return bits, n
-
-
-FRONT = _front()
-
-
-def encode(samples: np.ndarray) -> bytes:
-    """An array (height, width, 4) of red, green, blue, alpha."""
-    height, width = samples.shape[:2]
-    front, n = FRONT
-    front, n = (width - 1) | (height - 1) << 14 | front << 28, n + 28
-    raw = REVERSED[samples.reshape(-1, 4)[:, (1, 0, 2, 3)].ravel()]
-    lo, shift = n >> 3, n & 7
-    body = np.zeros(lo + len(raw) + 1, np.uint8)
-    body[: lo + 1] = np.frombuffer(front.to_bytes(lo + 1, "little"), np.uint8)
-    body[lo:-1] |= raw << shift
-    if shift:
-        body[lo + 1 :] |= raw >> (8 - shift)
-    data = b"\x2f" + body.tobytes()
-    pad = b"\0" * (len(data) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(data) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + pad
-
-
-def stored(payload: bytes) -> bytes:
-    """The payload, whose length is a multiple of ``UNIT``, as one image or several."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    return b"".join(encode(rows[k : k + MOST_ROWS]) for k in range(0, len(rows), MOST_ROWS))
-
-
-def images(media: bytes) -> Iterator[np.ndarray]:
-    while media:
-        image, n = decode(media)
-        yield image
-        media = media[n:]
+    out = _codes(bits, coded, height, True)
+    out.undo = undo
+    return out, end + (end & 1)
+
+
+def samples_of(images: list[Coded], met: Counter | None = None) -> list[np.ndarray]:
+    """Each image's pixels as rows of red, green, blue, alpha; ``met`` counts the steps that were taken."""
+    order, out = sorted(range(len(images)), key=lambda i: -images[i].n), [None] * len(images)
+    for k in range(0, len(order), LANES):
+        some = order[k : k + LANES]
+        lanes = Lanes([images[i] for i in some])
+        for i, pixels in zip(some, lanes.run()):
+            for name, undo in reversed(images[i].undo):
+                pixels = undo(pixels)
+                if met is not None:
+                    met[name] += 1
+            out[i] = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)[:, (2, 1, 0, 3)]
+        if met is not None:
+            met.update(lanes.met)
+            met["prefix"] += sum(len(t) > 1 for i in some for s in images[i].codes for t in s)
+    return out
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """An image as an array (height, width, 4) of red, green, blue, alpha; and the bytes it takes."""
+    image, end = parse(data)
+    return samples_of([image])[0].reshape(image.height, -1, 4), end
+
+
+def read(media: list[bytes], met: Counter | None = None) -> list[np.ndarray]:
+    """The samples of each of ``media``, whose images stand one behind the other."""
+    images, owner = [], []
+    for i, data in enumerate(media):
+        at = 0
+        while at < len(data):
+            size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            images.append(parse(data[at : at + size])[0])
+            owner.append(i)
+            at += size + (size & 1)
+    parts = [[] for _ in media]
+    for i, x in zip(owner, samples_of(images, met)):
+        parts[i].append(x)
+    return [np.concatenate(p) if p else np.empty((0, 4), np.uint8) for p in parts]
 
 
 def padded(data: bytes) -> bytes:
@@ -372,17 +496,18 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_me
     """
 
     def start():
+        from . import webp_writer
+
         def step(ids, texts):
+            data = [(t or "").encode() for t in texts]
+            held = webp_writer.stored([padded(d) for d in data])
             rows = []
-            for i, t in zip(ids, texts):
-                data = (t or "").encode()
-                held = stored(padded(data))
-                samples = np.concatenate([x.reshape(-1, 4) for x in images(held)])
+            for i, d, h, samples in zip(ids, data, held, read(held)):
                 back = samples.tobytes()
-                rows.append((i, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(held), hashlib.sha256(held).hexdigest(), feature(samples), *([held] if with_media else [])))
+                rows.append((i, len(d), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(h), hashlib.sha256(h).hexdigest(), feature(samples), *([h] if with_media else [])))
             return list(zip(*rows))
 
         return step
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
-    return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], start, schema)
+    return arrow_map(df, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], start, schema, TEXTS)
