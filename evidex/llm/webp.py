@@ -71,11 +71,11 @@ def mirrored(n: int) -> np.ndarray:
 
 def table_of(lengths) -> np.ndarray:
     """A canonical prefix code as a table over the next bits: symbol << 4 | length. One symbol alone takes no bit."""
-    lengths = np.array(lengths)
+    lengths = np.frombuffer(bytes(lengths), np.uint8)
     used = lengths.nonzero()[0]
     if len(used) < 2:
         return np.array([int(used[0]) << 4 if len(used) else 0])
-    own = lengths[used]
+    own = lengths[used].astype(np.int64)
     order = own.argsort(kind="stable")
     own = own[order]
     deep = int(own[-1])
@@ -86,7 +86,7 @@ def table_of(lengths) -> np.ndarray:
 
 
 def _prefix(bits: Bits, size: int) -> np.ndarray:
-    lengths = [0] * size
+    lengths = bytearray(size)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
@@ -123,7 +123,7 @@ def _prefix(bits: Bits, size: int) -> np.ndarray:
         near >>= n
         gone += n
         if value:
-            lengths[at : at + times] = [value] * times
+            lengths[at : at + times] = bytes([value]) * times
         at += times
     bits.at += gone
     if at > size:

@@ -1,7 +1,7 @@
 """Lossless WebP, written: many images at a time, with the transform, copies and cache that fit each of them.
 
-For each image, the order-0 entropies of its samples as they are and behind each transform are compared: from
-the left or from above (predictor), subtract-green, and cross-colour with multipliers by least squares; an
+For each image, the order-0 entropies of its first samples as they are and behind each transform are compared:
+from the left or from above (predictor), subtract-green, and cross-colour with multipliers by least squares; an
 image of at most ``COLOURS`` pixel values gets a palette. Rows of pixels that occurred before in the image
 become back-references, and the colour cache is used where its hits are worth more than the codes that they
 need. Prefix codes are canonical: Shannon's lengths, shortened from the most frequent symbol on until the
@@ -23,6 +23,8 @@ CACHE, COLOURS, SIDE = 8, 16, 6
 #: Bits of a code at most, and of the codes that tell code lengths.
 DEEPEST, SHORT = 12, 7
 MATCH = 3
+#: Pixels of an image by which its transform is chosen.
+SHOWN = 256
 MOST_GREEN = GREEN + LENGTHS + (1 << CACHE)
 _XLOGX = np.arange(PIXELS + 1) * np.log2(np.maximum(1, np.arange(PIXELS + 1)))
 
@@ -144,7 +146,7 @@ class Batch:
         far = [near[w].get(d, d + len(NEAR)) for w, d in zip(self.width[self.image[start]].tolist(), back.tolist())]
         step, step_extra, step_bits = _split(np.array(far, np.int64))
         token = np.flatnonzero(symbol >= 0)
-        counts = np.zeros((images, 5, MOST_GREEN), np.int64)
+        counts = np.zeros((images, 5, MOST_GREEN), np.int32)
         counts[:, 0] = np.bincount(self.image[token] * MOST_GREEN + symbol[token], minlength=images * MOST_GREEN).reshape(images, -1)
         shifts = (16, 0, 24)
         for k, s in enumerate(shifts):
@@ -250,37 +252,53 @@ def _argb(s: np.ndarray) -> np.ndarray:
     return a << 24 | r << 16 | g << 8 | b
 
 
-def encoded(payloads: list[bytes]) -> list[bytes]:
-    """Each payload of at most ``PIXELS`` pixels, whose length is a multiple of a row, as an image."""
-    n = np.array([len(x) // 4 for x in payloads])
-    heights = n // WIDTH
-    s = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 4)
-    image = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(s)) - (np.cumsum(n) - n)[image]
+def transformed(s: np.ndarray, image: np.ndarray, at: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """Samples as they are, behind subtract-green, cross-colour by multipliers ``by`` (red, blue), and both predictors.
+
+    ``image`` numbers the pixels' images, ``at`` the pixels in them; each image has whole rows.
+    """
     left, above = np.roll(s, 1, axis=0), np.roll(s, WIDTH, axis=0)
     left[at == 0] = (0, 0, 0, 255)
     # of the left column the pixel above, of the first row the one to the left, is the prediction
     from_left = s - np.where(((at % WIDTH == 0) & (at > 0))[:, None], above, left)
     from_above = s - np.where((at < WIDTH)[:, None], left, above)
-    green = s.copy()
-    green[:, 0] -= s[:, 1]
-    green[:, 2] -= s[:, 1]
-    g = s[:, 1].view(np.int8).astype(np.int64)
+    green, cross, g = s.copy(), s.copy(), s[:, 1].view(np.int8).astype(np.int64)
+    for k, m in zip((0, 2), by):
+        green[:, k] -= s[:, 1]
+        cross[:, k] -= (m[image] * g >> 5).astype(np.uint8)
+    return [s, green, cross, from_left, from_above]
+
+
+def multipliers(s: np.ndarray, image: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each image, 32 times the slopes of red and blue over green."""
 
     def mean(x):
         return np.bincount(image, x, minlength=len(n)) / n
 
-    spread = np.maximum(1e-9, mean(g * g) - mean(g) ** 2)
-    by = [np.clip(np.rint(32 * (mean(g * s[:, k]) - mean(g) * mean(s[:, k])) / spread), -128, 127).astype(np.int64) for k in (0, 2)]
-    cross = s.copy()
-    for k, m in zip((0, 2), by):
-        cross[:, k] -= (m[image] * g >> 5).astype(np.uint8)
-    choices = [s, green, cross, from_left, from_above]
-    cost = np.stack([entropies(c, image, n) + extra for c, extra in zip(choices, (0, 2, 72, 72, 72))])
-    best = cost.argmin(0)
-    chosen = s.copy()
-    for k in range(1, len(choices)):
-        chosen[best[image] == k] = choices[k][best[image] == k]
+    g = s[:, 1].view(np.int8).astype(np.int64)
+    middle = mean(g)
+    spread = np.maximum(1e-9, mean(g * g) - middle**2)
+    return np.stack([np.clip(np.rint(32 * (mean(g * s[:, k]) - middle * mean(s[:, k])) / spread), -128, 127).astype(np.int64) for k in (0, 2)])
+
+
+def encoded(payloads: list[bytes]) -> list[bytes]:
+    """Each payload of at most ``PIXELS`` pixels, whose length is a multiple of a row, as an image."""
+    n = np.array([len(x) // 4 for x in payloads])
+    heights = n // WIDTH
+    s = np.ascontiguousarray(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 4))
+    image = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(s)) - (np.cumsum(n) - n)[image]
+    shown, few = at < SHOWN, np.minimum(n, SHOWN)
+    first, whose = np.ascontiguousarray(s[shown]), image[shown]
+    by = multipliers(first, whose, few)
+    cost = [entropies(c, whose, few) + extra for c, extra in zip(transformed(first, whose, at[shown], by), (0, 2, 72, 72, 72))]
+    best = np.stack(cost).argmin(0)
+    chosen = s
+    if best.any():
+        chosen, own = s.copy(), np.flatnonzero(best[image])
+        for k, changed in enumerate(transformed(np.ascontiguousarray(s[own]), image[own], at[own], by)):
+            mine = best[image[own]] == k
+            chosen[own[mine]] = changed[mine]
     own, values = _argb(s), _argb(chosen)
     ends = np.cumsum(n)
     pixels, width, lead, small = np.split(values, ends[:-1]), np.full(len(n), WIDTH), [(0, 0)] * len(n), {}
