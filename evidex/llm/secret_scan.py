@@ -3,10 +3,14 @@
 A text is the first layer. Each layer is scanned, then searched for percent escapes, Unicode escapes and
 base64 runs; what these hold becomes a further layer, and so does what any compressed part of a decoded
 layer holds, until none is left. A layer met before at the same place is not searched again, which ends
-cycles such as archives that hold themselves. A layer carries the place in the text of each of its
+cycles such as archives that hold themselves. Escapes of escapes are undone one by one for the first ``DEEP``
+layers, and all that are left at once in the next, so that nesting costs time in proportion to the text; what
+could be lost with the layers between are parts of runs that the earlier ones show whole.
+A layer carries the place in the text of each of its
 characters, so a span found anywhere is reported as the part of the text that encodes it. Patterns are
 ASCII, so layers are bytes: one for each character of the text, any other than Latin-1 being a "?".
-A layer need not be text, and compressed parts are found anywhere in it, one behind the other being read as one.
+A layer need not be text, and compressed parts are found anywhere in it, one behind the other being read as one;
+a deflated part without a header is found where a base64 run begins with it.
 Base64 is read over line ends, and from each of four digits on, so that what is glued before it does no harm.
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty table; other columns are not read. Every byte of every layer is scanned. One of
@@ -25,6 +29,7 @@ import mmap
 import re
 import tempfile
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +40,8 @@ from .common import arrow_map, arrow_replace
 KINDS = ("assign", "access", "hex")
 #: Bytes of a layer held in memory, and bytes handled at a time.
 MAX_LAYER, CHUNK = 16 << 20, 1 << 20
+#: Layers of escapes undone one by one.
+DEEP = 3
 MASK = "[SECRET]"
 
 _WORDS = "password passwd secret token api_?key".split()
@@ -48,6 +55,8 @@ PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(
     rb"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}|&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
 )
+#: One escape of either sort; none is longer than ``REACH``.
+ESCAPED, REACH = re.compile(rb"%[0-9A-Fa-f]{2}|" + UNICODE.pattern), 12
 #: A run of base64 digits, or several with line ends between them.
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*[\r\n][ \t\r\n]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{16,}+)={0,2}")
 _URL = bytes.maketrans(b"-_", b"+/")
@@ -101,6 +110,11 @@ def _unescape(match: str) -> bytes | None:
     return chr(code).encode("latin-1", "replace") if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
+def _one(match: bytes) -> bytes | None:
+    """The byte of one escape, None if there is none such."""
+    return bytes.fromhex(match[1:].decode()) if match[:1] == b"%" else _unescape(match.decode())
+
+
 def _escapes(text: bytes, percent: bool):
     """(start, end, decoded, places): places are each decoded character's start and end in the text."""
     if not percent:
@@ -119,10 +133,10 @@ class Layer:
     character if it is the same for all, as in what was compressed.
     """
 
-    __slots__ = ("close", "ends", "flat", "own", "starts", "text")
+    __slots__ = ("close", "depth", "ends", "flat", "own", "starts", "text")
 
-    def __init__(self, text, starts=None, ends=None, own=None, flat=None, close=None):
-        self.text, self.starts, self.ends, self.own, self.flat, self.close = text, starts, ends, own, flat, close
+    def __init__(self, text, starts=None, ends=None, own=None, flat=None, close=None, depth=0):
+        self.text, self.starts, self.ends, self.own, self.flat, self.close, self.depth = text, starts, ends, own, flat, close, depth
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.flat is not None:
@@ -152,7 +166,7 @@ class Layer:
                 return None
             for k in range(at, len(self.text), CHUNK):
                 out.add(self.text[k : k + CHUNK])
-            return Layer(out.done(), flat=self.flat)
+            return Layer(out.done(), flat=self.flat, depth=self.depth + 1)
         parts, starts, ends, own, at = [], [], [], [], 0
         s, e = (self.starts, self.ends) if self.starts is not None else (np.arange(len(self.text)), np.arange(1, len(self.text) + 1))
         for lo, hi, decoded, places in _escapes(self.text, percent):
@@ -164,13 +178,61 @@ class Layer:
         if not parts:
             return None
         tail = len(self.text) - at
-        return Layer(b"".join([*parts, self.text[at:]]), np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]), np.concatenate([*own, np.zeros(tail, bool)]))
+        return Layer(b"".join([*parts, self.text[at:]]), np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]), np.concatenate([*own, np.zeros(tail, bool)]), depth=self.depth + 1)
+
+    def settled(self) -> Layer | None:
+        """The whole layer with escapes undone until none is left, in one pass: what an escape gives may belong to the next."""
+        text, out, at = self.text, bytearray(), 0
+        starts, ends, own = array("q"), array("q"), bytearray()
+
+        def append(lo: int, hi: int) -> None:
+            out.extend(text[lo:hi])
+            if self.flat is None:
+                starts.frombytes(np.ascontiguousarray(self.starts[lo:hi] if self.starts is not None else np.arange(lo, hi)).tobytes())
+                ends.frombytes(np.ascontiguousarray(self.ends[lo:hi] if self.ends is not None else np.arange(lo + 1, hi + 1)).tobytes())
+                own.extend(b"\0" * (hi - lo))
+
+        while m := ESCAPED.search(text, at):
+            lo, hi = m.span()
+            if (made := _one(m[0])) is None:
+                append(at, lo + 1)
+                at = lo + 1
+                continue
+            append(at, lo)
+            place = self.place(lo, hi)
+            while made:
+                at = hi
+                out.extend(made)
+                if self.flat is None:
+                    starts.append(place[0])
+                    ends.append(place[1])
+                    own.append(1)
+                made, base = None, max(0, len(out) - REACH)
+                near = bytes(out[base:]) + text[at : at + REACH]
+                last = len(out) - base - 1
+                for k in range(last + 1):
+                    if near[k] in b"%\\&" and (m := ESCAPED.match(near, k)) and m.end() > last and (made := _one(m[0])):
+                        hi = at + m.end() - last - 1
+                        place = self.flat or (starts[base + k], self.place(at, hi)[1] if hi > at else ends[-1])
+                        for x in (out, starts, ends, own):
+                            del x[base + k :]
+                        break
+        if not at:
+            return None
+        append(at, len(text))
+        if self.flat is not None:
+            return Layer(bytes(out), flat=self.flat, depth=self.depth + 1)
+        return Layer(bytes(out), np.array(starts, np.int64), np.array(ends, np.int64), np.frombuffer(bytes(own), bool), depth=self.depth + 1)
 
     def nested(self):
         """What the layer's escapes, base64 runs and compressed parts hold."""
-        for percent, sign in ((True, rb"%"), (False, rb"\\|&#")):
-            if re.search(sign, self.text) and (new := self.unescaped(percent)) is not None:
+        if self.depth >= DEEP:
+            if (new := self.settled()) is not None:
                 yield new
+        else:
+            for percent, sign in ((True, rb"%"), (False, rb"\\|&#")):
+                if re.search(sign, self.text) and (new := self.unescaped(percent)) is not None:
+                    yield new
         yield from self.decoded()
         past = 0
         for m in () if self.starts is self.flat is None else PACKED.finditer(self.text):  # not in the text itself
@@ -192,6 +254,8 @@ class Layer:
             where = None
             for skip in range(4):
                 data = _digits(self.text, start, end, skip)
+                if (inner := deflated(data)) and HINT.search(inner):
+                    yield Layer(inner, flat=self.place(start, end))
                 if not HINT.search(data):
                     continue
                 if self.flat is not None:
@@ -259,18 +323,35 @@ def unpacked(data, at: int) -> tuple[bytes | mmap.mmap, int | None]:
     return out.done(), whole
 
 
+def deflated(data) -> bytes | mmap.mmap | None:
+    """What raw deflate at the start of ``data`` holds, if it comes to its end."""
+    made, out, at, fed = zlib.decompressobj(-15), Spool(), 0, b""
+    try:
+        while not made.eof:
+            if not fed:
+                fed = data[at : at + CHUNK]
+                at += len(fed)
+                if not fed:
+                    return None
+            out.add(made.decompress(fed, CHUNK))
+            fed = made.unconsumed_tail
+    except zlib.error:
+        return None
+    return out.done() if out.size else None
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base spans and all spans, sorted, as (start, kind's number, end); decoded layers; layers of more than MAX_LAYER bytes."""
     text = (text or "").encode("latin-1", "replace")
     base = sorted(base_spans(text))
     found, work, layers, large = set(base), [Layer(text)], 0, 0
-    met = {(text, (0, len(text)))}
+    met = {(hashlib.sha256(text).digest(), (0, len(text)))}
     while work:
         layer = work.pop()
         for new in layer.nested():
             if not new.text:
                 continue
-            key = (new.text if isinstance(new.text, bytes) else hashlib.sha256(new.text).digest(), new.place(0, len(new.text)))
+            key = (hashlib.sha256(new.text).digest(), new.place(0, len(new.text)))
             if key in met:
                 continue
             met.add(key)

@@ -7,9 +7,12 @@ import lzma
 import random
 import re
 import tarfile
+import time
 import urllib.parse
 import zlib
 
+import numpy as np
+
 from evidex.llm import secret_scan as s
 
 SECRET = "token = 'abcdef123456'"
@@ -114,6 +117,50 @@ def test_wrapped_and_glued_codes():
                 assert found and all(f in code for f in found), (before, kind)
 
 
+def test_deep_escapes_take_time_in_proportion():
+    for text, mark in (("%" + "25" * 100_000 + "41", "%"), ("\\u005c" + "u005c" * 40_000 + "u0041", "\\"), ("&#38;" + "#38;" * 50_000 + "#65;", "&")):
+        # the letter that all the escapes are is the last of the name of a key
+        code = "see AKI" + text + "BCDEFGH" * 3 + " x"
+        began = time.time()
+        found, layers, _ = covered(code)
+        assert time.time() - began < 20 and layers <= 2 * s.DEEP + 2
+        assert any(f.startswith("AKI" + mark) for f in found)
+
+
+def test_settled_is_the_last_of_all_layers():
+    rng = random.Random(7)
+    parts = ["%", "25", "%25", "41", "3", "5", "%3", "\\u00", "\\x5c", "u0025", "&#", "37;", "x26;", "a", "é", "%5C", "\\u{26}", "%2", "#37;"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))).encode("latin-1")
+        want = text
+        for _ in range(60):  # layer by layer, the first escape of each
+            for m in s.ESCAPED.finditer(want):
+                if (made := s._one(m[0])) is not None:
+                    want = want[: m.start()] + made + want[m.end() :]
+                    break
+            else:
+                break
+        layer = s.Layer(text).settled()
+        assert (layer.text if layer else text) == want, text
+        if layer:
+            assert len(layer.starts) == len(layer.ends) == len(layer.own) == len(want)
+            assert (np.diff(layer.starts) > 0).all() and (layer.starts[1:] == layer.ends[:-1]).all()
+            flat = s.Layer(text, flat=(3, 9)).settled()
+            assert flat.text == want and flat.flat == (3, 9)
+
+
+def test_deflate_without_a_header_and_escaped_bytes():
+    raw = b"among other words token=abcdef123456 and some more"
+    made = zlib.compressobj(9, zlib.DEFLATED, -15)
+    bare = made.compress(raw) + made.flush()
+    code = base64.b64encode(bare).decode()
+    found = covered(f"a {code} b")[0]
+    assert found and all(f in code for f in found)
+    for data in (gzip.compress(raw), zlib.compress(raw)):
+        code = "".join(f"%{c:02x}" for c in data)
+        found = covered(f"a {code} b")[0]
+        assert found and all(f in code for f in found)
+
 
 def test_masking():
     assert s.masked("a token=abcdefgh b", s.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
