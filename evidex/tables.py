@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidex-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -30,11 +36,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidex_path = path
+    if _scopes:
+        _scopes[-1].append(out)
+    return out
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make()`` gives, kept, with all tables that were kept for it released."""
+    _scopes.append([])
+    try:
+        out = keep(make(), name)
+    finally:
+        held = _scopes.pop()
+    for df in held:
+        if df is not out:
+            release(df)
     return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete a kept table that no later step reads."""
+    """Delete a kept table that no later step reads; one that is gone already is no error."""
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(df._evidex_path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
