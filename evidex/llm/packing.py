@@ -32,6 +32,8 @@ LIMIT = 2048
 END = 0
 #: Bins over the lengths, and documents in a pattern at most.
 BINS, DEPTH = 64, 4
+#: Tokens that a sequence of a pattern may leave free; documents that leave more wait for the best fit.
+SLACK = 1
 #: Pieces of one length in a bucket, about.
 BUCKET = 200_000
 
@@ -141,7 +143,7 @@ def plan(counts: np.ndarray, limit: int = LIMIT, bins: int = BINS, depth: int =
             for place, k in enumerate(shapes[j]):
                 last = place == len(shapes[j]) - 1
                 top = room if last else min(room, k * width)
-                got = stock.longest(top, max(1, top - 2 * width if last else (k - 1) * width + 1), held)
+                got = stock.longest(top, max(1, top - SLACK if last else (k - 1) * width + 1), held)
                 if not got:
                     break
                 lengths.append(got)
@@ -193,7 +195,10 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 
 def place(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``cut`` (doc_id, piece, start, length, ids_crc32), a kept table, with sequence_id and offset."""
+    """``cut`` (doc_id, piece, start, length, ids_crc32, part), a kept table, with sequence_id and offset.
+
+    part: any number that tells rows apart which are else the same, so that many of them are dealt to many buckets.
+    """
     spark = cut.sparkSession
     seen = cut.groupBy("length").count().collect()  # at most ``limit`` rows
     counts = np.zeros(limit + 1, np.int64)
@@ -202,7 +207,7 @@ def place(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
     ranges, _ = plan(counts, limit)
     lo = spark.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
     buckets = max(16, int(counts.max() // BUCKET) + 1)
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part"), F.lit(buckets)).cast("int"))
     of = Window.partitionBy("length", "bucket")
     numbered = cut.withColumn("n", F.row_number().over(of.orderBy("doc_id", "piece", "ids_crc32")) - 1)
     sizes = cut.groupBy("length", "bucket").count()
@@ -217,4 +222,5 @@ def place(cut: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def packed(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    return place(keep(pieces(df, tokenizer, id_col, text_col, limit), "pieces"), limit)
+    cut = pieces(df, tokenizer, id_col, text_col, limit).withColumn("part", (F.monotonically_increasing_id() % 1024).cast("short"))
+    return place(keep(cut, "pieces"), limit)
