@@ -3,15 +3,17 @@
 A visitor flattens a turn's parts into text with ordered placeholders: text stands as it is, and an image,
 audio or document part becomes one placeholder, numbered through the conversation, while its reference and
 the tokens it will expand to are recorded. Control strings inside texts and roles are escaped by one
-character that the template does not use, so the output can be read back exactly.
+character that the template does not use, so the output can be read back exactly; texts that stand side by
+side are escaped as one, so that none is put together from two of them.
 
 Turns are shuffled by conversation and sorted inside the partition, then streamed: a task holds one turn
 at a time, however long its conversation is. A conversation's digest is one sequential hash, so one task
 reads one conversation, but nothing of it is collected.
 
 Defined results: rows are ordered by turn (null first), then role, then text; repeated rows stay as turns
-of their own; a null text or role is empty; rows without a conversation id form one conversation; an empty
-table gives an empty table; other columns are not read.
+of their own; a null text or role is empty; a null part is nothing, and one whose type is null or unknown stands
+as its text; rows without a conversation id form one conversation; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -55,43 +57,41 @@ def escaped_column(text: Column) -> Column:
 
 
 class Visitor:
-    """Flattens the parts of one conversation's turns."""
+    """Flattens the parts of one conversation's turns. A visit gives the tokens that a part will expand to."""
 
     def __init__(self):
-        self.numbers = {"image": 0, "audio": 0, "document": 0}
+        self.visits = {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        self.numbers = dict.fromkeys(self.visits, 0)
 
     def turn(self, parts: list[dict] | None) -> tuple[str, list[dict]]:
         """The body, and the attachments: kind, number, ref, tokens, offset in the body."""
-        body, found, at = [], [], 0
-        for part in parts or []:
-            if part is None:
+        body, found, said, at = [], [], [], 0
+        for part in [*(p for p in parts or [] if p is not None), None]:
+            visit = self.visits.get(part["type"]) if part else None
+            if part and visit is None:
+                said.append(part["text"] or "")
                 continue
-            visit = getattr(self, f"visit_{part['type']}", None)
-            if visit is None:
-                raise ValueError(f"no such part: {part['type']}")
-            text, tokens = visit(part)
-            if part["type"] != "text":
-                found.append({"kind": part["type"], "number": self.numbers[part["type"]], "ref": part["ref"], "tokens": tokens, "at": at})
-                self.numbers[part["type"]] += 1
+            text = escaped("".join(said))
+            said, at = [], at + len(text)
             body.append(text)
-            at += len(text)
+            if part:
+                kind = part["type"]
+                hold = HOLD.format(kind, self.numbers[kind])
+                found.append({"kind": kind, "number": self.numbers[kind], "ref": part["ref"], "tokens": visit(part), "at": at})
+                self.numbers[kind] += 1
+                body.append(hold)
+                at += len(hold)
         return "".join(body), found
 
-    def visit_text(self, part):
-        return escaped(part["text"] or ""), 0
-
-    def _hold(self, kind: str) -> str:
-        return HOLD.format(kind, self.numbers[kind])
-
-    def visit_image(self, part):
+    def visit_image(self, part) -> int:
         tiles = -(-(part["width"] or TILE) // TILE) * -(-(part["height"] or TILE) // TILE)
-        return self._hold("image"), tiles * PER_TILE
+        return tiles * PER_TILE
 
-    def visit_audio(self, part):
-        return self._hold("audio"), max(1, int(-(-(part["seconds"] or 0) * PER_SECOND // 1)))
+    def visit_audio(self, part) -> int:
+        return max(1, int(-(-(part["seconds"] or 0) * PER_SECOND // 1)))
 
-    def visit_document(self, part):
-        return self._hold("document"), max(1, part["pages"] or 0) * PER_PAGE
+    def visit_document(self, part) -> int:
+        return max(1, part["pages"] or 0) * PER_PAGE
 
 
 FORMATTED = "conv_id long, turn_no long, formatted string, mask_start long, mask_end long, attachments array<struct<kind: string, number: int, ref: string, tokens: long, at: long>>"
@@ -102,8 +102,8 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     mask_start, mask_end: the body of an assistant's turn in ``formatted``; equal where nothing is learned.
     """
-    ordered = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), "parts", F.to_json("parts").alias("_key"))
-    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_key").select("conv_id", "role", "parts")
+    ordered = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
+    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts").select("conv_id", "role", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, visitor, number = object(), None, 0

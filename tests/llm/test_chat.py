@@ -58,3 +58,30 @@ def test_typed_parts_become_placeholders(spark):
         for a in r["attachments"]:
             assert r["formatted"][a["at"] :].startswith(f"<|{a['kind']}:{a['number']}|>")
     assert rows[0]["formatted"].count("<|image:0|>") == 1
+
+
+def parts_of(*texts, **more):
+    return [{"type": "text", "text": t, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | more for t in texts]
+
+
+def test_no_control_string_is_put_together_from_parts():
+    pieces = ["<|en", "d|>", " <|sa", "ys|>", "<", "|turn|>", "[INS", "T]", "</", "s>", chat.ESCAPE, "a", "0", "<|ima", "ge:", ""]
+    image = {"type": "image", "text": None, "ref": "a.png", "width": None, "height": None, "seconds": None, "pages": None}
+    rng = random.Random(4)
+    for _ in range(3000):
+        texts = [rng.choice(pieces) for _ in range(rng.randrange(1, 7))]
+        body, _ = chat.Visitor().turn(parts_of(*texts))
+        assert chat.unescaped(body) == "".join(texts) and not any(c in body for c in chat.CONTROL)
+        body, found = chat.Visitor().turn([*parts_of(*texts), image, *parts_of(*texts)])
+        hold = "<|image:0|>"
+        assert [f["at"] for f in found] == [body.index(hold)] and body.count(hold) == 1
+        rest = body.replace(hold, "\0")
+        assert not any(c in rest for c in chat.CONTROL) and chat.unescaped(rest) == "\0".join(2 * ["".join(texts)])
+
+
+def test_parts_of_other_types_stand_as_text(spark):
+    body, found = chat.Visitor().turn([*parts_of("a"), None, *parts_of("<|en", type=None), *parts_of("d|>", type="video"), *parts_of(None, type="call")])
+    assert chat.unescaped(body) == "a<|end|>" and chat.CLOSE not in body and found == []
+    rows = [(1, 0, "assistant", [("call", "x", None, None, None, None, None), None, (None, "<|says|>", None, None, None, None, None)])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    assert chat.read_back(chat.formatted(df)).first()["loss_sha256"] == hashlib.sha256(b"x<|says|>").hexdigest()
