@@ -150,9 +150,16 @@ def heading(line: Column) -> Column:
 
 
 def header_line(text: Column) -> Column:
-    """A chunk that is only a page header: a name, a year and a kind of report, 45 characters at most."""
+    """A chunk that is only a page header: a name of 2 to 40 characters, a year and a kind of report, 45 characters at most."""
     bare = F.regexp_replace(text, "\\s", "")
-    return (F.length(bare) <= 45) & bare.rlike("^.{2,40}(?:19|20)[0-9]{2}年(?:半年度|年度)?报告(?:全文|摘要)?$")
+    kinds = [f"年{term}报告{part}" for term in ("", "半年度", "年度") for part in ("", "全文", "摘要")]
+    # what the kind leaves must be a name and a year of our time
+    out = F.lit(False)
+    for kind in kinds:
+        head = F.left(bare, F.length(bare) - len(kind))
+        year, name = F.right(head, F.lit(4)), F.length(head) - 4
+        out = out | (bare.endswith(kind) & year.rlike("^(19|20)[0-9]{2}$") & name.between(2, 40))
+    return (F.length(bare) <= 45) & out
 
 
 def squeezed(text: Column) -> Column:
