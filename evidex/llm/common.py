@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..tables import keep, release, shared_dir, spread  # noqa: F401  for the operators here
+from ..tables import finished, keep, release, shared_dir, spread  # noqa: F401  for the operators here
 
 #: Rows handled at a time inside a task: only so many texts are Python objects at once.
 SLICE = 128
+_held: dict[tuple, object] = {}
 
 
 def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.StructType, rows: int = SLICE) -> DataFrame:
@@ -69,11 +68,9 @@ def arrow_replace(df: DataFrame, column: str, start: Callable) -> DataFrame:
 
 def per_process(key: tuple, make: Callable):
     """What ``make()`` gave the first time in this Python process: tables outlive tasks, whose workers Spark reuses."""
-    held = sys.modules.setdefault("_evidex_held", types.ModuleType("_evidex_held")).__dict__
-    name = repr(key)
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
 
 
 def parallelism(spark: SparkSession) -> int:

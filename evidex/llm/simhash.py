@@ -15,6 +15,7 @@ DataFrames. The comparison stays quadratic in distinct fingerprints; tiles only
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import xxhash
@@ -26,10 +27,14 @@ from .common import arrow_map, keep, parallelism, release
 WIDTH, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block, and in a tile.
 BLOCK, TILE = 131_072, 256
+#: Strips that a cell is cut into at most.
+STRIPS = 8
 #: Hashes whose bits are counted at a time, and pairs of links held before they are merged.
 HASHES, PAIRS = 65_536, 1_000_000
 #: Parts that the rows of a large group are dealt to.
 SALTS = 32
+#: A fingerprint that more than one of so many rows have is a hot one; there are no more hot ones than that.
+HOT = 5000
 
 
 def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
@@ -87,8 +92,11 @@ def _tiles(x: np.ndarray, tile: int):
     return order, np.minimum.reduceat(counts, cuts, axis=1), np.maximum.reduceat(counts, cuts, axis=1)
 
 
-def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (member, root) of all links between a and b, or within a if b is None. Both uint64 and distinct."""
+def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int = TILE, strip: int = 0, strips: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (member, root) of all links between a and b, or within a if b is None. Both uint64 and distinct.
+
+    Of ``strips`` strips, that share a's tiles evenly, only one is done.
+    """
     nodes = np.sort(np.concatenate([a, b]) if b is not None else a)
     parent, held, n = np.arange(len(nodes)), [], 0
     oa, lo_a, hi_a = _tiles(a, tile)
@@ -100,7 +108,7 @@ def cell_links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile:
         ob, lo_b, hi_b = _tiles(b, tile)
         sb, ob_rank = b[ob], np.searchsorted(nodes, b[ob])
     xor, bits, hit = (np.empty((tile, tile), t) for t in (np.uint64, np.uint8, bool))
-    for i in range(lo_a.shape[1]):
+    for i in range(strip, lo_a.shape[1], strips):
         gaps = np.maximum(0, np.maximum(lo_a[:, i : i + 1] - hi_b, lo_b - hi_a[:, i : i + 1]))
         near = np.nonzero(np.maximum(gaps[0], gaps[1:].sum(0)) <= radius)[0]
         left = sa[i * tile : (i + 1) * tile, None]
@@ -135,19 +143,22 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK
     # enough blocks to occupy the cores, unless there is little to do, and none beyond its bound
     g = max(1, math.ceil(n / block), min(math.ceil(math.sqrt(2 * cores)), n // 8192))
     b = F.pmod(F.xxhash64("fp"), F.lit(g)).cast("int")
-    packed = nodes.groupBy(b.alias("b")).agg(F.collect_list("fp").alias("fps"))
+    # few cells are cut into strips, so that each core has several tasks and no task is a long one
+    strips = min(STRIPS, math.ceil(8 * cores / (g * (g + 1))))
+    # in a fixed order, so that all strips of a cell see the same tiles
+    packed = nodes.groupBy(b.alias("b")).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda j: F.least("b", j) * g + F.greatest("b", j))
-    pairs = packed.select(F.explode(cells).alias("cell"), "fps").repartition(min(g * (g + 1), 20_000), "cell")
-    pairs = pairs.groupBy("cell").agg(F.collect_list("fps").alias("sides"))
+    pairs = packed.select(F.explode(cells).alias("cell"), F.struct("b", "fps").alias("side")).select("cell", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"), "side")
+    pairs = pairs.repartition(min(g * (g + 1) * strips, 20_000), "cell", "strip").groupBy("cell", "strip").agg(F.sort_array(F.collect_list("side"))["fps"].alias("sides"))
 
     def start():
-        def step(sides):
-            out = [cell_links(*([np.array(x, np.int64).view(np.uint64) for x in s] + [None])[:2], radius) for s in sides]
+        def step(which, sides):
+            out = [cell_links(*([np.array(x, np.int64).view(np.uint64) for x in s] + [None])[:2], radius, TILE, k, strips) for k, s in zip(which, sides)]
             return [np.concatenate([o[k] for o in out]).view(np.int64).tolist() for k in (0, 1)]
 
         return step
 
-    return arrow_map(pairs, ["sides"], start, "u long, v long")
+    return arrow_map(pairs, ["strip", "sides"], start, "u long, v long", 1)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,9 +205,12 @@ def fingerprint_groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per row of ``df``: (id, fp signed, grp, component). grp is a fingerprint that names the group."""
     prints = keep(with_fingerprints(df, id_col, text_col), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    # kept, so that both sides are plain exchanges and the rows of a hot fingerprint can be split
-    return prints.join(fingerprint_groups(nodes, radius), "fp").select("id", "fp", "grp", "component")
+    nodes = keep(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "nodes")
+    named = fingerprint_groups(nodes.select("fp", "least"), radius)
+    # rows of hot fingerprints are not shuffled by them: at most HOT names go to every task
+    hot = nodes.filter(F.col("rows") > prints.count() / HOT).select("fp")
+    often, others = F.broadcast(named.join(hot, "fp", "left_semi")), prints.join(F.broadcast(hot), "fp", "left_anti")
+    return prints.join(often, "fp").unionByName(others.join(named, "fp")).select("id", "fp", "grp", "component")
 
 
 def as_hex(fp) -> F.Column:
@@ -208,12 +222,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     An id does not tell rows apart, so rows are numbered where they are kept, and the row that wins its group stays.
     """
-    rows = keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    prints = keep(with_fingerprints(rows, id_col, text_col, "_row"), "prints")
+    row = f"_row_{uuid.uuid4().hex}"  # no column of the table
+    rows = keep(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = keep(with_fingerprints(rows, id_col, text_col, row), "prints")
     # of equal ids that of the smallest fingerprint; a null id comes last
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "_row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", row))
     best = prints.groupBy("fp").agg(first.alias("first"))
     best = keep(best, "best")
     groups = fingerprint_groups(best.select("fp", F.col("first.id").alias("least")), radius)
-    stay = best.join(groups, "fp").groupBy("grp").agg(F.min("first").alias("first")).select("first._row")
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    stay = best.join(groups, "fp").groupBy("grp").agg(F.min("first").alias("first")).select(f"first.{row}")
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

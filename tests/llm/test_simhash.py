@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from evidex.llm import simhash
 
@@ -49,6 +50,29 @@ def test_cells_lose_no_link():
         assert [int(v) for v in parent] == want
 
 
+def test_strips_share_a_cell():
+    rng = np.random.default_rng(6)
+    x = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64).repeat(9) ^ (np.uint64(1) << rng.integers(0, 60, 540, dtype=np.uint64)))
+    for a, b in ((x, None), (x[:200], x[200:])):
+        whole = np.arange(len(x))
+        m, r = simhash.cell_links(a, b, 4, 16)
+        whole = simhash._settle(whole, np.searchsorted(x, m), np.searchsorted(x, r))
+        parts = np.arange(len(x))
+        for k in range(5):
+            m, r = simhash.cell_links(a, b, 4, 16, k, 5)
+            parts = simhash._settle(parts, np.searchsorted(x, m), np.searchsorted(x, r))
+        assert (whole == parts).all() and len(np.unique(whole)) < len(x)
+
+
+def test_hot_fingerprints_and_others_are_all_named(spark, monkeypatch):
+    rows = [(i, "the same text of more than a few words") for i in range(200)] + [(1000 + i, f"w{i} " * 3 + f"x{i} y{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 4, 5000):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = sorted((r["id"], r["component"]) for r in simhash.near_duplicates(df).collect())
+        assert [i for i, _ in got] == [i for i, _ in rows] and {c for i, c in got if i < 200} == {0}
+
+
 def test_components_of_chains_stars_and_pairs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(-5, 900), (900, 900)]
     random.Random(3).shuffle(edges)
@@ -104,6 +128,13 @@ def test_one_of_each_group_stays(docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three four", "p", 7, 9), (2, "one two three four", "q", 8, 9), (None, "five six seven eight", "r", 9, 9)], "doc_id long, text string, _n string, _fp int, _grp int")
+    got = simhash.one_of_each(df.withColumn("_row", F.lit("own")))
+    assert got.columns == ["doc_id", "text", "_n", "_fp", "_grp", "_row"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "one two three four", "p", 7, 9, "own"), (None, "five six seven eight", "r", 9, 9, "own")]
+
+
 def test_one_of_each_chooses_rows_not_ids(spark):
     a, b = "one two three four five six seven eight nine ten", "wholly other words that stand in no text but this one here"
 
