@@ -5,9 +5,11 @@ listed though they are not, level 2 the listed keys that level 1 takes for those
 has no false positive. The universe is every key that occurs in the corpus, so for each of them the
 first level that misses it decides, without a join and without doubt.
 
-Everything is DataFrame expressions. The levels are literals of the plan: their size follows the lists,
-which are parameters of at most ``MAX_LISTED`` keys (checked), and never the corpus; the keys are made
-distinct before they are shuffled, so a host that a third of all urls share is one key a task.
+Everything is DataFrame expressions. The levels are literals of the plan: their size follows the listed keys
+that occur in the corpus, which are counted, and never the corpus; the keys are made distinct before they are
+shuffled, so a host that a third of all urls share is one key a task. A list is a parameter, a sequence or a
+DataFrame; of one with more than ``MAX_LISTED`` keys that occur, membership is decided by joins of distinct
+hosts instead, which is as exact.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict
 of an unlisted key; repeated rows give repeated results; an empty table gives an empty table; other
@@ -23,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
 MAX_LISTED = 1_000_000
 #: (verdict, host, path)
@@ -62,6 +64,10 @@ def rule_keys(host: Column, path: Column, rules=RULES) -> Column:
     return F.flatten(F.transform(suffixes(host, most), lambda h: F.transform(starts, lambda p: F.concat(h, p))))
 
 
+class Beyond(ValueError):
+    """A list of more keys than a plan takes."""
+
+
 @dataclass
 class Cascade:
     """Levels of (bits, hashes, words of 64 bits)."""
@@ -105,7 +111,7 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     own, others = listed.join(universe, "key", "left_semi"), universe.join(listed, "key", "left_anti")
     n = own.count()
     if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; a cascade of the plan takes {MAX_LISTED}")
+        raise Beyond(f"{n} listed keys; a cascade of the plan takes {MAX_LISTED}")
     if not n:
         return out
     miss = min(0.5, n / max(1, others.count()))
@@ -118,24 +124,40 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
 
 
 def keys_of(spark: SparkSession, keys) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(set(keys))]) if keys else F.array().cast("array<string>")).alias("key"))
+    """A list of keys, a sequence or a DataFrame of one column, as distinct rows (key)."""
+    if isinstance(keys, DataFrame):
+        return keys.select(F.col(keys.columns[0]).cast("string").alias("key")).filter("key <> ''").distinct()
+    one = F.split(F.lit("\n".join(sorted(set(keys)))), "\n")  # one literal, however many keys
+    return spark.range(1).select(F.explode(one).alias("key")).filter("key <> ''")
 
 
 def judge(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RULES, blocked=BLOCKED) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed."""
+    """page_id, host, path, rule, verdict, listed. ``blocked``: a sequence or a DataFrame of hosts."""
     spark = df.sparkSession
     parts = df.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    most = max([b.count(".") + 1 for b in blocked], default=1)
+    hosts = keys_of(spark, blocked)
+    most = hosts.agg(F.max(F.size(F.split("key", "\\.")))).first()[0] or 1
     of_rules, of_hosts = rule_keys(F.col("host"), F.col("path"), rules), suffixes(F.col("host"), most)
     # a key of the list has no slash, a key of a rule has one
     universe = keep(parts.select(F.explode(F.concat(of_rules, of_hosts)).alias("key")).distinct(), "url-keys")
     names = {h + p: verdict for verdict, h, p in rules}
     ruled = build(universe.filter(F.contains("key", F.lit("/"))), keys_of(spark, names))
-    listed = build(universe.filter(~F.contains("key", F.lit("/"))), keys_of(spark, blocked))
+    try:
+        cascade = build(universe.filter(~F.contains("key", F.lit("/"))), hosts)
+    except Beyond:
+        cascade = None
+    release(universe)
     fit = F.filter(of_rules, ruled.contains)
     longest = F.element_at(F.array_sort(F.transform(fit, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))), -1)["k"]
     rule = F.when(F.size(fit) > 0, longest)
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    out = parts.withColumn("rule", rule).withColumn("listed", F.exists(of_hosts, listed.contains))
+    out = parts.withColumn("rule", rule)
+    if cascade is not None:
+        out = out.withColumn("listed", F.exists(of_hosts, cascade.contains))
+    else:
+        pairs = parts.select("host").distinct().select("host", F.explode(suffixes(F.col("host"), most)).alias("key"))
+        # kept, so that both sides of the last join are plain exchanges and a hot host's rows can be split
+        met = keep(pairs.join(hosts, "key", "left_semi").select("host", F.lit(True).alias("listed")).distinct(), "url-listed")
+        out = out.join(met, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     verdict = F.when(F.col("rule").isNotNull(), F.element_at(known, F.col("rule"))).when(F.col("listed"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")

@@ -44,6 +44,22 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.filter(everything.contains(F.col("key"))).count() == 5000
 
 
+def test_longer_lists_are_exact_too(spark, monkeypatch):
+    rows = [(i, f"http://{'m.' * (i % 3)}h{i % 40}.example.{'com' if i % 2 else 'org'}/x") for i in range(400)] + [(1000, None), (1001, "http://h3.example.com")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    listed = [f"h{k}.example.org" for k in range(0, 40, 3)] + ["h5.example.com", "nowhere.example.net"]
+    hosts = spark.createDataFrame([(h,) for h in [*listed, listed[0]]], "name string")
+
+    def judged(blocked):
+        return sorted(map(tuple, u.judge(df, rules=u.RULES[1:], blocked=blocked).collect()), key=str)
+
+    want = judged(listed)
+    assert {v for r in want for v in r[4:5]} == {"allow", "block"} and judged(hosts) == want
+    monkeypatch.setattr(u, "MAX_LISTED", 4)
+    assert judged(listed) == want and judged(hosts) == want
+    assert {r[4] for r in judged([])} == {"allow"}
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "http://net/es/")], "page_id long, url string")
     plan = u.judge(df)._jdf.queryExecution().executedPlan().toString()
