@@ -116,51 +116,101 @@ def expanded(queries: DataFrame, most: int = 8) -> DataFrame:
     return queries.select("query", F.posexplode(F.slice(F.array_distinct(trimmed), 1, most)).alias("seq", "text"))
 
 
-# What makes a question one about causes, and evidence of causes.
-CAUSE_ASKED = "原因|为何|为什么|由于"
-CAUSE_TOLD = "主要系|主要是|主要由于|主要因|系因|由于|原因说明|变动原因"
+# Words of a question about causes, and of evidence for them; around a cause, with how much in between.
+CAUSE_ASKED = ("为什么", "原因", "主要系", "所致", "由于", "导致")
+CAUSE_TOLD = ("主要系", "主要原因", "原因在于", "所致", "由于", "导致", "因素")
+AFFECTED = "受[^，。；！？]{0,24}影响"
+# Words of a financial question, and of one that asks for a number.
+FINANCIAL = ("营业", "收入", "利润", "研发", "现金流", "资产", "负债", "财务", "每股", "毛利率", "净利率")
+NUMERIC = ("多少", "数额", "金额", "合计", "同比", "增长率", "数值", "百分比", "占比", "万元", "亿元", "元")
 # Groups of metric words.
 METRIC_GROUPS = {
-    "revenue": ("营业总收入", "营业收入"),
-    "net_profit_parent": ("归属于上市公司股东的净利润", "归属于母公司股东的净利润", "归属于母公司所有者的净利润", "归母净利润"),
-    "rd": ("研发投入合计", "研发投入总额", "研发费用"),
-    "operating_cash_flow": ("经营活动产生的现金流量净额", "经营活动现金流量净额"),
+    "revenue": ("营业收入", "营业总收入"),
+    "listed_net_profit": ("归属于上市公司股东的净利润", "归属于母公司股东的净利润", "归属于母公司所有者的净利润", "归母净利润"),
+    "rd_total": ("研发投入合计", "研发投入总额", "研发投入"),
+    "rd_expense": ("研发费用",),
+    "operating_cash_flow": ("经营活动产生的现金流量净额", "经营活动现金流量净额", "经营活动产生现金流量净额"),
 }
-SCOPES = {"consolidated": "合并", "parent": "母公司", "subsidiary": "子公司"}
-SECTIONS = ("主要会计数据", "财务报表", "管理层讨论与分析", "重要事项", "研发投入", "现金流")
+SCOPES = {"parent": "母公司", "subsidiary": "子公司", "consolidated": "合并"}
+SECTIONS = ("经营情况概述", "经营情况", "管理层讨论与分析", "财务报表", "利润表", "现金流量表")
+
+
+def bare(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "\\s", "")
+
+
+def any_of(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def asks_cause(squeezed_text: Column) -> Column:
+    return any_of(squeezed_text, CAUSE_ASKED) | squeezed_text.rlike(AFFECTED)
+
+
+def tells_cause(squeezed_text: Column) -> Column:
+    return any_of(squeezed_text, CAUSE_TOLD) | squeezed_text.rlike(AFFECTED)
+
+
+def groups_in(squeezed_text: Column) -> Column:
+    """The metric groups that a text names, in their order."""
+    return F.array_compact(F.array(*[F.when(any_of(squeezed_text, words), F.lit(g)) for g, words in METRIC_GROUPS.items()]))
+
+
+def groups_of(metrics: Column) -> Column:
+    """The metric groups of the names of stored facts."""
+    found = [F.when(F.arrays_overlap(metrics, F.array(*[F.lit(w) for w in (g, *words)])), F.lit(g)) for g, words in METRIC_GROUPS.items()]
+    return F.array_compact(F.array(*found))
 
 
 def profile(text: Column) -> Column:
-    """What a question asks for: metric groups, scope, cause, numbers, sections."""
-    bare = F.regexp_replace(text, "\\s", "")
-    groups = F.array_compact(F.array(*[F.when(bare.rlike("|".join(words)), F.lit(g)) for g, words in METRIC_GROUPS.items()]))
+    """What a question asks for: metric groups, scope, cause, finance, numbers, sections."""
+    t = bare(text)
+    groups, cause = groups_in(t), asks_cause(t)
     scope = F.lit("")
     for name, word in reversed(SCOPES.items()):
-        scope = F.when(bare.contains(word), name).otherwise(scope)
-    sections = F.array_compact(F.array(*[F.when(bare.contains(s), F.lit(s)) for s in SECTIONS]))
-    numeric = (F.size(groups) > 0) | bare.rlike("多少|金额|数值|比例|增长率|[0-9]+(?:\\.[0-9]+)?(?:万元|亿元|元|%)")
-    return F.struct(groups.alias("groups"), scope.alias("scope"), bare.rlike(CAUSE_ASKED).alias("is_cause"), numeric.alias("is_numeric"), sections.alias("sections"))
+        scope = F.when(t.contains(word), name).otherwise(scope)
+    sections = F.array_compact(F.array(*[F.when(t.contains(s), F.lit(s)) for s in SECTIONS]))
+    numeric, financial = (F.size(groups) > 0) & (any_of(t, NUMERIC) | ~cause), (F.size(groups) > 0) | any_of(t, FINANCIAL)
+    return F.struct(groups.alias("groups"), scope.alias("scope"), cause.alias("is_cause"), financial.alias("is_financial"), numeric.alias("is_numeric"), sections.alias("sections"))
+
+
+def merged_profile(profiles: Column, first_text: Column) -> Column:
+    """One profile of several query strings of a question: the first gives the scope and whether numbers are asked, all add groups, sections and causes."""
+
+    def union(field, order):
+        every = F.flatten(F.transform(profiles, lambda p: p[field]))
+        return F.filter(F.array(*[F.lit(x) for x in order]), lambda x: F.array_contains(every, x))
+
+    first, groups = F.get(profiles, F.lit(0)), union("groups", METRIC_GROUPS)
+    cause = F.exists(profiles, lambda p: p["is_cause"])
+    numeric = (F.size(groups) > 0) & (any_of(bare(first_text), NUMERIC) | ~cause)
+    return F.struct(groups.alias("groups"), first["scope"].alias("scope"), cause.alias("is_cause"), (first["is_financial"] | (F.size(groups) > 0)).alias("is_financial"), numeric.alias("is_numeric"), union("sections", SECTIONS).alias("sections"))
+
 
+def match_kind(p: Column, text: Column, table_name: Column, metrics: Column) -> Column:
+    """Whether a hit has a fact of an asked metric, only names one, or neither."""
+    named = F.arrays_overlap(groups_in(bare(F.concat(F.coalesce(table_name, F.lit("")), F.coalesce(text, F.lit(""))))), p["groups"])
+    return F.when(F.coalesce(F.arrays_overlap(metrics, p["groups"]), F.lit(False)), "fact").when(named, "header").otherwise("")
 
-def adjustment(p: Column, text: Column, metrics: Column, scope: Column, is_table: Column, section_path: Column) -> Column:
+
+def adjustment(p: Column, text: Column, metrics: Column, scope: Column, is_table: Column, section_path: Column, table_name: Column | None = None) -> Column:
     """A small weight by rules that orders hits and is no part of their score; six decimals.
 
     ``metrics``: metric groups of the facts that a hit carries.
     """
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s", "")
+    t = bare(text)
     known, table = F.coalesce(scope, F.lit("unknown")), F.coalesce(is_table, F.lit(False))
-    words = F.lit(False)
-    for g, aliases in METRIC_GROUPS.items():
-        words = words | (F.array_contains(p["groups"], g) & bare.rlike("|".join(aliases)))
-    fact = F.coalesce(F.arrays_overlap(metrics, p["groups"]), F.lit(False))
-    value = F.when(p["is_numeric"], F.when(fact, 0.018).when(words, 0.008).otherwise(0.0)).otherwise(0.0)
+    kind = match_kind(p, text, F.lit("") if table_name is None else table_name, metrics)
     asked = F.when(known == p["scope"], 0.005).otherwise(-0.003)
     by_default = F.when(known == "consolidated", 0.005).when(known.isin("parent", "subsidiary"), -0.002).otherwise(0.0)
-    value = value + F.when(p["is_numeric"], F.when(p["scope"] != "", asked).otherwise(by_default)).otherwise(0.0)
-    told = bare.rlike(CAUSE_TOLD)
+    value = F.when(p["is_numeric"], F.when(kind == "fact", 0.018).when(kind == "header", 0.008).otherwise(0.0) + F.when(p["scope"] != "", asked).otherwise(by_default)).otherwise(0.0)
+    told = tells_cause(t)
     value = value + F.when(p["is_cause"], F.when(told & ~table, 0.012).when(table & ~told, -0.006).otherwise(0.0)).otherwise(0.0)
     path = F.coalesce(section_path, F.lit(""))
-    return F.round(value + F.aggregate(p["sections"], F.lit(0.0), lambda s, t: s + F.when(path.contains(t), 0.008).when(bare.contains(t), 0.003).otherwise(0.0)), 6)
+    return F.round(value + F.aggregate(p["sections"], F.lit(0.0), lambda s, x: s + F.when(path.contains(x), 0.008).when(t.contains(x), 0.003).otherwise(0.0)), 6)
 
 
 def rerank(hits: DataFrame, score: Column, top: int | None = None) -> DataFrame:
@@ -201,20 +251,6 @@ def locked_docs(clues: DataFrame, markers: DataFrame) -> DataFrame:
     return met.join(one, "query").select("query", "doc").distinct()
 
 
-def routed(hits: DataFrame, locked: DataFrame, periods: DataFrame) -> DataFrame:
-    """Hits with those of locked documents' tables of an asked period first; the others keep their order behind them.
-
-    ``hits`` (query, chunk, doc, rank, is_table, period); ``periods`` (query, period).
-    """
-    routed_docs = hits.join(locked.withColumn("_locked", F.lit(True)), ["query", "doc"], "left")
-    asked = periods.distinct().withColumn("_asked", F.lit(True))
-    both = routed_docs.join(asked, ["query", "period"], "left")
-    first = F.coalesce(F.col("is_table") & F.col("_locked") & F.col("_asked"), F.lit(False))
-    w = Window.partitionBy("query").orderBy(F.desc("routed"), "_was")
-    out = both.withColumn("routed", first).withColumnRenamed("rank", "_was")
-    return out.withColumn("rank", F.row_number().over(w) - 1).drop("_was", "_locked", "_asked")
-
-
 def containing(corpus: DataFrame, targets: DataFrame) -> DataFrame:
     """(item, doc): documents that hold a target's text, white space and case aside.
 
