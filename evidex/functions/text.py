@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -169,3 +172,17 @@ def squeezed(text: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def hmac_sha256(text: Column, key: bytes) -> Column:
+    """A text's signature by a key that the plan holds."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
+def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+    """The UUID of version 5 of a name in a namespace."""
+    h = F.sha1(F.concat(F.lit(bytearray(namespace.bytes)), name.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

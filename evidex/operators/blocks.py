@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunking, facts
@@ -34,6 +34,10 @@ def continues(text: str) -> bool:
     return plain and (bool(facts.unit_of(text)) or told or any(re.search("项目|科目|本期|上期", x) for x in lines) or (len(rows) >= 2 and numeric >= 2))
 
 
+def continuation(text: Column) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(lambda t: continues(t or "")), "boolean")(text)
+
+
 def compatible(active: dict, local: dict) -> bool:
     """Stated units, full periods and scopes of two neighbours agree."""
 

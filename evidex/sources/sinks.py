@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import uuid5
+
 
-def surrogate(kb_id: Column, chunk_id: Column) -> Column:
-    """A physical id that two knowledge bases cannot share."""
-    return F.sha2(F.concat_ws("\u0000", kb_id, chunk_id), 256)
+def point_id(kb_id: Column, chunk_id: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+    """A physical id that two knowledge bases cannot share: the UUID of a name that holds both ids."""
+    return uuid5(F.to_json(F.struct(chunk_id.alias("chunk_id"), kb_id.alias("kb_id"))), namespace)
 
 
 def checked_vectors(df: DataFrame, dimension: int, vec: str = "vec") -> DataFrame:
