@@ -55,6 +55,32 @@ def summary(results: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     return results.groupBy(*by).agg(*figures) if by else results.agg(*figures)
 
 
+def service_summary(results: DataFrame) -> DataFrame:
+    """(measure, hits, total, rate): of guardrail intents, answerability, FAQ hits and keywords, over the cases that expect one; null without any.
+
+    ``results`` (intent, escalate, faq_hit, answer, expect_intent, expect_answerable, expect_faq, expect_keyword); a null expectation is none.
+    """
+    met = {
+        "intent": (F.col("expect_intent"), F.col("intent").eqNullSafe(F.col("expect_intent"))),
+        "answerable": (F.col("expect_answerable"), ~F.coalesce("escalate", F.lit(False)) == F.col("expect_answerable")),
+        "faq": (F.col("expect_faq"), F.coalesce("faq_hit", F.lit(False)) == F.col("expect_faq")),
+        "keyword": (F.col("expect_keyword"), F.coalesce(F.col("answer").contains(F.col("expect_keyword")), F.lit(False))),
+    }
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.when(e.isNotNull(), ok).alias("ok")) for m, (e, ok) in met.items()])
+    sums = results.select(F.inline(each)).groupBy("measure").agg(F.count_if("ok").alias("hits"), F.count("ok").alias("total"))
+    return sums.withColumn("rate", F.round(F.try_divide("hits", "total"), 4))
+
+
+def offline_totals(found: DataFrame, ks: Iterable[int]) -> DataFrame:
+    """(measure, k, hits, total): cases with the right document, excerpt or page among the first k hits, of those that have such a truth.
+
+    ``found`` (case_id, measure, rank): the best rank of a right hit from 0, null if there is none.
+    """
+    best = found.groupBy("case_id", "measure").agg(F.min("rank").alias("rank"))
+    each = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    return best.select("measure", "rank", each).groupBy("measure", "k").agg(F.count_if(F.col("rank") < F.col("k")).alias("hits"), F.count("*").alias("total"))
+
+
 def slices(results: DataFrame) -> DataFrame:
     """Totals by category and by tag, a case with several tags in each: (kind, name, total, n_passed)."""
     by = F.explode(F.concat(F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("name"))), F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("name"))))).alias("s")

@@ -8,7 +8,7 @@ made from is scanned once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
@@ -137,6 +137,30 @@ def patched(stored: DataFrame, patch: DataFrame, key: str = "id") -> tuple[DataF
     return new, changed
 
 
+def disclosures(records: DataFrame) -> DataFrame:
+    """(entity, period_year, disclosures): where each present metric's latest record is from, in the metrics' order."""
+    order = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric"))
+    item = F.struct(order.alias("_at"), "metric", F.coalesce("source_title", F.lit("")).alias("source_title"), "source_page", "source_page_end", F.coalesce("source_text", F.lit("")).alias("source_text"))
+    found = latest(records).filter(F.col("metric").isin(*METRICS)).groupBy("entity", "period_year").agg(F.array_sort(F.collect_list(item)).alias("items"))  # one a metric at most
+    return found.select("entity", "period_year", F.transform("items", lambda x: x.dropFields("_at")).alias("disclosures"))
+
+
+def analysed(records: DataFrame) -> DataFrame:
+    """One row per entity and year: its metrics compared, profit against cash flow, disclosures, findings."""
+    key = ["entity", "period_year"]
+    cells = F.struct("metric", "value", "prev_value", "comparable", "change_amount", "change_rate", "note")
+    compared_ = compared(records).groupBy(*key).agg(F.array_sort(F.collect_list(cells)).alias("metrics"))
+    related = relation(pivoted(latest(records))).select(*key, F.struct("left_value", "right_value", "difference", "relation").alias("profit_cash_flow"))
+    pending = findings(records).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("metric", "code"))).alias("pending"))
+    return compared_.join(related, key).join(disclosures(records), key, "left").join(pending, key, "left")
+
+
+def written(brief: Column, template: Column) -> tuple[Column, Column]:
+    """A model's text and where it is from; a null or blank one gives way to the template."""
+    good = F.coalesce(F.trim(brief) != "", F.lit(False))
+    return F.when(good, brief).otherwise(template), F.when(good, "llm").otherwise("template")
+
+
 def company_markdown(rows: DataFrame) -> DataFrame:
     """A Markdown table of each entity's compared metrics (as :func:`compared` gives them)."""
 

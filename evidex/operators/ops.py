@@ -82,6 +82,19 @@ def resolved_missing(stored: DataFrame, prefix: str, active: DataFrame) -> DataF
     return stored.join(live, "key", "left").withColumn("status", F.when(gone, "resolved").otherwise(F.col("status"))).drop("_live")
 
 
+def acknowledged(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Alerts (id, status, acknowledged_by) after people (id, actor) took some: those become acknowledged, whatever their state."""
+    mine = asked.groupBy("id").agg(F.max("actor").alias("_actor"))
+    both = stored.join(mine, "id", "left")
+    taken = F.col("_actor").isNotNull()
+    return both.withColumn("status", F.when(taken, "acknowledged").otherwise(F.col("status"))).withColumn("acknowledged_by", F.coalesce("_actor", "acknowledged_by")).drop("_actor")
+
+
+def alert_page(alerts: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest alerts, of one state if it is given."""
+    return (alerts.filter(F.col("status") == status) if status else alerts).orderBy(F.desc("id")).limit(limit)
+
+
 def scanned_alerts(stats: DataFrame) -> DataFrame:
     """Operational alerts from one row of figures: breaches, overdue, waiting, faithfulness (n), satisfaction (n)."""
     rules = (

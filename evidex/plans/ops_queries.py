@@ -252,7 +252,12 @@ def json_extract_stats(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("sum_k"), F.count_distinct(k).alias("kinds"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE e AS (SELECT user_id, list(event_id ORDER BY ts, event_id) ids, list(epoch_us(ts) ORDER BY ts, event_id) t FROM events GROUP BY user_id),
+    s AS (SELECT user_id, ids, t, 0 i, CAST([] AS BIGINT[]) seen, CAST([] AS BOOLEAN[]) ok FROM e
+          UNION ALL SELECT user_id, ids, t, i + 1, CASE WHEN len(k) < 3 THEN list_append(k, t[i + 1]) ELSE k END, list_append(ok, len(k) < 3)
+          FROM (SELECT *, list_filter(seen, lambda x: x > t[i + 1] - {6 * 3600 * 1_000_000}) k FROM s WHERE i < len(t)))
+    SELECT unnest(ids) event_id, user_id, unnest(ok) admitted FROM s WHERE i = len(t)""")
 def sliding_rate_limit(spark, sf_dir):
     return ops.admitted(events(spark, sf_dir).select("event_id", "user_id", "ts"), 3, 6 * 3600).select("event_id", "user_id", "admitted")
 

@@ -194,7 +194,11 @@ def fusion_trace(spark, sf_dir):
     return fused(spark, sf_dir).groupBy("query").agg(F.count("vec_rank").alias("n_vector"), F.count("bm25_rank").alias("n_lexical"), both.alias("n_both"))
 
 
-@query()
+@query(f"""
+    WITH e AS (SELECT item_id item, {_SQUEEZE.format("text")} e, regexp_extract(text, '([-+]?[0-9][0-9,]*([.][0-9]+)?)', 1) num FROM benchmark),
+         h AS (SELECT {_SQUEEZE.format("text")} t FROM documents),
+         s AS (SELECT item, max(CASE WHEN contains(t, e) THEN 3 WHEN num <> '' AND contains(t, num) THEN 2 WHEN num <> '' AND contains(t, left(regexp_replace(num, '[-+,]', '', 'g'), 6)) THEN 1 ELSE 0 END) s FROM e, h GROUP BY item)
+    SELECT item, CASE s WHEN 3 THEN 'INTACT' WHEN 2 THEN 'NUMBER_ONLY' WHEN 1 THEN 'BROKEN' ELSE 'MISSING' END "class" FROM s""")
 def evidence_integrity(spark, sf_dir):
     from ..operators import gates
 

@@ -55,7 +55,7 @@ def backup_manifest(files: DataFrame) -> DataFrame:
 
 def verification(stored: DataFrame, expected: DataFrame) -> DataFrame:
     """Findings on a migrated store (kb_id, chunk, physical_id, text) against what was to be there: repeated ids, missing, extra, changed."""
-    repeated = stored.groupBy("physical_id").count().filter("count > 1").select(F.col("physical_id").alias("id"), F.lit("repeated").alias("finding"))
+    repeated = stored.groupBy("physical_id").count().filter("count > 1").select(F.col("physical_id").cast("string").alias("id"), F.lit("repeated").alias("finding"))
     s = stored.select("kb_id", "chunk", F.sha2(F.col("text").cast("binary"), 256).alias("have"))
     e = expected.select("kb_id", "chunk", F.sha2(F.col("text").cast("binary"), 256).alias("want"))
     said = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("have") != F.col("want"), "changed")
