@@ -10,8 +10,9 @@ their count. Only its features, ``len(FEATURES)`` numbers a row, reach the drive
 all whole texts.
 
 Defined results: a null text counts as empty and is scored like any other; without any label to learn
-from, all scores are 0.5; rows without an id or label are never learned from; of repeated labels each
-counts; repeated rows give repeated results; an empty table gives an empty table; other columns are not read.
+from, all scores are 0.5; rows without an id or label are never learned from; equal labels of an id count
+once, different ones each, and of documents that share an id the text of the least hash is learned from;
+repeated rows give repeated results; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -155,13 +156,14 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def start():
         of = per_process(("classes",), classes)
 
-        def step(ids, ys, texts):
-            return ids, ys, [features(t, of) for t in texts]
+        def step(ids, ys, hashes, texts):
+            return ids, ys, hashes, [features(t, of) for t in texts]
 
         return step
 
-    rows = arrow_map(joined, ["id", "y", "text"], start, "id long, y int, x array<double>").dropDuplicates(["id", "y"]).collect()
-    rows = sorted((r["id"], r["y"], r["x"]) for r in rows)
+    made = arrow_map(joined, ["id", "y", F.xxhash64("text").alias("h"), "text"], start, "id long, y int, h long, x array<double>")
+    rows = made.groupBy("id", "y").agg(F.min(F.struct("h", "x")).alias("least")).collect()
+    rows = sorted((r["id"], r["y"], r["least"]["x"]) for r in rows)
     return fit(np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r[1]) for r in rows]))
 
 
