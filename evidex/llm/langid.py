@@ -13,8 +13,8 @@ Its feature vectors are made on executors and only these reach the driver; the m
 ``BUCKETS`` x languages numbers. Scoring is a map over all whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any document to
-learn from, all are; documents without an id or language are never learned from; repeated rows give
-repeated results; of equal scores the first language in order wins; an empty table gives an empty table;
+learn from, all are; documents without an id or language are never learned from; of rows that share an id
+and a language, the text of the least hash may be in the sample; repeated rows give repeated results; of equal scores the first language in order wins; an empty table gives an empty table;
 other columns are not read.
 """
 
@@ -160,16 +160,17 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def start():
         fold = per_process(("folding",), folding)
 
-        def step(keys, langs, texts):
-            rows = [(k, lang, c) for k, lang, t in zip(keys, langs, texts) if (c := counts(t, fold)) is not None]
-            at = [np.nonzero(c)[0] for _, _, c in rows]
-            return [r[0] for r in rows], [r[1] for r in rows], [x.tolist() for x in at], [c[x].tolist() for (_, _, c), x in zip(rows, at)]
+        def step(keys, langs, hashes, texts):
+            rows = [(k, lang, h, c) for k, lang, h, t in zip(keys, langs, hashes, texts) if (c := counts(t, fold)) is not None]
+            at = [np.nonzero(r[3])[0] for r in rows]
+            return *([r[k] for r in rows] for k in range(3)), [x.tolist() for x in at], [r[3][x].tolist() for r, x in zip(rows, at)]
 
         return step
 
-    made = arrow_map(some, [draw.alias("k"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")], start, "k long, lang string, at array<int>, n array<long>")
-    rows = made.dropDuplicates(["k", "lang"]).collect()  # of rows that share an id, one; the sample is bounded
-    return fit([(r["k"], r["lang"], np.array(r["at"], np.int32), np.array(r["n"], np.int64)) for r in rows], frequencies(usable, text_col))
+    columns = [draw.alias("k"), F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")]
+    made = arrow_map(some, columns, start, "k long, lang string, h long, at array<int>, n array<long>")
+    rows = made.groupBy("k", "lang").agg(F.min(F.struct("h", "at", "n")).alias("x")).collect()  # the sample is bounded
+    return fit([(r["k"], r["lang"], np.array(r["x"]["at"], np.int32), np.array(r["x"]["n"], np.int64)) for r in rows], frequencies(usable, text_col))
 
 
 def identified(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

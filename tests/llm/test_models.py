@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import plain
 
 from evidex.llm import langid, quality
 
@@ -110,3 +111,63 @@ def test_document_frequencies_and_languages_are_the_whole_inputs(spark, monkeypa
     seen = sum((langid.counts(r[1], fold) > 0).astype(int) for r in used)
     assert np.allclose(model.idf, np.log((1 + len(used)) / (1 + seen)) + 1)
     assert len(langid.learn(spark.createDataFrame([(i, "some words", f"l{i}") for i in range(600)], "doc_id long, text string, lang string")).languages) > 256
+
+
+TEXTS = ["", None, "A", "12 34", "Ab, Ça1世 ǅ x² ½", "one two\n\ntwo TWO Two.\ntwo | a-very-long-word! ??", "ÀÉ\u2028İ b\x0bc\x0cd e\x85f " * 9, "<|x|> \U0001f600 token\ttoken token"]
+
+
+def test_counts_and_features_by_definition():
+    fold, of = langid.folding(), quality.classes()
+    for text in TEXTS:
+        want, got = plain.ngrams(text or ""), langid.counts(text or "", fold)
+        assert (want is None) == (got is None) and (want is None or dict(want) == {int(k): int(got[k]) for k in np.nonzero(got)[0]})
+        assert np.allclose(quality.features(text, of), plain.features(text), atol=1e-12), text
+
+
+def test_languages_by_definition(spark, docs):
+    own, _ = corpus(spark, 160)
+    model = langid.learn(own)
+    rows = [tuple(r)[:3] for r in own.collect()]
+    usable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % langid.FOLDS != langid.HELD_OUT]
+    counts = {i: plain.ngrams(t) for i, t, _ in usable}
+    seen = {}
+    for c in counts.values():
+        for b in c:
+            seen[b] = seen.get(b, 0) + 1
+    keys = {r["doc_id"]: r["k"] for r in own.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 7), {1 << 40}L) k").collect()}
+    names, weights = plain.languages([(keys[i], lang, counts[i]) for i, _, lang in usable], seen, len(usable))
+    assert names == model.languages
+    for k, w in enumerate(weights):
+        full = np.zeros(langid.BUCKETS + 1)
+        full[list(w)] = list(w.values())
+        assert np.allclose(full, model.weights[k], atol=1e-9)
+    everything = own.select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 1000 doc_id", "text"))
+    text = {r["doc_id"]: r["text"] for r in everything.collect()}
+    for r in langid.identified(everything, model).collect():
+        if r["doc_id"] is not None:
+            lang, score = plain.language(text[r["doc_id"]], names, weights, model.temperature, seen, len(usable))
+            assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9
+
+
+def test_quality_by_definition(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 6)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 5)
+    own, labels = corpus(spark, 240)
+    model = quality.learn(own, labels)
+    texts = {r["doc_id"]: r["text"] for r in own.collect()}
+    ys = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    ids = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % quality.FOLDS != quality.HELD_OUT]
+    want = plain.additive([plain.features(texts[i]) for i in ids], [ys[i] for i in ids], model.cuts, model.coarse, [p[:2] for p in model.pairs])
+    got = {r["doc_id"]: r["score"] for r in quality.scored(own, model).collect()}
+    assert np.allclose([got[i] for i in ids], want, atol=1e-9)
+
+
+def test_what_is_learned_does_not_depend_on_the_order_of_rows(spark):
+    own, labels = corpus(spark, 120)
+    more = own.selectExpr("doc_id", "concat(text, ' and more of it') text", "lang", "source", "n_chars")
+    both = own.unionByName(more).unionByName(own)
+    other = more.unionByName(own).repartition(7).unionByName(own)
+    a, b = langid.learn(both), langid.learn(other)
+    assert (a.weights == b.weights).all() and a.temperature == b.temperature
+    c, d = quality.learn(both, labels.unionByName(labels)), quality.learn(other, labels)
+    assert all((x == y).all() for x, y in zip(c.tables, d.tables))

@@ -1,20 +1,53 @@
+import math
+
 import corpus_pipeline as p
+import plain
 import public_tokenizers
 import tiktoken
 from test_models import corpus
 from test_packing import checked
+from test_secrets import base_by_definition
+from test_simhash import plain as fingerprint
+
+from evidex.llm import langid, packing, quality
+
+
+def quality_score(text, model):
+    """The sum of the entries that the features of a text find in the model's tables."""
+    x, z = plain.features(text), model.start
+
+    def place(v, edges):
+        return sum(e <= v for e in edges)
+
+    z += sum(t[place(v, c)] for v, t, c in zip(x, model.tables, model.cuts))
+    z += sum(t[place(x[a], model.coarse[a])][place(x[b], model.coarse[b])] for a, b, t in model.pairs)
+    return 1 / (1 + math.exp(-z))
+
 
-from evidex.llm import langid, packing, quality, secret_scan, simhash
+def masked(text):
+    """Secrets that stand in the text as they are; the texts of the test hold no other."""
+    out, at = "", 0
+    for s, _, e in base_by_definition(text):
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
 
 
 def brute(rows, languages, model):
-    """The stages before packing by plain loops, with the models given."""
-    judge, of = langid.judging(languages), quality.classes()
-    kept = [r for r in rows if judge(r[1])[1] >= p.LANGUAGE_SCORE]
-    kept = [r for r in kept if model.scores(__import__("numpy").array([quality.features(r[1], of)]))[0] >= p.QUALITY_SCORE]
+    """The stages before packing by plain loops and definitions, with the models given."""
+    usable = [plain.ngrams(r[1]) for r in rows if r[1] and r[2] and __import__("zlib").crc32(str(r[0]).encode()) % langid.FOLDS != langid.HELD_OUT]
+    usable = [c for c in usable if c]
+    seen = {}
+    for c in usable:
+        for b in c:
+            seen[b] = seen.get(b, 0) + 1
+    weights = [{b: float(w[b]) for b in w.nonzero()[0]} for w in languages.weights]
+    kept = [r for r in rows if plain.language(r[1], languages.languages, weights, languages.temperature, seen, len(usable))[1] >= p.LANGUAGE_SCORE]
+    kept = [r for r in kept if quality_score(r[1], model) >= p.QUALITY_SCORE]
     prints, out = [], []
     for r in sorted(kept):
-        prints.append(simhash.fingerprint(r[1]))
+        prints.append(fingerprint(r[1]))
     group = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
@@ -23,7 +56,7 @@ def brute(rows, languages, model):
                 group = [a if g == b else g for g in group]
     for i, r in enumerate(sorted(kept)):
         if group[i] == i:
-            out.append((r[0], secret_scan.masked(r[1], secret_scan.scan(r[1])[1])))
+            out.append((r[0], masked(r[1])))
     return out
 
 
