@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.llm import langid, packing, quality, secret_scan, simhash
-from evidex.llm.common import keep, spread
+from evidex.llm.common import finished, release, spread
 
 #: The least score of a language, and of quality, with which a document stays.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.5
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, last = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = finished(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023  called at once
+        if last is not None:
+            release(last)
+        last = docs
     return docs
