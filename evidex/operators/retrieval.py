@@ -1,14 +1,21 @@
 """Lexical and vector retrieval, fusion, capping and gating, for many queries at once.
 
-A corpus is (chunk, doc, text, ...), queries are (query, text). Statistics are tables: term counts by
-chunk and document counts by term. A query joins them on its terms only, so the work follows the posting
-lists of the terms asked for. Filters apply before statistics are taken.
+A corpus is (chunk, doc, text, ...), queries are (query, text). Statistics are kept tables: term counts by
+chunk and document counts by term, made once for each version of a corpus. A query joins them on its terms
+only, so the work follows the posting lists of the terms asked for. Filters apply before statistics are taken.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squeezed, tokens
 from ..tables import keep, spread
@@ -17,32 +24,71 @@ RRF_K, BM25_WEIGHT = 60, 0.5
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K, OVERFETCH, PER_DOC = 5, 4, 3
 GATE, FAQ = 0.5, 0.8
+#: Query vectors that go to a task at once, and what rounding to six decimals can move a score by.
+QUERIES, EDGE = 2048, 2e-6
+
+
+@dataclass
+class Index:
+    """What BM25 needs of a corpus, kept: postings (term, chunk, tf, length), terms (term, df, raw, mean) and the corpus's size."""
+
+    postings: DataFrame
+    terms: DataFrame
+    avgdl: float
+
+
+_kept: dict[tuple, Index] = {}
+
+
+def version(df: DataFrame) -> tuple:
+    """What changes when a table's files do: their names, lengths and times. The plan's columns and conditions belong to it."""
+    spark = df.sparkSession
+    files = []
+    for name in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    return spark.sparkContext.applicationId, df._jdf.queryExecution().optimizedPlan().canonicalized().toString(), tuple(files)
 
 
 def term_counts(corpus: DataFrame) -> DataFrame:
-    """(chunk, term, tf, length): length in terms, repeats included."""
-    t = spread(corpus.select("chunk", "text")).select("chunk", tokens(F.col("text")).alias("terms"))
+    """(chunk, term, tf, length): length in terms, repeats included.
+
+    Texts are dealt by chunk before they become terms, so that counting a chunk's terms moves nothing more.
+    """
+    t = corpus.select("chunk", "text").repartition("chunk").select("chunk", tokens(F.col("text")).alias("terms"))
     return t.select("chunk", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int, counts: DataFrame | None = None) -> DataFrame:
-    """(query, chunk, score, rank from 0): the k best chunks of each query with a score above zero.
+def indexed(corpus: DataFrame) -> Index:
+    """The index of a corpus (chunk, text): made once for each version of its files, rows and conditions, then read by all queries.
 
     idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes EPSILON times the mean over all terms.
-    Query terms count as often as they occur. ``counts``: an index kept from before; without one it is
-    made and kept here, since the statistics and the scores both read it.
     """
-    counts = keep(term_counts(corpus), "terms") if counts is None else counts
-    docs, terms = corpus.agg(F.count("*").alias("n_docs")), counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_terms"))
-    size = docs.join(F.broadcast(terms), how="cross").select("n_docs", F.try_divide("n_terms", "n_docs").alias("avgdl"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size), how="cross")
-    idf = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
+    corpus = corpus.select("chunk", "text")
+    of = version(corpus)
+    if not of[2] or of not in _kept:
+        postings = keep(term_counts(corpus), "postings", lasting=True)
+        n = corpus.count()
+        df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = keep(df.withColumn("raw", raw), "terms", lasting=True)
+        figures = terms.agg(F.avg("raw").alias("mean"), F.sum("n").alias("n")).first()
+        idf = F.when(F.col("raw") < 0, EPSILON * (figures["mean"] or 0.0)).otherwise(F.col("raw"))
+        _kept[of] = Index(postings, terms.select("term", idf.alias("idf")), (figures["n"] or 0) / max(1, n))
+    return _kept[of]
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int, index: Index | None = None) -> DataFrame:
+    """(query, chunk, score, rank from 0): the k best chunks of each query with a score above zero.
+
+    Query terms count as often as they occur. ``index``: one of this corpus, else the kept one of its version.
+    """
+    index = index or indexed(corpus)
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(idf, "term").join(F.broadcast(mean), how="cross")
-    asked = asked.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scores = counts.join(asked, "term").groupBy("query", "chunk").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    asked = asked.join(index.terms, "term").select("query", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(index.avgdl)))
+    scores = index.postings.join(asked, "term").groupBy("query", "chunk").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return ranked(scores, k)
 
 
@@ -52,30 +98,60 @@ def ranked(scores: DataFrame, k: int, tie: str = "chunk") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(query, chunk, score, rank): exact cosine of each stated query with every vector; ``least`` drops lower scores.
-
-    ``queries`` (query, vec) is a small, stated set: it is what is sent to every partition.
+def _products(queries: list, dimension: int, k: int, least: float | None, others: bool):
+    """Maps vectors to the best of a batch for each query, and what its score could tie with."""
+    ids = pa.array([q[0] for q in queries])
+    q = np.array([q[1] for q in queries], float).reshape(len(queries), dimension)
+    q_length = np.sqrt((q * q).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, vec = batch.column(0), batch.column(1)
+            v = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dimension)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = (q @ v.T) / (q_length[:, None] * np.sqrt((v * v).sum(1)))
+            names, found = chunk.to_pylist(), []
+            for i, row in enumerate(scores):
+                good = np.flatnonzero(~np.isnan(row) if least is None else row >= least - EDGE)
+                if others:
+                    good = good[[names[j] != queries[i][0] for j in good]]
+                if len(good) > k:
+                    edge = np.partition(row[good], -k)[-k] - EDGE
+                    good = good[row[good] >= edge]
+                found.append((np.full(len(good), i), good, row[good]))
+            of, good, score = map(np.concatenate, zip(*found))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), chunk.take(pa.array(good)), pa.array(score)], names=["query", "chunk", "score"])
+
+    return run
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
+    """(query, chunk, score, rank): exact cosine of each stated query with every vector; ``least`` drops lower scores, ``others`` a query's own id.
+
+    ``queries`` (query, vec) is a stated set: it goes to the tasks in blocks of at most ``QUERIES`` vectors, and each
+    block is a matrix product with the vectors, of which a batch passes on what could be among a query's best.
+    Vectors of another dimension than a query's, or with a null component, do not meet it.
     """
-    # lengths are taken once a vector, not once a pair
-    own = spread(vectors.select("chunk", F.col("vec").alias("v"))).withColumn("length", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = queries.select("query", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("q_length"))
-    pairs = own.join(F.broadcast(asked), how="cross")
-    scores = pairs.select("query", "chunk", F.round(dot(F.col("v"), F.col("vec")) / (F.col("length") * F.col("q_length")), 6).alias("score"))
+    whole = F.forall("vec", lambda x: x.isNotNull())
+    asked = queries.filter(F.col("vec").isNotNull() & whole).select("query", "vec", F.size("vec").alias("d"))
+    own = spread(vectors.filter(F.col("vec").isNotNull() & whole).select("chunk", "vec"))
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("chunk", vectors.schema["chunk"].dataType), T.StructField("score", T.DoubleType())])
+    found = []
+    for d, n in asked.groupBy("d").count().collect():  # a few dimensions at most
+        blocks = -(-n // QUERIES)
+        for b in range(blocks):
+            mine = asked.filter((F.col("d") == d) & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).select("query", "vec").collect()  # about QUERIES
+            if not mine:
+                continue
+            found.append(own.filter(F.size("vec") == d).mapInArrow(_products([(r["query"], r["vec"]) for r in mine], d, k, least, others), schema))
+    out = functools.reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
+    scores = out.withColumn("score", F.round("score", 6))
     return ranked(scores.filter(F.col("score") >= least) if least is not None else scores, k)
 
 
-def best_match(vectors: DataFrame, queries: DataFrame, least: float = FAQ) -> DataFrame:
+def best_match(vectors: DataFrame, queries: DataFrame, least: float = FAQ, others: bool = False) -> DataFrame:
     """The one best entry of each query at or above a threshold; the earliest of equals."""
-    return vector_top(vectors, queries, 1).filter(F.col("score") >= least).drop("rank")
+    return vector_top(vectors, queries, 1, least, others).drop("rank")
 
 
 def fused(vector: DataFrame, lexical: DataFrame, weight: float = BM25_WEIGHT, k: int = RRF_K) -> DataFrame:

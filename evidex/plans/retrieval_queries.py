@@ -77,10 +77,7 @@ def vector_topk(spark, sf_dir):
 
 @query(f'WITH {_VEC.format(where="WHERE vec_id <> query", k=1)} SELECT query, chunk, score FROM vec WHERE score >= 0.2')
 def faq_match(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    pairs = v.select("chunk", F.col("vec").alias("v")).join(F.broadcast(question_vectors(spark, sf_dir)), F.col("chunk") != F.col("query"))
-    scores = pairs.select("query", "chunk", F.round(retrieval.cosine(F.col("v"), F.col("vec")), 6).alias("score"))
-    return retrieval.ranked(scores, 1).filter("score >= 0.2").drop("rank")
+    return retrieval.best_match(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 0.2, others=True)
 
 
 _FUSED = f"""{_bm25(_DOCS, 20)}, {_VEC.format(where="", k=20)},

@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[DataFrame]] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     It cuts the lineage and outlives any executor. The files go when the JVM ends, or earlier
-    by :func:`release`.
+    by :func:`release`; those of a ``lasting`` table are not released with what it was made for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -36,7 +36,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidex_path = path
-    if _scopes:
+    if _scopes and not lasting:
         _scopes[-1].append(out)
     return out
 
