@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, per_process
 
 STATES, MEMO, PAIRS = 400_000, 1_000_000, 1_000_000
+#: Characters of a match that is kept at most, and of all that are: longer ones are coded anew each time.
+KEPT, HELD = 128, 16_000_000
 NEVER = 1 << 62
 SHIFT, NODE, SEARCHED, HEAD = 20, (1 << 20) - 1, 64, 6
 
@@ -230,6 +232,8 @@ class Transducer:
         head = self.heads.get(piece[:HEAD])
         if head is None:
             state, out = self._run(self.start, piece[:HEAD])
+            if len(self.heads) >= PAIRS:
+                self.heads.clear()
             self.heads[piece[:HEAD]] = state, out
         else:
             state, out = head
@@ -263,7 +267,7 @@ class Transducer:
 
 class Encoder:
     def __init__(self, table: dict[bytes, int]):
-        self.transducer, self.split, self.memo = Transducer(table), compiled_pattern().findall, {}
+        self.transducer, self.split, self.memo, self.held = Transducer(table), compiled_pattern().findall, {}, 0
 
     def encode(self, text: str) -> list[int]:
         memo, pieces = self.memo, self.split(text)
@@ -274,9 +278,13 @@ class Encoder:
                     piece = pieces[i]
                     ids = memo.get(piece)
                     if ids is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        ids = memo[piece] = tuple(self.transducer.encode(piece.encode()))
+                        ids = tuple(self.transducer.encode(piece.encode()))
+                        if len(piece) <= KEPT:
+                            if len(memo) >= MEMO or self.held >= HELD:
+                                memo.clear()
+                                self.held = 0
+                            memo[piece] = ids
+                            self.held += len(piece)
                     found[i] = ids
         return list(chain.from_iterable(found))
 
