@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +15,6 @@ from ..tables import finished, keep, release, shared_dir, spread  # noqa: F401
 
 #: Rows handled at a time inside a task: only so many texts are Python objects at once.
 SLICE = 128
-_held: dict[tuple, object] = {}
 
 
 def arrow_map(df: DataFrame, columns: list, start: Callable, schema: str | T.StructType, rows: int = SLICE) -> DataFrame:
@@ -67,10 +68,15 @@ def arrow_replace(df: DataFrame, column: str, start: Callable) -> DataFrame:
 
 
 def per_process(key: tuple, make: Callable):
-    """What ``make()`` gave the first time in this Python process: tables outlive tasks, whose workers Spark reuses."""
-    if key not in _held:
-        _held[key] = make()
-    return _held[key]
+    """What ``make()`` gave the first time in this Python process: tables outlive tasks, whose workers Spark reuses.
+
+    They hang on the interpreter, not on this module: where code is shipped by value, each task has globals of its own.
+    """
+    held = sys.modules.setdefault("_evidex_held", types.ModuleType("_evidex_held")).__dict__
+    name = repr(key)
+    if name not in held:
+        held[name] = make()
+    return held[name]
 
 
 def parallelism(spark: SparkSession) -> int:
