@@ -76,6 +76,12 @@ def chunks(docs: DataFrame, pieces: Column, doc: str = "doc_id") -> DataFrame:
     return rows.select("doc", "chunk_index", name(i).alias("chunk"), "text", F.when(i > 0, name(i - 1)).alias("previous_chunk"), F.when(i + 1 < F.col("n"), name(i + 1)).alias("next_chunk"))
 
 
+def linked(rows: DataFrame, doc: str = "doc", at: str = "chunk_index") -> DataFrame:
+    """Rows with the places of those before and behind them in their document."""
+    w = Window.partitionBy(doc).orderBy(at)
+    return rows.withColumn("previous", F.lag(at).over(w)).withColumn("next", F.lead(at).over(w))
+
+
 def with_parents(rows: DataFrame, parent: int = PARENT, size: int = SIZE) -> DataFrame:
     """Chunks with the parent they belong to: ``parent // size`` chunks in a row share one."""
     each = max(1, parent // size)

@@ -1,9 +1,9 @@
 """Metric records of entities by period: latest record, year over year, peers, findings.
 
 Records: entity, period_year int, period_type, scope, metric, value decimal(20,6), status, updated_at, id.
-Every step is an aggregation or a join on (entity, metric): partial aggregation before the shuffle, no
-ordering beyond a key. Latest records that a comparison reads more than once are kept, so that what they are
-made from is scanned once.
+Latest records are aggregated before they are shuffled, and gathered into one row per entity and year, a map
+from the few metrics to their records. What compares years or peers reads such rows once: the year before is
+the row before, and a group's members stand in one row of their group and year.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
-from ..tables import keep
 
 #: The five metrics in their order.
 METRICS = ("revenue", "net_profit_parent", "operating_cash_flow", "total_assets", "total_liabilities")
@@ -26,6 +25,16 @@ def latest(records: DataFrame, key=KEY) -> DataFrame:
     return records.groupBy(*key).agg(best, (F.count("*") > 1).alias("duplicate")).select(*key, "r.*", "duplicate")
 
 
+def yearly(records: DataFrame) -> DataFrame:
+    """(entity, period_year, own, prev): the latest record of each metric, of the year and of the year before."""
+    rest = [c for c in ("value", "period_type", "scope", "status", "duplicate") if c in (*records.columns, "duplicate")]
+    own = F.map_from_entries(F.collect_list(F.struct("metric", F.struct(*rest))))
+    rows = latest(records).filter("metric IS NOT NULL").groupBy("entity", "period_year").agg(own.alias("own"))
+    w = Window.partitionBy("entity").orderBy("period_year")
+    before = F.lag("period_year").over(w) == F.col("period_year") - 1
+    return rows.withColumn("prev", F.when(before, F.lag("own").over(w)))
+
+
 def pivoted(records: DataFrame, metrics=METRICS) -> DataFrame:
     """A row per entity and year with a column per metric."""
     return records.groupBy("entity", "period_year").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
@@ -33,9 +42,9 @@ def pivoted(records: DataFrame, metrics=METRICS) -> DataFrame:
 
 def compared(records: DataFrame) -> DataFrame:
     """Each latest record with that of the year before: comparable, change_amount, change_rate, note."""
-    cur = keep(latest(records), "latest")  # read twice, and small beside the records
-    prev = cur.select("entity", (F.col("period_year") + 1).alias("period_year"), "metric", *[F.col(c).alias(f"prev_{c}") for c in ("value", "period_type", "scope")], F.lit(True).alias("found"))
-    both = cur.join(prev, ["entity", "period_year", "metric"], "left")
+    fields = ("value", "period_type", "scope")
+    both = yearly(records).select("entity", "period_year", "prev", F.explode("own").alias("metric", "o")).withColumn("p", F.element_at("prev", F.col("metric")))
+    both = both.select(*KEY, *[F.col(f"o.{c}").alias(c) for c in fields], *[F.col(f"p.{c}").alias(f"prev_{c}") for c in fields], F.when(F.col("p").isNotNull(), True).alias("found"))
     note = (
         F.when(F.col("found").isNull(), "no comparison record")
         .when(~F.col("period_type").eqNullSafe(F.col("prev_period_type")), "period types differ")
@@ -62,15 +71,15 @@ def relation(pivot: DataFrame, left: str = "net_profit_parent", right: str = "op
 def peers(records: DataFrame, groups: DataFrame) -> DataFrame:
     """The peers of each group on every metric of their year: comparable, note, bar percent, leader.
 
-    ``groups`` (grp, entity): small sets of entities to be compared. A metric of a group is comparable if
+    ``groups`` (grp, entity): small sets of entities to be compared, which stand in one row. A metric of a group is comparable if
     none of its peers lacks it, no record is in conflict or failed, and period types and scopes agree, in
     that order of precedence. A bar is the share of the largest magnitude.
     """
-    best = keep(latest(records), "latest")
-    wanted = groups.join(best.select("entity", "period_year").distinct(), "entity")
-    wanted = wanted.select("grp", "period_year").distinct().join(groups, "grp")
+    every = groups.join(yearly(records).select("entity", "period_year", "own"), "entity").groupBy("grp", "period_year").agg(F.map_from_entries(F.collect_list(F.struct("entity", "own"))).alias("every"))
+    members = groups.groupBy("grp").agg(F.collect_set("entity").alias("members"))
     names = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
-    rows = wanted.select("grp", "period_year", "entity", names).join(best, ["entity", "period_year", "metric"], "left")
+    rows = every.join(members, "grp").select("grp", "period_year", "every", F.explode("members").alias("entity")).select("grp", "period_year", "entity", F.element_at("every", F.col("entity")).alias("own"), names)
+    rows = rows.select("grp", "period_year", "entity", "metric", F.element_at("own", F.col("metric")).alias("r")).select("grp", "period_year", "entity", "metric", *[F.col(f"r.{c}").alias(c) for c in ("value", "period_type", "scope", "status")])
     of = Window.partitionBy("grp", "period_year", "metric")
     missing = F.max(F.col("value").isNull()).over(of)
     broken = F.max(F.coalesce(F.col("status").isin("conflict", "failed"), F.lit(False))).over(of)
@@ -92,12 +101,14 @@ def peers(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def findings(records: DataFrame) -> DataFrame:
     """Coded findings of each entity and year, one row each: duplicates, missing or empty current and comparison metrics, mismatches, zero bases."""
-    best = keep(latest(records), "latest")
     names = F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")
-    grid = best.select("entity", "period_year").distinct().select("entity", "period_year", names)
-    own = best.select("entity", "period_year", "metric", "value", "period_type", "scope", "duplicate", F.lit(True).alias("found"))
-    prev = own.select("entity", (F.col("period_year") + 1).alias("period_year"), "metric", *[F.col(c).alias(f"prev_{c}") for c in ("value", "period_type", "scope", "found")])
-    rows = grid.join(own, ["entity", "period_year", "metric"], "left").join(prev, ["entity", "period_year", "metric"], "left")
+    rows = yearly(records).select("entity", "period_year", "own", "prev", names)
+    rows = rows.select("entity", "period_year", "metric", F.element_at("own", F.col("metric")).alias("o"), F.element_at("prev", F.col("metric")).alias("p"))
+    fields = ("value", "period_type", "scope")
+    rows = rows.select(
+        "entity", "period_year", "metric", *[F.col(f"o.{c}").alias(c) for c in (*fields, "duplicate")], *[F.col(f"p.{c}").alias(f"prev_{c}") for c in fields],
+        F.when(F.col("o").isNotNull(), True).alias("found"), F.when(F.col("p").isNotNull(), True).alias("prev_found"),
+    )
     both = F.col("found") & F.col("prev_found")
     same_type, same_scope = F.col("period_type").eqNullSafe(F.col("prev_period_type")), F.col("scope").eqNullSafe(F.col("prev_scope"))
     checks = (

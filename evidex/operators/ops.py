@@ -40,6 +40,12 @@ def feedback_stats(df: DataFrame, rating: Column) -> DataFrame:
     return df.agg(F.count("*").alias("total"), up.alias("positive"), F.count_if(rating == 0).alias("negative"), rate(up, F.count("*")).alias("satisfaction"))
 
 
+def rag_stats(log: DataFrame, by: str, score: Column, escalated: Column) -> DataFrame:
+    """By a key: the mean score without nulls to two decimals, the share of escalations to four, and the rows."""
+    mean = F.round(F.avg(score.cast("decimal(20,6)")).cast("double"), 2)
+    return log.groupBy(by).agg(F.coalesce(mean, F.lit(0.0)).alias("avg_value"), F.round(F.avg(escalated.cast("double")), 4).alias("escalate_rate"), F.count("*").alias("n"))
+
+
 def percentile_by_floor(values: Column, p: float) -> Column:
     """An aggregate: of n sorted values, the one at index floor(p * n), the last at most."""
     sorted_ = F.array_sort(F.collect_list(values))
@@ -131,6 +137,28 @@ def overdue(status: Column, due: Column, as_of: str) -> Column:
     return ~status.isin("resolved", "closed") & F.coalesce(due < F.to_timestamp(F.lit(as_of)), F.lit(False))
 
 
+def breached(waiting: Column, answered: Column, since: Column, as_of: str, minutes: int = SLA_MINUTES) -> Column:
+    """Whether a conversation still waits for its first answer after its time is up."""
+    due = since + F.make_dt_interval(mins=F.lit(minutes))
+    return waiting & ~F.coalesce(answered, F.lit(False)) & F.coalesce(due < F.to_timestamp(F.lit(as_of)), F.lit(False))
+
+
+def present(users: DataFrame, presence: DataFrame, group: str) -> DataFrame:
+    """Users of a group with their presence rows."""
+    return users.filter(F.col("grp") == group).join(presence, "user_id")
+
+
+def latest_states(checkpoints: DataFrame) -> DataFrame:
+    """The state that each thread goes on from: its last checkpoint (thread, step, state)."""
+    return checkpoints.groupBy("thread").agg(F.max("step").alias("step"), F.max_by("state", "step").alias("state"))
+
+
+def admitted_at_most(events: DataFrame, seconds: int, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """Events with how many of their key came within ``seconds`` before, themselves included: a bound on what a limit admits."""
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return events.withColumn("n", F.count("*").over(w))
+
+
 def history(turns: DataFrame, n: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """The last n turns of each conversation in order, an agent's as the assistant's."""
     role = F.when(F.col("role") == "agent", "assistant").otherwise(F.col("role"))

@@ -54,10 +54,13 @@ def version(df: DataFrame) -> tuple:
 def term_counts(corpus: DataFrame) -> DataFrame:
     """(chunk, term, tf, length): length in terms, repeats included.
 
-    Texts are dealt by chunk before they become terms, so that counting a chunk's terms moves nothing more.
+    A chunk's terms are counted in its own row: sorted, each run of equal ones is one term. Nothing is shuffled.
     """
-    t = corpus.select("chunk", "text").repartition("chunk").select("chunk", tokens(F.col("text")).alias("terms"))
-    return t.select("chunk", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    t = spread(corpus.select("chunk", "text")).select("chunk", F.array_sort(tokens(F.col("text"))).alias("s")).filter(F.size("s") > 0)
+    runs = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
+    t = t.withColumn("runs", runs)
+    each = F.transform("runs", lambda i, j: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("runs", j + 1), F.size("s")) - i).cast("long").alias("tf")))
+    return t.select("chunk", F.size("s").alias("length"), F.inline(each)).select("chunk", "term", "tf", "length")
 
 
 def indexed(corpus: DataFrame) -> Index:
@@ -87,6 +90,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, index: Index | None = No
     index = index or indexed(corpus)
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     asked = asked.join(index.terms, "term").select("query", "term", (F.col("times") * F.col("idf") * (K1 + 1)).alias("weight"))
+    if queries.count() <= QUERIES:  # a few terms each
+        asked = F.broadcast(asked)
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(index.avgdl)))
     scores = index.postings.join(asked, "term").groupBy("query", "chunk").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return ranked(scores, k)

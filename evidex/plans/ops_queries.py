@@ -31,8 +31,7 @@ def feedback_stats(spark, sf_dir):
 
 @query("""SELECT event_type, CAST(round(avg(CAST(value AS DECIMAL(20,6))), 2) AS DOUBLE) avg_value, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 4) escalate_rate, count(*) n FROM events GROUP BY event_type""")
 def rag_stats(spark, sf_dir):
-    avg = F.round(F.avg(F.col("value").cast("decimal(20,6)")).cast("double"), 2)
-    return events(spark, sf_dir).groupBy("event_type").agg(avg.alias("avg_value"), F.round(F.avg((F.col("value") > 50).cast("double")), 4).alias("escalate_rate"), F.count("*").alias("n"))
+    return ops.rag_stats(events(spark, sf_dir), "event_type", F.col("value"), F.col("value") > 50)
 
 
 @query("""SELECT event_type, count(*) n, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, max(value) max_value FROM events GROUP BY event_type""")
@@ -206,8 +205,10 @@ def neighbor_window(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, lag(turn) OVER w previous_turn, lead(turn) OVER w next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def prev_next_links(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("previous_turn"), F.lead("turn").over(w).alias("next_turn"))
+    from ..operators import chunking
+
+    rows = chunking.linked(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return rows.select("conv_id", "turn", F.col("previous").alias("previous_turn"), F.col("next").alias("next_turn"))
 
 
 @query("""
@@ -219,8 +220,8 @@ def unread_counts(spark, sf_dir):
 
 @query(f"""SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'signup') AND value > 50 AND ts + INTERVAL 10 MINUTE < TIMESTAMP '{EVENTS_AS_OF}'""")
 def sla_breach(spark, sf_dir):
-    due = F.col("ts") + F.expr(f"INTERVAL {ops.SLA_MINUTES} MINUTES")
-    return events(spark, sf_dir).filter(F.col("event_type").isin("click", "signup") & (F.col("value") > 50) & (due < F.to_timestamp(F.lit(EVENTS_AS_OF)))).select("event_id", "user_id")
+    waiting, answered = F.col("event_type").isin("click", "signup"), F.col("value") <= 50
+    return events(spark, sf_dir).filter(ops.breached(waiting, answered, F.col("ts").cast("timestamp"), EVENTS_AS_OF)).select("event_id", "user_id")
 
 
 @query(f"""SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '{AS_OF}'""")
@@ -264,8 +265,7 @@ def sliding_rate_limit(spark, sf_dir):
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) n FROM events""")
 def sliding_window_counts(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-6 * 3600 * 1_000_000, 0)
-    return events(spark, sf_dir).select("event_id", "user_id", F.count("*").over(w).alias("n"))
+    return ops.admitted_at_most(events(spark, sf_dir), 6 * 3600).select("event_id", "user_id", "n")
 
 
 @query("""
@@ -328,8 +328,14 @@ def version_numbers(spark, sf_dir):
 
 @query("""SELECT c_custkey, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def presence_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    return c.join(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name", "o_orderkey")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", F.col("c_mktsegment").alias("grp"))
+    presence = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey")
+    return ops.present(users, presence, "BUILDING").select(F.col("user_id").alias("c_custkey"), "c_name", "o_orderkey")
+
+
+@query("""SELECT user_id thread, max(event_id) step, arg_max(event_type, event_id) state FROM events GROUP BY user_id""")
+def thread_states(spark, sf_dir):
+    return ops.latest_states(events(spark, sf_dir).select(F.col("user_id").alias("thread"), F.col("event_id").alias("step"), F.col("event_type").alias("state")))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) n FROM events GROUP BY ALL""")

@@ -34,7 +34,20 @@ def chunk_greedy(spark, sf_dir):
     return chunking.chunks(spread(documents(spark, sf_dir)), chunking.packed(F.col("text"), separator="\\n")).select("doc", "chunk_index", "text", "previous_chunk", "next_chunk")
 
 
-@query()
+_LEVEL = """CASE WHEN regexp_full_match(t, '[0-9.,%\\s]*') THEN 0 WHEN regexp_matches(t, '^#{1,6}\\s+\\S') THEN length(regexp_extract(t, '^#+')) WHEN regexp_matches(t, '^第[一二三四五六七八九十百0-9]+[章节条]')
+    THEN CASE WHEN regexp_matches(t, '^第[^章节条]+章') THEN 1 WHEN regexp_matches(t, '^第[^章节条]+节') THEN 2 ELSE 3 END WHEN length(t) > 50 THEN 0
+    WHEN regexp_matches(t, '^[一二三四五六七八九十]+、') THEN 2 WHEN regexp_matches(t, '^[0-9]+[.][0-9]+\\s*\\S') THEN 4 WHEN regexp_matches(t, '^[0-9]+[.、]\\s*\\S') THEN 3 ELSE 0 END"""
+
+
+@query(f"""
+    WITH RECURSIVE l AS (SELECT doc_id doc, generate_subscripts(x, 1) i, unnest(x) line FROM (SELECT doc_id, string_split(text, chr(10)) x FROM documents)),
+    m AS (SELECT doc, i, line, {_LEVEL} lv FROM (SELECT *, trim(line) t FROM l)),
+    g AS (SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING) h FROM m),
+    hs AS (SELECT doc, list(lv ORDER BY i) lvs, list(trim(regexp_replace(line, '^\\s*#{{1,6}}\\s+', '')) ORDER BY i) titles FROM m WHERE lv > 0 GROUP BY doc),
+    s AS (SELECT doc, 0 h, CAST([] AS VARCHAR[]) stack, lvs, titles FROM hs UNION ALL SELECT doc, h + 1, list_append(list_resize(stack, lvs[h + 1] - 1, ''), titles[h + 1]), lvs, titles FROM s WHERE h < len(lvs)),
+    b AS (SELECT doc, h, string_agg(line, chr(10) ORDER BY i) text FROM g WHERE lv = 0 GROUP BY doc, h)
+    SELECT b.doc, CAST(row_number() OVER (PARTITION BY b.doc ORDER BY b.h) - 1 AS INTEGER) block_no, coalesce(array_to_string(list_filter(stack, lambda x: x <> ''), ' > '), '') section_path, text
+    FROM b LEFT JOIN s ON s.doc = b.doc AND s.h = b.h""")
 def section_blocks(spark, sf_dir):
     return chunking.sections(documents(spark, sf_dir))
 
@@ -133,23 +146,17 @@ def question_profiles(spark, sf_dir):
     return p.select("conv_id", "turn", F.array_join("p.groups", "|").alias("groups"), "p.scope", "p.is_cause", "p.is_financial", "p.is_numeric", F.array_join("p.sections", "|").alias("sections"))
 
 
-@query()
-def table_blocks(spark, sf_dir):
-    """Blocks of all documents with the context that tables carry on, and the chunks that they make."""
-    from ..operators import blocks
-
-    rows = chunking.sections(documents(spark, sf_dir))
-    return blocks.flat_chunks(blocks.annotated(rows.select(F.col("doc"), "block_no", F.lit(None).cast("int").alias("page"), "section_path", "text", F.lit("").alias("doc_period"))))
+# a sign right behind a digit is no sign
+_SIGNS = "regexp_replace({}, '([0-9])[+-]([0-9])', '\\1#\\2', 'g')"
+_FOUND = f"regexp_extract_all(regexp_replace({_SIGNS.format(_SIGNS.format('text'))}, '\\[[0-9]+\\]', '', 'g'), '[+-]?(?:[0-9]{{1,3}}(?:[, \\t][0-9]{{3}})+|[0-9]+)(?:[.][0-9]+)?[ \\t]*%?')"
 
 
-@query("""SELECT conv_id, turn, lower(text) LIKE '%2024%' AS dated, length(text) n FROM conversations WHERE role = 'user'""")
-def question_scan(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.lower("text").contains("2024").alias("dated"), F.length("text").cast("long").alias("n"))
-
-
-@query()
+@query(f"""
+    WITH m AS (SELECT doc_id, trim(unnest({_FOUND})) raw FROM documents),
+         n AS (SELECT doc_id, raw, CASE WHEN ends_with(raw, '%') THEN '%' ELSE '' END unit, CAST(regexp_replace(raw, '[, \t%]', '', 'g') AS DECIMAL(30,6)) number FROM m)
+    SELECT doc_id, raw, number, unit, CAST(number AS DECIMAL(38,6)) canonical_value, unit = '%' is_percent, '' metric FROM n WHERE NOT (unit = '' AND number = floor(number) AND number BETWEEN 1900 AND 2100)""")
 def numeric_claims(spark, sf_dir):
+    """Numbers that documents state; these name no metric of the engine's."""
     from ..operators import verify
 
-    return documents(spark, sf_dir).select("doc_id", F.inline(verify.numeric_claims("text")))
+    return documents(spark, sf_dir).select("doc_id", F.inline(verify.numeric_claims("text"))).select("doc_id", "raw", "number", "unit", "canonical_value", "is_percent", "metric")

@@ -37,6 +37,20 @@ def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
     return put
 
 
+def logged_first(log: Callable[[DataFrame, int], None], emit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A sink that passes a batch on only once its log is written; both see the same rows."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            log(rows, number)
+            emit(rows, number)
+        finally:
+            rows.unpersist()
+
+    return put
+
+
 def committed_tokens(tokens: DataFrame) -> DataFrame:
     """The text of each thread's last attempt, if that was committed: what earlier attempts streamed is dropped.
 

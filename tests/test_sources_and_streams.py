@@ -83,3 +83,17 @@ def test_commit_barrier(spark):
     rows = [("a", 0, 0, "bad", "token"), ("a", 0, 1, "", "discard"), ("a", 1, 0, "go", "token"), ("a", 1, 1, "od", "token"), ("a", 1, 2, "", "commit"), ("b", 0, 0, "x", "token")]
     df = spark.createDataFrame(rows, "thread string, attempt int, seq int, token string, event string")
     assert [tuple(r) for r in jobs.committed_tokens(df).collect()] == [("a", "good")]
+
+
+def test_log_is_written_before_a_batch_goes_on(spark, tmp_path):
+    rows = spark.range(5).withColumnRenamed("id", "event_id")
+    rows.write.parquet(f"{tmp_path}/in")
+    seen = []
+
+    def emit(batch, number):
+        logged = spark.read.parquet(f"{tmp_path}/log").count()
+        seen.append((batch.count(), logged))
+
+    stream = jobs.table_stream(spark, f"{tmp_path}/in", rows.schema)
+    jobs.run_once(stream, f"{tmp_path}/cp", jobs.logged_first(jobs.to_parquet(f"{tmp_path}/log"), emit))
+    assert sum(n for n, _ in seen) == 5 and all(logged >= n for n, logged in seen)
