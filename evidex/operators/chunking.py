@@ -67,7 +67,8 @@ def chunks(docs: DataFrame, pieces: Column, doc: str = "doc_id") -> DataFrame:
 
     Neighbours are positions in the row's own array, so no window is needed for them.
     """
-    rows = docs.select(F.col(doc).alias("doc"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("chunk_index", "text"))
+    # the pieces are made once, then counted and dealt out
+    rows = docs.select(F.col(doc).alias("doc"), pieces.alias("_pieces")).select("doc", F.size("_pieces").alias("n"), F.posexplode("_pieces").alias("chunk_index", "text"))
 
     def name(i):
         return F.concat_ws("-", F.col("doc").cast("string"), i.cast("string"))

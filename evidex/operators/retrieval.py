@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import squeezed, tokens
-from ..tables import keep, spread
+from ..tables import in_blocks, keep, spread
 
 RRF_K, BM25_WEIGHT = 60, 0.5
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -26,6 +26,8 @@ TOP_K, OVERFETCH, PER_DOC = 5, 4, 3
 GATE, FAQ = 0.5, 0.8
 #: Query vectors that go to a task at once, and what rounding to six decimals can move a score by.
 QUERIES, EDGE = 2048, 2e-6
+#: Strings that are looked for at once.
+TARGETS = 10_000
 
 
 @dataclass
@@ -56,7 +58,7 @@ def term_counts(corpus: DataFrame) -> DataFrame:
 
     A chunk's terms are counted in its own row: sorted, each run of equal ones is one term. Nothing is shuffled.
     """
-    t = spread(corpus.select("chunk", "text")).select("chunk", F.array_sort(tokens(F.col("text"))).alias("s")).filter(F.size("s") > 0)
+    t = spread(corpus.select("chunk", "text")).select("chunk", F.sort_array(tokens(F.col("text"))).alias("s")).filter(F.size("s") > 0)
     runs = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
     t = t.withColumn("runs", runs)
     each = F.transform("runs", lambda i, j: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("runs", j + 1), F.size("s")) - i).cast("long").alias("tf")))
@@ -335,8 +337,10 @@ def locked_docs(clues: DataFrame, markers: DataFrame) -> DataFrame:
 def containing(corpus: DataFrame, targets: DataFrame) -> DataFrame:
     """(item, doc): documents that hold a target's text, white space and case aside.
 
-    ``targets`` (item, text): a small, stated set of strings. A document is squeezed once; each target is
-    looked for in it.
+    ``targets`` (item, text): a stated set of strings, which goes to the tasks in blocks of ``TARGETS``. A document
+    is squeezed once a block; each target is looked for in it.
     """
-    t = F.broadcast(targets.select("item", squeezed(F.col("text")).alias("needle")).filter("needle <> ''"))
-    return spread(corpus.select("doc", "text")).select("doc", squeezed(F.col("text")).alias("hay")).join(t, F.col("hay").contains(F.col("needle"))).select("item", "doc")
+    needles = targets.select("item", squeezed(F.col("text")).alias("needle")).filter("needle <> ''")
+    hay = spread(corpus.select("doc", "text")).select("doc", squeezed(F.col("text")).alias("hay"))
+    found = [hay.join(F.broadcast(t), F.col("hay").contains(F.col("needle"))).select("item", "doc") for t in in_blocks(needles, "item", TARGETS)]
+    return functools.reduce(DataFrame.unionByName, found)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +62,12 @@ def release(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``df`` as parts of about ``most`` rows at most, by a hash of ``key``: each is small enough to go to every task."""
+    parts = -(-df.count() // most)
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [df]
+
+
 def spread(df: DataFrame, cores: int | None = None) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for heavy work on rows of a small input.
 
