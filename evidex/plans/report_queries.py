@@ -161,6 +161,47 @@ def claim_verdicts(spark, sf_dir):
     return verify.supported(c, f).join(verify.rejection(c, f), "claim")
 
 
+@query("""SELECT s_suppkey claim, CASE s_suppkey % 6 WHEN 0 THEN 'supported' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'conflict' WHEN 3 THEN 'supported by text' WHEN 4 THEN 'no evidence' ELSE 'supported by text' END verdict FROM supplier""")
+def verified_claims(spark, sf_dir):
+    """Facts of the claim's own metric, period and scope come first; two values for one key prove nothing; texts stand in where no fact does."""
+    n = numbers(spark, sf_dir).withColumn("i", F.col("k") % 6)
+    shape = [F.concat(F.lit("m"), F.col("k").cast("string")).alias("metric"), F.lit("万元").alias("unit"), F.lit("2024年度").alias("period"), F.lit(False).alias("is_percent")]
+    right, other = F.col("a").cast("decimal(20,6)"), (F.col("a") + 1).cast("decimal(20,6)")
+    scope = F.when(F.col("i") == 5, "parent").otherwise("consolidated")
+    claims = n.select(F.col("k").alias("claim"), *shape, F.lit("consolidated").alias("scope"), right.alias("value"))
+    facts_ = n.filter("i IN (0, 1, 2, 5)").select(*shape, scope.alias("scope"), F.when(F.col("i") == 1, other).otherwise(right).alias("value"))
+    facts_ = facts_.unionByName(n.filter("i = 2").select(*shape, scope.alias("scope"), other.alias("value")))
+    told = n.filter("i IN (1, 3, 5)").select(*shape, F.lit("unknown").alias("scope"), right.alias("value"))
+    return verify.verified(claims, facts_, told)
+
+
+@query("""SELECT s_suppkey page, 0 row_no, '项目 | 2024年' line FROM supplier UNION ALL SELECT s_suppkey, 1, '营业 收入 | ' || s_suppkey FROM supplier""")
+def recognised_rows(spark, sf_dir):
+    """Boxes of a page in reading order: rows by gaps in y, cells by gaps in x."""
+    from ..sources import readers
+
+    boxes = [(10.0, 100.0, "项目"), (300.0, 104.0, "2024年"), (10.0, 140.0, "营业"), (55.0, 141.0, "收入"), (300.0, 143.0, None)]
+    each = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), (F.lit(t) if t else F.col("k").cast("string")).alias("text")) for x, y, t in boxes])
+    rows = numbers(spark, sf_dir).select(F.col("k").alias("page"), F.inline(each)).withColumn("width", F.lit(40.0)).withColumn("height", F.lit(12.0)).withColumn("page_width", F.lit(600.0))
+    return readers.layout_rows(rows).select("page", F.col("row_no").cast("int").alias("row_no"), "line")
+
+
+@query("""
+    SELECT s_suppkey line, '' question, 'no question' reason FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, '', 'no answer' FROM supplier WHERE s_suppkey % 4 = 1
+    UNION ALL SELECT NULL, 'q' || s_suppkey || ': a|b' || s_suppkey, '' FROM supplier WHERE s_suppkey % 4 > 1""")
+def faq_entries(spark, sf_dir):
+    """Rows of a list of questions: good ones with their other wordings, bad ones with the reason."""
+    from ..sources import readers
+
+    s = F.col("k").cast("string")
+    raw = numbers(spark, sf_dir).select(
+        F.col("k").alias("line"), F.when(F.col("k") % 4 == 0, "  ").otherwise(F.concat(F.lit(" q"), s)).alias("question"), F.when(F.col("k") % 4 == 1, None).otherwise(F.lit("yes")).alias("answer"),
+        F.concat(F.lit("a； b"), s, F.lit(" ,a;")).alias("similar"),
+    )
+    good, bad = readers.faq_rows(raw)
+    return bad.select("line", F.lit("").alias("question"), "reason").unionByName(good.select(F.lit(None).cast("long").alias("line"), F.concat("question", F.lit(": "), F.array_join("similar", "|")).alias("question"), F.lit("").alias("reason")))
+
+
 @query("""
     SELECT s_suppkey doc, 0 block_no, '甲' section_path, 'first ' || s_suppkey text FROM supplier
     UNION ALL SELECT s_suppkey, 1, '甲 > 一、概况', 'second' || chr(10) || 'line' FROM supplier

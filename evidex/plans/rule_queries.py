@@ -136,6 +136,12 @@ rule(
 )
 column("citations_moved", {"a": ["收入为5.5万元[2]。", "收入为5.5万元[1]。", "收入为9.5万元[2]。", "没有数字[2]。"], "p": [["收入5.5万元", "成本7.5万元"]] * 4}, ["收入为5.5万元[1]。", "收入为5.5万元[1]。", "收入为9.5万元[2]。", "没有数字[2]。"], answers.relocated)
 column("clear_questions", {"q": ["甲公司年报营业收入是多少", "你好", "转人工", "净利润多少", "", "介绍年报"]}, [True, False, False, True, False, False], answers.obvious_question)
+column(
+    "company_needed",
+    {"q": ["注册资本是多少", "甲乙股份有限公司的注册资本", "注册资本是多少", "这家公司的董事长是谁", "天气怎么样", "600519的上市日期"], "h": ["你好", "", "甲乙股份有限公司", "谢谢", "", ""]},
+    [True, False, False, True, False, False],
+    lambda q, h: answers.needs_company(q, F.array(F.struct(F.lit("user").alias("role"), h.alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("丙丁有限公司").alias("text")))),
+)
 column("strict_revenue", {"m": ["revenue", "revenue", "net_profit", "revenue"], "t": ["主营业务收入 5", "营业收入 5", "主营业务收入", "主营业务收入 5 营业收入 6"]}, [False, True, True, True], answers.strict_revenue)
 column("metric_equivalence", {"a": ["revenue", "revenue", "eps", "revenue"], "b": ["total_revenue", "total_revenue", "eps", "eps"], "t": ["营业总收入 5", "营业总收入 5 营业收入 4", "", ""]}, [True, False, True, False], answers.same_metric)
 column("reliable_evidence", {"s": [True, True, None, False], "p": [True, False, True, True], "m": [True, True, True, None]}, [True, False, False, False], answers.reliable, {"s": "boolean", "p": "boolean", "m": "boolean"})

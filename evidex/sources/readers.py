@@ -73,7 +73,11 @@ def layout_rows(boxes: DataFrame, gap: float = 0.12) -> DataFrame:
 
 def faq(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good rows (question, answer, similar) and bad ones (line, reason) of a CSV with a header."""
-    raw = spark.read.csv(path, header=True, schema="question string, answer string, similar string", multiLine=True, escape='"').withColumn("line", F.monotonically_increasing_id())
+    return faq_rows(spark.read.csv(path, header=True, schema="question string, answer string, similar string", multiLine=True, escape='"').withColumn("line", F.monotonically_increasing_id()))
+
+
+def faq_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows (question, answer, similar) and bad ones (line, reason) of (line, question, answer, similar)."""
     reason = F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "no question").when(F.trim(F.coalesce("answer", F.lit(""))) == "", "no answer")
     both = raw.withColumn("reason", reason)
     similar = F.filter(F.transform(F.split(F.coalesce("similar", F.lit("")), "[;；,，\\n]"), lambda s: F.trim(s)), lambda s: s != "")
