@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import squeezed, tokens
 from ..tables import in_blocks, keep, spread
@@ -24,8 +25,8 @@ RRF_K, BM25_WEIGHT = 60, 0.5
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_K, OVERFETCH, PER_DOC = 5, 4, 3
 GATE, FAQ = 0.5, 0.8
-#: Query vectors that go to a task at once, and what rounding to six decimals can move a score by.
-QUERIES, EDGE = 2048, 2e-6
+#: Query vectors that go to a task at once, vectors that meet them at once, and what rounding to six decimals can move a score by.
+QUERIES, VECTORS, EDGE = 2048, 1024, 2e-6
 #: Strings that are looked for at once.
 TARGETS = 10_000
 
@@ -105,14 +106,14 @@ def ranked(scores: DataFrame, k: int, tie: str = "chunk") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
-def _products(queries: list, dimension: int, k: int, least: float | None, others: bool):
-    """Maps vectors to the best of a batch for each query, and what its score could tie with."""
-    ids = pa.array([q[0] for q in queries])
+def _products(queries: list, kind: T.DataType, dimension: int, k: int, least: float | None, others: bool):
+    """Maps vectors to the best of ``VECTORS`` of them for each query, and what its score could tie with."""
+    ids = pa.array([q[0] for q in queries], to_arrow_type(kind))
     q = np.array([q[1] for q in queries], float).reshape(len(queries), dimension)
     q_length = np.sqrt((q * q).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, VECTORS) for b in batches for at in range(0, b.num_rows, VECTORS)):
             chunk, vec = batch.column(0), batch.column(1)
             v = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dimension)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -143,14 +144,14 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | No
     asked = queries.filter(F.col("vec").isNotNull() & whole).select("query", "vec", F.size("vec").alias("d"))
     own = spread(vectors.filter(F.col("vec").isNotNull() & whole).select("chunk", "vec"))
     schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("chunk", vectors.schema["chunk"].dataType), T.StructField("score", T.DoubleType())])
+    blocks = [asked.limit(QUERIES + 1).collect()]
+    if len(blocks[0]) > QUERIES:
+        blocks = (x.collect() for x in in_blocks(asked, "query", QUERIES))
     found = []
-    for d, n in asked.groupBy("d").count().collect():  # a few dimensions at most
-        blocks = -(-n // QUERIES)
-        for b in range(blocks):
-            mine = asked.filter((F.col("d") == d) & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).select("query", "vec").collect()  # about QUERIES
-            if not mine:
-                continue
-            found.append(own.filter(F.size("vec") == d).mapInArrow(_products([(r["query"], r["vec"]) for r in mine], d, k, least, others), schema))
+    for rows in blocks:
+        for d in sorted({r["d"] for r in rows}):
+            mine = [(r["query"], r["vec"]) for r in rows if r["d"] == d]
+            found.append(own.filter(F.size("vec") == d).mapInArrow(_products(mine, schema["query"].dataType, d, k, least, others), schema))
     out = functools.reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
     scores = out.withColumn("score", F.round("score", 6))
     return ranked(scores.filter(F.col("score") >= least) if least is not None else scores, k)
