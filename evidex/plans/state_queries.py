@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.text import sha256
-from ..operators import answers, evaluate, gates, ops, retrieval
-from ..sources import sinks
+from ..operators import answers, chunking, evaluate, gates, ops, retrieval
+from ..sources import readers, sinks
 from ..streaming import jobs
+from ..tables import shared_path
 from .registry import query, table
 
 AS_OF = "1998-01-01 00:00:00"
@@ -447,3 +448,41 @@ def briefs_with_fallback(spark, sf_dir):
     model = F.when(F.col("k") % 4 == 0, F.concat(F.lit("model "), "s")).when(F.col("k") % 4 == 1, "  ")
     brief, source = metrics.written(model, F.concat(F.lit("template "), "s"))
     return s.select("k", brief.alias("brief"), source.alias("brief_source"))
+
+
+# files and stores
+@query("""SELECT doc_id AS chunk, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE lang = 'de' AND n_chars >= 200""")
+def stored_chunks(spark, sf_dir):
+    """A store of chunks written for two knowledge bases, rewritten in part, and scanned for one of them with a condition."""
+    path = shared_path(spark, "store")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "n_chars", "lang", F.lit("old").alias("version"))
+    for lang in ("de", "en"):
+        sinks.write_chunks(d.filter(F.col("lang") == lang).drop("lang"), path, lang)
+    sinks.write_chunks(d.filter("lang = 'de' AND chunk % 7 = 0").drop("lang").withColumn("version", F.lit("new")), path, "de")
+    return readers.chunks(spark, path, "de", {"n_chars": {"$gte": 200}}).select("chunk", "version")
+
+
+@query("""SELECT n_name AS line, 'txt' extension FROM nation""")
+def text_files(spark, sf_dir):
+    """Files of a folder, scanned, and read as documents."""
+    path = shared_path(spark, "files")
+    table(spark, sf_dir, "nation").select("n_name").repartition(3, "n_name").write.text(path)
+    found = readers.scan(spark, path).select("path", "extension")
+    return readers.documents(spark, path).join(found, "path").select(F.explode(F.split(F.trim(F.regexp_replace("text", "\\n$", "")), "\\n")).alias("line"), "extension").filter("line <> ''")
+
+
+@query("""SELECT 'pass_rate' metric, CAST(round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 4) AS DOUBLE) AS value FROM events UNION ALL SELECT 'total', CAST(count(*) AS DOUBLE) FROM events""")
+def report_files(spark, sf_dir):
+    """A report's summary, in the shape that keeps it below its first part."""
+    path = shared_path(spark, "report")
+    figures = table(spark, sf_dir, "events").agg(F.round(F.avg((F.col("value") > 50).cast("double")), 4).alias("pass_rate"), F.count("*").alias("total"))
+    part = F.struct(F.struct("pass_rate", "total", F.lit("x").alias("label")).alias("summary"))
+    figures.select(F.to_json(F.struct(F.array(part).alias("reports"))).alias("value")).coalesce(1).write.text(path)
+    return readers.report_summary(spark, path)
+
+
+@query("""SELECT conv_id, CASE WHEN count(DISTINCT role) FILTER (WHERE turn < 2 AND role <> 'system') = 1 THEN any_value(role) FILTER (WHERE turn < 2 AND role <> 'system') ELSE '' END one FROM conversations GROUP BY conv_id""")
+def only_values(spark, sf_dir):
+    """A window's field where all that have it agree."""
+    t = turns(spark, sf_dir).withColumn("r", F.when((F.col("turn") < 2) & (F.col("role") != "system"), F.col("role")).otherwise(""))
+    return t.groupBy("conv_id").agg(chunking.only_value("r").alias("one"))

@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 _scopes: list[list[DataFrame]] = []
 
 
@@ -31,10 +39,8 @@ def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     by :func:`release`; those of a ``lasting`` table are not released with what it was made for.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidex_path = path
     if _scopes and not lasting:
