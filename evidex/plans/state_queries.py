@@ -9,7 +9,7 @@ from ..functions.text import sha256
 from ..operators import answers, chunking, evaluate, gates, ops, retrieval
 from ..sources import readers, sinks
 from ..streaming import jobs
-from ..tables import shared_path
+from ..tables import passing, shared_path
 from .registry import query, table
 
 AS_OF = "1998-01-01 00:00:00"
@@ -459,7 +459,7 @@ def stored_chunks(spark, sf_dir):
     for lang in ("de", "en"):
         sinks.write_chunks(d.filter(F.col("lang") == lang).drop("lang"), path, lang)
     sinks.write_chunks(d.filter("lang = 'de' AND chunk % 7 = 0").drop("lang").withColumn("version", F.lit("new")), path, "de")
-    return readers.chunks(spark, path, "de", {"n_chars": {"$gte": 200}}).select("chunk", "version")
+    return readers.chunks(spark, passing(spark, path), "de", {"n_chars": {"$gte": 200}}).select("chunk", "version")
 
 
 @query("""SELECT n_name AS line, 'txt' extension FROM nation""")
@@ -467,7 +467,7 @@ def text_files(spark, sf_dir):
     """Files of a folder, scanned, and read as documents."""
     path = shared_path(spark, "files")
     table(spark, sf_dir, "nation").select("n_name").repartition(3, "n_name").write.text(path)
-    found = readers.scan(spark, path).select("path", "extension")
+    found = readers.scan(spark, passing(spark, path)).select("path", "extension")
     return readers.documents(spark, path).join(found, "path").select(F.explode(F.split(F.trim(F.regexp_replace("text", "\\n$", "")), "\\n")).alias("line"), "extension").filter("line <> ''")
 
 
@@ -478,7 +478,7 @@ def report_files(spark, sf_dir):
     figures = table(spark, sf_dir, "events").agg(F.round(F.avg((F.col("value") > 50).cast("double")), 4).alias("pass_rate"), F.count("*").alias("total"))
     part = F.struct(F.struct("pass_rate", "total", F.lit("x").alias("label")).alias("summary"))
     figures.select(F.to_json(F.struct(F.array(part).alias("reports"))).alias("value")).coalesce(1).write.text(path)
-    return readers.report_summary(spark, path)
+    return readers.report_summary(spark, passing(spark, path))
 
 
 @query("""SELECT conv_id, CASE WHEN count(DISTINCT role) FILTER (WHERE turn < 2 AND role <> 'system') = 1 THEN any_value(role) FILTER (WHERE turn < 2 AND role <> 'system') ELSE '' END one FROM conversations GROUP BY conv_id""")

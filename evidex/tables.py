@@ -22,8 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, which goes when the JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, where something is by now, which goes when the JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
@@ -41,6 +45,7 @@ def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidex_path = path
     if _scopes and not lasting:
