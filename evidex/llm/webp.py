@@ -69,36 +69,74 @@ def mirrored(n: int) -> np.ndarray:
     return out
 
 
-def table_of(lengths) -> np.ndarray:
-    """A canonical prefix code as a table over the next bits: symbol << 4 | length. One symbol alone takes no bit."""
-    lengths = np.frombuffer(bytes(lengths), np.uint8)
-    used = lengths.nonzero()[0]
+def tables_of(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical prefix codes, each given by its symbols' lengths, as tables over the next bits, one behind the other.
+
+    The entries (symbol << 4 | length), and each code's start and mask. One symbol alone takes no bit.
+    """
+    starts, masks, parts, at = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), [], 0
+    sizes = np.array([len(c) for c in codes])
+    for size in np.unique(sizes):
+        which = np.flatnonzero(sizes == size)
+        lengths = np.frombuffer(b"".join([codes[i] for i in which.tolist()]), np.uint8).reshape(-1, size)
+        columns = np.flatnonzero(lengths.any(axis=0))
+        if not len(columns):
+            columns = np.zeros(1, np.int64)
+        own = np.where(lengths[:, columns] > 0, lengths[:, columns], 16).astype(np.int8)
+        order = np.argsort(own, axis=1, kind="stable")
+        own = np.take_along_axis(own, order, 1).astype(np.int64)
+        used = own < 16
+        deep = np.where(used, own, 0).max(1)
+        alone = used.sum(1) < 2
+        entries = np.where(alone[:, None], np.where(used, columns[order], 0) << 4, columns[order] << 4 | own)
+        times = np.where(used, 1 << np.maximum(0, deep[:, None] - own), 0)
+        times[alone], deep[alone] = 0, 0
+        times[alone, 0] = 1
+        if (times.sum(1) != 1 << deep).any():
+            raise ValueError("a prefix code that is not complete")
+        flat = np.repeat(entries.astype(np.int32).ravel(), times.ravel())
+        begin = np.cumsum(1 << deep) - (1 << deep)
+        for d in np.unique(deep).tolist():
+            rows = np.flatnonzero(deep == d)
+            parts.append(flat[begin[rows][:, None] + mirrored(d)].ravel())
+            starts[which[rows]], masks[which[rows]] = at + (np.arange(len(rows)) << d), (1 << d) - 1
+            at += len(rows) << d
+    return np.concatenate(parts), starts, masks
+
+
+@functools.lru_cache(1 << 14)
+def _short(lengths: bytes) -> list[int]:
+    """The table of one code of few symbols."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
     if len(used) < 2:
-        return np.array([int(used[0]) << 4 if len(used) else 0])
-    own = lengths[used].astype(np.int64)
-    order = own.argsort(kind="stable")
-    own = own[order]
-    deep = int(own[-1])
-    table = (used[order] << 4 | own).repeat(1 << (deep - own))
-    if len(table) != 1 << deep:
+        return [used[0][1] << 4 if used else 0]
+    deep = used[-1][0]
+    flat = [s << 4 | n for n, s in used for _ in range(1 << (deep - n))]
+    if len(flat) != 1 << deep:
         raise ValueError("a prefix code that is not complete")
-    return table[mirrored(deep)]
+    return [flat[i] for i in _mirrored_list(deep)]
+
+
+@functools.cache
+def _mirrored_list(n: int) -> list[int]:
+    return mirrored(n).tolist()
 
 
-def _prefix(bits: Bits, size: int) -> np.ndarray:
+def _prefix(bits: Bits, size: int) -> bytes:
+    """The lengths of a code's symbols."""
     lengths = bytearray(size)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return table_of(lengths)
+        return bytes(lengths)
     own, n = [0] * len(LENGTH_ORDER), 4 + bits.read(4)
     near = bits.read(3 * n)
     for k in LENGTH_ORDER[:n]:
         own[k] = near & 7
         near >>= 3
-    code, left = table_of(own).tolist(), size
+    code, left = _short(bytes(own)), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     # bits ahead as one number that is used up from below
@@ -128,7 +166,7 @@ def _prefix(bits: Bits, size: int) -> np.ndarray:
     bits.at += gone
     if at > size:
         raise ValueError("more code lengths than symbols")
-    return table_of(lengths)
+    return bytes(lengths)
 
 
 def _extended(bits: Bits, k: int) -> int:
@@ -153,7 +191,7 @@ class Coded:
     cache_bits: int = 0
     group_bits: int = 0
     groups_of: list[int] | None = None
-    codes: list[list[np.ndarray]] = field(default_factory=list)
+    codes: list[list[bytes]] = field(default_factory=list)
     undo: list[tuple[str, Callable]] = field(default_factory=list)
 
     @property
@@ -177,7 +215,7 @@ def _codes(bits: Bits, width: int, height: int, outer: bool) -> Coded:
 def _small(bits: Bits, width: int, height: int) -> np.ndarray:
     """The ARGB values of an image inside a header, flat: read pixel by pixel."""
     coded = _codes(bits, width, height, False)
-    own, n = [t.tolist() for t in coded.codes[0]], coded.n
+    own, n = [_short(c) for c in coded.codes[0]], coded.n
     out, cache = [], [0] * (1 << coded.cache_bits)
 
     def read(k: int) -> int:
@@ -227,13 +265,14 @@ class Lanes:
         self.at = base[:-1] + [x.at for x in images]
         self.end = base[:-1] + [8 * len(x.data) for x in images]
         sets = [s for x in images for s in x.codes]
-        tables = [t for s in sets for t in s]
-        starts = np.cumsum([0, *map(len, tables)])[:-1].reshape(-1, 5).T
-        masks = np.array([len(t) - 1 for t in tables]).reshape(-1, 5).T
-        self.flat = np.concatenate(tables)
+        self.flat, starts, masks = tables_of([c for s in sets for c in s])
+        self.met["prefix"] = int((masks > 0).sum())
+        starts, masks = starts.reshape(-1, 5).T, masks.reshape(-1, 5).T
         first = np.cumsum([0, *(len(x.codes) for x in images)])[:-1]
         self.starts, self.masks = np.ascontiguousarray(starts[:, first]), np.ascontiguousarray(masks[:, first])
         self.grouped = [(i, x, starts[:, first[i] :], masks[:, first[i] :]) for i, x in enumerate(images) if x.groups_of]
+        #: Whether the 57 bits of a word hold all four symbols of a literal.
+        self.narrow = 4 * int(masks.max()).bit_length() <= 57
         self.shift = np.array([32 - x.cache_bits for x in images])
         self.cached = np.flatnonzero(self.shift < 32)
         self.cache = np.zeros((len(images), 1 << max(x.cache_bits for x in images)), np.int64)
@@ -267,16 +306,13 @@ class Lanes:
         self.left[lane], self.back[lane] = times, back
         self.met["copies"] += len(lane)
 
-    def _literals(self, lane, green, word):
-        red, word = self._symbols(lane, word, 1)
-        blue, _ = self._symbols(lane, word, 2)
-        alpha, _ = self._symbols(lane, self._word(lane), 3)
-        return alpha << 24 | red << 16 | green << 8 | blue
-
     def run(self) -> list[np.ndarray]:
-        """The ARGB values of each image."""
+        """The ARGB values of each image.
+
+        A step looks up a literal's four symbols for all images in front, and lets only those go on behind them that have one.
+        """
         out, k = np.zeros((int(self.n[0]), len(self.n)), np.int64), len(self.n)
-        copying = 0
+        copying = False
         for t in range(len(out)):
             while self.n[k - 1] <= t:
                 k -= 1
@@ -284,24 +320,42 @@ class Lanes:
                 if t < x.n:
                     g = x.groups_of[(t // x.width >> x.group_bits) * _ceil(x.width, x.group_bits) + (t % x.width >> x.group_bits)]
                     self.starts[:, i], self.masks[:, i] = starts[:, g], masks[:, g]
-            now, lane = out[t], np.flatnonzero(self.left[:k] == 0) if copying else slice(0, k)
-            green, word = self._symbols(lane, self._word(lane), 0)
-            if (plain := green < GREEN).all():
-                now[lane] = self._literals(lane, green, word)
-            else:
-                lane = np.arange(k) if isinstance(lane, slice) else lane
-                now[lane[plain]] = self._literals(lane[plain], green[plain], word[plain])
-                held = green >= GREEN + LENGTHS
-                now[lane[held]] = self.cache[lane[held], green[held] - GREEN - LENGTHS]
+            now, at, starts, masks = out[t, :k], self.at[:k], self.starts[:, :k], self.masks[:, :k]
+            word = self.words[at >> 3] >> (at & 7)
+            e = self.flat[starts[0] + (word & masks[0])]
+            green, own = e >> 4, e & 15
+            word = word >> own
+            plain, gone, symbols = green < GREEN, 0, []
+            for c in (1, 2, 3):
+                if c == 3 and not self.narrow:
+                    behind = at + own + gone
+                    word = self.words[behind >> 3] >> (behind & 7)
+                e = self.flat[starts[c] + (word & masks[c])]
+                n = e & 15
+                symbols.append(e >> 4)
+                word = word >> n
+                gone = gone + n
+            red, blue, alpha = symbols
+            now[:] = alpha.astype(np.int64) << 24 | red << 16 | green << 8 | blue
+            idle = self.left[:k] > 0 if copying else None
+            if copying:
+                plain &= ~idle
+                own[idle] = 0
+            at += own + plain * gone
+            if not plain.all():
+                lane = np.flatnonzero(~plain if idle is None else ~(plain | idle))
+                code = green[lane]
+                held = code >= GREEN + LENGTHS
+                now[lane[held]] = self.cache[lane[held], code[held] - GREEN - LENGTHS]
                 self.met["cached"] += int(held.sum())
-                if (new := ~plain & ~held).any():
-                    self._copies(lane[new], green[new] - GREEN, t)
-                    copying = 1
+                if not held.all():
+                    self._copies(lane[~held], code[~held] - GREEN, t)
+                    copying = True
             if copying:
                 lane = np.flatnonzero(self.left[:k])
                 now[lane] = out[t - self.back[lane], lane]
                 self.left[lane] -= 1
-                copying = int(self.left[:k].any())
+                copying = bool(self.left[:k].any())
             if len(self.cached):
                 lane = self.cached[: np.searchsorted(self.cached, k)]
                 self.cache[lane, (HASH * now[lane] & 0xFFFFFFFF) >> self.shift[lane]] = now[lane]
@@ -450,7 +504,6 @@ def samples_of(images: list[Coded], met: Counter | None = None) -> list[np.ndarr
             out[i] = pixels.astype("<u4").view(np.uint8).reshape(-1, 4)[:, (2, 1, 0, 3)]
         if met is not None:
             met.update(lanes.met)
-            met["prefix"] += sum(len(t) > 1 for i in some for s in images[i].codes for t in s)
     return out
 
 
@@ -461,18 +514,19 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
 
 
 def read(media: list[bytes], met: Counter | None = None) -> list[np.ndarray]:
-    """The samples of each of ``media``, whose images stand one behind the other."""
-    images, owner = [], []
+    """The samples of each of ``media``, whose images stand one behind the other; ``LANES`` images are open at a time."""
+    places = []
     for i, data in enumerate(media):
         at = 0
         while at < len(data):
             size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-            images.append(parse(data[at : at + size])[0])
-            owner.append(i)
+            places.append((i, at, at + size))
             at += size + (size & 1)
     parts = [[] for _ in media]
-    for i, x in zip(owner, samples_of(images, met)):
-        parts[i].append(x)
+    for k in range(0, len(places), LANES):
+        some = places[k : k + LANES]
+        for (i, _, _), x in zip(some, samples_of([parse(media[i][lo:hi])[0] for i, lo, hi in some], met)):
+            parts[i].append(x)
     return [np.concatenate(p) if p else np.empty((0, 4), np.uint8) for p in parts]
 
 

@@ -14,7 +14,7 @@ import struct
 
 import numpy as np
 
-from .webp import DISTANCES, GREEN, HASH, LANES, LENGTH_ORDER, LENGTHS, NEAR, mirrored
+from .webp import DISTANCES, GREEN, HASH, LENGTH_ORDER, LENGTHS, NEAR, mirrored
 
 #: Pixels in a row, and in an image at most; a longer payload takes several images.
 WIDTH, PIXELS = 16, 1024
@@ -23,6 +23,8 @@ CACHE, COLOURS, SIDE = 8, 16, 6
 #: Bits of a code at most, and of the codes that tell code lengths.
 DEEPEST, SHORT = 12, 7
 MATCH = 3
+#: Images that are written at once.
+IMAGES = 512
 #: Pixels of an image by which its transform is chosen.
 SHOWN = 256
 MOST_GREEN = GREEN + LENGTHS + (1 << CACHE)
@@ -31,24 +33,27 @@ _XLOGX = np.arange(PIXELS + 1) * np.log2(np.maximum(1, np.arange(PIXELS + 1)))
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """For each row of counts, the lengths of a complete code; 1 where one symbol stands alone."""
-    out = np.zeros(counts.shape, np.uint8)
+    out = np.zeros(counts.shape, np.int8)
     columns = np.flatnonzero(counts.any(axis=0))
-    counts = counts[:, columns]
+    counts = counts[:, columns].astype(np.float32)
     used = counts > 0
-    c = np.where(used, np.maximum(counts, counts.sum(1, keepdims=True) / (1 << (limit - 2))), 0.0)
+    c = np.where(used, np.maximum(counts, counts.sum(1, keepdims=True) / (1 << (limit - 2))), 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        lengths = np.where(used, np.maximum(1, np.ceil(np.log2(c.sum(1, keepdims=True) / c))), 0).astype(np.int64)
-    slack = np.where(used.sum(1) > 1, (1 << limit) - np.where(used, 1 << (limit - lengths), 0).sum(1), 0)
-    order = np.argsort(-counts, axis=1, kind="stable")
+        lengths = np.where(used, np.maximum(1, np.ceil(np.log2(c.sum(1, keepdims=True) / c) - 1e-6)), 0).astype(np.int8)
+    share = np.where(used, np.int32(1 << limit) >> lengths.astype(np.int32), 0)
+    slack = np.where(used.sum(1) > 1, (1 << limit) - share.sum(1), 0)
+    if (slack < 0).any():  # rounding took a share too much
+        lengths[slack < 0] += used[slack < 0]
+        slack[slack < 0] = (1 << limit) - np.where(used, np.int32(1 << limit) >> lengths.astype(np.int32), 0)[slack < 0].sum(1)
+    # what is left of the code goes to short codes first, each of which becomes one bit shorter
     while len(rows := np.flatnonzero(slack)):
-        for k in range(int(used[rows].sum(1).max())):
-            at = order[rows, k]
-            length = lengths[rows, at]
-            cost = 1 << (limit - length)
-            fits = (length > 1) & (cost <= slack[rows])
-            if fits.any():
-                lengths[rows[fits], at[fits]] -= 1
-                slack[rows[fits]] -= cost[fits]
+        own = lengths[rows]
+        for n in range(2, int(own.max()) + 1):
+            same = own == n
+            fits = same & (np.cumsum(same, axis=1, dtype=np.int16) <= (slack[rows] >> (limit - n))[:, None])
+            own -= fits
+            slack[rows] -= fits.sum(1) << (limit - n)
+        lengths[rows] = own
     out[:, columns] = lengths
     return out
 
@@ -61,11 +66,11 @@ def codes_of(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     own = np.where(lengths[:, columns], lengths[:, columns], limit + 1).astype(np.int8)
     order = np.argsort(own, axis=1, kind="stable")
     own = np.take_along_axis(own, order, 1)
-    share = np.where(own > limit, 0, 1 << np.maximum(0, limit - own.astype(np.int32)))
-    begin = np.where(own > limit, 0, np.cumsum(share, axis=1) - share)
+    share = np.where(own > limit, 0, np.int32(1 << limit) >> own.astype(np.int32))
+    begin = np.where(own > limit, 0, np.cumsum(share, axis=1, dtype=np.int32) - share)
     alone = own[:, 1:2] > limit if own.shape[1] > 1 else np.ones((len(own), 1), bool)
     at = np.arange(len(own))[:, None], columns[order]
-    codes[at] = mirrored(limit)[begin]
+    codes[at] = mirrored(limit).astype(np.int32)[begin]
     bits[at] = np.where((own > limit) | alone, 0, own)
     return codes, bits
 
@@ -110,8 +115,11 @@ class Batch:
                 past = i + length
         return tuple(np.array(out, np.int64).reshape(-1, 3).T) if out else (held, held, held)
 
-    def cached(self, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which literals the colour cache gives, each pixel's place in it, and which images use it."""
+    def cached(self, literal: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which literals the colour cache gives, each pixel's place in it, and which images use it.
+
+        ``bits``: what a literal of each image takes, about.
+        """
         slot = (HASH * self.pixels & 0xFFFFFFFF) >> (32 - CACHE)
         key = self.image << CACHE | slot
         order = np.argsort(key, kind="stable")
@@ -119,15 +127,17 @@ class Batch:
         hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (self.pixels[order[1:]] == self.pixels[order[:-1]])
         hit &= literal
         images = len(self.n)
-        values = np.stack([self.pixels >> s & 255 for s in (24, 16, 8, 0)], axis=1)
-        bits = entropies(values, self.image, self.n) / np.maximum(1, self.n)
         places = np.zeros(images << CACHE, bool)
         places[key[hit]] = True
         worth = np.bincount(self.image[hit], minlength=images) * (bits - CACHE) - 6 * places.reshape(images, -1).sum(1) - 64 > 0
         return hit & worth[self.image], slot, worth
 
-    def coded(self, lead: list[tuple[int, int]], outer: bool) -> list[tuple[bytes, int]]:
-        """Each image behind its ``lead`` (value, bits), and how many bits that takes."""
+    def coded(self, lead: list[tuple[int, int]], literal_bits: np.ndarray | None = None) -> list[tuple[bytes, int]]:
+        """Each image behind its ``lead`` (value, bits), and how many bits that takes.
+
+        ``literal_bits``: what a pixel of each image takes, about; images inside a header have none, and no cache.
+        """
+        outer = literal_bits is not None
         images, p = len(self.n), self.pixels
         start, length, back = self.copies()
         literal = np.ones(len(p), bool)
@@ -135,7 +145,7 @@ class Batch:
         np.add.at(steps, start, 1)
         np.add.at(steps, start + length, -1)
         literal[np.cumsum(steps[:-1]) > 0] = False
-        hit, slot, cache = self.cached(literal) if outer else (np.zeros(len(p), bool), p, np.zeros(images, bool))
+        hit, slot, cache = self.cached(literal, literal_bits) if outer else (np.zeros(len(p), bool), p, np.zeros(images, bool))
         plain = literal & ~hit
         # a token begins at each literal, each hit and each start of a copy
         symbol = np.full(len(p), -1)
@@ -152,10 +162,13 @@ class Batch:
         for k, s in enumerate(shifts):
             counts[:, k + 1, :256] = np.bincount(self.image[plain] << 8 | (p[plain] >> s & 255), minlength=images << 8).reshape(images, 256)
         counts[:, 4, :DISTANCES] = np.bincount(self.image[start] * DISTANCES + step, minlength=images * DISTANCES).reshape(images, -1)
-        rows = counts.reshape(images * 5, -1)
-        lengths = code_lengths(rows, DEEPEST)
-        code, bits = (x.reshape(images, 5, -1) for x in codes_of(lengths, DEEPEST))
-        head_value, head_bits, tell = _tables(rows, lengths, np.where(cache, MOST_GREEN, GREEN + LENGTHS))
+        lengths, code, bits = (np.zeros(counts.shape, t) for t in (np.int8, np.int32, np.int8))
+        for k, size in ((np.s_[:1], MOST_GREEN), (np.s_[1:4], 256), (np.s_[4:], DISTANCES)):  # each with its own symbols
+            found = code_lengths(counts[:, k, :size].reshape(-1, size), DEEPEST)
+            parts = found, *codes_of(found, DEEPEST)
+            for whole, part in zip((lengths, code, bits), parts):
+                whole[:, k, :size] = part.reshape(images, -1, size)
+        head_value, head_bits, tell = _tables(lengths.reshape(images * 5, -1), np.where(cache, MOST_GREEN, GREEN + LENGTHS))
         # tokens: a green symbol, and what belongs to it
         own = self.image[token]
         value, n = code[own, 0, symbol[token]].astype(np.int64), bits[own, 0, symbol[token]].astype(np.int64)
@@ -200,7 +213,7 @@ class Batch:
         return [(data[b : b + (s + 7) // 8], s) for b, s in zip((base // 8).tolist(), size.tolist())]
 
 
-def _tables(counts: np.ndarray, lengths: np.ndarray, greens: np.ndarray):
+def _tables(lengths: np.ndarray, greens: np.ndarray):
     """How each row's code is told: first a value and its bits, then items (row, value, bits).
 
     A row is one of five codes of an image, in order; an image's first has ``greens`` symbols.
@@ -326,11 +339,11 @@ def encoded(payloads: list[bytes]) -> list[bytes]:
             small[i], lead[i] = np.array([255 << 24 | int(best[i] - 2) << 8]), (1 | SIDE - 2 << 3, 6)
     if small:
         sizes = np.array(list(map(len, small.values())))
-        for i, (data, size) in zip(small, Batch(np.concatenate(list(small.values())), sizes, sizes).coded([(0, 0)] * len(small), False)):
+        for i, (data, size) in zip(small, Batch(np.concatenate(list(small.values())), sizes, sizes).coded([(0, 0)] * len(small))):
             value, bits = lead[i]
             lead[i] = (value | int.from_bytes(data, "little") << bits, bits + size)
-    first = [(0x2F | WIDTH - 1 << 8 | int(h) - 1 << 22 | 1 << 36 | v << 40, 40 + b + 1) for h, (v, b) in zip(heights, lead)]
-    data = Batch(np.concatenate(pixels), np.array(list(map(len, pixels))), width).coded(first, True)
+    heads = [(0x2F | WIDTH - 1 << 8 | int(h) - 1 << 22 | 1 << 36 | v << 40, 40 + b + 1) for h, (v, b) in zip(heights, lead)]
+    data = Batch(np.concatenate(pixels), np.array(list(map(len, pixels))), width).coded(heads, np.where(width == WIDTH, np.stack(cost).min(0) / few, 0))
     return [b"RIFF" + struct.pack("<I", 12 + len(d) + (len(d) & 1)) + b"WEBPVP8L" + struct.pack("<I", len(d)) + d + b"\0" * (len(d) & 1) for d, _ in data]
 
 
@@ -338,8 +351,8 @@ def stored(payloads: list[bytes]) -> list[bytes]:
     """Each payload, whose length is a multiple of a row of pixels, as one image or several, one behind the other."""
     parts = [(i, x[k : k + 4 * PIXELS]) for i, x in enumerate(payloads) for k in range(0, len(x), 4 * PIXELS)]
     out = [[] for _ in payloads]
-    for k in range(0, len(parts), LANES):
-        some = parts[k : k + LANES]
+    for k in range(0, len(parts), IMAGES):
+        some = parts[k : k + IMAGES]
         for (i, _), data in zip(some, encoded([x for _, x in some])):
             out[i].append(data)
     return [b"".join(x) for x in out]
