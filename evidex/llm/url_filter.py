@@ -109,12 +109,12 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     """The cascade of ``listed`` (key, distinct) over ``universe`` (key, distinct); listed keys that do not occur there are left out."""
     out = Cascade()
     own, others = listed.join(universe, "key", "left_semi"), universe.join(listed, "key", "left_anti")
-    n = own.count()
+    n, rest = (int(x) for x in universe.join(listed.withColumn("own", F.lit(True)), "key", "left").agg(F.count("own"), F.count_if(F.col("own").isNull())).first())
     if n > MAX_LISTED:
         raise Beyond(f"{n} listed keys; a cascade of the plan takes {MAX_LISTED}")
     if not n:
         return out
-    miss = min(0.5, n / max(1, others.count()))
+    miss = min(0.5, n / max(1, rest))
     while n:
         level = len(out.levels)
         out.levels.append(_level(own, n, level, miss))
@@ -136,23 +136,24 @@ def judge(df: DataFrame, url_col: str = "url", id_col: str = "page_id", rules=RU
     spark = df.sparkSession
     parts = df.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     hosts = keys_of(spark, blocked)
-    most = hosts.agg(F.max(F.size(F.split("key", "\\.")))).first()[0] or 1
+    most = max([b.count(".") + 1 for b in blocked], default=1) if not isinstance(blocked, DataFrame) else hosts.agg(F.max(F.size(F.split("key", "\\.")))).first()[0] or 1
     of_rules, of_hosts = rule_keys(F.col("host"), F.col("path"), rules), suffixes(F.col("host"), most)
     # a key of the list has no slash, a key of a rule has one
     universe = keep(parts.select(F.explode(F.concat(of_rules, of_hosts)).alias("key")).distinct(), "url-keys")
     names = {h + p: verdict for verdict, h, p in rules}
-    ruled = build(universe.filter(F.contains("key", F.lit("/"))), keys_of(spark, names))
+    own = keys_of(spark, names)
+    # one cascade decides both: it has keys with a slash from the rules only, and keys without one from the list only
     try:
-        cascade = build(universe.filter(~F.contains("key", F.lit("/"))), hosts)
+        cascade, in_plan = build(universe, own.unionByName(hosts)), True
     except Beyond:
-        cascade = None
+        cascade, in_plan = build(universe.filter(F.contains("key", F.lit("/"))), own), False
     release(universe)
-    fit = F.filter(of_rules, ruled.contains)
+    fit = F.filter(of_rules, cascade.contains)
     longest = F.element_at(F.array_sort(F.transform(fit, lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))), -1)["k"]
     rule = F.when(F.size(fit) > 0, longest)
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     out = parts.withColumn("rule", rule)
-    if cascade is not None:
+    if in_plan:
         out = out.withColumn("listed", F.exists(of_hosts, cascade.contains))
     else:
         pairs = parts.select("host").distinct().select("host", F.explode(suffixes(F.col("host"), most)).alias("key"))
