@@ -171,3 +171,10 @@ def test_what_is_learned_does_not_depend_on_the_order_of_rows(spark):
     assert (a.weights == b.weights).all() and a.temperature == b.temperature
     c, d = quality.learn(both, labels.unionByName(labels)), quality.learn(other, labels)
     assert all((x == y).all() for x, y in zip(c.tables, d.tables))
+
+
+def test_very_long_texts_by_definition():
+    text = "Word, other. ña 12 | " * 25_000 + "x" * 60_000 + "\nend"
+    want, got = plain.ngrams(text), langid.counts(text, langid.folding())
+    assert dict(want) == {int(k): int(got[k]) for k in np.nonzero(got)[0]}
+    assert np.allclose(quality.features(text, quality.classes()), plain.features(text))

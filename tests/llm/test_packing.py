@@ -108,3 +108,15 @@ def test_rows_that_are_all_the_same(spark, monkeypatch):
     df = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same words in every row' AS text")
     rows = packing.packed(df, RANKS).collect()
     assert len(rows) == 2000 and checked(rows) == -(-2000 // (packing.LIMIT // rows[0]["length"]))
+
+
+def test_very_long_texts(spark, tokenizer):
+    rng = random.Random(2)
+    texts = ["some words and more of them, 12 " * 40_000, "".join(rng.choice("abcdefgh") for _ in range(300_000))]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS).collect()
+    checked(rows)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert [zlib.crc32(ids[s : s + n]) for s, n, _ in own] == [c for _, _, c in own] and sum(n for _, n, _ in own) == len(ids)
+        assert all(n == packing.LIMIT for _, n, _ in own[1:])
