@@ -1,8 +1,9 @@
 """Chat formatting with typed content parts.
 
 A visitor flattens a turn's parts into text with ordered placeholders: text stands as it is, and an image,
-audio or document part becomes one placeholder, numbered through the conversation, while its reference and
-the tokens it will expand to are recorded. Control strings inside texts and roles are escaped by one
+audio or document part becomes one placeholder, numbered through the conversation, while its reference,
+what stood for it in a text and the tokens it will expand to are recorded. A plain text has such parts where
+it holds a Markdown link to a file of a known kind. Control strings inside texts and roles are escaped by one
 character that the template does not use, so the output can be read back exactly; texts that stand side by
 side are escaped as one, so that none is put together from two of them.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 ESCAPE = "␛"
 OPEN, SAYS, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
-HOLD = "<|{}:{}|>"
+HOLD = "<|{}:{:04}|>"
 #: What a text must not hold raw: this template's strings and those of templates in common use.
 CONTROL = (OPEN, SAYS, CLOSE, "<|image:", "<|audio:", "<|document:", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Escaped by a letter each; the escape character itself by "0".
@@ -36,6 +37,12 @@ MARKS = {ESCAPE + chr(ord("a") + i): c for i, c in enumerate(CONTROL)} | {ESCAPE
 LEARNED = "assistant"
 
 PART = "struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
+#: Endings of files by the kind of part that a link to one is.
+FILES = {"image": "png|jpe?g|gif|webp|bmp", "audio": "wav|mp3|ogg|flac", "document": "pdf|docx"}
+LINK = r"!?\[[^\[\]\n]*\]\([^()\s]+[.](?i:{})\)"
+#: What parts texts from links; a text that holds it itself has no links.
+PARTING = "\u0001"
+
 #: Tokens of an image tile of so many pixels a side, of a second of audio, and of a page.
 TILE, PER_TILE, PER_SECOND, PER_PAGE = 448, 256, 25, 512
 
@@ -64,7 +71,7 @@ class Visitor:
         self.numbers = dict.fromkeys(self.visits, 0)
 
     def turn(self, parts: list[dict] | None) -> tuple[str, list[dict]]:
-        """The body, and the attachments: kind, number, ref, tokens, offset in the body."""
+        """The body, and the attachments: kind, number, ref, source, tokens, offset in the body."""
         body, found, said, at = [], [], [], 0
         for part in [*(p for p in parts or [] if p is not None), None]:
             visit = self.visits.get(part["type"]) if part else None
@@ -77,7 +84,7 @@ class Visitor:
             if part:
                 kind = part["type"]
                 hold = HOLD.format(kind, self.numbers[kind])
-                found.append({"kind": kind, "number": self.numbers[kind], "ref": part["ref"], "tokens": visit(part), "at": at})
+                found.append({"kind": kind, "number": self.numbers[kind], "ref": part["ref"], "source": part["text"], "tokens": visit(part), "at": at})
                 self.numbers[kind] += 1
                 body.append(hold)
                 at += len(hold)
@@ -94,7 +101,7 @@ class Visitor:
         return max(1, part["pages"] or 0) * PER_PAGE
 
 
-FORMATTED = "conv_id long, turn_no long, formatted string, mask_start long, mask_end long, attachments array<struct<kind: string, number: int, ref: string, tokens: long, at: long>>"
+FORMATTED = "conv_id long, turn_no long, formatted string, mask_start long, mask_end long, attachments array<struct<kind: string, number: int, ref: string, source: string, tokens: long, at: long>>"
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -103,7 +110,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     mask_start, mask_end: the body of an assistant's turn in ``formatted``; equal where nothing is learned.
     """
     ordered = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
-    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts").select("conv_id", "role", "parts")
+    said = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", said, "parts").select("conv_id", "role", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, visitor, number = object(), None, 0
@@ -123,12 +131,23 @@ def formatted(turns: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, FORMATTED)
 
 
-_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("number", pa.int32()), ("ref", pa.string()), ("tokens", pa.int64()), ("at", pa.int64())]))
+_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("number", pa.int32()), ("ref", pa.string()), ("source", pa.string()), ("tokens", pa.int64()), ("at", pa.int64())]))
 _SCHEMA = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("formatted", pa.string()), ("mask_start", pa.int64()), ("mask_end", pa.int64()), ("attachments", _ATTACHED)])
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long"
 
 
+def restored(line: str, start: int, end: int, attachments: list[dict]) -> str:
+    """The text that a stretch of a formatted turn stands for: unescaped, with what stood for each attachment, else its placeholder."""
+    out, at = [], start
+    for a in attachments:
+        if start <= a["at"] < end:
+            hold = HOLD.format(a["kind"], a["number"])
+            out += [unescaped(line[at : a["at"]]), hold if a["source"] is None else a["source"]]
+            at = a["at"] + len(hold)
+    return "".join([*out, unescaped(line[at:end])])
+
+
 def read_back(df: DataFrame) -> DataFrame:
     """A row per conversation, from the output of :func:`formatted` alone: its strings are parsed and unescaped."""
 
@@ -146,9 +165,10 @@ def read_back(df: DataFrame) -> DataFrame:
                     close()
                     now, n, turns, loss, loss_chars, chars, tokens = row["conv_id"], 0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
                 line = row["formatted"]
-                role, body = line.removeprefix(OPEN).removesuffix(CLOSE).split(SAYS)
-                turns.update(f"{unescaped(role)}\n{unescaped(body)}\n".encode())
-                learned = unescaped(line[row["mask_start"] : row["mask_end"]])
+                role, _ = line.removeprefix(OPEN).removesuffix(CLOSE).split(SAYS)
+                body = restored(line, len(OPEN) + len(role) + len(SAYS), len(line) - len(CLOSE), row["attachments"])
+                turns.update(f"{unescaped(role)}\n{body}\n".encode())
+                learned = restored(line, row["mask_start"], row["mask_end"], row["attachments"])
                 loss.update(learned.encode())
                 n, loss_chars, chars = n + 1, loss_chars + len(learned), chars + len(line)
                 tokens += sum(a["tokens"] for a in row["attachments"])
@@ -168,6 +188,21 @@ def _digests(rows) -> pa.RecordBatch:
 
 
 def text_parts(text: Column) -> Column:
-    """A turn's parts if it has only a text."""
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), *nothing))
+    """A turn's parts if it has only a text: its links to files of a known kind, and the texts between them."""
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    text = F.coalesce(text, F.lit(""))
+
+    def part(kind, x, ref):
+        return F.struct(kind.alias("type"), x.alias("text"), ref.alias("ref"), *nothing)
+
+    def piece(x, i):
+        kind = F.lit("text")
+        for name, endings in FILES.items():
+            kind = F.when(x.rlike(f"(?i)[.](?:{endings})\\)$"), name).otherwise(kind)
+        ref = F.regexp_extract(x, "\\(([^()\\s]+)\\)$", 1)
+        return F.when(i % 2 == 1, part(kind, x, ref)).otherwise(part(F.lit("text"), x, F.lit(None).cast("string")))
+
+    links = F.regexp_replace(text, f"({LINK.format('|'.join(FILES.values()))})", f"{PARTING}$1{PARTING}")
+    pieces = F.filter(F.transform(F.split(links, PARTING), piece), lambda p: (p["type"] != "text") | (p["text"] != ""))
+    plain = F.array(part(F.lit("text"), text, F.lit(None).cast("string")))
+    return F.when(text.contains(PARTING) | (links == text), plain).otherwise(pieces)

@@ -78,6 +78,10 @@ def _escaped(column: str) -> str:
 
 
 _FRAME = len(chat.OPEN) + len(chat.SAYS) + len(chat.CLOSE)
+_LINK = _quoted(chat.LINK.format("|".join(chat.FILES.values())))
+#: The characters of a turn's body: its text with links taken out, escaped, and a placeholder for each link.
+_BODY = f"""CASE WHEN NOT contains(text, chr(1)) THEN length({_escaped(f"regexp_replace(text, {_LINK}, chr(1), 'g')")}) - len(regexp_extract_all(text, {_LINK}))
+    + {" + ".join(f"len(regexp_extract_all(text, {_quoted(chat.LINK.format(endings))})) * {len(chat.HOLD.format(kind, 0))}" for kind, endings in chat.FILES.items())} ELSE length({_escaped("text")}) END"""
 _RULES = " UNION ALL ".join(f"SELECT {_quoted(v)} v, {_quoted(h)} h, {_quoted(p)} p" for v, h, p in url_filter.RULES)
 _BLOCKED = " OR ".join(f"host = {_quoted(b)} OR ends_with(host, {_quoted('.' + b)})" for b in url_filter.BLOCKED)
 
@@ -97,7 +101,7 @@ ORACLES = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) loss_sha256,
-               CAST(sum({_FRAME} + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) formatted_chars
+               CAST(sum({_FRAME} + length({_escaped("role")}) + {_BODY}) AS BIGINT) formatted_chars
         FROM t GROUP BY conv_id""",
     "op8_urls": f"""
         WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM pages),
