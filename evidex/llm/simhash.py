@@ -166,24 +166,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each is an aggregation by node and a join, kept as a
     table. The minimum is aggregated before the join, and a hot node's side of the join can be split.
+    They end at stars: no node has two smaller neighbours, or a smaller and a greater one.
     """
     now = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # kept, so that adaptive execution can split a hot node's rows: both sides of the join are plain exchanges
-        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.max("v").alias("greatest"))
+        least = keep(least.select("u", "m", ((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("greatest") > F.col("u")))).alias("open")), "least")
+        if least.filter("open").isEmpty():
+            release(least)
+            break
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = keep(large, "large")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("e"))
         after = keep(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
-        before, state = state, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for old in (least, large, now):
             release(old)
         now = after
-        if state == before or not state[0]:
-            break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
