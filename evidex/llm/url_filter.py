@@ -76,7 +76,7 @@ class Cascade:
 
     def _in(self, key: Column, level: int) -> Column:
         bits, hashes, words = self.levels[level]
-        table = F.transform(F.split(F.lit(",".join(map(str, words))), ","), lambda x: x.cast("long"))  # folds to a literal
+        table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folds to one literal, which a transform() would not
         met = F.lit(True)
         for at in _places(key, level, bits, hashes):
             met = met & (F.getbit(F.get(table, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
@@ -108,18 +108,22 @@ def _level(keys: DataFrame, n: int, level: int, miss: float) -> tuple[int, int,
 def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     """The cascade of ``listed`` (key, distinct) over ``universe`` (key, distinct); listed keys that do not occur there are left out."""
     out = Cascade()
-    own, others = listed.join(universe, "key", "left_semi"), universe.join(listed, "key", "left_anti")
-    n, rest = (int(x) for x in universe.join(listed.withColumn("own", F.lit(True)), "key", "left").agg(F.count("own"), F.count_if(F.col("own").isNull())).first())
+    own, others = keep(listed.join(universe, "key", "left_semi"), "listed-keys"), universe.join(listed, "key", "left_anti")
+    n = own.count()
     if n > MAX_LISTED:
+        release(own)
         raise Beyond(f"{n} listed keys; a cascade of the plan takes {MAX_LISTED}")
-    if not n:
-        return out
-    miss = min(0.5, n / max(1, rest))
+    miss = min(0.5, n / max(1, universe.count() - n))
+    kept = [own]
     while n:
         level = len(out.levels)
         out.levels.append(_level(own, n, level, miss))
-        own, others = others.filter(out._in(F.col("key"), level)), own
+        # what a level takes wrongly is all that the next one is built of, and all it is asked of but the keys of this one
+        own, others = keep(others.filter(out._in(F.col("key"), level)), "taken-keys"), own
+        kept.append(own)
         n, miss = own.count(), 0.5
+    for x in kept:
+        release(x)
     return out
 
 

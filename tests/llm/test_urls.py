@@ -64,3 +64,21 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "http://net/es/")], "page_id long, url string")
     plan = u.judge(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_words_are_one_literal(spark):
+    """The table of bits is folded before the query runs: no row and no hash casts or splits it again."""
+    universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    c = u.build(universe, universe.filter("key % 3 = 0"))
+    plan = universe.filter(F.exists(F.array("key"), c.contains))._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan.lower() and not any(x in plan.lower() for x in ("transform(", "split(", "as array<bigint>"))
+
+
+def test_a_hundred_thousand_listed_keys(spark):
+    """A list of that many keys goes into the plan and is exact over all hosts."""
+    df = spark.range(200_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".example/x")).alias("url"))
+    listed = spark.range(0, 200_000, 2).select(F.concat(F.lit("h"), F.col("id"), F.lit(".example")).alias("host"))
+    got = u.judge(df, blocked=listed)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.groupBy("verdict").agg(F.count("*").alias("n"), F.sum(F.col("page_id") % 2).alias("odd")).collect()
+    assert {(x["verdict"], x["n"], x["odd"]) for x in r} == {("block", 100_000, 0), ("allow", 100_000, 100_000)}
