@@ -4,7 +4,8 @@ The histogram of piece lengths (at most ``LIMIT`` counts, whatever the input) go
 patterns of few documents are enumerated over coarse bins of length, their repeat counts are fitted to
 the histogram by non-negative least squares and rounded down, and the plan is written out in exact
 lengths: the last place of a pattern takes the longest length that still fits. What is left is packed
-longest first, each sequence being filled with the longest lengths that fit. The plan is a list of ranges
+longest first, each sequence being filled with the longest lengths that fit. The same is done with smaller parts of
+the fitted counts, and the plan with the fewest sequences is taken. The plan is a list of ranges
 (length, from, to) -> (sequence, offset) whose size is bounded by ``LIMIT``, not by the input.
 
 Pieces are numbered within their length by buckets of ids, so that a length that a third of all rows
@@ -34,6 +35,8 @@ END = 0
 BINS, DEPTH = 64, 4
 #: Tokens that a sequence of a pattern may leave free; documents that leave more wait for the best fit.
 SLACK = 1
+#: Parts of the fitted counts that are tried.
+SHARES = (1, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01)
 #: Pieces of one length in a bucket, about.
 BUCKET = 200_000
 
@@ -108,8 +111,23 @@ class Stock:
 def plan(counts: np.ndarray, limit: int = LIMIT, bins: int = BINS, depth: int = DEPTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Ranges (length, first number, after the last, first sequence, offset), and the number of sequences.
 
-    ``counts[k]``: pieces of length k, up to the limit.
+    ``counts[k]``: pieces of length k, up to the limit. The fitted counts are tried whole and in parts, since what is
+    left of many lengths packs better among more pieces; of the plans, the one with the fewest sequences is returned.
     """
+    width = limit // bins
+    shapes = patterns(bins, depth)
+    a = np.zeros((bins, len(shapes)))
+    for j, shape in enumerate(shapes):
+        for k in shape:
+            a[k - 1, j] += 1
+    short = counts[:limit]  # a full piece is a sequence of its own
+    fitted = nnls(a, np.array([*(short[k * width + 1 : (k + 1) * width + 1].sum() for k in range(bins))], float))
+    plans = (written(counts, shapes, np.floor(share * fitted).astype(np.int64), limit, width) for share in SHARES)
+    return min(plans, key=lambda p: p[1])
+
+
+def written(counts: np.ndarray, shapes: list[tuple[int, ...]], repeats: np.ndarray, limit: int, width: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """A plan in exact lengths: each shape as often as ``repeats`` says and lengths allow, then the best fit for the rest."""
     stock, out, sequences = Stock(counts), [], 0
 
     def emit(lengths: list[int], times: int) -> None:
@@ -128,16 +146,8 @@ def plan(counts: np.ndarray, limit: int = LIMIT, bins: int = BINS, depth: int =
 
     if stock.left[limit]:
         emit([limit], int(stock.left[limit]))
-    width = limit // bins
-    shapes = patterns(bins, depth)
-    a = np.zeros((bins, len(shapes)))
-    for j, shape in enumerate(shapes):
-        for k in shape:
-            a[k - 1, j] += 1
-    b = np.array([stock.left[k * width + 1 : (k + 1) * width + 1].sum() for k in range(bins)], float)
-    fitted = np.floor(nnls(a, b)).astype(np.int64)
-    for j in sorted(np.nonzero(fitted)[0], key=lambda j: shapes[j], reverse=True):
-        todo = int(fitted[j])
+    for j in sorted(np.nonzero(repeats)[0], key=lambda j: shapes[j], reverse=True):
+        todo = int(repeats[j])
         while todo > 0:
             lengths, room, held = [], limit, {}
             for place, k in enumerate(shapes[j]):

@@ -86,6 +86,26 @@ def test_plan_uses_each_piece_once_and_is_tight():
         assert len(ranges) < 20_000
 
 
+def test_never_above_best_fit_decreasing():
+    """Against a plain best fit, longest piece first, on the shapes of lengths where patterns gain and where they do not."""
+
+    def best_fit(lengths):
+        room, used = [0] * (packing.LIMIT + 1), 0
+        for k in sorted(lengths, reverse=True):
+            left = next((r for r in range(k, packing.LIMIT + 1) if room[r]), None)
+            if left is None:
+                used, left = used + 1, packing.LIMIT
+            else:
+                room[left] -= 1
+            room[left - k] += 1
+        return used
+
+    rng = np.random.default_rng(7)
+    shapes = [rng.lognormal(6, 1.2, 15_000), rng.lognormal(5.5, 1.2, 15_000), rng.integers(1, packing.LIMIT + 1, 15_000), rng.integers(600, 801, 15_000), rng.exponential(300, 15_000)]
+    for lengths in (np.clip(x.astype(int), 1, packing.LIMIT) for x in shapes):
+        assert packing.plan(np.bincount(lengths, minlength=packing.LIMIT + 1))[1] <= best_fit(lengths.tolist())
+
+
 def test_whole_query(spark, docs, no_docs):
     rows = packing.packed(docs, RANKS).collect()
     checked(rows)
