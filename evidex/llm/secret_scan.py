@@ -3,14 +3,15 @@
 A text is the first layer. Each layer is scanned, then searched for percent escapes, Unicode escapes and
 base64 runs; what these hold becomes a further layer, and so does what any compressed part of a decoded
 layer holds, until none is left. A layer met before at the same place is not searched again, which ends
-cycles such as archives that hold themselves. Escapes of escapes are undone one by one for the first ``DEEP``
-layers, and all that are left at once in the next, so that nesting costs time in proportion to the text; what
-could be lost with the layers between are parts of runs that the earlier ones show whole.
+cycles such as archives that hold themselves. Escapes of escapes are undone one by one, and each step is a layer of its
+own; from the ``DEEP``-th on, which no encoder makes and a hostile text may, all that are left are undone at once, so
+that a chain of a million escapes costs no million scans.
 A layer carries the place in the text of each of its
 characters, so a span found anywhere is reported as the part of the text that encodes it. Patterns are
 ASCII, so layers are bytes: one for each character of the text, any other than Latin-1 being a "?".
 A layer need not be text, and compressed parts are found anywhere in it, one behind the other being read as one;
-a deflated part without a header is found where a base64 run begins with it.
+a deflated part without a header is found where a base64 run begins with it. Characters of two bytes, one of them NUL,
+are read as one. Base64 runs of under 16 digits are too short for a secret, and are decoded for what is compressed.
 Base64 is read over line ends, and from each of four digits on, so that what is glued before it does no harm.
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty
 table gives an empty table; other columns are not read. Every byte of every layer is scanned. One of
@@ -41,7 +42,7 @@ KINDS = ("assign", "access", "hex")
 #: Bytes of a layer held in memory, and bytes handled at a time.
 MAX_LAYER, CHUNK = 16 << 20, 1 << 20
 #: Layers of escapes undone one by one.
-DEEP = 3
+DEEP = 64
 MASK = "[SECRET]"
 
 _WORDS = "password passwd secret token api_?key".split()
@@ -57,13 +58,19 @@ UNICODE = re.compile(
 )
 #: One escape of either sort; none is longer than ``REACH``.
 ESCAPED, REACH = re.compile(rb"%[0-9A-Fa-f]{2}|" + UNICODE.pattern), 12
+#: Digits of the shortest base64 run that can hold a secret as it is, and of one that can hold a compressed one.
+PLAIN, SHORT = 16, 11
 #: A run of base64 digits, or several with line ends between them.
-BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*[\r\n][ \t\r\n]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{16,}+)={0,2}")
+BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++(?:[ \t]*[\r\n][ \t\r\n]*[A-Za-z0-9+/_-]++)+|[A-Za-z0-9+/_-]{%d,}+)={0,2}" % SHORT)
 _URL = bytes.maketrans(b"-_", b"+/")
+#: First bytes of zlib: any window, no dictionary, and the check of the two.
+ZLIB = b"|".join(b"%s[%s]" % (re.escape(bytes([a])), b"".join(re.escape(bytes([b])) for b in range(256) if (a * 256 + b) % 31 == 0 and not b & 32)) for a in range(0x08, 0x80, 0x10))
 #: First bytes of gzip, zlib, bzip2 and xz.
-PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+PACKED = re.compile(rb"\x1f\x8b\x08|" + ZLIB + rb"|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+#: Some characters of two bytes, and of which of the two.
+WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){6}|(?:\x00[\t\r\n\x20-\x7e]){6}")
 #: What a decoded layer must have for anything to be found in it, now or further in.
-HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|" + PACKED.pattern)
+HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|" + WIDE.pattern + b"|" + PACKED.pattern)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
 
@@ -234,6 +241,8 @@ class Layer:
                 if re.search(sign, self.text) and (new := self.unescaped(percent)) is not None:
                     yield new
         yield from self.decoded()
+        if WIDE.search(self.text):
+            yield self.narrow()
         past = 0
         for m in () if self.starts is self.flat is None else PACKED.finditer(self.text):  # not in the text itself
             if m.start() >= past:
@@ -242,6 +251,23 @@ class Layer:
                 lo, hi = self.place(m.start(), end or len(self.text))
                 yield Layer(inner, flat=(lo, self.close if self.close and past in (0, len(self.text)) else hi))
 
+    def narrow(self) -> Layer:
+        """The layer's parts of two-byte characters, the NUL behind or before the other byte, as single bytes; all else is left out."""
+        parts, starts, ends = Spool(), [], []
+        for m in re.finditer(rb"(?:[^\x00]\x00)+|(?:\x00[^\x00])+", self.text):
+            lo, hi = m.span()
+            k = int(self.text[lo] == 0)
+            for at in range(lo, hi, CHUNK):
+                parts.add(self.text[at : min(hi, at + CHUNK)][k::2])
+            parts.add(b"\x00")  # a break, which no pattern goes over
+            if self.flat is None:
+                s, e = (self.starts, self.ends) if self.starts is not None else (np.arange(len(self.text)), np.arange(1, len(self.text) + 1))
+                starts += [s[lo:hi:2], s[hi - 1 : hi]]
+                ends += [e[lo + 1 : hi : 2], e[hi - 1 : hi]]
+        if self.flat is not None:
+            return Layer(parts.done(), flat=self.flat, depth=self.depth + 1)
+        return Layer(parts.done(), np.concatenate(starts or [np.empty(0, np.int64)]), np.concatenate(ends or [np.empty(0, np.int64)]), close=self.close, depth=self.depth + 1)
+
     def decoded(self):
         """A layer for each base64 run and each of the four ways to part its digits, unless it holds nothing to find.
 
@@ -249,11 +275,11 @@ class Layer:
         """
         for m in BASE64.finditer(self.text):
             start, end = m.span()
-            if end - start < 16:
-                continue
-            where = None
+            where, short = None, end - start < PLAIN
             for skip in range(4):
                 data = _digits(self.text, start, end, skip)
+                if short and not PACKED.match(data):
+                    continue
                 if (inner := deflated(data)) and HINT.search(inner):
                     yield Layer(inner, flat=self.place(start, end))
                 if not HINT.search(data):
@@ -285,7 +311,7 @@ def _digits(text, lo: int, hi: int, skip: int) -> bytes | mmap.mmap:
 
 def _member(data, at: int, sign: bytes, end: list[int]):
     """The bytes of the compression that starts at ``at`` with ``sign``, a chunk at a time; its end goes to ``end`` if it has one."""
-    if sign[:1] in b"\x1f\x78":
+    if sign[0] == 0x1F or sign[0] & 15 == 8:
         made, fed = zlib.decompressobj(31 if sign[0] == 0x1F else 15), b""
         while not made.eof:
             if not fed:
@@ -325,6 +351,9 @@ def unpacked(data, at: int) -> tuple[bytes | mmap.mmap, int | None]:
 
 def deflated(data) -> bytes | mmap.mmap | None:
     """What raw deflate at the start of ``data`` holds, if it comes to its end."""
+    kind = data[0] >> 1 & 3 if len(data) else 3
+    if kind == 3 or (kind == 0 and data[1:3] != bytes(255 - b for b in data[3:5])):
+        return None  # no such block, or a stored one whose lengths disagree
     made, out, at, fed = zlib.decompressobj(-15), Spool(), 0, b""
     try:
         while not made.eof:
