@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -10,12 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import in_blocks
+from . import substrings
 from .metrics import METRICS
 
-#: Names that are resolved at once.
-ASKED_AT_ONCE = 10_000
-
 # Kinds of clues by strength, endings of full names, words that begin a question.
 KINDS = ("code", "name", "st", "alias")
 FULL = re.compile("[一-鿿A-Za-z0-9（）()·]{2,30}?(?:股份有限公司|有限责任公司|集团有限公司|有限公司)")
@@ -106,11 +102,14 @@ def strength(kind: Column) -> Column:
 def resolved(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(asked, company, candidates): the company of that name, else the only one that holds the name or is held by it.
 
-    ``known`` (company) is the list of companies, ``asked`` (asked) a request's names, which go to the tasks in blocks.
+    ``known`` (company) is the list of companies, ``asked`` (asked) a request's names. Each side's names are looked for
+    in the other's, in one scan of either; an empty name holds and is held by none.
     """
-    a, k = F.lower("asked"), F.lower("company")
     names = known.select("company").distinct()
-    pairs = functools.reduce(DataFrame.unionByName, [names.join(F.broadcast(x), k.contains(a) | a.contains(k)) for x in in_blocks(asked.select("asked").distinct(), "asked", ASKED_AT_ONCE)])
+    a, k = F.lower("asked"), F.lower("company")
+    held = substrings.occurrences(names.select("company", k.alias("text")), asked.select("asked", a.alias("needle")).distinct())
+    holds = substrings.occurrences(asked.select("asked", a.alias("text")).distinct(), names.select("company", k.alias("needle")))
+    pairs = held.select("asked", "company").unionByName(holds.select("asked", "company"))
     found = pairs.groupBy("asked").agg(F.array_sort(F.collect_set("company")).alias("candidates"), F.max(F.when(F.col("asked") == F.col("company"), F.col("company"))).alias("same"))
     one = F.when(F.size("candidates") == 1, F.element_at("candidates", 1)).otherwise("")
     both = asked.select("asked").distinct().join(found, "asked", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -10,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
-from ..tables import in_blocks
-from .retrieval import TARGETS
+from . import substrings
 from .verify import claims_of
 
 # Endings that a document's name may lose.
@@ -146,16 +144,17 @@ def relaxed(checks: DataFrame, policies: dict[str, list[str]]) -> DataFrame:
 def integrity(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item, class): an expected excerpt is INTACT in some chunk, only its number is there, that is BROKEN, or it is MISSING.
 
-    ``evidence`` (item, excerpt) is a stated set, which goes to the tasks in blocks; each chunk is squeezed once a block and looked through.
+    All excerpts, numbers and heads of numbers of ``evidence`` (item, excerpt) are looked for in one scan of the chunks.
+    An empty excerpt is in every chunk.
     """
     number = F.regexp_extract("excerpt", "([-+]?[0-9][0-9,]*(?:\\.[0-9]+)?)", 1)
     ev = evidence.select("item", squeezed(F.col("excerpt")).alias("e"), number.alias("num"))
-    hay = chunks.select(squeezed(F.col("text")).alias("t"))
     head = F.left(F.regexp_replace("num", "[-+,]", ""), F.lit(6))
-    seen = F.when(F.col("t").contains(F.col("e")), 3).when((F.col("num") != "") & F.col("t").contains(F.col("num")), 2).when((F.col("num") != "") & F.col("t").contains(head), 1)
-    meets = F.col("t").contains(F.col("e")) | ((F.col("num") != "") & F.col("t").contains(head)) | ((F.col("num") != "") & F.col("t").contains(F.col("num")))
-    met = functools.reduce(DataFrame.unionByName, [hay.join(F.broadcast(x), meets) for x in in_blocks(ev, "item", TARGETS)])
-    best = met.groupBy("item").agg(F.max(seen).alias("s"))
+    kinds = F.array(F.struct(F.lit(3).alias("s"), F.col("e").alias("needle")), F.struct(F.lit(2).alias("s"), F.col("num").alias("needle")), F.struct(F.lit(1).alias("s"), head.alias("needle")))
+    wanted = ev.select("item", F.inline(kinds))
+    met = substrings.occurrences(chunks.select(squeezed(F.col("text")).alias("text")), wanted).select("item", "s")
+    anywhere = ev.filter("e = ''").select("item", F.lit(3).alias("s")).join(chunks.filter(F.col("text").isNotNull()).select(F.lit(3).alias("s")).limit(1), "s", "left_semi").select("item", "s")
+    best = met.unionByName(anywhere).groupBy("item").agg(F.max("s").alias("s"))
     said = F.when(F.col("s") == 3, "INTACT").when(F.col("s") == 2, "NUMBER_ONLY").when(F.col("s") == 1, "BROKEN").otherwise("MISSING")
     return evidence.select("item").join(best, "item", "left").select("item", said.alias("class"))
 

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import squeezed, tokens
 from ..tables import in_blocks, keep, spread
+from . import substrings
 
 RRF_K, BM25_WEIGHT = 60, 0.5
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,8 +28,6 @@ TOP_K, OVERFETCH, PER_DOC = 5, 4, 3
 GATE, FAQ = 0.5, 0.8
 #: Query vectors that go to a task at once, vectors that meet them at once, and what rounding to six decimals can move a score by.
 QUERIES, VECTORS, EDGE = 2048, 1024, 2e-6
-#: Strings that are looked for at once.
-TARGETS = 10_000
 
 
 @dataclass
@@ -336,12 +335,6 @@ def locked_docs(clues: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def containing(corpus: DataFrame, targets: DataFrame) -> DataFrame:
-    """(item, doc): documents that hold a target's text, white space and case aside.
-
-    ``targets`` (item, text): a stated set of strings, which goes to the tasks in blocks of ``TARGETS``. A document
-    is squeezed once a block; each target is looked for in it.
-    """
-    needles = targets.select("item", squeezed(F.col("text")).alias("needle")).filter("needle <> ''")
-    hay = spread(corpus.select("doc", "text")).select("doc", squeezed(F.col("text")).alias("hay"))
-    found = [hay.join(F.broadcast(t), F.col("hay").contains(F.col("needle"))).select("item", "doc") for t in in_blocks(needles, "item", TARGETS)]
-    return functools.reduce(DataFrame.unionByName, found)
+    """(item, doc): documents that hold a target's text, white space and case aside; one scan of the corpus for all targets."""
+    needles = targets.select("item", squeezed(F.col("text")).alias("needle"))
+    return substrings.occurrences(corpus.select("doc", squeezed(F.col("text")).alias("text")), needles).select("item", "doc")
