@@ -2,8 +2,8 @@
 
 A task counts its documents' terms in one trie a language: a leaf has the number of documents and a counter for each
 source, and the root counts documents. Tries that have grown are written out in byte order and new ones begun, so a
-task's memory is bounded. The tries of all tasks are merged by ranges of (language, bytes): a range
-holds whole subtries in order, and equal leaves meet as neighbours, so a merge holds one leaf at a time. A word that is
+task's memory is bounded. The tries of all tasks are merged by prefix: the subtries below a prefix meet in one task, in
+byte order, where equal leaves are neighbours, so a merge holds one leaf at a time. A word that is
 in every document is one leaf a trie, whatever the number of rows.
 
 Merged leaves in at least ``LEAST`` documents are kept. Every language's figures (sources, counts) go to its leaves, and
@@ -36,6 +36,8 @@ from .common import keep, parallelism, release
 LEAST, WHOLE, TERMS = 3, 1_000_000_000, 200
 #: Leaves' counters of a task's tries before they are written out; suffixes in a map before it bursts; bytes of a text counted at a time; cells of a block of leaves.
 COUNTERS, BURST, PIECE, CELLS = 600_000, 4096, 1 << 22, 1 << 19
+#: Bytes of a term that say which subtries are merged together.
+PREFIX = 4
 #: The most groups whose figures are sent to every task; those of more are joined by a shuffle.
 SENT = 100_000
 
@@ -307,10 +309,8 @@ def audited(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     n = max(parallelism(df.sparkSession), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     leaf = "lang string, term binary, documents long, sources array<string>, counts array<long>"
-    tries = keep(rows.mapInArrow(_count, leaf), "term-tries")
-    ranges = tries.repartitionByRange(n, "lang", "term").sortWithinPartitions("lang", "term")
+    ranges = rows.mapInArrow(_count, leaf).repartition(n, "lang", F.substring("term", 1, PREFIX)).sortWithinPartitions("lang", "term")
     merged = keep(ranges.mapInArrow(_merge, "lang string, term binary, sources array<string>, counts array<long>"), "terms")
-    release(tries)
     # one row a group: the root has them all, whatever their terms
     counts = merged.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", F.col("x.sources").alias("source"), F.when(F.length("term") > 0, F.col("x.counts")).otherwise(F.lit(0)).alias("n"))
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
