@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.text import sha256
 from ..operators import answers, chunking, evaluate, gates, ops, retrieval
 from ..sources import readers, sinks
+from ..sources.store import ChunkStore
 from ..streaming import jobs
 from ..tables import passing, shared_path
 from .registry import query, table
@@ -462,6 +466,44 @@ def stored_chunks(spark, sf_dir):
     return readers.chunks(spark, passing(spark, path), "de", {"n_chars": {"$gte": 200}}).select("chunk", "version")
 
 
+def versioned_store(spark, sf_dir):
+    """Documents in a store by six commits: two knowledge bases, an upsert, a deleted source, one that is replaced by shorter rows, and one that is restored."""
+    store = ChunkStore(spark, shared_path(spark, "versions"))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("kb_id"), F.col("source").alias("doc"), F.col("doc_id").alias("chunk"), "text", F.lit("first").alias("state"))
+    store.append(d.filter("kb_id = 'de'"))
+    store.append(d.filter("kb_id IN ('en', 'fr')"))
+    store.upsert(d.filter("kb_id IN ('de', 'en') AND chunk % 7 = 0").withColumn("state", F.lit("upsert")))
+    store.delete(d.filter("doc = 'src1'").select("kb_id", "doc"))
+    store.replace_documents(d.filter("kb_id = 'de' AND doc = 'src2' AND chunk % 2 = 0").withColumn("state", F.lit("replaced")))
+    store.restore(d.filter("kb_id = 'de' AND doc = 'src1'").select("kb_id", "doc"), 3)
+    passing(spark, store.path)
+    return store
+
+
+_VERSIONS = """
+    d AS (SELECT lang kb_id, source doc, doc_id chunk, text FROM documents WHERE lang IN ('de', 'en', 'fr')),
+    s AS (SELECT v, kb_id, doc, chunk, text,
+                 CASE WHEN v >= 5 AND kb_id = 'de' AND doc = 'src2' THEN 'replaced' WHEN v >= 3 AND kb_id IN ('de', 'en') AND chunk % 7 = 0 THEN 'upsert' ELSE 'first' END state
+          FROM d, (SELECT unnest([1, 2, 3, 4, 5, 6]) v)
+          WHERE (v >= 2 OR kb_id = 'de') AND NOT (v >= 4 AND doc = 'src1' AND NOT (v = 6 AND kb_id = 'de')) AND NOT (v >= 5 AND kb_id = 'de' AND doc = 'src2' AND chunk % 2 = 1))"""
+
+
+@query(f"WITH {_VERSIONS} SELECT CAST(v AS INTEGER) store_version, kb_id, doc, chunk, state FROM s")
+def store_versions(spark, sf_dir):
+    """Every version of a store, read after all its commits."""
+    store = versioned_store(spark, sf_dir)
+    return functools.reduce(DataFrame.unionByName, [store.read(v).select(F.lit(v).alias("store_version"), "kb_id", "doc", "chunk", "state") for v in store.versions()])
+
+
+@query(f"WITH {_VERSIONS} SELECT kb_id, doc, count(*) n, sum(length(text)) chars, max(state) last_state FROM s WHERE v = 6 GROUP BY kb_id, doc")
+def store_compacted(spark, sf_dir):
+    """The last version after compaction, in which nothing is hidden any more and old folders are gone."""
+    store = versioned_store(spark, sf_dir)
+    store.compact()
+    store.vacuum(1)
+    return store.read().groupBy("kb_id", "doc").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("state").alias("last_state"))
+
+
 @query("""SELECT n_name AS line, 'txt' extension FROM nation""")
 def text_files(spark, sf_dir):
     """Files of a folder, scanned, and read as documents."""

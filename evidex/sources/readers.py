@@ -107,10 +107,11 @@ def report_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str, kb_id: str, condition: dict | None = None) -> DataFrame:
-    """A knowledge base's chunks; the partition and the conditions reach the scan."""
+    """A knowledge base's chunks in the last version of a store; its name and the conditions reach the scan."""
     from ..functions.filters import where
+    from .store import ChunkStore
 
-    return where(spark.read.parquet(path).filter(F.col("kb_id") == kb_id), condition)
+    return where(ChunkStore(spark, path).read(kb_id=kb_id), condition)
 
 
 def ocr_route(local_text: Column, scores: Column, mode: str = "auto", least: float = 0.6) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid5
-from ..tables import keep, release
+from .store import ChunkStore
 
 
 def point_id(kb_id: Column, chunk_id: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
@@ -23,24 +23,10 @@ def checked_vectors(df: DataFrame, dimension: int, vec: str = "vec") -> DataFram
 
 
 def write_chunks(new: DataFrame, path: str, kb_id: str) -> int:
-    """Replace chunks of one knowledge base by new ones of the same id; others stay. Returns the number of new rows.
-
-    Only the knowledge base's own partition is rewritten, from a table that holds all of it beforehand: what is read
-    is never what is being overwritten, and a lost executor reads that table again.
-    """
-    spark = new.sparkSession
-    rows = keep(new.withColumn("kb_id", F.lit(kb_id)), "new-chunks")
-    n, whole = rows.count(), rows
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        stored = spark.read.parquet(path).filter(F.col("kb_id") == kb_id)
-        if "chunk" in stored.columns:
-            stay = stored.join(rows.select("chunk").distinct(), "chunk", "left_anti")
-            whole = keep(stay.unionByName(rows, allowMissingColumns=True), "chunks")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
-    for t in {id(rows): rows, id(whole): whole}.values():
-        release(t)
-    return n
+    """Replace chunks of one knowledge base by new ones of the same id, in one commit of the store at ``path``; others stay. Returns the number of new rows."""
+    store = ChunkStore(new.sparkSession, path)
+    version = store.upsert(new.withColumn("kb_id", F.lit(kb_id)))
+    return store.added(version).count()
 
 
 def with_default_kb(df: DataFrame) -> DataFrame:
