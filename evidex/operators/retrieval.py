@@ -43,14 +43,16 @@ _kept: dict[tuple, Index] = {}
 
 
 def version(df: DataFrame) -> tuple:
-    """What changes when a table's files do: their names, lengths and times. The plan's columns and conditions belong to it."""
+    """What changes when a table's files do: their names, lengths and times, which Spark lists and sums up. The plan's columns and conditions belong to it."""
     spark = df.sparkSession
-    files = []
-    for name in sorted(df.inputFiles()):
-        where = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
-        files.append((name, status.getLen(), status.getModificationTime()))
-    return spark.sparkContext.applicationId, df._jdf.queryExecution().optimizedPlan().canonicalized().toString(), tuple(files)
+    names = df.inputFiles()
+    mark = None
+    if names:
+        folders = sorted({n.rsplit("/", 1)[0] for n in names})
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+        each = F.xxhash64("path", "length", "modificationTime")
+        mark = tuple(files.agg(F.count("*"), F.sum("length"), F.bit_xor(each), F.max("modificationTime").cast("string")).first())
+    return spark.sparkContext.applicationId, df._jdf.queryExecution().optimizedPlan().canonicalized().toString(), mark
 
 
 def term_counts(corpus: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def indexed(corpus: DataFrame) -> Index:
     """
     corpus = corpus.select("chunk", "text")
     of = version(corpus)
-    if not of[2] or of not in _kept:
+    if of[2] is None or of not in _kept:
         postings = keep(term_counts(corpus), "postings", lasting=True)
         n = corpus.count()
         df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.text import sha256
-from ..operators import answers, chunking, evaluate, gates, ops, retrieval
+from ..operators import answers, chunking, evaluate, gates, lexical, ops, retrieval
 from ..sources import readers, sinks
 from ..sources.store import ChunkStore
 from ..streaming import jobs
 from ..tables import passing, shared_path
 from .registry import query, table
+from .retrieval_queries import _bm25, questions
 
 AS_OF = "1998-01-01 00:00:00"
 
@@ -481,10 +482,10 @@ def versioned_store(spark, sf_dir):
 
 
 _VERSIONS = """
-    d AS (SELECT lang kb_id, source doc, doc_id chunk, text FROM documents WHERE lang IN ('de', 'en', 'fr')),
+    own AS (SELECT lang kb_id, source doc, doc_id chunk, text FROM documents WHERE lang IN ('de', 'en', 'fr')),
     s AS (SELECT v, kb_id, doc, chunk, text,
                  CASE WHEN v >= 5 AND kb_id = 'de' AND doc = 'src2' THEN 'replaced' WHEN v >= 3 AND kb_id IN ('de', 'en') AND chunk % 7 = 0 THEN 'upsert' ELSE 'first' END state
-          FROM d, (SELECT unnest([1, 2, 3, 4, 5, 6]) v)
+          FROM own, (SELECT unnest([1, 2, 3, 4, 5, 6]) v)
           WHERE (v >= 2 OR kb_id = 'de') AND NOT (v >= 4 AND doc = 'src1' AND NOT (v = 6 AND kb_id = 'de')) AND NOT (v >= 5 AND kb_id = 'de' AND doc = 'src2' AND chunk % 2 = 1))"""
 
 
@@ -504,6 +505,17 @@ def store_compacted(spark, sf_dir):
     return store.read().groupBy("kb_id", "doc").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max("state").alias("last_state"))
 
 
+@query(f"""WITH {_VERSIONS}, {_bm25("SELECT chunk, text FROM s WHERE v = 6", 10)} SELECT query, chunk, score, "rank" FROM bm25""")
+def bm25_over_commits(spark, sf_dir):
+    """An index that followed a store commit by commit, asked all questions in its last version."""
+    store = versioned_store(spark, sf_dir)
+    index = lexical.SegmentIndex(spark, shared_path(spark, "index"))
+    for version in store.versions():
+        index.update(store, until=version)
+    passing(spark, index.path)
+    return index.search(questions(spark, sf_dir), 10).select("query", "chunk", "score", "rank")
+
+
 @query("""SELECT n_name AS line, 'txt' extension FROM nation""")
 def text_files(spark, sf_dir):
     """Files of a folder, scanned, and read as documents."""

@@ -47,12 +47,15 @@ class Manifest:
     note: str = ""
 
 
-class ChunkStore:
+class Versioned:
+    """Numbered manifests below a path, each of which is there as a whole or not at all."""
+
+    kind = Manifest
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # manifests
     def _at(self, *parts):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
@@ -60,19 +63,19 @@ class ChunkStore:
         there = self._at("versions")
         return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(there)) if self._fs.exists(there) else []
 
-    def manifest(self, version: int | None = None) -> Manifest:
+    def manifest(self, version: int | None = None):
         """That of a version, else of the last one; an empty one of a store that has none."""
         if version is None:
             version = max(self.versions(), default=0)
             if not version:
-                return Manifest()
+                return self.kind()
         stream = self._fs.open(self._at("versions", f"{version:012d}", "manifest.json"))
         try:
-            return Manifest(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            return self.kind(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
         finally:
             stream.close()
 
-    def _publish(self, m: Manifest) -> bool:
+    def _publish(self, m) -> bool:
         """Make ``m`` a version. False if that version is there already."""
         m.token = uuid.uuid4().hex
         new = self._at("pending", m.token)
@@ -103,6 +106,8 @@ class ChunkStore:
             if self._publish(m):
                 return m.version
 
+
+class ChunkStore(Versioned):
     # writing
     def _rows(self, rows: DataFrame) -> tuple[str, dict]:
         rows = rows.withColumn("kb_id", F.coalesce(F.col("kb_id").cast("string"), F.lit("default")))
@@ -205,12 +210,12 @@ class ChunkStore:
         m = self.manifest(version)
         return self._visible(Manifest(m.version, schema=m.schema, segments={s: v for s, v in m.segments.items() if v == version})).drop("segment_version")
 
-    def changed_since(self, version: int) -> tuple[DataFrame, DataFrame]:
-        """Rows of later commits that are visible, and rows that were visible in ``version`` and have been hidden since.
+    def changed_since(self, version: int, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Rows of later commits that are visible in ``until`` (else the last version), and rows that were visible in ``version`` and are hidden there.
 
         Only the later folders are read for the first, and only what later tombstones fit is kept of the second.
         """
-        before, now = self.manifest(version), self.manifest()
+        before, now = self.manifest(version), self.manifest(until)
         if not set(before.segments) <= set(now.segments):
             raise Conflict("compacted since")
         later = Manifest(now.version, schema=now.schema, segments={s: v for s, v in now.segments.items() if v > version}, tombstones=now.tombstones)
