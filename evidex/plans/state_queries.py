@@ -507,10 +507,10 @@ def store_compacted(spark, sf_dir):
 
 @query(f"""WITH {_VERSIONS}, {_bm25("SELECT chunk, text FROM s WHERE v = 6", 10)} SELECT query, chunk, score, "rank" FROM bm25""")
 def bm25_over_commits(spark, sf_dir):
-    """An index that followed a store commit by commit, asked all questions in its last version."""
+    """An index made of a store's second version that then followed four commits, asked all questions in the last one."""
     store = versioned_store(spark, sf_dir)
     index = lexical.SegmentIndex(spark, shared_path(spark, "index"))
-    for version in store.versions():
+    for version in (2, 6):
         index.update(store, until=version)
     passing(spark, index.path)
     return index.search(questions(spark, sf_dir), 10).select("query", "chunk", "score", "rank")
