@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..functions.text import squeezed, tokens
-from ..tables import in_blocks, keep, spread
+from ..tables import keep, spread
 from . import substrings
 
 RRF_K, BM25_WEIGHT = 60, 0.5
@@ -28,6 +29,8 @@ TOP_K, OVERFETCH, PER_DOC = 5, 4, 3
 GATE, FAQ = 0.5, 0.8
 #: Query vectors that go to a task at once, vectors that meet them at once, and what rounding to six decimals can move a score by.
 QUERIES, VECTORS, EDGE = 2048, 1024, 2e-6
+#: Queries and vectors of a cell where both are data.
+QUERY_BLOCK, VECTOR_BLOCK = 16_384, 16_384
 
 
 @dataclass
@@ -107,53 +110,108 @@ def ranked(scores: DataFrame, k: int, tie: str = "chunk") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
 
+def _best(ids: pa.Array, q: np.ndarray, chunk: pa.Array, v: np.ndarray, k: int, least: float | None, others: bool) -> pa.RecordBatch:
+    """(query, chunk, score) of the vectors that could be among each query's best of these: the k best, and what could tie with the last of them."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scores = (q @ v.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1)))
+    own, names, found = ids.to_pylist() if others else [], chunk.to_pylist() if others else [], []
+    for i, row in enumerate(scores):
+        good = np.flatnonzero(~np.isnan(row) if least is None else row >= least - EDGE)
+        if others:
+            good = good[[names[j] != own[i] for j in good]]
+        if len(good) > k:
+            edge = np.partition(row[good], -k)[-k] - EDGE
+            good = good[row[good] >= edge]
+        found.append((np.full(len(good), i), good, row[good]))
+    of, good, score = map(np.concatenate, zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), chunk.take(pa.array(good)), pa.array(score)], names=["query", "chunk", "score"])
+
+
+def _matrix(column, dimension: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimension)
+
+
 def _products(queries: list, kind: T.DataType, dimension: int, k: int, least: float | None, others: bool):
-    """Maps vectors to the best of ``VECTORS`` of them for each query, and what its score could tie with."""
+    """Maps vectors to the best of ``VECTORS`` of them for each of a few queries."""
     ids = pa.array([q[0] for q in queries], to_arrow_type(kind))
     q = np.array([q[1] for q in queries], float).reshape(len(queries), dimension)
-    q_length = np.sqrt((q * q).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, VECTORS) for b in batches for at in range(0, b.num_rows, VECTORS)):
-            chunk, vec = batch.column(0), batch.column(1)
-            v = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, dimension)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (q @ v.T) / (q_length[:, None] * np.sqrt((v * v).sum(1)))
-            names, found = chunk.to_pylist(), []
-            for i, row in enumerate(scores):
-                good = np.flatnonzero(~np.isnan(row) if least is None else row >= least - EDGE)
-                if others:
-                    good = good[[names[j] != queries[i][0] for j in good]]
-                if len(good) > k:
-                    edge = np.partition(row[good], -k)[-k] - EDGE
-                    good = good[row[good] >= edge]
-                found.append((np.full(len(good), i), good, row[good]))
-            of, good, score = map(np.concatenate, zip(*found))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), chunk.take(pa.array(good)), pa.array(score)], names=["query", "chunk", "score"])
+            yield _best(ids, q, batch.column(0), _matrix(batch.column(1), dimension), k, least, others)
 
     return run
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, others: bool = False) -> DataFrame:
+def _cell(k: int, least: float | None, others: bool, schema: pa.Schema):
+    """Maps a cell, some queries (query, vec, d) and some vectors (chunk, vec), to the best of its vectors for each query."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        queries, vectors = queries.combine_chunks(), vectors.combine_chunks()
+        best = []
+        for at in range(0, len(queries) if len(vectors) else 0, QUERIES):
+            some = queries.slice(at, QUERIES).combine_chunks()
+            d = some["d"][0].as_py()
+            ids, q, found = some["query"].chunk(0), _matrix(some["vec"].chunk(0), d), []
+            for to in range(0, len(vectors), VECTORS):
+                part = vectors.slice(to, VECTORS).combine_chunks()
+                found.append(_best(ids, q, part["chunk"].chunk(0), _matrix(part["vec"].chunk(0), d), k, least, others))
+            table = pa.Table.from_batches(found)
+            # of each query's bests of the slices, what could be among its bests of the cell
+            order = table.select(["query"]).append_column("s", pc.negate(table["score"])).append_column("i", pa.array(np.arange(len(table)))).sort_by([("query", "ascending"), ("s", "ascending")])
+            place, low = order["i"].to_numpy(), order["s"].to_numpy()
+            names = order["query"].combine_chunks()
+            names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+            new = np.ones(len(table), bool)
+            new[1:] = pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            sizes = np.diff([*first, len(table)])
+            last = np.repeat(low[first + np.minimum(k, sizes) - 1], sizes)
+            best.append(table.take(pa.array(place[low <= last + EDGE])))
+        return pa.concat_tables(best).cast(schema) if best else schema.empty_table()
+
+    return run
+
+
+def cells(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, least: float | None = None, others: bool = False) -> DataFrame:
+    """(query, chunk, score) of cells: rows of both sides, (query, vec, d) and (chunk, vec), that share ``keys``."""
+    schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("chunk", vectors.schema["chunk"].dataType), T.StructField("score", T.DoubleType())])
+    # both sides may be one table, whose columns must then be told apart
+    queries, vectors = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (queries, vectors))
+    both = queries.groupBy(*keys).cogroup(vectors.groupBy(*keys))
+    return both.applyInArrow(_cell(k, least, others, to_arrow_schema(schema)), schema)
+
+
+def whole_vectors(df: DataFrame, key: str) -> DataFrame:
+    """(key, vec, d) of the vectors without nulls."""
+    return df.filter(F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull())).select(key, "vec", F.size("vec").alias("d"))
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, others: bool = False, sent: int | None = None) -> DataFrame:
     """(query, chunk, score, rank): exact cosine of each stated query with every vector; ``least`` drops lower scores, ``others`` a query's own id.
 
-    ``queries`` (query, vec) is a stated set: it goes to the tasks in blocks of at most ``QUERIES`` vectors, and each
-    block is a matrix product with the vectors, of which a batch passes on what could be among a query's best.
-    Vectors of another dimension than a query's, or with a null component, do not meet it.
+    Up to ``sent`` queries (query, vec), ``QUERIES`` by default, go to the tasks, and the vectors stay where they are. More are data like the
+    vectors: both are dealt to blocks of bounded size, each block of one side meets each of the other in a cell, and a
+    cell passes on what could be among a query's best. Vectors of another dimension than a query's, or with a null
+    component, do not meet it.
     """
-    whole = F.forall("vec", lambda x: x.isNotNull())
-    asked = queries.filter(F.col("vec").isNotNull() & whole).select("query", "vec", F.size("vec").alias("d"))
-    own = spread(vectors.filter(F.col("vec").isNotNull() & whole).select("chunk", "vec"))
+    asked, own = whole_vectors(queries, "query"), spread(whole_vectors(vectors, "chunk"))
+    sent = QUERIES if sent is None else sent
+    few = asked.limit(sent + 1).collect()
     schema = T.StructType([T.StructField("query", queries.schema["query"].dataType), T.StructField("chunk", vectors.schema["chunk"].dataType), T.StructField("score", T.DoubleType())])
-    blocks = [asked.limit(QUERIES + 1).collect()]
-    if len(blocks[0]) > QUERIES:
-        blocks = (x.collect() for x in in_blocks(asked, "query", QUERIES))
-    found = []
-    for rows in blocks:
-        for d in sorted({r["d"] for r in rows}):
-            mine = [(r["query"], r["vec"]) for r in rows if r["d"] == d]
-            found.append(own.filter(F.size("vec") == d).mapInArrow(_products(mine, schema["query"].dataType, d, k, least, others), schema))
-    out = functools.reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
+    if len(few) <= sent:
+        found = []
+        for d in sorted({r["d"] for r in few}):
+            mine = [(r["query"], r["vec"]) for r in few if r["d"] == d]
+            found.append(own.filter(F.col("d") == d).select("chunk", "vec").mapInArrow(_products(mine, schema["query"].dataType, d, k, least, others), schema))
+        out = functools.reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
+    else:
+        n_queries, n_vectors = asked.count(), own.count()
+        rows, columns = -(-n_queries // QUERY_BLOCK), max(1, -(-n_vectors // VECTOR_BLOCK), min(2 * queries.sparkSession.sparkContext.defaultParallelism, n_vectors // VECTORS))
+        dealt = F.xxhash64(F.monotonically_increasing_id())
+        left = asked.withColumn("row", F.pmod(dealt, F.lit(rows)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+        right = own.withColumn("column", F.pmod(dealt, F.lit(columns)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+        out = cells(left, right, ["d", "row", "column"], k, least, others)
     scores = out.withColumn("score", F.round("score", 6))
     return ranked(scores.filter(F.col("score") >= least) if least is not None else scores, k)
 

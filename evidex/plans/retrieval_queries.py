@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, retrieval
+from ..operators import evaluate, inverted, retrieval
 from .registry import query, table
 
 
@@ -80,6 +80,24 @@ def faq_match(spark, sf_dir):
     return retrieval.best_match(vectors(spark, sf_dir), question_vectors(spark, sf_dir), 0.2, others=True)
 
 
+@query("""
+    WITH s AS (SELECT a.vec_id query, b.vec_id chunk, round(list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) - 1 AS INTEGER) "rank" FROM s) WHERE "rank" < 5""")
+def vector_neighbours(spark, sf_dir):
+    """The nearest of all other vectors to every vector: queries are as many as vectors, and both are data."""
+    v = vectors(spark, sf_dir).select("chunk", "vec")
+    return retrieval.vector_top(v, v.withColumnRenamed("chunk", "query"), 5, others=True, sent=0)
+
+
+@query("""SELECT count(*) queries, 10 * count(*) hits, TRUE enough FROM benchmark JOIN embeddings ON vec_id = item_id""")
+def vector_topk_approximate(spark, sf_dir):
+    """An inverted file asked all questions: how many hits, and whether nine in ten of the exact ones are among them."""
+    asked, v = question_vectors(spark, sf_dir), vectors(spark, sf_dir).select("chunk", "vec")
+    found = inverted.search(inverted.built(v), asked, 10, probes=40)
+    share = inverted.recall(found, retrieval.vector_top(v, asked, 10))
+    return found.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("hits"), F.lit(share >= 0.9).alias("enough"))
+
+
 _FUSED = f"""{_bm25(_DOCS, 20)}, {_VEC.format(where="", k=20)},
     f AS (SELECT coalesce(v.query, b.query) query, coalesce(v.chunk, b.chunk) chunk, v."rank" vec_rank, b."rank" bm25_rank,
                  coalesce(1.0::DOUBLE / (61 + v."rank"), 0) + coalesce(0.5::DOUBLE / (61 + b."rank"), 0) raw
