@@ -5,11 +5,16 @@ Times are compared with an explicit ``as_of``, so that a run can be repeated.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..tables import keep, release
 
 # Allowed changes of state, and days that rows are kept.
 DOCUMENT_STATES = (("draft", "review"), ("review", "approved"), ("review", "rejected"), ("rejected", "review"), ("approved", "published"))
@@ -46,11 +51,45 @@ def rag_stats(log: DataFrame, by: str, score: Column, escalated: Column) -> Data
     return log.groupBy(by).agg(F.coalesce(mean, F.lit(0.0)).alias("avg_value"), F.round(F.avg(escalated.cast("double")), 4).alias("escalate_rate"), F.count("*").alias("n"))
 
 
-def percentile_by_floor(values: Column, p: float) -> Column:
-    """An aggregate: of n sorted values, the one at index floor(p * n), the last at most."""
-    sorted_ = F.array_sort(F.collect_list(values))
-    n = F.size(sorted_)
-    return F.get(sorted_, F.least(n - 1, F.floor(n * p).cast("int")))
+def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float], floor: bool = True, few: int = 100_000) -> DataFrame:
+    """(by, n, one column for each name in ``wanted``): exact percentiles of each group by rank, without a group in one place.
+
+    The value at index floor(p * n) of the n sorted ones, the last at most; with ``floor`` off, the least value that p * n
+    values do not exceed (index ceil(p * n) - 1). Ranks are found by histograms: of the interval that holds a rank, equal
+    bins are counted with their least and greatest values, and the bin with the rank is the next interval, until it holds
+    one value or at most ``few`` rows, which are ranked. Counts are summed within tasks first, so a hot group is a few
+    thousand rows to shuffle. Values that are null or no finite number take no part; a null group is a group.
+    """
+    bins = 1024
+    base = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    stats = base.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    targets = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in wanted.items()])
+    rank = F.floor(F.col("n") * F.col("p")) if floor else F.ceil(F.col("n") * F.col("p")) - 1
+    state = stats.select(*by, "n", "lo", "hi", F.inline(targets)).withColumn("rank", F.greatest(F.lit(0), F.least(F.col("n") - 1, rank)).cast("long"))
+    state = keep(state.withColumn("below", F.lit(0).cast("long")).withColumn("inside", F.col("n")), "ranks")
+    many = state.count() > 100_000
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+
+    def within(some: DataFrame) -> DataFrame:
+        """The rows of the intervals of ``some``."""
+        met = base.alias("b").join((some if many else F.broadcast(some)).alias("s"), functools.reduce(lambda x, y: x & y, [*same, F.col("_v") >= F.col("lo"), F.col("_v") <= F.col("hi")]))
+        return met.select("s.*", "_v")
+
+    settled = (F.col("lo") == F.col("hi")) | (F.col("inside") <= few)
+    while state.filter(~settled).limit(1).count():
+        # halves, so that no width overflows
+        place = F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
+        own = [*by, "n", "name", "p", "rank", "below"]
+        counted = within(state.filter(~settled)).groupBy(*own, F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("inside"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = F.sum("inside").over(Window.partitionBy(*by, "name").orderBy("bin")) - F.col("inside") + F.col("below")
+        met = counted.withColumn("below", before).filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside")))
+        old, state = state, keep(state.filter(settled).unionByName(met.select(*state.columns)), "ranks")
+        release(old)
+    one = state.filter("lo = hi").select(*by, "n", "name", F.col("lo").alias("_v"))
+    at = F.row_number().over(Window.partitionBy(*by, "name").orderBy("_v")) - 1
+    few_left = within(state.filter("lo < hi")).withColumn("_at", at).filter(F.col("_at") == F.col("rank") - F.col("below")).select(*by, "n", "name", "_v")
+    columns = [F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in wanted]
+    return one.unionByName(few_left).groupBy(*by, "n").agg(*columns)
 
 
 def last_of_each(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -209,29 +248,100 @@ def leased(sources: DataFrame, as_of: str, minutes: int, most: int) -> DataFrame
     return due.orderBy("next_sync_at", "id").limit(most).withColumn("lease_until", now + F.make_dt_interval(mins=F.lit(minutes)))
 
 
-def admitted(events: DataFrame, limit: int, seconds: int, key: str = "user_id", at: str = "ts", order: str = "event_id") -> DataFrame:
+def _let_in(times: list[int], seen: list[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
+    """Whether each of a key's times in order is let in, and the last times let in. A ring of ``limit`` times: the oldest one decides."""
+    ring, out = list(seen[-limit:]), []
+    at = 0 if len(ring) == limit else len(ring)
+    for t in times:
+        ok = limit > 0 and (len(ring) < limit or ring[at] <= t - window)
+        if ok:
+            if len(ring) < limit:
+                ring.append(t)
+            else:
+                ring[at] = t
+            at = (at + 1) % limit
+        out.append(ok)
+    return out, (ring[at:] + ring[:at]) if len(ring) == limit else ring
+
+
+def _streaks(pdf: pd.DataFrame, key: str, window: int) -> np.ndarray:
+    """Where, in a part's ordered rows, a key begins or a gap of the window's length has passed: what was let in before has no say there."""
+    new = np.ones(len(pdf), bool)
+    k, t = pdf[key].to_numpy(), pdf["_at"].to_numpy()
+    same = (k[1:] == k[:-1]) | (pd.isna(k[1:]) & pd.isna(k[:-1]))
+    new[1:] = ~same | (t[1:] - t[:-1] >= window)
+    return np.flatnonzero(new)
+
+
+def admitted(events: DataFrame, limit: int, seconds: int, key: str = "user_id", at: str = "ts", order: str = "event_id", part_rows: int = 200_000) -> DataFrame:
     """Events with whether a sliding window lets them in: fewer than ``limit`` were let in within ``seconds`` before.
 
-    Only admitted events count, so each depends on earlier decisions of its key: one key's rows are
-    streamed through in order with ``limit`` times kept, never collected.
+    Only admitted events count, so each depends on earlier decisions of its key. Events are dealt to parts of about
+    ``part_rows`` by ranges of key and time, so a key with a third of all events is many parts. Where a gap of the
+    window's length has passed, nothing earlier counts, so a part decides all from its first gap on by itself; its head
+    waits for the last times that the part before let in. One row a part goes to the driver, which hands these times on;
+    only where a part has no gap at all does the next one wait for it. Events of equal time go by ``order``; a null key
+    is a key; events without a time are not let in and do not count.
     """
-    columns = [c for c in events.columns if c not in ("_at",)]
-    ordered = events.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "_at", order)
-
-    def run(batches):
-        now, seen = object(), []
-        for pdf in batches:
-            flags = []
-            for k, t in zip(pdf[key], pdf["_at"]):
-                if k != now:
-                    now, seen = k, []
-                seen = [s for s in seen if s > t - seconds * 1_000_000]
-                flags.append(len(seen) < limit)
-                if flags[-1]:
-                    seen.append(t)
-            yield pdf[columns].assign(admitted=pd.Series(flags, index=pdf.index, dtype=bool))
-
-    return ordered.mapInPandas(run, events.select(*columns).withColumn("admitted", F.lit(True)).schema)
+    window = seconds * 1_000_000
+    columns = list(events.columns)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    timed = events.filter(F.col(at).isNotNull()).withColumn("_at", micros)
+    n = max(1, -(-timed.count() // part_rows))
+    sort = [key, "_at", order]
+    parts = keep(timed.repartitionByRange(n, *sort).withColumn("_part", F.spark_partition_id()), "parts")
+    schema = T.StructType([*(events.schema[c] for c in columns), T.StructField("admitted", T.BooleanType())])
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A part's first and last event, and the times let in at its end, null where they depend on what came before."""
+        pdf = pdf.sort_values(sort, na_position="first", kind="stable")
+        cuts = _streaks(pdf, key, window)
+        end = None if len(cuts) == 1 else _let_in(pdf["_at"].tolist()[cuts[-1] :], [], limit, window)[1]
+        k = pdf[key].iloc[[0, -1]]
+        return pd.DataFrame({"_part": [pdf["_part"].iloc[0]], "first_key": k.astype(object).where(k.notna(), None).iloc[0], "last_key": k.astype(object).where(k.notna(), None).iloc[1], "first_at": [pdf["_at"].iloc[0]], "last_at": [pdf["_at"].iloc[-1]], "end": [end]})
+
+    def handed_on(known: dict[int, list[int]]):
+        def end(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(sort, na_position="first", kind="stable")
+            part = int(pdf["_part"].iloc[0])
+            return pd.DataFrame({"_part": [part], "end": [_let_in(pdf["_at"].tolist(), known[part], limit, window)[1]]})
+
+        return end
+
+    kind = events.schema[key].dataType.simpleString()
+    shape = f"_part int, first_key {kind}, last_key {kind}, first_at long, last_at long, `end` array<long>"
+    rows = sorted(parts.select(key, "_at", order, "_part").groupBy("_part").applyInPandas(summary, shape).collect(), key=lambda r: r["_part"])
+    given, ends, waiting = {}, {}, []
+    for before, r in zip([None, *rows], rows):
+        free = before is None or before["last_key"] != r["first_key"] or r["first_at"] - before["last_at"] >= window
+        given[r["_part"]] = [] if free else None
+        ends[r["_part"]] = list(r["end"]) if r["end"] is not None else None
+        if not free or ends[r["_part"]] is None:
+            waiting.append((before["_part"] if before is not None and not free else None, r["_part"]))
+    while waiting:
+        # times are handed on as far as they are known; then parts without a gap that now know theirs are decided, all at once
+        for before, part in waiting:
+            if given[part] is None and ends[before] is not None:
+                given[part] = ends[before]
+        ready = {part: given[part] for _, part in waiting if given[part] is not None and ends[part] is None}
+        if ready:
+            done = parts.filter(F.col("_part").isin(list(ready))).select(key, "_at", order, "_part").groupBy("_part")
+
+            ends |= {r["_part"]: list(r["end"]) for r in done.applyInPandas(handed_on(ready), "_part int, `end` array<long>").collect()}
+        waiting = [(b, p) for b, p in waiting if given[p] is None or ends[p] is None]
+
+    heads = {p: seen for p, seen in given.items() if seen}
+
+    def decided(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(sort, na_position="first", kind="stable")
+        times, flags = pdf["_at"].tolist(), []
+        cuts = [*_streaks(pdf, key, window).tolist(), len(pdf)]
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            flags += _let_in(times[lo:hi], heads.get(int(pdf["_part"].iloc[0]), []) if not i else [], limit, window)[0]
+        return pdf[columns].assign(admitted=pd.Series(flags, index=pdf.index, dtype=bool))
+
+    out = parts.groupBy("_part").applyInPandas(decided, schema)
+    return out.unionByName(events.filter(F.col(at).isNull()).withColumn("admitted", F.lit(False)))
 
 
 def ingest_plan(local: DataFrame, state: DataFrame) -> DataFrame:

@@ -36,8 +36,7 @@ def rag_stats(spark, sf_dir):
 
 @query("""SELECT event_type, count(*) n, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95, max(value) max_value FROM events GROUP BY event_type""")
 def latency_percentiles_nearest(spark, sf_dir):
-    q = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95)]
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), *q, F.max("value").alias("max_value"))
+    return ops.percentiles(events(spark, sf_dir), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "max_value": 1.0}, floor=False, few=500)
 
 
 @query("""
@@ -46,7 +45,7 @@ def latency_percentiles_nearest(spark, sf_dir):
     SELECT event_type, len(v) n, v[CAST(least(len(v) - 1, floor(0.5 * len(v))) AS INTEGER) + 1] p50, v[CAST(least(len(v) - 1, floor(0.95 * len(v))) AS INTEGER) + 1] p95 FROM s""")
 def latency_percentiles_floor(spark, sf_dir):
     last = ops.last_of_each(events(spark, sf_dir), "event_type", "event_id", 200)
-    return last.groupBy("event_type").agg(F.count("*").alias("n"), ops.percentile_by_floor(F.col("value"), 0.5).alias("p50"), ops.percentile_by_floor(F.col("value"), 0.95).alias("p95"))
+    return ops.percentiles(last, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""

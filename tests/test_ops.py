@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 from decimal import Decimal
 
 import pytest
@@ -84,7 +86,57 @@ def test_transitions_and_queues(spark):
     assert [r["id"] for r in ops.leased(sources, "2024-01-02", 5, 10).collect()] == [1]
 
 
+def test_limit_in_parts_equals_one_pass(spark):
+    """A user with a third of all events, in many parts; gaps, dense stretches over several parts, equal times, null users and times."""
+    rng = random.Random(0)
+    events, n = [], 0
+    for user, count in ((1, 400), (2, 120), (None, 60), (3, 300), (4, 1)):
+        t = 0
+        for i in range(count):
+            # user 1 never pauses for the window's length; others do
+            t += rng.choice([0, 1, 5, 20]) if user == 1 or i % 40 else 100
+            events.append((n, user, t))
+            n += 1
+    rng.shuffle(events)
+    df = spark.createDataFrame(events, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), F.lit("x").alias("note"))
+    df = df.unionByName(df.limit(2).withColumn("ts", F.lit(None).cast("timestamp")).withColumn("event_id", F.col("event_id") + 100_000))
+    want, seen = {}, {}
+    for i, user, t in sorted(events, key=lambda e: (e[1] is not None, e[1] or 0, e[2], e[0])):
+        own = [x for x in seen.get(user, []) if x > t - 60]
+        want[i] = len(own) < 3
+        seen[user] = own + [t] * want[i]
+    for size in (90, 100_000):
+        got = {r["event_id"]: r["admitted"] for r in ops.admitted(df, 3, 60, part_rows=size).collect()}
+        assert {i: x for i, x in got.items() if i < 100_000} == want
+        assert [x for i, x in got.items() if i >= 100_000] == [False, False]
+    assert set(ops.admitted(df, 0, 60, part_rows=50).select("admitted").distinct().collect()) == {(False,)}
+    assert ops.admitted(df.limit(0), 3, 60).count() == 0
+
+
+def test_percentiles_by_rank(spark):
+    """One group with most rows, ties, wide and narrow values, a null group; against sorted lists, however early histograms end."""
+    rng = random.Random(1)
+    data = [("hot", rng.gauss(0, 1)) for _ in range(3000)] + [("hot", 7.0)] * 800 + [("wide", s * 10.0 ** rng.randint(-300, 300)) for s in (-1, 1) for _ in range(150)] + [(None, float(i % 3)) for i in range(50)]
+    data += [("one", 5.0), ("max", 1.7e308), ("max", -1.7e308), ("gone", None), ("hot", float("nan")), ("hot", float("inf"))]
+    df = spark.createDataFrame(data, "g string, v double")
+    wanted = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    groups = {}
+    for g, v in data:
+        if v is not None and math.isfinite(v):
+            groups.setdefault(g, []).append(v)
+    for floor in (True, False):
+        want = {}
+        for g, values in groups.items():
+            values.sort()
+            n = len(values)
+            ranks = [min(n - 1, math.floor(n * p)) if floor else max(0, math.ceil(n * p) - 1) for p in wanted.values()]
+            want[g] = (n, *(values[r] for r in ranks))
+        for few in (60, 100_000):
+            assert {r["g"]: (r["n"], *(r[c] for c in wanted)) for r in ops.percentiles(df, ["g"], "v", wanted, floor, few).collect()} == want
+    assert ops.percentiles(df.limit(0), ["g"], "v", wanted).count() == 0
+
+
 @pytest.mark.parametrize("p, want", [(0.5, 3), (0.95, 4), (0.0, 1)])
 def test_percentile_by_floor(spark, p, want):
     df = spark.createDataFrame([(x,) for x in (4, 2, 1, 3)], "x int")
-    assert df.agg(ops.percentile_by_floor(F.col("x"), p).alias("p")).first()["p"] == want
+    assert ops.percentiles(df, [], "x", {"p": p}).first()["p"] == want
