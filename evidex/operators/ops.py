@@ -6,6 +6,7 @@ Times are compared with an explicit ``as_of``, so that a run can be repeated.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterable
 
 import numpy as np
@@ -55,8 +56,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     """(by, n, one column for each name in ``wanted``): exact percentiles of each group by rank, without a group in one place.
 
     The value at index floor(p * n) of the n sorted ones, the last at most; with ``floor`` off, the least value that p * n
-    values do not exceed (index ceil(p * n) - 1). Ranks are found by histograms: of the interval that holds a rank, equal
-    bins are counted with their least and greatest values, and the bin with the rank is the next interval, until it holds
+    values do not exceed (index ceil(p * n) - 1). Ranks are found by histograms: of the interval that holds a rank, bins
+    are counted with their least and greatest values, and the bin with the rank is the next interval, until it holds
     one value or at most ``few`` rows, which are ranked. Counts are summed within tasks first, so a hot group is a few
     thousand rows to shuffle. Values that are null or no finite number take no part; a null group is a group.
     """
@@ -76,9 +77,12 @@ def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, floa
         return met.select("s.*", "_v")
 
     settled = (F.col("lo") == F.col("hi")) | (F.col("inside") <= few)
+    # bins of equal ratios and of equal widths in turn: the first part what lies far apart, the second what lies close by; halves, so that no width overflows
+    scales = itertools.cycle([lambda v: F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1075)), lambda v: v / 2])
     while state.filter(~settled).limit(1).count():
-        # halves, so that no width overflows
-        place = F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)
+        scale = next(scales)
+        low, high = scale(F.col("lo")), scale(F.col("hi"))
+        place = F.coalesce(F.floor(F.try_divide(scale(F.col("_v")) - low, high - low) * bins), F.lit(0))
         own = [*by, "n", "name", "p", "rank", "below"]
         counted = within(state.filter(~settled)).groupBy(*own, F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("inside"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         before = F.sum("inside").over(Window.partitionBy(*by, "name").orderBy("bin")) - F.col("inside") + F.col("below")
