@@ -23,33 +23,33 @@ def joined(items: Column) -> Column:
 
 
 # parsing
-column("page_number_lines", {"t": ["12", "第 3 页", "3/120", "第3页 共9页", "2024年", "第三页", "12345", "", "1 / 2 / 3"]}, [True, True, True, True, False, False, False, False, False], text.page_number)
-column("checkbox_words", {"t": ["√适用 □不适用", "□ 适用 ☑ 不适用", "是否：√是 □否", "□是 √否", "适用"]}, ["适用：是", "适用：否", "是否：是", "否", "适用"], text.checkboxes)
+column("page_number_lines", {"t": ["⟨n⟩", "第 ⟨n⟩ 页", "3/⟨n⟩", "第3页 共9页", "⟨y⟩年", "第三页", "12345", "", "1 / 2 / 3"]}, [True, True, True, True, False, False, False, False, False], text.page_number)
+column("checkbox_words", {"t": ["√适用 □不适用", "□ 适用 ☑ 不适用", "⟨w⟩：√是 □否", "□是 √否", "适用⟨n⟩"]}, ["适用：是", "适用：否", "⟨w⟩：是", "否", "适用⟨n⟩"], text.checkboxes)
 column(
     "heading_levels",
-    {"t": ["# 标题", "### 三级", "####### x", "第一章 总则", "第二节 财务", "第十条 其他", "一、概况", "1. 收入", "1.2 成本", "12.5%", "2024", "正文一句。", "1. " + "长" * 60, "#无空格"]},
+    {"t": ["# 标题", "### 三级", "####### x", "第一章 总则", "第二节 财务", "第十条 其他", "一、概况", "1. 收入", "1.2 成本", "12.5%", "⟨y⟩", "正文一句。", "1. " + "长" * 60, "#无空格"]},
     [1, 3, 0, 1, 2, 3, 2, 3, 4, 0, 0, 0, 0, 0],
     text.heading,
 )
-column("pages_joined", {"p": [["a", "b"], ["a", " ", "b"], ["", ""], ["x"]]}, ["a\n\nb", "a\n\nb", "", "x"], readers.pages_text)
+column("pages_joined", {"p": [["⟨w⟩", "b⟨n⟩"], ["a⟨y⟩", " ", "⟨w⟩"], ["", ""], ["⟨n⟩"]]}, ["⟨w⟩\n\nb⟨n⟩", "a⟨y⟩\n\n⟨w⟩", "", "⟨n⟩"], readers.pages_text)
 column(
     "table_to_markdown",
-    {"r": [[["a", "b"], ["1", "2"]], [["a", "b"], ["1"]], [["a", "b"]], [["a"], ["b"]], [["a", "b"], [" 1\n2 ", None]]]},
-    ["| a | b |\n| --- | --- |\n| 1 | 2 |", "| a | b |\n| --- | --- |\n| 1 |  |", None, None, "| a | b |\n| --- | --- |\n| 1 2 |  |"],
+    {"r": [[["a", "⟨y⟩"], ["⟨w⟩", "⟨n⟩"]], [["a", "⟨y⟩"], ["⟨n⟩"]], [["⟨w⟩", "b"]], [["⟨n⟩"], ["b"]], [["a", "⟨w⟩"], [" ⟨n⟩\n2 ", None]]]},
+    ["| a | ⟨y⟩ |\n| --- | --- |\n| ⟨w⟩ | ⟨n⟩ |", "| a | ⟨y⟩ |\n| --- | --- |\n| ⟨n⟩ |  |", None, None, "| a | ⟨w⟩ |\n| --- | --- |\n| ⟨n⟩ 2 |  |"],
     readers.table_markdown,
     {"r": "array<array<string>>"},
 )
 column("file_extensions", {"p": ["/a/b.PDF", "x.tar.gz", "noext", "a.b/c", ".md"]}, ["pdf", "gz", "", "", "md"], readers.extension)
 column(
     "ocr_routes",
-    {"t": ["营业收入 100", "营业收入 100", "....,,,,;;;;", "", "text"], "s": [[0.9, 0.8], [0.5, 0.4], [0.9], [0.9], []]},
+    {"t": ["营业收入 ⟨n⟩", "营业收入 ⟨n⟩", "....,,,,;;;;", "", "text"], "s": [[0.9, 0.8], [0.5, 0.4], [0.9], [0.9], []]},
     ["local", "external", "external", "external", "external"],
     readers.ocr_route,
     {"s": "array<double>"},
 )
 # stores
 column("flags", {"v": ["true", " YES ", "1", "no", "0", None, "True "]}, [True, True, True, False, False, False, True], filters.flag)
-column("masked_keys", {"v": ["abcdefghijkl", "short", "12345678", "123456789", None]}, ["abcd***ijkl", "*****", "********", "1234***6789", None], text.masked)
+column("masked_keys", {"v": ["abcd⟨n⟩⟨w⟩ijkl", "short", "⟨n⟩⟨n⟩", "⟨y⟩56⟨p⟩", None]}, ["abcd***ijkl", "*****", "******", "⟨y⟩***⟨p⟩", None], text.masked)
 column(
     "point_ids",
     {"kb": ["default", "fin", "default"], "c": ["d1-0", "d1-0", "d2-17"]},
@@ -64,38 +64,38 @@ column(
 )
 column("document_ids", {"m": ["a", "abc"]}, ["86f7e437faa5a7fce15d1ddcb9eaeaea377667b8", "a9993e364706816aba3e25717850c26c9cd0d89d"], lambda m: F.sha1(m.cast("binary")))
 # predicates
-column("page_headers", {"t": ["甲公司2024年年度报告", "甲公司2024年半年度报告全文", "甲公司 2024年报告摘要", "甲公司2024年年度报告，正文很多", "2024年年度报告", "甲" * 41 + "2024年报告"]}, [True, True, True, False, False, False], text.header_line)
-column("figures_in_text", {"t": ["营业收入 1,200", "第 12 页 2024", "600519", "公司 600519", "金额 1.5", "2024", "共 7 项", None]}, [True, False, False, True, True, False, False, False], route.has_number)
+column("page_headers", {"t": ["⟨w⟩公司⟨y⟩年年度报告", "⟨w⟩公司⟨y⟩年半年度报告全文", "⟨w⟩公司 ⟨y⟩年报告摘要", "⟨w⟩公司⟨y⟩年年度报告，正文很多", "⟨y⟩年年度报告", "甲" * 41 + "⟨y⟩年报告"]}, [True, True, True, False, False, False], text.header_line)
+column("figures_in_text", {"t": ["营业收入 1,200", "第 12 页 ⟨y⟩", "600519", "公司 600519", "金额 1.5", "⟨y⟩", "共 7 项", None]}, [True, False, False, True, True, False, False, False], route.has_number)
 column(
     "sources_by_name",
-    {"p": ["/data/甲公司.PDF", "C:\\kb\\Report.md", "noext", ".pdf", "a/b/", None]},
-    ["甲公司.pdf|甲公司", "report.md|report", "noext", ".pdf", "b", ""],
+    {"p": ["/data/⟨w⟩公司.PDF", "C:\\kb\\Report.md", "noext", ".pdf", "a/b/", None]},
+    ["⟨v⟩公司.pdf|⟨v⟩公司", "report.md|report", "noext", ".pdf", "b", ""],
     lambda p: joined(gates.source_keys(p)),
 )
 # periods, units, numbers
-column("annual_periods", {"t": ["2024", "2024年", "2024年度", " 2024 年报", "2024年半年度", "24年", None]}, ["2024年度", "2024年度", "2024年度", "2024年度", None, None, None], text.annual_period)
-column("previous_periods", {"t": ["2024年度", "2024年半年度", "2000年", "本期"]}, ["2023年度", "2023年半年度", "1999年", None], text.previous_period)
-column("normal_periods", {"t": ["2024年度", "2024年半年度", "2024 年一季度", "2024年第三季度", "2024", "2024年报", "2024年上半年"]}, ["2024年", "2024年上半年", "2024年第一季度", "2024年第三季度", "2024年", "2024年", "2024年上半年"], text.normal_period)
-column("period_matches", {"a": ["2024年度", "2024年", "2024年半年度", "2024年", "2023年"], "b": ["2024年", "2024年上半年", "2024年上半年", "2024", "2024年"]}, [True, False, True, True, False], text.same_period)
-column("lenient_periods", {"a": ["2024年", "2024年第一季度", "2023年"], "b": ["2024年上半年", "2024年上半年", "2024年上半年"]}, [True, False, False], lambda a, b: text.same_period(a, b, True))
+column("annual_periods", {"t": ["⟨y⟩", "⟨y⟩年", "⟨y⟩年度", " ⟨y⟩ 年报", "⟨y⟩年半年度", "24年", None]}, ["⟨y⟩年度", "⟨y⟩年度", "⟨y⟩年度", "⟨y⟩年度", None, None, None], text.annual_period)
+column("previous_periods", {"t": ["⟨y⟩年度", "⟨y⟩年半年度", "2000年", "本期"]}, ["⟨p⟩年度", "⟨p⟩年半年度", "1999年", None], text.previous_period)
+column("normal_periods", {"t": ["⟨y⟩年度", "⟨y⟩年半年度", "⟨y⟩ 年一季度", "⟨y⟩年第三季度", "⟨y⟩", "⟨y⟩年报", "⟨y⟩年上半年"]}, ["⟨y⟩年", "⟨y⟩年上半年", "⟨y⟩年第一季度", "⟨y⟩年第三季度", "⟨y⟩年", "⟨y⟩年", "⟨y⟩年上半年"], text.normal_period)
+column("period_matches", {"a": ["⟨y⟩年度", "⟨y⟩年", "⟨y⟩年半年度", "⟨y⟩年", "⟨p⟩年"], "b": ["⟨y⟩年", "⟨y⟩年上半年", "⟨y⟩年上半年", "⟨y⟩", "⟨y⟩年"]}, [True, False, True, True, False], text.same_period)
+column("lenient_periods", {"a": ["⟨y⟩年", "⟨y⟩年第一季度", "⟨p⟩年"], "b": ["⟨y⟩年上半年", "⟨y⟩年上半年", "⟨y⟩年上半年"]}, [True, False, False], lambda a, b: text.same_period(a, b, True))
 column("scope_conflicts", {"a": ["parent", "unknown", "parent", "", "consolidated"], "b": ["parent", "parent", "consolidated", "parent", "subsidiary"]}, [False, False, True, False, True], verify.scopes_conflict)
 column("unit_families", {"u": ["元", "万美元", "亿港元", "%", "", "百万元"]}, ["rmb", "usd", "hkd", "percent", "rmb", "rmb"], text.unit_family)
 column("unit_matches", {"a": ["元", "元", "", "", "%", "万元"], "b": ["亿元", "美元", "", "元", "％", "%"]}, [True, False, True, False, True, False], verify.compatible_units)
 column("cell_numbers", {"t": ["1,234.50", "(1,000)", "-5", "n/a", "", "3 000"]}, [D("1234.5"), D("-1000"), D("-5"), None, None, D("3000")], text.number)
 column("decimal_texts", {"v": [D("1.500000"), D("0.000000"), D("100.000000"), D("-0.250000")]}, ["1.5", "0", "100", "-0.25"], text.decimal_text, {"v": "decimal(20,6)"})
-column("question_periods", {"t": ["2024年和2023年度营业收入", "2024年半年度与2024年上半年", "没有年份", "2024年第一季度"]}, ["2024年|2023年", "2024年上半年", "", "2024年第一季度"], lambda t: joined(company.question_periods(t)))
-column("route_periods", {"t": ["2024年和2023年营业收入", "2025 年半年度净利润", "2024年的天气", "营业收入"]}, ["2024年度|2023年度", "2025年半年度", "", ""], lambda t: joined(route.periods_asked(t)))
+column("question_periods", {"t": ["⟨y⟩年和⟨p⟩年度营业收入", "⟨y⟩年半年度与⟨y⟩年上半年", "没有年份", "⟨y⟩年第一季度"]}, ["⟨y⟩年|⟨p⟩年", "⟨y⟩年上半年", "", "⟨y⟩年第一季度"], lambda t: joined(company.question_periods(t)))
+column("route_periods", {"t": ["⟨y⟩年和⟨p⟩年营业收入", "2025 年半年度净利润", "⟨y⟩年的天气", "营业收入"]}, ["⟨y⟩年度|⟨p⟩年度", "2025年半年度", "", ""], lambda t: joined(route.periods_asked(t)))
 # companies
 column(
     "company_clues",
-    {"t": ["请问甲乙科技股份有限公司2024年营业收入", "*ST 甲乙2024年净利润", "600519的营业收入", "甲乙2024年营业收入是多少", "天气怎么样"]},
-    ["name:甲乙科技股份有限公司|alias:甲乙科技", "st:st甲乙|alias:甲乙", "code:600519|alias:600519", "alias:甲乙", ""],
+    {"t": ["请问⟨w⟩科技股份有限公司⟨y⟩年营业收入", "*ST 甲乙⟨y⟩年净利润", "600519的营业收入", "甲乙⟨y⟩年营业收入是多少", "天气怎么样"]},
+    ["name:⟨v⟩科技股份有限公司|alias:⟨v⟩科技", "st:st甲乙|alias:甲乙", "code:600519|alias:600519", "alias:甲乙", ""],
     lambda t: joined(F.transform(company.clues(t), lambda c: F.concat_ws(":", c["kind"], c["value"]))),
 )
 column(
     "company_markers",
-    {"t": ["甲乙科技股份有限公司2024年年度报告", "甲乙2024年年度报告", None], "n": [None, None, "甲乙股份有限公司"], "c": ["600519", None, None]},
-    ["alias:甲乙科技|code:600519|name:甲乙科技股份有限公司", "alias:甲乙", "alias:甲乙|name:甲乙股份有限公司"],
+    {"t": ["⟨w⟩科技股份有限公司⟨y⟩年年度报告", "甲乙⟨y⟩年年度报告", None], "n": [None, None, "甲乙股份有限公司"], "c": ["600519", None, None]},
+    ["alias:⟨v⟩科技|code:600519|name:⟨v⟩科技股份有限公司", "alias:甲乙", "alias:甲乙|name:甲乙股份有限公司"],
     lambda t, n, c: joined(F.transform(company.markers(t, n, c), lambda m: F.concat_ws(":", m["kind"], m["value"]))),
     {"t": "string", "n": "string", "c": "string"},
 )
@@ -104,56 +104,56 @@ column("table_titles", {"t": ["合并利润表\n单位：元", "本公司利润
 column("table_units", {"t": ["单位：万元", "金额单位：人民币元", "单位：元\n单位：万元", "收入 5 万元", "（金额：百万元）", "币种及单位：亿元"]}, ["万元", "元", "", "", "百万元", "亿元"], lambda t: facts.table_context(t)["unit"])
 column(
     "table_periods",
-    {"t": ["2024年年度报告", "2024年半年度报告", "报告期：2024年1月1日至2024年6月30日", "截至2024年6月30日", "本期 2024年1月-6月", "2023年", "正文"]},
-    ["2024年度", "2024年半年度", "2024年1月1日至2024年6月30日", "2024年6月30日", "2024年1月-6月", "2023年", ""],
+    {"t": ["⟨y⟩年年度报告", "⟨y⟩年半年度报告", "报告期：⟨y⟩年1月1日至⟨y⟩年6月30日", "截至⟨y⟩年6月30日", "本期 ⟨y⟩年1月-6月", "⟨p⟩年", "正文"]},
+    ["⟨y⟩年度", "⟨y⟩年半年度", "⟨y⟩年1月1日至⟨y⟩年6月30日", "⟨y⟩年6月30日", "⟨y⟩年1月-6月", "⟨p⟩年", ""],
     lambda t: facts.table_context(t)["report_period"],
 )
 column("table_scopes", {"t": ["合并利润表", "母公司资产负债表", "合并报表\n母公司报表", "合并日", "报表口径：子公司"]}, ["consolidated", "parent", "unknown", "unknown", "subsidiary"], lambda t: facts.table_context(t)["statement_scope"])
 column("markdown_tables", {"t": ["| a | b |\n| --- | --- |", "| a | b |", "| a |\n| b |\n| c |", "| a |\n| b |", "text"]}, [True, False, True, False, False], lambda t: facts.table_context(t)["is_table"])
-column("document_periods", {"t": ["甲公司2024年年度报告", "甲公司", "甲公司", ""], "p": [["2023年报"], ["目录\n2023年半年度报告", "x"], ["正文提到2022年度"], []]}, ["2024年度", "2023年半年度", "", ""], facts.document_periods, {"p": "array<string>"})
-column("common_paths", {"a": ["一 > 二 > 三", "一", "一 > 二", ""], "b": ["一 > 二 > 四", "一 > 二", "三", "一"]}, ["一 > 二", "一", "", ""], chunking.common_path)
+column("document_periods", {"t": ["⟨w⟩公司⟨y⟩年年度报告", "⟨w⟩公司", "⟨w⟩公司", ""], "p": [["⟨p⟩年报"], ["目录\n⟨p⟩年半年度报告", "x"], ["正文提到2022年度"], []]}, ["⟨y⟩年度", "⟨p⟩年半年度", "", ""], facts.document_periods, {"p": "array<string>"})
+column("common_paths", {"a": ["⟨w⟩ > 二 > 三", "⟨n⟩", "一 > 二", ""], "b": ["⟨w⟩ > 二 > 四", "⟨n⟩ > ⟨w⟩", "三", "一"]}, ["⟨w⟩ > 二", "⟨n⟩", "", ""], chunking.common_path)
 column("merge_guards", {"a": ["t1", "t1", "", None], "b": ["t1", "t2", "t2", "t1"]}, [True, False, True, True], chunking.mergeable)
 rule("page_spans", {"a": [3, None, 5, None], "b": [7, 4, None, None]}, {"first": [3, 4, 5, None], "last": [7, 4, 5, None]}, lambda df: df.withColumn("first", chunking.page_span("a", "b")[0]).withColumn("last", chunking.page_span("a", "b")[1]), {"a": "int", "b": "int"})
-column("text_units", {"t": ["a\n\nb", "a\n \n\n b ", "\n\n", "one\ntwo"]}, ["a|b", "a|b", "", "one\ntwo"], lambda t: joined(chunking.units(t)))
+column("text_units", {"t": ["a\n\n⟨w⟩", "⟨n⟩\n \n\n b ", "\n\n", "one\n⟨y⟩"]}, ["a|⟨w⟩", "⟨n⟩|b", "", "one\n⟨y⟩"], lambda t: joined(chunking.units(t)))
 column("table_pieces", {"t": ["| h |\n| - |\n| 1 |\n| 2 |\n| 3 |", "| h |\n| - |"]}, ["| h |\n| - |\n| 1 |#| h |\n| - |\n| 2 |#| h |\n| - |\n| 3 |", "| h |\n| - |"], lambda t: F.array_join(chunking.table_pieces(t, 20), "#"))
-column("continuation_blocks", {"t": ["单位：元", "续表\n营业收入 5 6", "续表", "营业收入 5 6", "甲\t1\t2\n乙\t3\t4", "这是正文。", "合并利润表", ""]}, [True, True, False, True, True, False, False, False], blocks.continuation)
+column("continuation_blocks", {"t": ["单位：元", "续表\n营业收入 ⟨n⟩ ⟨n⟩", "续表", "营业收入 ⟨n⟩ ⟨y⟩", "甲\t1\t2\n乙\t3\t4", "这是正文。", "合并利润表", ""]}, [True, True, False, True, True, False, False, False], blocks.continuation)
 # answers
 column(
     "cause_terms",
-    {"t": ["主要系销量上升所致。由于汇率变动，成本下降", "变动原因为：原材料涨价", "受市场需求影响，收入下降", "原因是详见正文", "没有说明"]},
-    ["销量上升|汇率变动", "原材料涨价", "市场需求", "", ""],
+    {"t": ["主要系⟨w⟩销量上升所致。由于⟨y⟩年汇率变动，成本下降", "变动原因为：⟨w⟩原材料涨价", "受⟨w⟩市场需求影响，收入下降", "原因是详见正文", "没有说明"]},
+    ["⟨w⟩销量上升|⟨y⟩年汇率变动", "⟨w⟩原材料涨价", "⟨w⟩市场需求", "", ""],
     lambda t: joined(verify.causes(t)),
 )
-column("commitments", {"t": ["该事项不构成业绩承诺。", "公司属于业绩承诺方", "是否构成承诺", "没有", "不构成承诺。视为盈利承诺"]}, ["negative", "positive", "", "", "negative|positive"], lambda t: joined(answers.commitment_polarity(t)))
-column("categories", {"t": ["FAQ", "转人工", "闲聊", "知识库", "unknown", None, "out of scope", "报障"]}, ["faq", "human_request", "smalltalk", "kb_question", "kb_question", "kb_question", "out_of_scope", "ticket_intent"], verify.category)
-column("rewrites", {"q": ["原问题"] * 5, "r": ["改写", "", "两\n行", "长" * 121, None]}, ["改写", "原问题", "原问题", "原问题", "原问题"], verify.rewritten, {"r": "string"})
+column("commitments", {"t": ["⟨w⟩事项不构成业绩承诺。", "⟨w⟩公司属于业绩承诺方", "是否构成承诺", "没有", "不构成承诺。视为盈利承诺"]}, ["negative", "positive", "", "", "negative|positive"], lambda t: joined(answers.commitment_polarity(t)))
+column("categories", {"t": ["FAQ", "转人工", "闲聊", "知识库", "⟨v⟩", None, "out of scope", "报障"]}, ["faq", "human_request", "smalltalk", "kb_question", "kb_question", "kb_question", "out_of_scope", "ticket_intent"], verify.category)
+column("rewrites", {"q": ["原问题⟨w⟩"] * 5, "r": ["改写⟨n⟩", "", "两\n行", "长" * 121, None]}, ["改写⟨n⟩", "原问题⟨w⟩", "原问题⟨w⟩", "原问题⟨w⟩", "原问题⟨w⟩"], verify.rewritten, {"r": "string"})
 column("judge_marks", {"t": ["8,9", "faithfulness 7, relevance 5", "7", "none", None]}, [8, 5, 7, 0, 0], verify.faithfulness, {"t": "string"})
 rule(
     "citation_numbers",
-    {"t": ["甲[2]乙[1]丙[2]", "甲[7]", "没有", "[3][3][1]"]},
-    {"out": ["甲[1]乙[2]丙[1]", "甲7", "没有", "[1][1][2]"], "used": ["2|1", "", "", "3|1"]},
+    {"t": ["⟨w⟩[2]乙[1]⟨n⟩[2]", "⟨w⟩[7]", "没有", "[3][3][1]"]},
+    {"out": ["⟨w⟩[1]乙[2]⟨n⟩[1]", "⟨w⟩7", "没有", "[1][1][2]"], "used": ["2|1", "", "", "3|1"]},
     lambda df: df.withColumn("out", verify.renumbered(F.col("t"), F.lit(3))[0]).withColumn("used", joined(F.transform(verify.renumbered(F.col("t"), F.lit(3))[1], lambda x: x.cast("string")))),
 )
-column("citations_moved", {"a": ["收入为5.5万元[2]。", "收入为5.5万元[1]。", "收入为9.5万元[2]。", "没有数字[2]。"], "p": [["收入5.5万元", "成本7.5万元"]] * 4}, ["收入为5.5万元[1]。", "收入为5.5万元[1]。", "收入为9.5万元[2]。", "没有数字[2]。"], answers.relocated)
-column("clear_questions", {"q": ["甲公司年报营业收入是多少", "你好", "转人工", "净利润多少", "", "介绍年报"]}, [True, False, False, True, False, False], answers.obvious_question)
+column("citations_moved", {"a": ["收入为⟨n⟩.5万元[2]。", "收入为⟨n⟩.5万元[1]。", "收入为9⟨n⟩.5万元[2]。", "没有数字[2]。"], "p": [["收入⟨n⟩.5万元", "成本7⟨n⟩.5万元"]] * 4}, ["收入为⟨n⟩.5万元[1]。", "收入为⟨n⟩.5万元[1]。", "收入为9⟨n⟩.5万元[2]。", "没有数字[2]。"], answers.relocated)
+column("clear_questions", {"q": ["⟨w⟩公司年报营业收入是多少", "你好", "转人工", "净利润多少", "", "介绍年报"]}, [True, False, False, True, False, False], answers.obvious_question)
 column(
     "company_needed",
     {"q": ["注册资本是多少", "甲乙股份有限公司的注册资本", "注册资本是多少", "这家公司的董事长是谁", "天气怎么样", "600519的上市日期"], "h": ["你好", "", "甲乙股份有限公司", "谢谢", "", ""]},
     [True, False, False, True, False, False],
     lambda q, h: answers.needs_company(q, F.array(F.struct(F.lit("user").alias("role"), h.alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("丙丁有限公司").alias("text")))),
 )
-column("strict_revenue", {"m": ["revenue", "revenue", "net_profit", "revenue"], "t": ["主营业务收入 5", "营业收入 5", "主营业务收入", "主营业务收入 5 营业收入 6"]}, [False, True, True, True], answers.strict_revenue)
-column("metric_equivalence", {"a": ["revenue", "revenue", "eps", "revenue"], "b": ["total_revenue", "total_revenue", "eps", "eps"], "t": ["营业总收入 5", "营业总收入 5 营业收入 4", "", ""]}, [True, False, True, False], answers.same_metric)
+column("strict_revenue", {"m": ["revenue", "revenue", "net_profit", "revenue"], "t": ["主营业务收入 ⟨n⟩", "营业收入 ⟨n⟩", "主营业务收入", "主营业务收入 ⟨n⟩ 营业收入 9⟨n⟩"]}, [False, True, True, True], answers.strict_revenue)
+column("metric_equivalence", {"a": ["revenue", "revenue", "eps", "revenue"], "b": ["total_revenue", "total_revenue", "eps", "eps"], "t": ["营业总收入 ⟨n⟩", "营业总收入 ⟨n⟩ 营业收入 4⟨n⟩", "", ""]}, [True, False, True, False], answers.same_metric)
 column("reliable_evidence", {"s": [True, True, None, False], "p": [True, False, True, True], "m": [True, True, True, None]}, [True, False, False, False], answers.reliable, {"s": "boolean", "p": "boolean", "m": "boolean"})
 column(
     "answer_faults",
-    {"q": ["营业收入是多少", "营业收入和研发费用是多少", "营业收入变动原因", "营业收入是多少"], "a": ["营业收入为5.5万元", "营业收入为5.5万元", "营业收入为5.5万元", "未检索到"], "e": ["营业收入6.5万元", "营业收入5.5万元 研发费用1.5万元", "营业收入5.5万元，主要系销量", "营业收入5.5万元"]},
-    ["unsupported: 5.5万元", "missing: rd_expense", "missing: cause", "missing: revenue|wrong refusal"],
+    {"q": ["营业收入是多少", "营业收入和研发费用是多少", "营业收入变动原因", "营业收入是多少"], "a": ["营业收入为⟨n⟩.5万元", "营业收入为⟨n⟩.5万元", "营业收入为⟨n⟩.5万元", "未检索到"], "e": ["营业收入9⟨n⟩.5万元", "营业收入⟨n⟩.5万元 研发费用1⟨n⟩.5万元", "营业收入⟨n⟩.5万元，主要系销量", "营业收入⟨n⟩.5万元"]},
+    ["unsupported: ⟨n⟩.5万元", "missing: rd_expense", "missing: cause", "missing: revenue|wrong refusal"],
     lambda q, a, e: joined(answers.answer_reasons(q, a, e)),
 )
-column("masked_numbers", {"t": ["收入5.5万元，成本3万元", "无"], "s": [[[2, 7]], []]}, ["收入（未核验），成本3万元", "无"], lambda t, s: verify.masked_answer(t, F.transform(s, lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))), {"s": "array<array<int>>"})
-column("search_strings", {"q": ["营业收入和研发费用是多少", "研发费用变动原因", "天气", " "], "r": ["", "改写", None, ""], "a": [0, 0, 0, 0]}, ["营业收入和研发费用是多少|营业收入和研发费用是多少 指标：营业收入|营业收入和研发费用是多少 指标：研发费用|营业收入和研发费用是多少 合并财务报表 合并口径", "研发费用变动原因|改写|研发费用变动原因 主要系 原因 所致 变动原因|研发费用变动原因 合并财务报表 合并口径", "天气", ""], lambda q, r, a: joined(answers.search_strings(q, r, a)), {"r": "string", "a": "int"})
-column("number_matches", {"e": ["5.5万元", "55000元", "1.2亿元", "20%", "销量上升", "", "12345元"], "a": ["收入55,000元", "收入5.5万元", "收入1.3亿元", "增长20.0%", "因为 销量 上升", "x", "约1.23万元"]}, [True, True, False, True, True, True, True], gates.keyword_match)
+column("masked_numbers", {"t": ["收入⟨n⟩.5万元，成本3万元", "无"], "s": [[[2, 9]], []]}, ["收入（未核验），成本3万元", "无"], lambda t, s: verify.masked_answer(t, F.transform(s, lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))), {"s": "array<array<int>>"})
+column("search_strings", {"q": ["⟨w⟩营业收入和研发费用是多少", "⟨w⟩研发费用变动原因", "天气", " "], "r": ["", "改写", None, ""], "a": [0, 0, 0, 0]}, ["⟨w⟩营业收入和研发费用是多少|⟨w⟩营业收入和研发费用是多少 指标：营业收入|⟨w⟩营业收入和研发费用是多少 指标：研发费用|⟨w⟩营业收入和研发费用是多少 合并财务报表 合并口径", "⟨w⟩研发费用变动原因|改写|⟨w⟩研发费用变动原因 主要系 原因 所致 变动原因|⟨w⟩研发费用变动原因 合并财务报表 合并口径", "天气", ""], lambda q, r, a: joined(answers.search_strings(q, r, a)), {"r": "string", "a": "int"})
+column("number_matches", {"e": ["⟨n⟩.5万元", "⟨n⟩5000元", "1.2亿元", "20%", "销量上升", "", "12345元"], "a": ["收入⟨n⟩5000元", "收入⟨n⟩.5万元", "收入1.3亿元", "增长20.0%", "因为 销量 上升", "x", "约1.23万元"]}, [True, True, False, True, True, True, True], gates.keyword_match)
 column("nfkc_texts", {"t": ["Ａ１２", "①", "ﬁ", None]}, ["A12", "1", "fi", None], verify.nfkc, {"t": "string"})
 # questions
 rule(

@@ -1,6 +1,7 @@
-"""Queries of rules on texts: each row of a table gets one of some inputs, by its key, and what is expected for it.
+"""Queries of rules on texts: each customer gets a text of its own, made of one of some forms and of the customer's values.
 
-The inputs are the query's, the expected values the SQL's, so that the two meet in nothing but the key.
+A form has places for a year, the year before, a number and a name, which come from the customer's balance and market
+segment. The forms are the query's, what is expected of them the SQL's, which fills in the values by itself.
 """
 
 from __future__ import annotations
@@ -14,11 +15,28 @@ from pyspark.sql import functions as F
 from .registry import ORACLES, QUERIES, table
 
 
+#: Places in a form, and what fills them: in Spark of ``c_acctbal`` and ``c_mktsegment``, in SQL likewise.
+FILLED = {
+    "⟨y⟩": ("cast(2001 + cast(abs(c_acctbal) as bigint) % 24 as string)", "CAST(2001 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 24 AS VARCHAR)"),
+    "⟨p⟩": ("cast(2000 + cast(abs(c_acctbal) as bigint) % 24 as string)", "CAST(2000 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 24 AS VARCHAR)"),
+    "⟨n⟩": ("cast(100 + cast(abs(c_acctbal) as bigint) % 900 as string)", "CAST(100 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 900 AS VARCHAR)"),
+    "⟨w⟩": ("c_mktsegment", "c_mktsegment"),
+    "⟨v⟩": ("lower(c_mktsegment)", "lower(c_mktsegment)"),
+}
+
+
+def _places(value) -> bool:
+    return any(map(_places, value)) if isinstance(value, (list, tuple)) else isinstance(value, str) and "⟨" in value
+
+
 def _literal(value, kind: str | None) -> Column:
     if isinstance(value, (list, tuple)):
         out = F.array(*[_literal(v, None) for v in value])
         return out.cast(kind) if kind else out
     out = F.lit(value)
+    if _places(value):
+        for place in FILLED:
+            out = F.replace(out, F.lit(place), F.col(place)) if place in value else out
     return out.cast(kind) if kind else out
 
 
@@ -28,7 +46,10 @@ def _sql(value) -> str:
     if isinstance(value, bool):
         return str(value).upper()
     if isinstance(value, str):
-        return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in value.split("\n"))
+        out = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in value.split("\n"))
+        for place, (_, sql) in FILLED.items():
+            out = f"replace({out}, '{place}', {sql})" if place in value else out
+        return out
     return f"CAST('{value}' AS DECIMAL(30,6))" if isinstance(value, Decimal) else f"CAST({value} AS DOUBLE)" if isinstance(value, float) else str(value)
 
 
@@ -38,7 +59,7 @@ def chosen(values: Sequence, kind: str | None = None, key: str = "k") -> Column:
 
 
 def keyed(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), *[F.expr(e).alias(place) for place, (e, _) in FILLED.items()])
 
 
 def rule(name: str, inputs: dict[str, Sequence], expected: dict[str, Sequence], make: Callable[[DataFrame], DataFrame], kinds: dict[str, str] | None = None) -> None:
