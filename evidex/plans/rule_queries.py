@@ -39,7 +39,7 @@ column(
     readers.table_markdown,
     {"r": "array<array<string>>"},
 )
-column("file_extensions", {"p": ["/a/b.PDF", "x.tar.gz", "noext", "a.b/c", ".md"]}, ["pdf", "gz", "", "", "md"], readers.extension)
+column("file_extensions", {"p": ["/⟨w⟩/⟨n⟩.PDF", "⟨y⟩.tar.gz", "⟨w⟩", "a.b/c", ".md"]}, ["pdf", "gz", "", "", "md"], readers.extension)
 column(
     "ocr_routes",
     {"t": ["营业收入 ⟨n⟩", "营业收入 ⟨n⟩", "....,,,,;;;;", "", "text"], "s": [[0.9, 0.8], [0.5, 0.4], [0.9], [0.9], []]},
@@ -48,7 +48,7 @@ column(
     {"s": "array<double>"},
 )
 # stores
-column("flags", {"v": ["true", " YES ", "1", "no", "0", None, "True "]}, [True, True, True, False, False, False, True], filters.flag)
+column("flags", {"v": ["true", " YES ", "1", "⟨w⟩", "0", None, "True "]}, [True, True, True, False, False, False, True], filters.flag)
 column("masked_keys", {"v": ["abcd⟨n⟩⟨w⟩ijkl", "short", "⟨n⟩⟨n⟩", "⟨y⟩56⟨p⟩", None]}, ["abcd***ijkl", "*****", "******", "⟨y⟩***⟨p⟩", None], text.masked)
 column(
     "point_ids",
@@ -100,22 +100,22 @@ column(
     {"t": "string", "n": "string", "c": "string"},
 )
 # tables and facts
-column("table_titles", {"t": ["合并利润表\n单位：元", "本公司利润表，见附注", "母公司 资产负债表", "正文", "表" * 101 + "利润表"]}, ["合并利润表", "", "母公司资产负债表", "", ""], lambda t: facts.table_context(t)["table_name"])
-column("table_units", {"t": ["单位：万元", "金额单位：人民币元", "单位：元\n单位：万元", "收入 5 万元", "（金额：百万元）", "币种及单位：亿元"]}, ["万元", "元", "", "", "百万元", "亿元"], lambda t: facts.table_context(t)["unit"])
+column("table_titles", {"t": ["⟨w⟩合并利润表\n单位：元", "本公司利润表，见附注", "母公司 资产负债表", "正文", "表" * 101 + "利润表"]}, ["合并利润表", "", "母公司资产负债表", "", ""], lambda t: facts.table_context(t)["table_name"])
+column("table_units", {"t": ["单位：万元", "金额单位：人民币元", "单位：元\n单位：万元", "收入 ⟨n⟩ 万元", "（金额：百万元）", "币种及单位：亿元"]}, ["万元", "元", "", "", "百万元", "亿元"], lambda t: facts.table_context(t)["unit"])
 column(
     "table_periods",
     {"t": ["⟨y⟩年年度报告", "⟨y⟩年半年度报告", "报告期：⟨y⟩年1月1日至⟨y⟩年6月30日", "截至⟨y⟩年6月30日", "本期 ⟨y⟩年1月-6月", "⟨p⟩年", "正文"]},
     ["⟨y⟩年度", "⟨y⟩年半年度", "⟨y⟩年1月1日至⟨y⟩年6月30日", "⟨y⟩年6月30日", "⟨y⟩年1月-6月", "⟨p⟩年", ""],
     lambda t: facts.table_context(t)["report_period"],
 )
-column("table_scopes", {"t": ["合并利润表", "母公司资产负债表", "合并报表\n母公司报表", "合并日", "报表口径：子公司"]}, ["consolidated", "parent", "unknown", "unknown", "subsidiary"], lambda t: facts.table_context(t)["statement_scope"])
-column("markdown_tables", {"t": ["| a | b |\n| --- | --- |", "| a | b |", "| a |\n| b |\n| c |", "| a |\n| b |", "text"]}, [True, False, True, False, False], lambda t: facts.table_context(t)["is_table"])
+column("table_scopes", {"t": ["⟨w⟩合并利润表", "母公司资产负债表", "合并报表\n母公司报表", "⟨w⟩合并日", "报表口径：子公司"]}, ["consolidated", "parent", "unknown", "unknown", "subsidiary"], lambda t: facts.table_context(t)["statement_scope"])
+column("markdown_tables", {"t": ["| ⟨w⟩ | ⟨n⟩ |\n| --- | --- |", "| ⟨w⟩ | ⟨n⟩ |", "| a |\n| b |\n| c |", "| a |\n| b |", "text"]}, [True, False, True, False, False], lambda t: facts.table_context(t)["is_table"])
 column("document_periods", {"t": ["⟨w⟩公司⟨y⟩年年度报告", "⟨w⟩公司", "⟨w⟩公司", ""], "p": [["⟨p⟩年报"], ["目录\n⟨p⟩年半年度报告", "x"], ["正文提到2022年度"], []]}, ["⟨y⟩年度", "⟨p⟩年半年度", "", ""], facts.document_periods, {"p": "array<string>"})
 column("common_paths", {"a": ["⟨w⟩ > 二 > 三", "⟨n⟩", "一 > 二", ""], "b": ["⟨w⟩ > 二 > 四", "⟨n⟩ > ⟨w⟩", "三", "一"]}, ["⟨w⟩ > 二", "⟨n⟩", "", ""], chunking.common_path)
-column("merge_guards", {"a": ["t1", "t1", "", None], "b": ["t1", "t2", "t2", "t1"]}, [True, False, True, True], chunking.mergeable)
+column("merge_guards", {"a": ["t⟨n⟩", "t⟨n⟩", "", None], "b": ["t⟨n⟩", "t2", "t2", "t⟨n⟩"]}, [True, False, True, True], chunking.mergeable)
 rule("page_spans", {"a": [3, None, 5, None], "b": [7, 4, None, None]}, {"first": [3, 4, 5, None], "last": [7, 4, 5, None]}, lambda df: df.withColumn("first", chunking.page_span("a", "b")[0]).withColumn("last", chunking.page_span("a", "b")[1]), {"a": "int", "b": "int"})
 column("text_units", {"t": ["a\n\n⟨w⟩", "⟨n⟩\n \n\n b ", "\n\n", "one\n⟨y⟩"]}, ["a|⟨w⟩", "⟨n⟩|b", "", "one\n⟨y⟩"], lambda t: joined(chunking.units(t)))
-column("table_pieces", {"t": ["| h |\n| - |\n| 1 |\n| 2 |\n| 3 |", "| h |\n| - |"]}, ["| h |\n| - |\n| 1 |#| h |\n| - |\n| 2 |#| h |\n| - |\n| 3 |", "| h |\n| - |"], lambda t: F.array_join(chunking.table_pieces(t, 20), "#"))
+column("table_pieces", {"t": ["| h |\n| - |\n| ⟨n⟩ |\n| 2 |\n| 3 |", "| h |\n| - |"]}, ["| h |\n| - |\n| ⟨n⟩ |#| h |\n| - |\n| 2 |#| h |\n| - |\n| 3 |", "| h |\n| - |"], lambda t: F.array_join(chunking.table_pieces(t, 20), "#"))
 column("continuation_blocks", {"t": ["单位：元", "续表\n营业收入 ⟨n⟩ ⟨n⟩", "续表", "营业收入 ⟨n⟩ ⟨y⟩", "甲\t1\t2\n乙\t3\t4", "这是正文。", "合并利润表", ""]}, [True, True, False, True, True, False, False, False], blocks.continuation)
 # answers
 column(
@@ -127,7 +127,7 @@ column(
 column("commitments", {"t": ["⟨w⟩事项不构成业绩承诺。", "⟨w⟩公司属于业绩承诺方", "是否构成承诺", "没有", "不构成承诺。视为盈利承诺"]}, ["negative", "positive", "", "", "negative|positive"], lambda t: joined(answers.commitment_polarity(t)))
 column("categories", {"t": ["FAQ", "转人工", "闲聊", "知识库", "⟨v⟩", None, "out of scope", "报障"]}, ["faq", "human_request", "smalltalk", "kb_question", "kb_question", "kb_question", "out_of_scope", "ticket_intent"], verify.category)
 column("rewrites", {"q": ["原问题⟨w⟩"] * 5, "r": ["改写⟨n⟩", "", "两\n行", "长" * 121, None]}, ["改写⟨n⟩", "原问题⟨w⟩", "原问题⟨w⟩", "原问题⟨w⟩", "原问题⟨w⟩"], verify.rewritten, {"r": "string"})
-column("judge_marks", {"t": ["8,9", "faithfulness 7, relevance 5", "7", "none", None]}, [8, 5, 7, 0, 0], verify.faithfulness, {"t": "string"})
+column("judge_marks", {"t": ["8,9", "faithfulness 7, relevance 5", "7", "⟨w⟩", None]}, [8, 5, 7, 0, 0], verify.faithfulness, {"t": "string"})
 rule(
     "citation_numbers",
     {"t": ["⟨w⟩[2]乙[1]⟨n⟩[2]", "⟨w⟩[7]", "没有", "[3][3][1]"]},
@@ -138,7 +138,7 @@ column("citations_moved", {"a": ["收入为⟨n⟩.5万元[2]。", "收入为⟨
 column("clear_questions", {"q": ["⟨w⟩公司年报营业收入是多少", "你好", "转人工", "净利润多少", "", "介绍年报"]}, [True, False, False, True, False, False], answers.obvious_question)
 column(
     "company_needed",
-    {"q": ["注册资本是多少", "甲乙股份有限公司的注册资本", "注册资本是多少", "这家公司的董事长是谁", "天气怎么样", "600519的上市日期"], "h": ["你好", "", "甲乙股份有限公司", "谢谢", "", ""]},
+    {"q": ["注册资本是多少", "⟨w⟩股份有限公司的注册资本", "注册资本是多少", "这家公司的董事长是谁", "天气怎么样", "600519的上市日期"], "h": ["你好", "", "甲乙股份有限公司", "谢谢", "", ""]},
     [True, False, False, True, False, False],
     lambda q, h: answers.needs_company(q, F.array(F.struct(F.lit("user").alias("role"), h.alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("丙丁有限公司").alias("text")))),
 )
@@ -154,21 +154,21 @@ column(
 column("masked_numbers", {"t": ["收入⟨n⟩.5万元，成本3万元", "无"], "s": [[[2, 9]], []]}, ["收入（未核验），成本3万元", "无"], lambda t, s: verify.masked_answer(t, F.transform(s, lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))), {"s": "array<array<int>>"})
 column("search_strings", {"q": ["⟨w⟩营业收入和研发费用是多少", "⟨w⟩研发费用变动原因", "天气", " "], "r": ["", "改写", None, ""], "a": [0, 0, 0, 0]}, ["⟨w⟩营业收入和研发费用是多少|⟨w⟩营业收入和研发费用是多少 指标：营业收入|⟨w⟩营业收入和研发费用是多少 指标：研发费用|⟨w⟩营业收入和研发费用是多少 合并财务报表 合并口径", "⟨w⟩研发费用变动原因|改写|⟨w⟩研发费用变动原因 主要系 原因 所致 变动原因|⟨w⟩研发费用变动原因 合并财务报表 合并口径", "天气", ""], lambda q, r, a: joined(answers.search_strings(q, r, a)), {"r": "string", "a": "int"})
 column("number_matches", {"e": ["⟨n⟩.5万元", "⟨n⟩5000元", "1.2亿元", "20%", "销量上升", "", "12345元"], "a": ["收入⟨n⟩5000元", "收入⟨n⟩.5万元", "收入1.3亿元", "增长20.0%", "因为 销量 上升", "x", "约1.23万元"]}, [True, True, False, True, True, True, True], gates.keyword_match)
-column("nfkc_texts", {"t": ["Ａ１２", "①", "ﬁ", None]}, ["A12", "1", "fi", None], verify.nfkc, {"t": "string"})
+column("nfkc_texts", {"t": ["Ａ⟨n⟩", "①", "ﬁ", None]}, ["A⟨n⟩", "1", "fi", None], verify.nfkc, {"t": "string"})
 # questions
 rule(
     "question_intents",
-    {"t": ["母公司营业收入和研发费用是多少", "净利润变动原因", "管理层讨论与分析中的经营情况", "受疫情影响的归母净利润", "天气"]},
+    {"t": ["母公司营业收入和研发费用是多少", "⟨y⟩年净利润变动原因", "管理层讨论与分析中的经营情况", "受疫情影响的归母净利润", "天气"]},
     {"groups": ["revenue|rd_expense", "", "", "listed_net_profit", ""], "scope": ["parent", "", "", "", ""], "is_cause": [False, True, False, True, False], "is_financial": [True, True, False, True, False], "is_numeric": [True, False, False, False, False], "sections": ["", "", "经营情况|管理层讨论与分析", "", ""]},
     lambda df: df.withColumn("p", retrieval.profile(F.col("t"))).select("k", joined("p.groups").alias("groups"), "p.scope", "p.is_cause", "p.is_financial", "p.is_numeric", joined("p.sections").alias("sections")),
 )
 rule(
     "merged_intents",
-    {"a": ["母公司研发费用为什么增长", "营业收入", "归母净利润多少"], "b": ["合并营业收入 利润表", "原因", "天气"]},
+    {"a": ["母公司研发费用为什么增长", "营业收入", "⟨w⟩归母净利润多少"], "b": ["合并营业收入 利润表", "原因", "天气"]},
     {"groups": ["revenue|rd_expense", "revenue", "listed_net_profit"], "scope": ["parent", "", ""], "is_cause": [True, True, False], "is_numeric": [False, False, True], "sections": ["利润表", "", ""]},
     lambda df: df.withColumn("p", retrieval.merged_profile(F.array(retrieval.profile(F.col("a")), retrieval.profile(F.col("b"))), F.col("a"))).select("k", joined("p.groups").alias("groups"), "p.scope", "p.is_cause", "p.is_numeric", joined("p.sections").alias("sections")),
 )
-_HIT = {"q": ["营业收入是多少", "营业收入是多少", "母公司营业收入是多少", "营业收入原因", "营业收入原因", "利润表营业收入多少"], "t": ["x", "营业收入 5", "营业收入 5", "主要系销量", "营业收入 5", "x"], "m": [["revenue"], [], [], [], [], []], "s": ["consolidated", "parent", "parent", None, None, None], "tab": [True, True, True, False, True, True], "path": ["", "", "", "", "", "合并利润表"]}
+_HIT = {"q": ["营业收入是多少", "营业收入是多少", "母公司营业收入是多少", "营业收入原因", "营业收入原因", "利润表营业收入多少"], "t": ["x", "营业收入 ⟨n⟩", "营业收入 ⟨n⟩", "主要系⟨w⟩销量", "营业收入 ⟨n⟩", "⟨w⟩"], "m": [["revenue"], [], [], [], [], []], "s": ["consolidated", "parent", "parent", None, None, None], "tab": [True, True, True, False, True, True], "path": ["", "", "", "", "", "合并利润表"]}
 _KINDS = {"m": "array<string>", "s": "string", "tab": "boolean"}
 column("rank_rules", _HIT, [0.023, 0.006, 0.013, 0.012, -0.006, 0.008], lambda q, t, m, s, tab, path: retrieval.adjustment(retrieval.profile(q), t, m, s, tab, path), _KINDS)
 column("metric_match_kinds", _HIT, ["fact", "header", "header", "", "header", ""], lambda q, t, m, s, tab, path: retrieval.match_kind(retrieval.profile(q), t, F.lit(""), m), _KINDS)
