@@ -42,7 +42,7 @@ KINDS = ("assign", "access", "hex")
 #: Bytes of a layer held in memory, and bytes handled at a time.
 MAX_LAYER, CHUNK = 16 << 20, 1 << 20
 #: Layers of escapes undone one by one.
-DEEP = 64
+DEEP = 16
 MASK = "[SECRET]"
 
 _WORDS = "password passwd secret token api_?key".split()
