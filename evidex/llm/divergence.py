@@ -37,7 +37,7 @@ LEAST, WHOLE, TERMS = 3, 1_000_000_000, 200
 #: Leaves' counters of a task's tries before they are written out; suffixes in a map before it bursts; bytes of a text counted at a time; cells of a block of leaves.
 COUNTERS, BURST, PIECE, CELLS = 600_000, 4096, 1 << 22, 1 << 19
 #: Bytes of a term that say which subtries are merged together.
-PREFIX = 4
+PREFIX = 8
 #: The most groups whose figures are sent to every task; those of more are joined by a shuffle.
 SENT = 100_000
 
