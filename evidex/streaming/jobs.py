@@ -62,6 +62,36 @@ def committed_tokens(tokens: DataFrame) -> DataFrame:
     return last.groupBy("thread").agg(F.array_join(F.transform(words, lambda t: t["token"]), "").alias("answer"), F.max((F.col("event") == "commit").cast("int")).alias("_done")).filter("_done = 1").drop("_done")
 
 
+def committed_stream(stream: DataFrame) -> DataFrame:
+    """(thread, attempt, answer) as soon as an attempt is committed: nothing of an attempt leaves before that.
+
+    ``stream`` is as in :func:`committed_tokens`. A thread's state is its last attempt and that attempt's tokens; a later
+    attempt drops them, rows of earlier ones come too late. Tokens of a committed attempt that come later give its answer
+    again, so the last row of a thread counts.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempt, places, texts, done = state.get if state.exists else (-1, [], [], False)
+        held, said = dict(zip(places, texts)), False
+        rows = sorted((int(a), int(q), e, t) for b in batches for a, q, e, t in zip(b["attempt"], b["seq"], b["event"], b["token"].fillna("")))
+        for a, q, event, token in rows:
+            if a < attempt:
+                continue
+            if a > attempt:
+                attempt, held, done = a, {}, False
+            if event == "token":
+                held[q] = token
+            done |= event == "commit"
+            said = True
+        order = sorted(held)
+        state.update((attempt, order, [held[q] for q in order], bool(done)))
+        yield pd.DataFrame([(k[0], attempt, "".join(held[q] for q in order))] if done and said else [], columns=["thread", "attempt", "answer"])
+
+    kind = stream.schema["thread"].dataType.simpleString()
+    kept = "attempt long, places array<long>, texts array<string>, done boolean"
+    return stream.groupBy("thread").applyInPandasWithState(step, f"thread {kind}, attempt long, answer string", kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def limited(stream: DataFrame, limit: int, seconds: int, key: str = "user_id", at: str = "ts") -> DataFrame:
     """A sliding window limit with state: only the times let in within the window are kept for a key."""
 
