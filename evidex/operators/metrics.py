@@ -8,6 +8,8 @@ the row before, and a group's members stand in one row of their group and year.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,14 +140,18 @@ def page(df: DataFrame, where, limit: int, offset: int = 0, order: str = "id") -
 
 
 def patched(stored: DataFrame, patch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Updated rows, and a revision with old and new snapshots for each row that changed. Null in ``patch``: unchanged."""
+    """Updated rows, and a revision with old and new snapshots for each row that changed. Null in ``patch``: unchanged.
+
+    Values tell a change, not their spelling: zero is zero whatever its sign, which the snapshots keep.
+    """
     fields = [c for c in patch.columns if c != key]
     both = stored.alias("s").join(patch.alias("p"), key, "left")
     now = [F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}")).alias(c) if c in fields else F.col(f"s.{c}").alias(c) for c in stored.columns if c != key]
     new = both.select(key, *now)
-    old, after = F.to_json(F.struct(*[F.col(f"s.{c}") for c in fields])), F.to_json(F.struct(*[F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}")).alias(c) for c in fields]))
-    changed = both.select(key, old.alias("old_snapshot"), after.alias("new_snapshot")).filter("old_snapshot <> new_snapshot")
-    return new, changed
+    later = {c: F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}")) for c in fields}
+    old, after = F.to_json(F.struct(*[F.col(f"s.{c}") for c in fields])), F.to_json(F.struct(*[v.alias(c) for c, v in later.items()]))
+    differs = functools.reduce(Column.__or__, [~v.eqNullSafe(F.col(f"s.{c}")) for c, v in later.items()], F.lit(False))
+    return new, both.filter(differs).select(key, old.alias("old_snapshot"), after.alias("new_snapshot"))
 
 
 def disclosures(records: DataFrame) -> DataFrame:

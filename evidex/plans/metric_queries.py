@@ -160,7 +160,9 @@ def seed_missing(spark, sf_dir):
 def metric_revisions(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     s = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
-    _, changes = metrics.patched(s, s.withColumn("bal", F.round("bal", 0)))
+    # SQL's round() keeps the sign of what becomes zero
+    whole = F.when(F.col("bal") < 0, -F.round(-F.col("bal"), 0)).otherwise(F.round("bal", 0))
+    _, changes = metrics.patched(s, s.withColumn("bal", whole))
     shape = "seg string, bal double"
     rows = changes.select("id", F.from_json("old_snapshot", shape).alias("o"), F.from_json("new_snapshot", shape).alias("n"))
     return rows.select("id", F.col("o.seg").alias("old_seg"), F.col("n.seg").alias("new_seg"), F.col("o.bal").alias("old_bal"), F.col("n.bal").alias("new_bal"))

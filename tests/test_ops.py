@@ -140,3 +140,14 @@ def test_percentiles_by_rank(spark):
 def test_percentile_by_floor(spark, p, want):
     df = spark.createDataFrame([(x,) for x in (4, 2, 1, 3)], "x int")
     assert ops.percentiles(df, [], "x", {"p": p}).first()["p"] == want
+
+
+def test_a_revision_keeps_the_sign_of_zero_and_zero_alone_is_none(spark, tmp_path):
+    from evidex.plans import metric_queries
+
+    rows = [(1, "a", -0.3), (2, "a", -0.5), (3, "a", 0.3), (4, "a", 7.0), (5, "a", -0.0), (6, None, None), (7, "b", -2.5)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["id"]: str(r["new_bal"]) for r in metric_queries.metric_revisions(spark, str(tmp_path)).collect()}
+    assert got == {1: "-0.0", 2: "-1.0", 3: "0.0", 7: "-3.0"}
+    stored = spark.createDataFrame([(1, 0.0)], "id int, v double")
+    assert metrics.patched(stored, spark.createDataFrame([(1, -0.0)], "id int, v double"))[1].count() == 0
