@@ -164,9 +164,12 @@ def route_pools(questions: DataFrame, chunks: DataFrame, locked: DataFrame) -> D
 
     ``questions`` (query, period), ``chunks`` (doc, period, is_table), ``locked`` (query, doc).
     """
-    pool = questions.select("query", "period").distinct().join(chunks.filter("is_table").groupBy("doc", "period").agg(F.count("*").alias("n")), "period")
-    both = pool.join(locked.withColumn("_in", F.lit(True)), ["query", "doc"], "left")
-    sums = both.groupBy("query").agg(F.sum("n").alias("period_pool"), F.sum(F.when(F.col("_in"), F.col("n")).otherwise(0)).alias("locked_pool"))
+    asked = questions.select("query", "period").distinct()
+    tables = chunks.filter("is_table").groupBy("doc", "period").agg(F.count("*").alias("n"))
+    # a pool is as large for every query of its period, so queries meet periods and their own documents, never each other's
+    by_period = asked.join(tables.groupBy("period").agg(F.sum("n").alias("n")), "period").groupBy("query").agg(F.sum("n").alias("period_pool"))
+    own = asked.join(locked.select("query", "doc").distinct(), "query").join(tables, ["doc", "period"]).groupBy("query").agg(F.sum("n").alias("locked_pool"))
+    sums = by_period.join(own, "query", "left")
     rows = questions.select("query").distinct().join(sums, "query", "left").na.fill(0, ["period_pool", "locked_pool"])
     return rows.withColumn("outcome", F.when(F.col("locked_pool") > 0, "routed").when(F.col("period_pool") > 0, "not in pool").otherwise("pool empty"))
 

@@ -56,3 +56,11 @@ def test_diagnoses(spark):
     assert got == {1: (2, 1, "routed"), 2: (2, 0, "not in pool"), 3: (0, 0, "pool empty")}
     ocr = spark.createDataFrame([("甲 乙 丙", 3, ["甲乙"]), ("甲", 3, []), (None, 0, ["x"])], "text string, min_chars int, terms array<string>")
     assert [r["passed"] for r in gates.recognised(ocr).collect()] == [True, False, False]
+
+
+def test_pools_meet_no_pairs_and_count_a_locked_document_once(spark):
+    q = spark.range(20_000).select(F.col("id").alias("query"), (F.col("id") % 2).alias("period"))
+    c = spark.range(20_000).select(F.col("id").alias("doc"), (F.col("id") % 2).alias("period"), F.lit(True).alias("is_table"))
+    locked = q.select("query", F.col("query").alias("doc"))
+    pools = gates.route_pools(q, c, locked.unionByName(locked))
+    assert [tuple(r) for r in pools.groupBy("period_pool", "locked_pool", "outcome").count().collect()] == [(10_000, 1, "routed", 20_000)]
