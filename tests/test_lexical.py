@@ -97,3 +97,15 @@ def test_a_version_of_files_needs_no_call_for_each(spark, tmp_path, monkeypatch)
     assert retrieval.version(spark.read.parquet(path)) == one
     spark.range(1).select(F.col("id").alias("chunk"), F.lit("a b").alias("text")).write.mode("append").parquet(path)
     assert retrieval.version(spark.read.parquet(path)) != one
+
+
+def test_questions_of_long_lists_are_scored_by_rows(spark, both):
+    """Whether by blocks or by rows of counts, the hits are the same, dead chunks left out."""
+    store, index = both
+    store.append(spark.createDataFrame(corpus(300, seed=8), ROWS))
+    index.update(store)
+    store.upsert(spark.createDataFrame(corpus(60, 20, 9), ROWS))
+    store.delete(spark.createDataFrame([("k", "d2")], "kb_id string, doc string"))
+    index.update(store)
+    rows, blocks, own = ([tuple(r) for r in index.search(asked(spark), 10, by_rows=b).orderBy("query", "rank").collect()] for b in (True, False, None))
+    assert rows == blocks == own and rows
