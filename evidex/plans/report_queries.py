@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decimal_text
 from ..operators import binding, blocks, chunking, facts, retrieval, route, verify
+from ..tables import spread
 from .registry import query, table
 
 N = "\n"
@@ -16,7 +17,8 @@ KINDS = (("合并利润表", "consolidated", "万元"), ("母公司利润表", "
 
 def numbers(spark, sf_dir) -> DataFrame:
     """(k, a, b, c, d, share, kind): two years' revenue and research expense, and a change."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.abs("s_acctbal").cast("decimal(12,2)").alias("x"))
+    # texts are read in Python, which a small file's one partition would do in one task
+    s = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("k"), F.abs("s_acctbal").cast("decimal(12,2)").alias("x"))
     money = {"a": F.col("x") + 12000, "b": F.col("k") + F.lit(20000.25).cast("decimal(12,2)"), "c": F.col("x") + F.lit(30000.5).cast("decimal(12,2)"), "d": F.col("k") * 3 + F.lit(40000.75).cast("decimal(12,2)")}
     share = (F.col("k") % 50 + F.lit(0.25).cast("decimal(4,2)")).cast("decimal(12,2)")
     return s.select("k", *[v.cast("decimal(12,2)").alias(n) for n, v in money.items()], share.alias("share"), (F.col("k") % 3).cast("int").alias("kind"))
