@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 # Words that are no search terms.
 STOP_WORDS = "的 了 和 与 或 在 是 有 为 对 把 被 这 那 个 等 及 并 而 从 到 于 之 其 公司 我们 你们 他们 以及 关于 进行 一个 如何".split()
 HAN = "[\\u4e00-\\u9fff]"
+# Fixed value: what \s stands for.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def tokens(text: Column) -> Column:
@@ -27,6 +30,15 @@ def tokens(text: Column) -> Column:
     return F.when(low.rlike(HAN), mixed).otherwise(F.regexp_extract_all(low, F.lit("([0-9a-z]{2,})"), 1))
 
 
+def terms_of(text: str) -> list[str]:
+    """The search terms of one text as :func:`tokens` gives them, for tasks that hold texts."""
+    out = []
+    for run in re.findall(f"{HAN}{{2,}}|[0-9a-z]{{2,}}", text.lower()):
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if run[0] > "z" else []
+        out.append(run)
+    return [t for t in out if t not in STOP_WORDS]
+
+
 # What is hidden, in this order, and what stands in its place.
 REDACTIONS = (
     ("(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[手机号已隐藏]"),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed
+from ..functions.text import BLANKS, squeezed
 from . import substrings
 from .verify import claims_of
 
@@ -152,7 +152,7 @@ def integrity(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     head = F.left(F.regexp_replace("num", "[-+,]", ""), F.lit(6))
     kinds = F.array(F.struct(F.lit(3).alias("s"), F.col("e").alias("needle")), F.struct(F.lit(2).alias("s"), F.col("num").alias("needle")), F.struct(F.lit(1).alias("s"), head.alias("needle")))
     wanted = ev.select("item", F.inline(kinds))
-    met = substrings.occurrences(chunks.select(squeezed(F.col("text")).alias("text")), wanted).select("item", "s")
+    met = substrings.occurrences(chunks.select(F.lower("text").alias("text")), wanted, without=BLANKS).select("item", "s")
     anywhere = ev.filter("e = ''").select("item", F.lit(3).alias("s")).join(chunks.filter(F.col("text").isNotNull()).select(F.lit(3).alias("s")).limit(1), "s", "left_semi").select("item", "s")
     best = met.unionByName(anywhere).groupBy("item").agg(F.max("s").alias("s"))
     said = F.when(F.col("s") == 3, "INTACT").when(F.col("s") == 2, "NUMBER_ONLY").when(F.col("s") == 1, "BROKEN").otherwise("MISSING")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..tables import in_blocks, spread
 
 #: Strings whose hashes go to the tasks at once; characters of texts hashed at once; bytes of strings up to which they are broadcast to decide.
-AT_ONCE, WINDOW, SENT = 1_000_000, 1 << 20, 16 << 20
+AT_ONCE, WINDOW, SENT = 1_000_000, 1 << 17, 16 << 20
 #: Lengths of the parts.
 PARTS = (1, 2, 4, 8, 16, 32)
 _BASE = 0x5851F42D4C957F2D
@@ -82,7 +82,7 @@ class Table:
     def __init__(self, hashes: np.ndarray, offset: np.ndarray, length: np.ndarray, whole: np.ndarray):
         order = hashes.argsort(kind="stable")
         self.hashes, self.offset, self.length, self.whole = hashes[order], offset[order], length[order], whole[order]
-        self.shift = np.uint64(64 - min(24, max(10, (8 * len(hashes)).bit_length())))
+        self.shift = np.uint64(64 - min(24, max(16, (64 * len(hashes)).bit_length())))
         self.bits = np.zeros(1 << int(64 - self.shift), bool)
         self.bits[self.hashes >> self.shift] = True
 
@@ -109,8 +109,8 @@ class Table:
                 yield start[good], self.length[string][good]
 
 
-def _seek(known: dict[int, Table], longest: int, schema: pa.Schema):
-    """(keys..., text) to (keys..., needle): the stretches met."""
+def _seek(known: dict[int, Table], longest: int, schema: pa.Schema, without: bytes = b""):
+    """(keys..., text) to (keys..., needle): the stretches met of texts that the bytes ``without`` are taken from."""
 
     def found(texts: list[str]) -> Iterator[tuple[int, str]]:
         """(which text, stretch) of some texts that are hashed together."""
@@ -141,7 +141,8 @@ def _seek(known: dict[int, Table], longest: int, schema: pa.Schema):
 
             texts = batch.column(batch.num_columns - 1)
             for i in range(batch.num_rows):
-                text = texts[i].as_py()
+                raw = texts[i].as_buffer()
+                text = raw.to_pybytes().translate(None, without).decode() if raw else ""
                 if not text:
                     continue
                 for at in range(0, max(1, len(text) - longest + 1), step - longest + 1):
@@ -159,8 +160,11 @@ def _seek(known: dict[int, Table], longest: int, schema: pa.Schema):
     return run
 
 
-def occurrences(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
-    """The other columns of ``needles`` and of ``texts``, for each string that a text holds; the two have no column in common."""
+def occurrences(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", without: str = "") -> DataFrame:
+    """The other columns of ``needles`` and of ``texts``, for each string that a text holds; the two have no column in common.
+
+    ``without``: characters of ASCII that texts are read without, as if they were not there.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     keys = [c for c in texts.columns if c != text]
@@ -180,7 +184,7 @@ def occurrences(texts: DataFrame, needles: DataFrame, text: str = "text", needle
         arrow = to_arrow_schema(schema)
 
         def run(batches, sent=sent, longest=longest):
-            return _seek(sent.value, longest, arrow)(batches)
+            return _seek(sent.value, longest, arrow, without.encode("ascii"))(batches)
 
         found.append(spread(held).mapInArrow(run, schema))
     if not found:
