@@ -9,6 +9,10 @@ strings decides, so that no hash can add a pair, and equal stretches have equal
 What goes to each task is 33 bytes a string (``AT_ONCE`` strings at most; more are further scans), not the strings.
 Long texts are read in windows that overlap by the longest string.
 
+Where only case and blanks are set aside, few texts hold a long string, and :func:`likely` finds these first: of each
+string, eight stretches of 32 bytes that begin one after the other are known, so any text with the string has one of them at a
+place divisible by eight, and one look for each eight bytes does.
+
 Defined results: null and empty strings occur nowhere, null texts hold nothing; a string that occurs more than once in a
 text gives one row for it; repeated rows of either side give repeated rows; comparison is by code points.
 """
@@ -160,6 +164,98 @@ def _seek(known: dict[int, Table], longest: int, schema: pa.Schema, without: byt
     return run
 
 
+#: ASCII in lower case; what :func:`likely` reads texts without, besides blanks: all that is not ASCII.
+_LOWER, _BEYOND = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256)), bytes(range(128, 256))
+#: The two characters beyond ASCII whose lower case has a letter of a-z.
+_TO_ASCII = tuple(c.encode() for c in "\u0130\u212a")
+#: Bytes of a stretch that is looked for, from how many bytes on a string has eight of them, and bytes looked through at once.
+STRETCH, LEAST, AT_A_TIME = 32, 39, 1 << 18
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def _stretches(raw: bytes) -> np.ndarray:
+    """Hashes of the stretches of ``STRETCH`` bytes that begin at the places divisible by eight."""
+    eight = np.frombuffer(raw, "<u8", len(raw) // 8)
+    n = max(0, len(eight) - 3)
+    out = eight[:n] * _MIX[0]
+    for i in (1, 2, 3):
+        out ^= out >> np.uint64(29)
+        out += eight[i : i + n] * _MIX[i]
+    return out * _MIX[0]
+
+
+def _eight_of(batches: Iterator[pa.RecordBatch], without: bytes) -> Iterator[pa.RecordBatch]:
+    """(needle) to (hash): of each string, those of eight stretches that begin one after the other, the least hash of all decides where; null of a string that is too short for eight."""
+    for batch in batches:
+        out = []
+        for needle in batch.column(0).to_pylist():
+            raw = needle.encode("utf-8", "surrogatepass").translate(_LOWER, _BEYOND + without)
+            if len(raw) < LEAST:
+                out.append(pa.nulls(1, pa.int64()))
+                continue
+            every = np.empty(len(raw) - STRETCH + 1, np.uint64)
+            for i in range(8):
+                every[i::8] = _stretches(raw[i:])
+            at = int(every[: len(every) - 7].argmin())
+            out.append(pa.array(every[at : at + 8].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(out) if out else pa.nulls(0, pa.int64())], names=["hash"])
+
+
+def _sift(hashes: np.ndarray, without: bytes):
+    """(keys..., text) to those rows whose text has a stretch of these hashes, or a character whose lower case is one of ASCII."""
+    hashes = np.unique(hashes.view(np.uint64))
+    shift = np.uint64(64 - min(24, max(16, (64 * len(hashes)).bit_length())))
+    bits = np.zeros(1 << int(64 - shift), bool)
+    bits[hashes >> shift] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, good = batch.column(batch.num_columns - 1), np.zeros(batch.num_rows, bool)
+            some, owners, size = [], [], 0
+
+            def settle():
+                met = _stretches(b"".join(some))
+                places = np.flatnonzero(bits[met >> shift])
+                places = places[hashes[np.minimum(hashes.searchsorted(met[places]), len(hashes) - 1)] == met[places]]
+                # a stretch over the end of a text finds its first one for nothing
+                good[np.array(owners)[np.cumsum([len(x) for x in some]).searchsorted(places * 8, "right")]] = True
+
+            for i in range(batch.num_rows):
+                raw = texts[i].as_buffer()
+                if not raw:
+                    continue
+                raw = raw.to_pybytes()
+                if not raw.isascii() and any(c in raw for c in _TO_ASCII):
+                    good[i] = True
+                    continue
+                some.append(raw.translate(_LOWER, _BEYOND + without))
+                owners.append(i)
+                size += len(some[-1])
+                if size > AT_A_TIME:
+                    settle()
+                    some, owners, size = [], [], 0
+            if some:
+                settle()
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def likely(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", without: str = "") -> DataFrame:
+    """Those of ``texts`` that could hold a string once they are in lower case and without ``without``, and few others; strings are given that way.
+
+    All texts, if a string has less than ``LEAST`` bytes of ASCII or if strings are more than ``AT_ONCE``.
+    """
+    whole = needles.filter(F.length(needle) > 0).select(F.col(needle).alias("needle")).distinct()
+    blanks = without.encode("ascii")
+    hashes = whole.limit(AT_ONCE + 1).mapInArrow(lambda batches: _eight_of(batches, blanks), "hash long").toArrow()["hash"]  # 64 bytes a string
+    if not len(hashes) or hashes.null_count or len(hashes) > 8 * AT_ONCE:
+        return texts
+    sent = texts.sparkSession.sparkContext.broadcast(hashes.to_numpy())
+    columns = [*(c for c in texts.columns if c != text), text]
+    return spread(texts.select(columns)).mapInArrow(lambda batches: _sift(sent.value, blanks)(batches), texts.select(columns).schema).select(texts.columns)
+
+
 def occurrences(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", without: str = "") -> DataFrame:
     """The other columns of ``needles`` and of ``texts``, for each string that a text holds; the two have no column in common.
 

@@ -83,3 +83,20 @@ def test_plan_has_no_nested_loop(spark, data):
     t, n = spark.createDataFrame(texts, "k int, tag string, text string"), spark.createDataFrame(needles, "item int, needle string")
     plan = substrings.occurrences(t, n)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_few_texts_are_searched_for_long_strings(spark, monkeypatch):
+    """Texts that cannot hold a string do not get to the search, and none that holds one is left out."""
+    rng, blanks = random.Random(3), " \t\n\x0b\f\r"
+    needles = ["".join(rng.choice("abcdeé0") for _ in range(n)) for n in (60, 80, 150)] + ["k" * 39 + "i" * 39]
+    rows = [(i, "".join(rng.choice("abcdeé0 AB") for _ in range(rng.randint(0, 400)))) for i in range(300)] + [(-1, None), (-2, "\u212a" * 39 + "I" * 39), (-3, "")]
+    rows += [(1000 + i, rows[i][1] + "".join(rng.choice(["", *blanks]) + c.upper() for c in needles[i % 4]) + rows[i + 1][1]) for i in range(40)]
+    texts, wanted = spark.createDataFrame(rows, "doc int, text string"), spark.createDataFrame(list(enumerate(needles)), "item int, needle string")
+    want = {i for i, t in rows if t and any(n in t.translate(dict.fromkeys(map(ord, blanks))).lower() for n in needles)}
+    assert {1000 + i for i in range(40)} | {-2} <= want
+    for size in (1 << 18, 50):
+        monkeypatch.setattr(substrings, "AT_A_TIME", size)
+        assert {r["doc"] for r in substrings.likely(texts, wanted, without=blanks).collect()} == want
+    short = wanted.union(spark.createDataFrame([(9, "ab")], wanted.schema))
+    assert substrings.likely(texts, short, without=blanks).count() == len(rows)
+    assert substrings.likely(texts, wanted.limit(0), without=blanks).count() == len(rows)
